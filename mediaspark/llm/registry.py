@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, quality_rules, sharding, token_counts
+from . import bpe, mixing, ppm, pu_quality, quality_rules, sharding, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": token_counts.op2_token_counts,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op5_sharding": sharding.op5_sharding,
     "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op7_ppm": ppm.op7_ppm,
     "op9_mixing": mixing.op9_mixing,
+    "op10_pu_quality": pu_quality.op10_pu_quality,
 }
 ORACLE_SQL: dict[str, str] = {
     "op6_quality_rules": quality_rules.OP6_SQL,
