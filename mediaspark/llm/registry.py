@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, ppm, pu_quality, quality_rules, sharding, token_counts, toxicity
+from . import bpe, jaccard, mixing, ppm, pu_quality, quality_rules, sharding, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard": jaccard.op1_ngram_jaccard,
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_byte_bpe": bpe.op4_byte_bpe,
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pu_quality": pu_quality.op10_pu_quality,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard": jaccard.OP1_SQL,
     "op6_quality_rules": quality_rules.OP6_SQL,
     "op9_mixing": mixing.OP9_SQL,
 }
