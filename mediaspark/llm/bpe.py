@@ -173,10 +173,11 @@ def encode(
     text_col: str = "text",
     digests: bool = False,
 ) -> DataFrame:
-    """Encode each text and decode its ids again: `keep`, n_tokens and, by `digests`, ids and decoded or their SHA-256.
+    """Encode each text and decode its ids again: `keep`, n_tokens and ids with intact, or with `digests` two SHA-256.
 
     `vocabulary` is the path of a rank file on the driver; its content (the one table that is broadcast,
-    of the tokenizer's fixed size) goes to the executors.  ids is array<int>, decoded is binary.  With `digests`
+    of the tokenizer's fixed size) goes to the executors.  ids is array<int>; intact tells whether the decoded
+    ids give the text's bytes again.  With `digests`
     ids_sha256 is of the decimal ids joined by one space, decoded_sha256 of the decoded bytes.  A null text counts as
     empty and has no tokens; every row gives one row.
     """
@@ -187,23 +188,23 @@ def encode(
     kept = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
     source = docs.select(*kept, F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     kinds = [f"k{i} {source.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep))]
-    result = "n long, a string, b string" if digests else "n long, a array<int>, b binary"
+    result = "n long, a string, b string" if digests else "n long, a array<int>, b boolean"
 
     def make():
         codec = _codec_of(key, sent.value, pattern)
 
-        def result_of(ids: bytes) -> tuple:
+        def result_of(ids: bytes, text: str) -> tuple:
             decoded = codec.decode(ids)
             if digests:
                 return ids.count(b" "), hashlib.sha256(ids[:-1]).hexdigest(), hashlib.sha256(decoded).hexdigest()
-            return ids.count(b" "), [int(x) for x in ids.split()], decoded
+            return ids.count(b" "), [int(x) for x in ids.split()], decoded == text.encode()
 
         return lambda rows: [
-            (*row[:-1], *result_of(ids)) for row, ids in zip(rows, codec.encode_batch([row[-1] for row in rows]))
+            (*row[:-1], *result_of(ids, row[-1])) for row, ids in zip(rows, codec.encode_batch([row[-1] for row in rows]))
         ]
 
     out = map_chunks(source, make, ", ".join([*kinds, result]), lambda row: len(row[-1]))
-    names = ("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")
+    names = ("ids_sha256", "decoded_sha256") if digests else ("ids", "intact")
     return out.select(
         *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)],
         F.col("n").alias("n_tokens"),

@@ -2,23 +2,26 @@
 
 A document's set holds its distinct word shingles as 64-bit fingerprints, ordered by fingerprint.  For a
 threshold t two sets x and y are similar if they share at least a(x, y) = t / (1 + t) * (|x| + |y|) tokens.
-With n = |x|, E(n) = n - ceil(t n) tokens may be missing; the extended prefix of x is its first
-E(n) + K(n) tokens, and two similar sets share at least min(K) tokens within their extended prefixes.
+With n = |x|, E(n) = n - ceil(t n) tokens may be missing; the prefix of x extended by k is its first
+E(n) + k(n) tokens, and two similar sets share at least min(k) tokens within their extended prefixes.
 
 Each token of a prefix is rare (in at most `rare` prefixes) or frequent.
 
 * Rare tokens are indexed singly.  The pairs that a token's list gives are counted by pair; with f(x) frequent
-  tokens in the prefix of x, a similar pair shares at least min(K) - min(f) rare tokens, which prunes
-  pairs that share a passage by chance.
-* If a similar pair shares no rare token, the first min(K) tokens that it shares are all frequent.  K(n) is
-  chosen so that of the gaps between these, at least one holds no token of x or y alone: some two consecutive
-  frequent tokens are the same in both.  So a set needs this index only if f(x) reaches the least K of its
-  partners, and it then indexes combinations of two consecutive frequent tokens.
-
-A combination shared by up to `rare` sets gives all its pairs.  A longer list, of a large family of near copies,
-gives a star: its members are compared with its first one.  Once the links found so far are
-joined to components, only members of different components in one list are compared further, so no
-list gives all pairs of a family, and no link between components is lost.
+  tokens in the prefix of x, a similar pair shares at least min(k) - min(f) rare tokens, which prunes
+  pairs that share a passage by chance.  Here k(n) = E(n) / 3 + 2.
+* If a similar pair shares no rare token, the first min(k) tokens that it shares are all frequent.  So only a set
+  whose f(x) reaches the least k of its partners needs more: it is heavy.
+
+Heavy sets are few.  They are read whole, and their tokens are put in order anew, rarest first among these
+sets.  Shared rare tokens are indexed singly again.  For the frequent ones the prefix is extended by K(n) such
+that of the gaps between the first K tokens that a similar pair shares, at least one holds no token of one set
+alone: some two consecutive frequent tokens are the same in both.  So combinations of two
+consecutive frequent tokens of the prefix are indexed, for those sets whose prefix holds K of them or more.
+
+A list of a combination gives a star at first: its members are compared with its head.  Once the links found
+so far are joined to components, only members of different components in one list are compared
+further, so no list gives all pairs of a family, and no link between components is lost.
 
 All candidates are verified on whole sets.  Equal sets are one class from the start.
 """
@@ -30,7 +33,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from .common import _arrow_schema, staged, table, utf8
 from .components import connected_components
@@ -77,17 +79,22 @@ def missing(n, percent: int):
     return n - -(-percent * n // 100)
 
 
-def shared_least(n, percent: int):
-    """K(n): more than the tokens of a pair's prefixes that only one of them holds, plus one.
+def prefix_length(n: int, percent: int) -> int:
+    """E(n) + k(n)."""
+    return min(n, missing(n, percent) + missing(n, percent) // 3 + 2)
 
-    A similar pair differs in at most (1 - t) / (1 + t) * (|x| + |y|) tokens, with |y| <= |x| / t: by
-    whole numbers (100 - p) (100 + p) / (p (100 + p)) of the smaller, (100 - p) / p.
-    """
-    return (100 - percent) * n // percent + 2
 
+def _k(n: str, percent: int) -> str:
+    """k(n) in SQL."""
+    return f"(({n} - ({percent} * {n} + 99) div 100) div 3 + 2)"
 
-def prefix_length(n, percent: int):
-    return np.minimum(n, missing(n, percent) + shared_least(n, percent))
+
+def _gap_k(n: str, percent: int) -> str:
+    """K(n) in SQL: two more than the tokens of a similar pair that only one of them holds.
+
+    Those are at most (1 - t) / (1 + t) * (|x| + |y|), and |y| <= |x| / t: (1 - t) / t of the smaller set.
+    """
+    return f"({100 - percent} * {n} div {percent} + 2)"
 
 
 def _key(s: np.ndarray) -> tuple[int, int]:
@@ -96,10 +103,10 @@ def _key(s: np.ndarray) -> tuple[int, int]:
     return (h >> 64) - (1 << 63), (h & (2**64 - 1)) - (1 << 63)
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+def _sets(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, row_col: str | None) -> DataFrame:
     """row, doc_id, text key, set size and key, and extended prefix of every document."""
     source = docs.select(
-        F.monotonically_increasing_id().alias("row"),
+        (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"),
         F.col(id_col).alias("doc_id"),
         utf8(text_col).alias("t"),
         F.xxhash64(utf8(text_col)).alias("tk"),
@@ -114,7 +121,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int)
             n, k1, k2, lists, ends = [], [], [], [], [0]
             for text in batch.column(2).to_pylist():
                 s = shingle(text)
-                p = s[: int(prefix_length(len(s), percent))]
+                p = s[: prefix_length(len(s), percent)]
                 a, b = _key(s)
                 n.append(len(s))
                 k1.append(a)
@@ -197,6 +204,7 @@ def jaccard_links(
     id_col: str = "doc_id",
     text_col: str = "text",
     rare: int = RARE,
+    row_col: str | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The classes and links of a similarity join: (documents, classes, links).
 
@@ -209,7 +217,7 @@ def jaccard_links(
     """
     if not 50 < percent <= 100:
         raise ValueError("percent must be over 50 and at most 100")
-    rows = staged(_sets(docs, id_col, text_col, width, percent), "sets")
+    rows = staged(_sets(docs, id_col, text_col, width, percent, row_col), "sets")
     filled = rows.filter("n > 0")
     classes = filled.groupBy("k1", "k2").agg(
         F.min(F.struct("row", "tk", "n", "prefix")).alias("x"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies")
@@ -238,7 +246,7 @@ def jaccard_links(
         "frequent",
     )
     f = frequent.select("row", F.size("tokens").alias("f"))
-    least = F.expr(f"{100 - percent} * n div {percent} + 2")  # K of the smaller set
+    least = F.expr(_k("n", percent))  # of the smaller set
     rare_pairs = (
         rare_pairs.join(f.select(F.col("row").alias("a"), F.col("f").alias("fa")), "a", "left")
         .join(f.select(F.col("row").alias("b"), F.col("f").alias("fb")), "b", "left")
@@ -247,68 +255,32 @@ def jaccard_links(
     )
     # The smallest partner of a set of n has ceil(percent * n / 100) tokens.
     partner = f"(({percent} * n + 99) div 100)"
-    heavy = frequent.filter(F.expr(f"size(tokens) >= {100 - percent} * {partner} div {percent} + 2"))
-    combos = staged(
-        heavy.select(
-            "row",
-            "n",
-            F.explode(
-                F.expr("transform(slice(tokens, 1, size(tokens) - 1), (t, i) -> xxhash64(t, tokens[i + 1]))")
-            ).alias("combo"),
-        ),
-        "combinations",
-    )
-    combo_df = combos.groupBy("combo").agg(F.count(F.lit(1)).alias("df"), F.min("row").alias("hub")).filter("df > 1")
-    indexed = staged(combos.join(combo_df, "combo"), "indexed")
-    short = (
-        indexed.filter(F.col("df") <= rare)
-        .groupBy("combo")
-        .agg(F.sort_array(F.collect_list(F.struct("n", "row"))).alias("m"))
-        .select(F.explode(F.expr(_all_pairs("m"))).alias("p"))
-        .filter(fits)
-        .select("p.a", "p.b")
-    )
-    # Of the hubs of its long lists, each member is compared with the one that it shares most lists with.
-    long_lists = indexed.filter(F.col("df") > rare)
-    stars = (
-        long_lists.filter("row <> hub")
-        .groupBy("row", "hub")
-        .agg(F.count(F.lit(1)).alias("c"))
-        .groupBy("row")
-        .agg(F.max_by("hub", F.struct("c", -F.col("hub"))).alias("hub"))
-        .select(F.least("row", "hub").alias("a"), F.greatest("row", "hub").alias("b"))
-    )
-    pairs = staged(rare_pairs.union(stars).distinct(), "pairs")
+    heavy = frequent.filter(F.expr(f"size(tokens) >= {_k(partner, percent)}"))
+    pairs, indexed = _heavy_pairs(docs, classes, heavy.select("row"), text_col, width, percent, rare)
+    pairs = staged(rare_pairs.union(pairs).distinct(), "pairs")
     links = _links(docs, classes, pairs, text_col, width, percent, "links")
 
-    # What the first links leave apart: pairs of different components in a list, each list's largest component
-    # against the others and these among themselves.
+    # What the first links leave apart: members of one list and of different components, that is each list's
+    # largest component against the others and these among themselves.
     named = connected_components(links)
-    label = F.coalesce("component", F.col("row"))
-    members = (
-        long_lists.join(named.withColumnRenamed("v", "row"), "row", "left")
-        .select("combo", "row", "n", label.alias("c"))
+    members = indexed.join(named.withColumnRenamed("v", "row"), "row", "left").select(
+        "combo", "row", "n", "f", F.coalesce("component", "row").alias("c")
     )
     parts = members.groupBy("combo", "c").agg(F.count(F.lit(1)).alias("k"))
     main = parts.groupBy("combo").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count(F.lit(1)).alias("parts"))
     open_lists = staged(members.join(main.filter("parts > 1").drop("parts"), "combo"), "open")
-    strays = open_lists.filter("c <> main").select(
-        "combo", F.col("row").alias("r"), F.col("n").alias("rn"), F.col("c").alias("rc")
-    )
-    rest = (
+    strays = open_lists.filter("c <> main").select("combo", *[F.col(x).alias(f"s_{x}") for x in ("row", "n", "f", "c")])
+    late = (
         strays.join(open_lists, "combo")
         .filter(
-            (F.col("c") != F.col("rc"))
-            & ((F.col("c") == F.col("main")) | (F.col("r") < F.col("row")))
-            & (100 * F.least("n", "rn") >= percent * F.greatest("n", "rn"))
+            (F.col("c") != F.col("s_c"))
+            & ((F.col("c") == F.col("main")) | (F.col("s_row") < F.col("row")))
+            & _may_link(F.least("f", "s_f"), F.col("n") + F.col("s_n"), percent)
         )
-        .select(F.least("r", "row").alias("a"), F.greatest("r", "row").alias("b"))
+        .select(F.least("s_row", "row").alias("a"), F.greatest("s_row", "row").alias("b"))
+        .distinct()
     )
-    apart = short.join(named.select(F.col("v").alias("a"), F.col("component").alias("ca")), "a", "left").join(
-        named.select(F.col("v").alias("b"), F.col("component").alias("cb")), "b", "left"
-    )
-    apart = apart.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    late = staged(rest.union(apart).distinct().join(pairs, ["a", "b"], "left_anti"), "late")
+    late = staged(late.join(pairs, ["a", "b"], "left_anti"), "late")
     if not late.isEmpty():
         links = links.union(_links(docs, classes, late, text_col, width, percent, "late-links"))
     # Only classes with copies need the join; their rows are split by Spark's skew handling if one is hot.
@@ -320,6 +292,84 @@ def jaccard_links(
     return documents, classes.select(F.col("row").alias("class"), "n", "least_id", "copies"), links
 
 
+def _may_link(common, total, percent: int):
+    """Whether two sets of `total` tokens together are similar if they share `common`."""
+    return (100 + percent) * common >= percent * total
+
+
+def _heavy_pairs(docs, classes, heavy, text_col, width, percent, rare) -> tuple[DataFrame, DataFrame]:
+    """Candidates among sets whose prefixes are mostly frequent tokens: (pairs, lists of combinations).
+
+    These few sets are taken whole, and their tokens are ordered anew by how many of these sets hold them, rarest
+    first.  All shared rare tokens are indexed, so a pair's number of common rare tokens is exact and
+    with the least number of frequent tokens bounds what it shares.  A pair without a common rare token has its
+    shared tokens among the frequent ones (row, n, f: their number), whose first ones give the combinations.
+    """
+    wanted = staged(classes.select("row", "tk", "k1", "k2").join(heavy, "row", "left_semi"), "heavy")
+    sets = staged(_whole_sets(docs, wanted, text_col, width), "heavy-sets")
+    tokens = sets.select("row", F.size("s").cast("long").alias("n"), F.explode("s").alias("token"))
+    df = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    shared = tokens.join(df, "token")
+    # A set's own tokens bound this list.
+    frequent = staged(
+        shared.filter(F.col("df") > rare)
+        .groupBy("row", "n")
+        .agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("tokens"))
+        .withColumn("f", F.size("tokens").cast("long")),
+        "heavy-frequent",
+    )
+    f = frequent.select("row", "f")
+    singles = (
+        shared.filter(F.col("df") <= rare)
+        .groupBy("token")
+        .agg(F.sort_array(F.collect_list(F.struct("n", "row"))).alias("m"))
+        .select(F.explode(F.expr(_all_pairs("m"))).alias("p"))
+        .filter(F.col("p.n") * 100 >= F.col("p.m") * percent)
+        .groupBy("p.a", "p.b")
+        .agg(F.min(F.col("p.n") + F.col("p.m")).alias("total"), F.count(F.lit(1)).alias("common"))
+        .join(f.select(F.col("row").alias("a"), F.col("f").alias("fa")), "a", "left")
+        .join(f.select(F.col("row").alias("b"), F.col("f").alias("fb")), "b", "left")
+        .filter(
+            _may_link(
+                F.col("common") + F.least(F.coalesce("fa", F.lit(0)), F.coalesce("fb", F.lit(0))), F.col("total"), percent
+            )
+        )
+        .select("a", "b")
+    )
+    # Frequent tokens within the extended prefix, the rare ones before them taken off; a set with too few needs no list.
+    length = f"(n - ({percent} * n + 99) div 100 + {_gap_k('n', percent)})"
+    partner = f"(({percent} * n + 99) div 100)"
+    ahead = frequent.select(
+        "row", "n", "f", F.expr(f"slice(tokens, 1, cast(greatest(0, {length} - (n - f)) as int))").alias("tokens")
+    ).filter(F.expr(f"size(tokens) >= {_gap_k(partner, percent)}"))
+    combos = staged(
+        ahead.select(
+            "row",
+            "n",
+            "f",
+            F.explode(F.expr("transform(slice(tokens, 1, size(tokens) - 1), (t, i) -> xxhash64(t, tokens[i + 1]))")).alias(
+                "combo"
+            ),
+        ),
+        "combinations",
+    )
+    # The member with the fewest rare tokens is the likeliest to be what the others were copied from.
+    heads = combos.groupBy("combo").agg(
+        F.count(F.lit(1)).alias("df"), F.min(F.struct(F.col("n") - F.col("f"), "row")).alias("hub")
+    )
+    indexed = staged(combos.join(heads.filter("df > 1").select("combo", F.col("hub.row").alias("hub")), "combo"), "indexed")
+    # Of the heads of its lists, each member is compared with the one that it shares most lists with.
+    stars = (
+        indexed.filter("row <> hub")
+        .groupBy("row", "hub")
+        .agg(F.count(F.lit(1)).alias("c"))
+        .groupBy("row")
+        .agg(F.max_by("hub", F.struct("c", -F.col("hub"))).alias("hub"))
+        .select(F.least("row", "hub").alias("a"), F.greatest("row", "hub").alias("b"))
+    )
+    return singles.union(stars), indexed.drop("hub")
+
+
 def _links(docs, classes, pairs, text_col, width, percent, name) -> DataFrame:
     ends = pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct()
     wanted = staged(classes.select("row", "tk", "k1", "k2").join(ends, "row", "left_semi"), "wanted")
@@ -328,23 +378,37 @@ def _links(docs, classes, pairs, text_col, width, percent, name) -> DataFrame:
 
 
 def jaccard_components(
-    docs: DataFrame, percent: int = 90, width: int = 3, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE
+    docs: DataFrame,
+    percent: int = 90,
+    width: int = 3,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    rare: int = RARE,
+    row_col: str | None = None,
 ) -> DataFrame:
-    """row, doc_id, n_shingles, class, component_id (the least doc_id in reach, by links or equal sets) for every document."""
-    documents, classes, links = jaccard_links(docs, percent, width, id_col, text_col, rare)
+    """One row a document: row, doc_id, n_shingles, class, component_id, group and linked.
+
+    component_id is the least doc_id in reach by links or equal sets, group names the component by one of its
+    rows, linked tells whether the group has a second row.  `row_col` names a column of unique longs that
+    becomes row; without it rows are numbered in scan order.
+    """
+    documents, classes, links = jaccard_links(docs, percent, width, id_col, text_col, rare, row_col)
     named = connected_components(links)
     # One row for each class that has a link or a copy.
-    grouped = classes.join(named.withColumnRenamed("v", "class"), "class", "left").select(
-        "class", "least_id", "copies", "component"
-    )
-    ids = grouped.filter("component is not null").groupBy("component").agg(F.min("least_id").alias("id"))
-    known = (
-        grouped.filter("component is not null or copies > 1")
-        .join(ids, "component", "left")
-        .select("class", F.coalesce("id", "least_id").alias("id"))
+    grouped = classes.join(named.withColumnRenamed("v", "class"), "class", "left").filter(
+        "component is not null or copies > 1"
     )
+    grouped = staged(grouped.select("class", "least_id", F.coalesce("component", "class").alias("group")), "groups")
+    ids = grouped.groupBy("group").agg(F.min("least_id").alias("id"))
+    known = grouped.join(ids, "group").select("class", "group", "id", F.lit(True).alias("linked"))
     return documents.join(known, "class", "left").select(
-        "row", "doc_id", F.col("n").alias("n_shingles"), "class", F.coalesce("id", "doc_id").alias("component_id")
+        "row",
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        "class",
+        F.coalesce("id", "doc_id").alias("component_id"),
+        F.coalesce("group", "class").alias("group"),
+        F.coalesce("linked", F.lit(False)).alias("linked"),
     )
 
 

@@ -89,30 +89,40 @@ CURRENT_POLICY = 3
 BASE_BITS = POLICIES[1]
 
 
-def ledger(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """`keep`, the measurements and `failed_bits`, one row a document, in one pass without a shuffle.
-
-    A null text counts as empty: all measurements 0, bit 0 set.  Repeated rows and ties get equal rows; any
-    further columns of `docs` may be named in `keep`, except those with the name of a measurement.
-    """
-    kept = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
-    source = docs.select(*kept, utf8(text_col).alias("t"))
-    fields = [source.schema[f"k{i}"] for i in range(len(keep))]
-    ddl = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in fields] + [MEASURES])
+def _measured(docs: DataFrame, keep: tuple[str, ...], text_col: str) -> DataFrame:
+    """k0, k1, ... for the columns of `keep`, the measurements and failed_bits, in one pass without a shuffle."""
+    kept_cols = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
+    source = docs.select(*kept_cols, utf8(text_col).alias("t"))
+    kinds = [f"k{i} {source.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep))]
 
     def make():
         return lambda row: row[:-1] + measure(row[-1])
 
-    measured = map_rows(source, make, ddl)
     bits: Column = F.lit(0).cast("long")
     for rule in RULES:
         bits = bits.bitwiseOR(F.when(F.expr(rule.fails), F.lit(1 << rule.bit)).otherwise(F.lit(0)).cast("long"))
+    return map_rows(source, make, ", ".join([*kinds, MEASURES])).withColumn("failed_bits", bits)
+
+
+def ledger(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    """`keep`, the measurements and `failed_bits`, one row a document.
+
+    A null text counts as empty: all measurements 0, bit 0 set.  Repeated rows and ties get equal rows; any
+    further columns of `docs` may be named in `keep`, except those with the name of a measurement.
+    """
     names = [x.split()[0] for x in MEASURES.split(", ")]
-    return measured.select(
-        *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *names, bits.alias("failed_bits")
+    return _measured(docs, keep, text_col).select(
+        *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *names, "failed_bits"
     )
 
 
+def kept(docs: DataFrame, policy: int | None = None, text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, with all their columns whatever their names, that a policy keeps."""
+    columns = docs.columns
+    rows = _measured(docs, tuple(columns), text_col).filter(~rejected(CURRENT_POLICY if policy is None else policy))
+    return rows.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(columns)])
+
+
 def rejected(policy: int = CURRENT_POLICY) -> Column:
     """Whether a row of the ledger is rejected under a policy."""
     return F.col("failed_bits").bitwiseAND(F.lit(POLICIES[policy]).cast("long")) != 0
