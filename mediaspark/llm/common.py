@@ -59,13 +59,25 @@ def utf8(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
 
 
+#: Rows of texts in one Arrow batch, at most: a batch stands in memory several times, on both sides.
+BATCH_ROWS = 1_000
+
+
+def limit_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS rows, unless they are smaller already."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def map_rows(
     df: DataFrame,
     make: Callable[[], Callable[[tuple], tuple]],
     schema: str,
 ) -> DataFrame:
     """One output row per input row through mapInArrow; make() runs once in each task and returns the row function."""
-    arrow = _arrow_schema(df.sparkSession, schema)
+    arrow = arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
@@ -86,7 +98,7 @@ def map_chunks(
     most: int = 1 << 20,
 ) -> DataFrame:
     """As map_rows, with a function from a list of rows to a list of rows; a list ends once its weights reach `most`."""
-    arrow = _arrow_schema(df.sparkSession, schema)
+    arrow = arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
@@ -109,8 +121,9 @@ def _record_batch(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, arrow)], schema=arrow)
 
 
-def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
+def arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    limit_batches(spark)
     return to_arrow_schema(StructType.fromDDL(schema))

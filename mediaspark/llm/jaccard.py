@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _arrow_schema, staged, table, utf8
+from .common import arrow_schema, staged, table, utf8
 from .components import connected_components
 
 #: Prefixes that hold a rare token, at most; also the longest list that gives all pairs.
@@ -113,7 +113,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int,
     )
     kind = source.schema["doc_id"].dataType.simpleString()
     ddl = f"row long, doc_id {kind}, tk long, n long, k1 long, k2 long, prefix array<long>"
-    schema = _arrow_schema(docs.sparkSession, ddl)
+    schema = arrow_schema(docs.sparkSession, ddl)
 
     def run(batches):
         shingle = Shingler(width)
@@ -157,7 +157,7 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, text_col: str, width: int) -
     bits[words.column("i").to_numpy()] = words.column("b").to_numpy()
     sent = spark.sparkContext.broadcast(bits.view(np.uint64))
     ddl = "k1 long, k2 long, s array<long>"
-    schema = _arrow_schema(spark, ddl)
+    schema = arrow_schema(spark, ddl)
 
     def run(batches):
         bits, shingle, done = sent.value, Shingler(width), set()

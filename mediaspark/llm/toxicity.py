@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, remainder, table, utf8
+from .common import limit_batches, map_rows, remainder, staged, table, utf8
 
 #: English insults by kind, one voter each.
 LEXICON = (
@@ -210,8 +210,7 @@ def fit(
     all documents.  Labels that are null are left out, a null text is empty, repeated ids count once for the
     labels.  Without labelled rows of both classes only the fixed lexicon and the patterns vote.
     """
-    from .common import staged
-
+    limit_batches(docs.sparkSession)
     gold = (
         labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
         .groupBy(F.col(id_col).alias("_id"))
