@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, mixing, ppm, pu_quality, quality_rules, sharding, token_counts, toxicity
+from . import bm25, bpe, jaccard, mixing, ppm, pu_quality, quality_rules, sharding, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": jaccard.op1_ngram_jaccard,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sharding": sharding.op5_sharding,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_ppm": ppm.op7_ppm,
+    "op8_bm25": bm25.op8_bm25,
     "op9_mixing": mixing.op9_mixing,
     "op10_pu_quality": pu_quality.op10_pu_quality,
 }
