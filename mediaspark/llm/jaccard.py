@@ -177,7 +177,8 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, text_col: str, width: int) -
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), schema)], schema=schema)
 
     found = docs.select(utf8(text_col).alias("t"), F.xxhash64(utf8(text_col)).alias("tk")).mapInArrow(run, ddl)
-    return found.join(wanted.select("row", "k1", "k2"), ["k1", "k2"]).groupBy("row").agg(F.first("s").alias("s"))
+    once = found.groupBy("k1", "k2").agg(F.first("s").alias("s"))
+    return once.join(wanted.select("row", "k1", "k2"), ["k1", "k2"]).select("row", "s")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -226,7 +227,8 @@ def jaccard_links(
 
     entries = classes.select("row", "n", F.explode("prefix").alias("token"))
     df = entries.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    shared = entries.join(df, "token")
+    # Most tokens are in one prefix; the others are written once for both uses.
+    shared = staged(entries.join(df, "token"), "shared")
     # Rare lists have at most `rare` members.
     lists = shared.filter(F.col("df") <= rare).groupBy("token").agg(
         F.sort_array(F.collect_list(F.struct("n", "row"))).alias("m")
@@ -309,7 +311,7 @@ def _heavy_pairs(docs, classes, heavy, text_col, width, percent, rare) -> tuple[
     sets = staged(_whole_sets(docs, wanted, text_col, width), "heavy-sets")
     tokens = sets.select("row", F.size("s").cast("long").alias("n"), F.explode("s").alias("token"))
     df = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    shared = tokens.join(df, "token")
+    shared = staged(tokens.join(df, "token"), "heavy-shared")
     # A set's own tokens bound this list.
     frequent = staged(
         shared.filter(F.col("df") > rare)
