@@ -14,10 +14,11 @@ Each token of a prefix is rare (in at most `rare` prefixes) or frequent.
   whose f(x) reaches the least k of its partners needs more: it is heavy.
 
 Heavy sets are few.  They are read whole, and their tokens are put in order anew, rarest first among these
-sets.  Shared rare tokens are indexed singly again.  For the frequent ones the prefix is extended by K(n) such
-that of the gaps between the first K tokens that a similar pair shares, at least one holds no token of one set
-alone: some two consecutive frequent tokens are the same in both.  So combinations of two
-consecutive frequent tokens of the prefix are indexed, for those sets whose prefix holds K of them or more.
+sets.  Shared rare tokens are indexed singly again.  A pair that shares none of these has all its common tokens
+among the frequent ones.  Of the gaps between the common tokens, each token that only one set holds breaks one;
+over an unbroken gap two consecutive frequent tokens are the same in both sets.  So a similar pair has many
+common combinations of two consecutive frequent tokens, and by the prefix principle each set need index only its
+rarest combinations, all but that number less one.
 
 A list of a combination gives a star at first: its members are compared with its head.  Once the links found
 so far are joined to components, only members of different components in one list are compared
@@ -89,14 +90,6 @@ def _k(n: str, percent: int) -> str:
     return f"(({n} - ({percent} * {n} + 99) div 100) div 3 + 2)"
 
 
-def _gap_k(n: str, percent: int) -> str:
-    """K(n) in SQL: two more than the tokens of a similar pair that only one of them holds.
-
-    Those are at most (1 - t) / (1 + t) * (|x| + |y|), and |y| <= |x| / t: (1 - t) / t of the smaller set.
-    """
-    return f"({100 - percent} * {n} div {percent} + 2)"
-
-
 def _key(s: np.ndarray) -> tuple[int, int]:
     """128 bits that stand for a set."""
     h = xxhash.xxh3_128_intdigest(s.tobytes())
@@ -258,7 +251,7 @@ def jaccard_links(
     # The smallest partner of a set of n has ceil(percent * n / 100) tokens.
     partner = f"(({percent} * n + 99) div 100)"
     heavy = frequent.filter(F.expr(f"size(tokens) >= {_k(partner, percent)}"))
-    pairs, indexed = _heavy_pairs(docs, classes, heavy.select("row"), text_col, width, percent, rare)
+    pairs, indexed, own = _heavy_pairs(docs, classes, heavy.select("row"), text_col, width, percent, rare)
     pairs = staged(rare_pairs.union(pairs).distinct(), "pairs")
     links = _links(docs, classes, pairs, text_col, width, percent, "links")
 
@@ -270,14 +263,16 @@ def jaccard_links(
     )
     parts = members.groupBy("combo", "c").agg(F.count(F.lit(1)).alias("k"))
     main = parts.groupBy("combo").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count(F.lit(1)).alias("parts"))
-    open_lists = staged(members.join(main.filter("parts > 1").drop("parts"), "combo"), "open")
-    strays = open_lists.filter("c <> main").select("combo", *[F.col(x).alias(f"s_{x}") for x in ("row", "n", "f", "c")])
+    open_lists = staged(members.join(main.filter("parts > 1").drop("parts"), "combo"), "open").join(own, "row")
+    strays = open_lists.filter("c <> main").select("combo", *[F.col(x).alias(f"s_{x}") for x in ("row", "n", "f", "c", "all")])
     late = (
         strays.join(open_lists, "combo")
         .filter(
             (F.col("c") != F.col("s_c"))
             & ((F.col("c") == F.col("main")) | (F.col("s_row") < F.col("row")))
             & _may_link(F.least("f", "s_f"), F.col("n") + F.col("s_n"), percent)
+            # In the first only of the lists that the two share.
+            & (F.array_min(F.array_intersect("all", "s_all")) == F.col("combo"))
         )
         .select(F.least("s_row", "row").alias("a"), F.greatest("s_row", "row").alias("b"))
         .distinct()
@@ -299,8 +294,8 @@ def _may_link(common, total, percent: int):
     return (100 + percent) * common >= percent * total
 
 
-def _heavy_pairs(docs, classes, heavy, text_col, width, percent, rare) -> tuple[DataFrame, DataFrame]:
-    """Candidates among sets whose prefixes are mostly frequent tokens: (pairs, lists of combinations).
+def _heavy_pairs(docs, classes, heavy, text_col, width, percent, rare) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Candidates among sets whose prefixes are mostly frequent tokens: (pairs, lists of combinations, each set's own).
 
     These few sets are taken whole, and their tokens are ordered anew by how many of these sets hold them, rarest
     first.  All shared rare tokens are indexed, so a pair's number of common rare tokens is exact and
@@ -338,23 +333,27 @@ def _heavy_pairs(docs, classes, heavy, text_col, width, percent, rare) -> tuple[
         )
         .select("a", "b")
     )
-    # Frequent tokens within the extended prefix, the rare ones before them taken off; a set with too few needs no list.
-    length = f"(n - ({percent} * n + 99) div 100 + {_gap_k('n', percent)})"
-    partner = f"(({percent} * n + 99) div 100)"
-    ahead = frequent.select(
-        "row", "n", "f", F.expr(f"slice(tokens, 1, cast(greatest(0, {length} - (n - f)) as int))").alias("tokens")
-    ).filter(F.expr(f"size(tokens) >= {_gap_k(partner, percent)}"))
-    combos = staged(
-        ahead.select(
-            "row",
-            "n",
-            "f",
-            F.explode(F.expr("transform(slice(tokens, 1, size(tokens) - 1), (t, i) -> xxhash64(t, tokens[i + 1]))")).alias(
-                "combo"
-            ),
-        ),
+    # All that a pair without a common rare token shares is frequent; a set with too few frequent tokens has no such partner.
+    least = f"(({percent} * n + 99) div 100)"
+    able = frequent.filter(F.expr(f"f >= {least}"))
+    combos = able.select(
+        "row",
+        "n",
+        "f",
+        F.explode(F.expr("transform(slice(tokens, 1, size(tokens) - 1), (t, i) -> xxhash64(t, tokens[i + 1]))")).alias("combo"),
+    )
+    counts = combos.groupBy("combo").agg(F.count(F.lit(1)).alias("df"))
+    # A similar pair has `least` tokens in common, and of the gaps between them it breaks one with each token that only
+    # one of them holds; the rest are common combinations.  So all but that number, less one, are indexed, rarest first.
+    common = f"greatest(1, {least} - 1 - {100 - percent} * n div {percent})"
+    kept = staged(
+        combos.join(counts, "combo")
+        .groupBy("row", "n", "f")
+        .agg(F.sort_array(F.collect_list(F.struct("df", "combo"))).alias("m"))  # a set's own tokens bound it
+        .select("row", "n", "f", F.expr(f"transform(slice(m, 1, cast(greatest(0, f - {common}) as int)), x -> x.combo)").alias("all")),
         "combinations",
     )
+    combos = kept.select("row", "n", "f", F.explode("all").alias("combo"))
     # The member with the fewest rare tokens is the likeliest to be what the others were copied from.
     heads = combos.groupBy("combo").agg(
         F.count(F.lit(1)).alias("df"), F.min(F.struct(F.col("n") - F.col("f"), "row")).alias("hub")
@@ -369,7 +368,7 @@ def _heavy_pairs(docs, classes, heavy, text_col, width, percent, rare) -> tuple[
         .agg(F.max_by("hub", F.struct("c", -F.col("hub"))).alias("hub"))
         .select(F.least("row", "hub").alias("a"), F.greatest("row", "hub").alias("b"))
     )
-    return singles.union(stars), indexed.drop("hub")
+    return singles.union(stars), indexed.drop("hub"), kept.select("row", "all")
 
 
 def _links(docs, classes, pairs, text_col, width, percent, name) -> DataFrame:
