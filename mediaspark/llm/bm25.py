@@ -6,10 +6,10 @@ block of documents.  Queries then stream through the shard, batch by batch.  Wei
 global statistics, so the scores of all shards compare, and the best k of a query are the best of the shards' best k.
 
 A query is pruned as block-max WAND does, in whole vectors.  The terms with the highest bound per posting give a
-first threshold: the k-th best exact score among the documents that they rank highest.  Terms whose bounds
-together stay under the threshold can't lift a document over it alone; only the postings of the others are
-added up.  A document is a candidate if its sum plus the block maxima of the left-out terms reaches the
-threshold; only candidates are scored in full, in double precision.  The bounds err on the high side, so
+first threshold: the k-th best exact score among the documents that they rank highest.  Postings are added up
+term by term in this order; a document is a candidate while its sum plus the block maxima of the terms left reaches
+the threshold, which rises with the sums.  Once the candidates are few, the postings left are skipped and only
+the candidates are scored in full, in double precision.  The bounds err on the high side, so
 the result is that of scoring every document.
 """
 
@@ -27,7 +27,9 @@ from .common import arrow_schema, staged, table, utf8
 
 K1, B = 1.2, 0.75
 #: Postings in a shard, about.
-SHARD_POSTINGS = 6_000_000
+SHARD_POSTINGS = 3_000_000
+#: A term in at least one of so many documents stands as a full row, the most frequent MOST_DENSE at most.
+DENSE, MOST_DENSE = 8, 256
 #: Documents in a block of the index.
 BLOCK = 128
 #: Added to bounds, as a part of them, for their single precision.
@@ -56,6 +58,7 @@ class Shard:
     def seal(self) -> None:
         n, v = len(self.ids), len(self.vocabulary)
         sizes = np.array([len(t) for t in self.terms], np.int64)
+        self.doc_size = sizes
         self.doc_start = np.concatenate([[0], np.cumsum(sizes)])
         self.doc_term = np.concatenate(self.terms) if n else np.zeros(0, np.int32)
         freq = np.concatenate(self.freqs) if n else np.zeros(0, np.int32)
@@ -78,17 +81,35 @@ class Shard:
             self.block_row[t] = r
             lo, hi = self.start[t], self.start[t + 1]
             np.maximum.at(self.block_top[r], self.post_doc[lo:hi] // BLOCK, self.post_part[lo:hi])
+        # Terms in many documents also stand as a full row.
+        frequent = np.flatnonzero(self.df * DENSE >= n) if n else np.zeros(0, np.int64)
+        frequent = frequent[np.argsort(-self.df[frequent], kind="stable")[:MOST_DENSE]]
+        self.dense_row = np.full(v, -1, np.int64)
+        self.dense_row[frequent] = np.arange(len(frequent))
+        self.dense = np.zeros((len(frequent), n), np.float32)
+        for r, t in enumerate(frequent.tolist()):
+            lo, hi = self.start[t], self.start[t + 1]
+            self.dense[r, self.post_doc[lo:hi]] = self.post_part[lo:hi]
         self.weight = np.zeros(v)
 
     def _sums(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """For every document the weighted sum over the postings of some terms."""
+        out = np.zeros(len(self.ids))
+        rows = self.dense_row[terms]
+        common = rows >= 0
+        if common.any():
+            part = np.empty(len(out), np.float32)
+            for r, w in zip(rows[common].tolist(), weights[common].tolist()):
+                np.multiply(self.dense[r], np.float32(w), out=part)
+                out += part
+            terms, weights = terms[~common], weights[~common]
         sizes = self.df[terms]
         total = int(sizes.sum())
         if not total:
-            return np.zeros(len(self.ids))
+            return out
         shift = np.repeat(self.start[terms] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
         at = shift + np.arange(total)
-        return np.bincount(self.post_doc[at], np.repeat(weights, sizes) * self.post_part[at], minlength=len(self.ids))
+        return out + np.bincount(self.post_doc[at], np.repeat(weights, sizes) * self.post_part[at], minlength=len(out))
 
     def _exact(self, docs: np.ndarray) -> np.ndarray:
         """Full scores of some documents under the weights set for the query."""
@@ -124,37 +145,45 @@ class Shard:
 
     def _search(self, terms, weight, bound, k) -> list[tuple]:
         n = len(self.ids)
-        taken = np.cumsum(self.df[terms])
-        first = int(np.searchsorted(taken, n // 4)) + 1
-        sums = self._sums(terms[:first], weight[:first])
+        df = self.df[terms]
+        taken = np.cumsum(df)
+        done = min(len(terms), int(np.searchsorted(taken, n // 4)) + 1)
+        sums = self._sums(terms[:done], weight[:done])
         threshold = 0.0
         if np.count_nonzero(sums) >= k:
             best = np.argpartition(-sums, k - 1)[:k]
             threshold = float(self._exact(best).min()) * (1 - SLACK)
-        # Of the terms in this order, the last ones together stay under the threshold.
-        after = np.cumsum(bound[::-1])[::-1]
-        essential = int(np.searchsorted(-after, -threshold, side="left")) if threshold > 0 else len(terms)
-        essential = min(len(terms), essential)
-        if essential > first:
-            sums = sums + self._sums(terms[first:essential], weight[first:essential])
-        else:
-            essential = first
-        left, left_weight = terms[essential:], weight[essential:]
-        rows = self.block_row[left]
-        has = rows >= 0
-        rest = float(bound[essential:][~has].sum())
-        by_block = (left_weight[has] * (1 + SLACK)) @ self.block_top[rows[has]] if has.any() else np.zeros(self.blocks)
-        reach = sums * (1 + SLACK) + rest + np.repeat(by_block, BLOCK)[:n]
-        candidates = np.flatnonzero((reach >= threshold) & ((sums > 0) if threshold > 0 else (reach > 0)))
+        rows = self.block_row[terms]
+        while True:
+            # What the terms not added yet can still give, by block of documents where their maxima are kept so.
+            left_rows, left_bound = rows[done:], bound[done:]
+            has = left_rows >= 0
+            rest = float(left_bound[~has].sum())
+            if has.any():
+                by_block = (weight[done:][has] * (1 + SLACK)) @ self.block_top[left_rows[has]]
+                reach = sums * (1 + SLACK) + (rest + np.repeat(by_block, BLOCK)[:n])
+            else:
+                reach = sums * (1 + SLACK) + rest
+            candidates = np.flatnonzero(reach >= threshold) if threshold > 0 else np.flatnonzero(reach > 0)
+            left = int(taken[-1] - taken[done - 1])
+            # Scoring the candidates now reads their terms; else about half of the postings left are added.
+            if not left or 2 * int(self.doc_size[candidates].sum()) <= left:
+                break
+            more = min(len(terms), int(np.searchsorted(taken, taken[done - 1] + left // 2)) + 1)
+            more = max(more, done + 1)
+            sums = sums + self._sums(terms[done:more], weight[done:more])
+            done = more
+            if np.count_nonzero(sums) >= k:
+                threshold = max(threshold, float(np.partition(sums, n - k)[n - k]) * (1 - SLACK))
         scores = self._exact(candidates)
         good = scores > 0
         candidates, scores = candidates[good], scores[good]
         if len(scores) > k:
             least = np.partition(scores, len(scores) - k)[len(scores) - k]
-            some = scores >= least * (1 - 1e-12)
+            some = scores >= least - 1e-5
             candidates, scores = candidates[some], scores[some]
-        ranked = sorted(zip([round(s, 6) for s in scores.tolist()], candidates.tolist()), key=lambda x: (-x[0], self._id(x[1])))
-        return [(self.ids[d], s) for s, d in ranked[:k]]
+        ranked = sorted(zip([round(x, 6) for x in scores.tolist()], candidates.tolist()), key=lambda x: (-x[0], self._id(x[1])))
+        return [(self.ids[d], x) for x, d in ranked[:k]]
 
     def _id(self, d: int):
         i = self.ids[d]
