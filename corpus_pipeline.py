@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediaspark.llm import bpe, jaccard, mixing, quality_rules, toxicity
-from mediaspark.llm.common import staged, table
+from mediaspark.llm.common import fresh_name, staged, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,8 +18,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, toxicity.training_rows(table(spark, sf_dir, "labels")))
     # Texts pass once more as a kept column; the score's name is put apart from theirs.
     columns = docs.columns
-    scored = toxicity.score(docs, model, tuple(columns)).toDF(*columns, "_toxicity")
-    return scored.filter(F.col("_toxicity") < toxicity.THRESHOLD).select(*columns)
+    name = fresh_name(columns, "toxicity")
+    scored = toxicity.score(docs, model, tuple(columns)).toDF(*columns, name)
+    return scored.filter(F.col(name) < toxicity.THRESHOLD).select(*columns)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,30 +34,30 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Of a group the first row of the smallest id stays; texts without words are no group.
     """
-    numbered = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    groups = jaccard.jaccard_components(numbered, percent=80, width=5, row_col="_row")
+    key = fresh_name(docs.columns, "row")
+    numbered = staged(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
+    groups = jaccard.jaccard_components(numbered, percent=80, width=5, row_col=key)
     linked = staged(groups.filter("linked").select("row", "doc_id", "group"), "groups")
     first = linked.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("x"))
     dropped = (
         linked.join(first.select("group", F.col("x.row").alias("first")), "group")
         .filter("row <> first")
-        .select(F.col("row").alias("_row"))
+        .select(F.col("row").alias(key))
     )
-    return numbered.join(dropped, "_row", "left_anti").select(*docs.columns)
+    return numbered.join(dropped, key, "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it."""
-    numbered = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    key = fresh_name(docs.columns, "row")
+    numbered = staged(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
     rows = numbered.select(
-        "doc_id", "source", F.coalesce(mixing.words(), F.lit(0)).cast("long").alias("size"), F.col("_row").alias("row")
-    )
-    taken = mixing.copies_of(staged(rows, "mix")).filter("copies > 0").select(F.col("row").alias("_row"), "copies")
-    return (
-        numbered.join(taken, "_row")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-        .select(*docs.columns)
+        "doc_id", "source", F.coalesce(mixing.words(), F.lit(0)).cast("long").alias("size"), F.col(key).alias("row")
     )
+    taken = mixing.copies_of(staged(rows, "mix")).filter("copies > 0")
+    times = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
+    emitted = taken.select(F.col("row").alias(key), F.col("copies")).select(key, times.alias(fresh_name([*docs.columns, key], "copy")))
+    return numbered.join(emitted, key).select(*docs.columns)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

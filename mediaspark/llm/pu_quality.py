@@ -167,7 +167,7 @@ def fit(
         return lambda row: (row[0], row[1], features(row[2]))
 
     rows = staged(map_rows(sample, make, "p int, u int, x array<double>"), "quality").collect()
-    x = np.array([r["x"] for r in rows], dtype=float).reshape(len(rows), -1)
+    x = np.array([r["x"] for r in rows], dtype=float).reshape(len(rows), N_FEATURES)
     p = np.array([r["p"] == 1 for r in rows], dtype=bool)
     u = np.array([r["u"] == 0 for r in rows], dtype=bool)
     return train_nnpu(x[p], x[u], estimate_prior(labels, label_col))
