@@ -4,7 +4,7 @@ from collections import Counter
 import public_tokenizers as P
 import pytest
 import tiktoken
-from conftest import documents, edge_rows
+from llm_cases import documents, edge_rows
 
 import corpus_pipeline
 from mediaspark.llm import bpe, jaccard, mixing, quality_rules, toxicity

@@ -1,4 +1,4 @@
-from conftest import edge_rows
+from llm_cases import edge_rows
 from pyspark.sql import functions as F
 
 from mediaspark.llm import quality_rules as q

@@ -3,7 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from conftest import documents, edge_rows
+from llm_cases import documents, edge_rows
 from pyspark.sql import functions as F
 
 from mediaspark.llm import bm25, ppm, pu_quality, toxicity

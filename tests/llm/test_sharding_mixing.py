@@ -3,7 +3,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
-from conftest import documents, edge_rows
+from llm_cases import documents, edge_rows
 from pyspark.sql import functions as F
 
 from mediaspark.llm import mixing, sharding

@@ -4,7 +4,7 @@ import random
 import public_tokenizers as P
 import pytest
 import tiktoken
-from conftest import edge_rows
+from llm_cases import edge_rows
 
 from mediaspark.llm import bpe, token_counts
 
