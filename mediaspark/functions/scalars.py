@@ -93,9 +93,9 @@ def context_score(day_known: Column, same_day: Column, place_known: Column, same
 
 
 def clamp_box(x1: Column, y1: Column, x2: Column, y2: Column, width: Column, height: Column) -> Column:
-    """struct(x, y, w, h) of whole pixels inside the image; null for a corner that is no number or an empty box."""
+    """struct(x, y, w, h) of whole pixels inside the image; null for a corner that is no number, an unknown size or an empty box."""
     at = lambda v, size: F.greatest(F.lit(0), F.least(F.rint(v).cast("int"), size - 1))
-    bad = reduce(lambda a, b: a | b, [v.isNull() | F.isnan(v) for v in (x1, y1, x2, y2)])
+    bad = reduce(lambda a, b: a | b, [v.isNull() | F.isnan(v) for v in (x1, y1, x2, y2)], width.isNull() | height.isNull())
     left, top, right, bottom = at(x1, width), at(y1, height), at(x2, width), at(y2, height)
     box = F.struct(left.alias("x"), top.alias("y"), (right - left).alias("w"), (bottom - top).alias("h"))
     return F.when(~bad & (right > left) & (bottom > top), box)
