@@ -5,8 +5,8 @@ shard in memory: for each term its postings with their term-frequency parts, the
 block of documents.  Queries then stream through the shard, batch by batch.  Weights of query terms come from
 global statistics, so the scores of all shards compare, and the best k of a query are the best of the shards' best k.
 
-A query is pruned as block-max WAND does, in whole vectors.  The terms with the highest bound per posting give a
-first threshold: the k-th best exact score among the documents that they rank highest.  Postings are added up
+A query is pruned as block-max WAND does, in whole vectors.  Terms in very many documents are added first, for many
+queries in one product.  Of the others, those with the highest bound per posting give a first threshold: the k-th best exact score among the documents that they rank highest.  Postings are added up
 term by term in this order; a document is a candidate while its sum plus the block maxima of the terms left reaches
 the threshold, which rises with the sums.  Once the candidates are few, the postings left are skipped and only
 the candidates are scored in full, in double precision.  The bounds err on the high side, so
@@ -32,6 +32,8 @@ SHARD_POSTINGS = 3_000_000
 DENSE, MOST_DENSE = 8, 256
 #: Documents in a block of the index.
 BLOCK = 128
+#: Queries in one product, and shards that a task searches one after another: the later ones under the earlier's thresholds.
+QUERIES, SHARDS_A_TASK = 64, 4
 #: Added to bounds, as a part of them, for their single precision.
 SLACK = 1e-4
 
@@ -94,22 +96,13 @@ class Shard:
 
     def _sums(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """For every document the weighted sum over the postings of some terms."""
-        out = np.zeros(len(self.ids))
-        rows = self.dense_row[terms]
-        common = rows >= 0
-        if common.any():
-            part = np.empty(len(out), np.float32)
-            for r, w in zip(rows[common].tolist(), weights[common].tolist()):
-                np.multiply(self.dense[r], np.float32(w), out=part)
-                out += part
-            terms, weights = terms[~common], weights[~common]
         sizes = self.df[terms]
         total = int(sizes.sum())
         if not total:
-            return out
+            return np.zeros(len(self.ids))
         shift = np.repeat(self.start[terms] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
         at = shift + np.arange(total)
-        return out + np.bincount(self.post_doc[at], np.repeat(weights, sizes) * self.post_part[at], minlength=len(out))
+        return np.bincount(self.post_doc[at], np.repeat(weights, sizes) * self.post_part[at], minlength=len(self.ids))
 
     def _exact(self, docs: np.ndarray) -> np.ndarray:
         """Full scores of some documents under the weights set for the query."""
@@ -126,57 +119,63 @@ class Shard:
                 out[lo : lo + 4096][full] = np.add.reduceat(part, (ends - size)[full])
         return out
 
-    def search(self, words: list[bytes], weights: list[float], k: int) -> list[tuple]:
-        """The best k (doc id, score) with a score over 0; equal scores by the lesser id."""
+    def search(self, queries: list[tuple[list[bytes], np.ndarray, float]], k: int) -> list[list[tuple]]:
+        """For each query (words, weights, floor) the best k (doc id, score) with a score over 0 and not under the floor.
+
+        Equal scores rank by the lesser id.  Terms with a full row are added for all queries in one product.
+        """
+        if not self.ids or k < 1:
+            return [[] for _ in queries]
         get = self.vocabulary.get
-        found = [(t, w) for t, w in ((get(x), w) for x, w in zip(words, weights)) if t is not None and w > 0]
-        if not found or k < 1:
-            return []
-        terms = np.array([t for t, _ in found], np.int64)
-        weight = np.array([w for _, w in found])
-        bound = weight * self.top[terms] * (1 + SLACK)
-        order = np.argsort(-bound / self.df[terms], kind="stable")
-        terms, weight, bound = terms[order], weight[order], bound[order]
-        self.weight[terms] = weight
-        try:
-            return self._search(terms, weight, bound, k)
-        finally:
+        asked, full = [], np.zeros((len(queries), len(self.dense)), np.float32)
+        for i, (words, weights, _) in enumerate(queries):
+            terms = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+            known = (terms >= 0) & (weights > 0)
+            terms, weights = terms[known], weights[known]
+            rows = self.dense_row[terms]
+            full[i, rows[rows >= 0]] = weights[rows >= 0]
+            asked.append((terms, weights, rows < 0))
+        base = full @ self.dense
+        out = []
+        for i, (terms, weights, sparse) in enumerate(asked):
+            self.weight[terms] = weights
+            out.append(self._search(terms[sparse], weights[sparse], base[i].astype(np.float64), k, queries[i][2]) if len(terms) else [])
             self.weight[terms] = 0
+        return out
 
-    def _search(self, terms, weight, bound, k) -> list[tuple]:
+    def _search(self, terms, weight, sums, k, floor) -> list[tuple]:
         n = len(self.ids)
+        bound = weight * self.top[terms] * (1 + SLACK)
         df = self.df[terms]
-        taken = np.cumsum(df)
-        done = min(len(terms), int(np.searchsorted(taken, n // 4)) + 1)
-        sums = self._sums(terms[:done], weight[:done])
-        threshold = 0.0
+        order = np.argsort(-bound / df, kind="stable")
+        terms, weight, bound, df = terms[order], weight[order], bound[order], df[order]
+        taken = np.concatenate([[0], np.cumsum(df)])
+        done = min(len(terms), int(np.searchsorted(taken, n // 8)))
+        sums = sums + self._sums(terms[:done], weight[:done])
+        threshold = floor * (1 - SLACK)
         if np.count_nonzero(sums) >= k:
             best = np.argpartition(-sums, k - 1)[:k]
-            threshold = float(self._exact(best).min()) * (1 - SLACK)
+            threshold = max(threshold, float(self._exact(best).min()) * (1 - SLACK))
         rows = self.block_row[terms]
         while True:
             # What the terms not added yet can still give, by block of documents where their maxima are kept so.
-            left_rows, left_bound = rows[done:], bound[done:]
-            has = left_rows >= 0
-            rest = float(left_bound[~has].sum())
+            has = rows[done:] >= 0
+            rest = float(bound[done:][~has].sum())
+            reach = sums * (1 + SLACK) + rest
             if has.any():
-                by_block = (weight[done:][has] * (1 + SLACK)) @ self.block_top[left_rows[has]]
-                reach = sums * (1 + SLACK) + (rest + np.repeat(by_block, BLOCK)[:n])
-            else:
-                reach = sums * (1 + SLACK) + rest
+                reach += np.repeat((weight[done:][has] * (1 + SLACK)) @ self.block_top[rows[done:][has]], BLOCK)[:n]
             candidates = np.flatnonzero(reach >= threshold) if threshold > 0 else np.flatnonzero(reach > 0)
-            left = int(taken[-1] - taken[done - 1])
+            left = int(taken[-1] - taken[done])
             # Scoring the candidates now reads their terms; else about half of the postings left are added.
             if not left or 2 * int(self.doc_size[candidates].sum()) <= left:
                 break
-            more = min(len(terms), int(np.searchsorted(taken, taken[done - 1] + left // 2)) + 1)
-            more = max(more, done + 1)
+            more = max(done + 1, min(len(terms), int(np.searchsorted(taken, taken[done] + left // 2))))
             sums = sums + self._sums(terms[done:more], weight[done:more])
             done = more
             if np.count_nonzero(sums) >= k:
                 threshold = max(threshold, float(np.partition(sums, n - k)[n - k]) * (1 - SLACK))
         scores = self._exact(candidates)
-        good = scores > 0
+        good = (scores > 0) & (scores >= floor - 1e-5)
         candidates, scores = candidates[good], scores[good]
         if len(scores) > k:
             least = np.partition(scores, len(scores) - k)[len(scores) - k]
@@ -260,13 +259,13 @@ def top_k(
         .groupBy("q")
         .agg(F.sort_array(F.collect_list(F.struct("w", (F.col("c") * idf).alias("x")))).alias("m"))  # one text's words
         .select("q", F.col("m.w").alias("words"), F.col("m.x").alias("weights"))
+        .mapInArrow(_pack, "q long, words binary, weights binary")
     )
     everywhere = weighed.select(
         F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"),
         F.lit(1).alias("kind"),
         F.col("q").alias("id"),
-        F.lit(None).cast("binary").alias("t"),
-        "words",
+        F.col("words").alias("t"),
         "weights",
     )
     kind = docs.schema[id_col].dataType
@@ -277,8 +276,7 @@ def top_k(
         F.lit(0).alias("kind"),
         F.col(id_col).cast("long").alias("id"),
         text,
-        F.lit(None).cast("array<binary>").alias("words"),
-        F.lit(None).cast("array<double>").alias("weights"),
+        F.lit(None).cast("binary").alias("weights"),
     )
     ddl = "q long, doc_id long, score double"
     schema = arrow_schema(spark, ddl)
@@ -286,9 +284,21 @@ def top_k(
     def run(batches):
         shard = number = None
         sealed = False
+        floors: dict[int, float] = {}  # of each query, from the shards that this task searched before
+
+        def answers(queries):
+            given = [(t.split(b" "), np.frombuffer(w, np.float64), floors.get(i, 0.0)) for i, t, w in queries]
+            for (i, _, _), found in zip(queries, shard.search(given, k)):
+                if len(found) == k:
+                    floors[i] = max(floors.get(i, 0.0), found[-1][1])
+                yield from ((i, d, x) for d, x in found)
+
         for batch in batches:
-            out = []
-            for s, what, i, t, words, weights in zip(*[c.to_pylist() for c in batch.columns]):
+            out, queries = [], []
+            for s, what, i, t, weights in zip(*[c.to_pylist() for c in batch.columns]):
+                if queries and (s != number or len(queries) == QUERIES):
+                    out += answers(queries)
+                    queries = []
                 if s != number:
                     shard, number, sealed = Shard(mean), s, False
                 if what == 0:
@@ -297,13 +307,15 @@ def top_k(
                 if not sealed:
                     shard.seal()
                     sealed = True
-                out += [(i, d, x) for d, x in shard.search(words, weights, k)]
+                queries.append((i, t, weights))
+            if queries:
+                out += answers(queries)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), schema)], schema=schema)
 
     found = (
         indexed.union(everywhere)
-        .repartition(shards, "shard")
+        .repartition(-(-shards // SHARDS_A_TASK), "shard")
         .sortWithinPartitions("shard", "kind")
         .mapInArrow(run, ddl)
     )
@@ -325,5 +337,19 @@ def _query_words(batches):
         )
 
 
+def _pack(batches):
+    """Words, which hold no space, joined by spaces, and weights as bytes: a query crosses to each shard in little room."""
+    for batch in batches:
+        q, words, weights = (c.to_pylist() for c in batch.columns)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(q, pa.int64()),
+                pa.array([b" ".join(w) for w in words], pa.binary()),
+                pa.array([np.array(x, np.float64).tobytes() for x in weights], pa.binary()),
+            ],
+            names=["q", "words", "weights"],
+        )
+
+
 def op8_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "documents"), F.col("doc_id") % 50 == 0)

@@ -81,10 +81,10 @@ class Counter:
         memory = self.memory
         if len(memory) > MEMORY:
             memory.clear()
+        if not self.bytes_known:  # a run of unknown characters counts once, and it may cross any boundary
+            return self.word((" " + text).replace(" ", SPACE))
         lines = (" " + text).replace(SPACE, " ").split("\n")
-        if not self.bytes_known:  # an unknown run may cross a line end
-            lines = [(" " + text).replace(SPACE, " ")]
-        total = (len(lines) - 1) * self._end_of_line() if len(lines) > 1 else 0
+        total = len(lines) - 1  # the byte piece of each line end
         for line in lines:
             if "  " in line:
                 words = _spaced(line)
@@ -98,9 +98,6 @@ class Counter:
                 total += n
         return total
 
-    def _end_of_line(self) -> int:
-        return 1  # the byte piece
-
 
 def _spaced(line: str) -> list[str]:
     """The words of a line, each with all spaces before it; spaces at the end are a word."""
