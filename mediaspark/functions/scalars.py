@@ -120,10 +120,11 @@ def subsequence_match(query: str, text: Column) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
-    """A size in B, KB, MB, GB or TB with one decimal over bytes."""
-    out = F.concat(F.format_string("%.1f", n / F.lit(float(1024**4))), F.lit(" TB"))
+    """A size in B, KB, MB, GB or TB with one decimal over bytes, half to even."""
+    amount = lambda power: F.format_string("%.1f", F.bround(n / F.lit(float(1024**power)), 1))
+    out = F.concat(amount(4), F.lit(" TB"))
     for power, unit in ((3, "GB"), (2, "MB"), (1, "KB")):
-        part = F.concat(F.format_string("%.1f", n / F.lit(float(1024**power))), F.lit(f" {unit}"))
+        part = F.concat(amount(power), F.lit(f" {unit}"))
         out = F.when(n < 1024 ** (power + 1), part).otherwise(out)
     return F.when(n < 1024, F.concat(n.cast("long").cast("string"), F.lit(" B"))).otherwise(out)
 
@@ -131,7 +132,7 @@ def human_bytes(n: Column) -> Column:
 def human_duration(seconds: Column) -> Column:
     """1h 02m, 2m 03s or 4s."""
     s = seconds.cast("long")
-    hours = F.format_string("%dh %02dm", F.expr("0").cast("long") + F.floor(s / 3600), F.floor(s % 3600 / 60))
+    hours = F.format_string("%dh %02dm", F.floor(s / 3600), F.floor(s % 3600 / 60))
     minutes = F.format_string("%dm %02ds", F.floor(s / 60), s % 60)
     return F.when(s >= 3600, hours).when(s >= 60, minutes).otherwise(F.format_string("%ds", s))
 
