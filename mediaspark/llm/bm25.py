@@ -33,7 +33,7 @@ DENSE, MOST_DENSE = 8, 256
 #: Documents in a block of the index.
 BLOCK = 128
 #: Queries in one product, and shards that a task searches one after another: the later ones under the earlier's thresholds.
-QUERIES, SHARDS_A_TASK = 64, 4
+QUERIES, SHARDS_A_TASK = 64, 5
 #: Added to bounds, as a part of them, for their single precision.
 SLACK = 1e-4
 
@@ -153,7 +153,7 @@ class Shard:
         done = min(len(terms), int(np.searchsorted(taken, n // 8)))
         sums = sums + self._sums(terms[:done], weight[:done])
         threshold = floor * (1 - SLACK)
-        if np.count_nonzero(sums) >= k:
+        if not threshold and np.count_nonzero(sums) >= k:
             best = np.argpartition(-sums, k - 1)[:k]
             threshold = max(threshold, float(self._exact(best).min()) * (1 - SLACK))
         rows = self.block_row[terms]
@@ -166,10 +166,10 @@ class Shard:
                 reach += np.repeat((weight[done:][has] * (1 + SLACK)) @ self.block_top[rows[done:][has]], BLOCK)[:n]
             candidates = np.flatnonzero(reach >= threshold) if threshold > 0 else np.flatnonzero(reach > 0)
             left = int(taken[-1] - taken[done])
-            # Scoring the candidates now reads their terms; else about half of the postings left are added.
+            # Scoring the candidates now reads their terms; else most of the postings left are added.
             if not left or 2 * int(self.doc_size[candidates].sum()) <= left:
                 break
-            more = max(done + 1, min(len(terms), int(np.searchsorted(taken, taken[done] + left // 2))))
+            more = max(done + 1, min(len(terms), int(np.searchsorted(taken, taken[done] + max(3 * left // 4, 2 * n)))))
             sums = sums + self._sums(terms[done:more], weight[done:more])
             done = more
             if np.count_nonzero(sums) >= k:
@@ -284,14 +284,16 @@ def top_k(
     def run(batches):
         shard = number = None
         sealed = False
-        floors: dict[int, float] = {}  # of each query, from the shards that this task searched before
+        best: dict[int, list[float]] = {}  # the best k scores of each query in the shards that this task searched so far
 
         def answers(queries):
-            given = [(t.split(b" "), np.frombuffer(w, np.float64), floors.get(i, 0.0)) for i, t, w in queries]
+            floor = lambda i: best[i][-1] if len(best.get(i, ())) == k else 0.0
+            given = [(t.split(b" "), np.frombuffer(w, np.float64), floor(i)) for i, t, w in queries]
             for (i, _, _), found in zip(queries, shard.search(given, k)):
-                if len(found) == k:
-                    floors[i] = max(floors.get(i, 0.0), found[-1][1])
-                yield from ((i, d, x) for d, x in found)
+                if found:
+                    best[i] = sorted([*best.get(i, ()), *[x for _, x in found]], reverse=True)[:k]
+                    least = floor(i)
+                    yield from ((i, d, x) for d, x in found if x >= least)
 
         for batch in batches:
             out, queries = [], []
@@ -319,8 +321,8 @@ def top_k(
         .sortWithinPartitions("shard", "kind")
         .mapInArrow(run, ddl)
     )
-    best = Window.partitionBy("q").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last())
-    ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    order = Window.partitionBy("q").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last())
+    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.join(asked.select("q", "query_id"), "q").select("query_id", "rank", "doc_id", "score")
 
 
