@@ -315,9 +315,10 @@ def top_k(
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), schema)], schema=schema)
 
+    tasks = -(-shards // SHARDS_A_TASK)
     found = (
         indexed.union(everywhere)
-        .repartition(-(-shards // SHARDS_A_TASK), "shard")
+        .repartitionById(tasks, (F.col("shard") % tasks).cast("int"))  # the same number of shards for each task
         .sortWithinPartitions("shard", "kind")
         .mapInArrow(run, ddl)
     )
