@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, staged, table, utf8
+from .common import arrow_schema, discard, staged, table, utf8
 from .components import connected_components
 
 #: Prefixes that hold a rare token, at most; also the longest list that gives all pairs.
@@ -211,17 +211,21 @@ def jaccard_links(
     """
     if not 50 < percent <= 100:
         raise ValueError("percent must be over 50 and at most 100")
-    rows = staged(_sets(docs, id_col, text_col, width, percent, row_col), "sets")
-    filled = rows.filter("n > 0")
-    classes = filled.groupBy("k1", "k2").agg(
+    sets = staged(_sets(docs, id_col, text_col, width, percent, row_col), "sets")
+    classes = sets.filter("n > 0").groupBy("k1", "k2").agg(
         F.min(F.struct("row", "tk", "n", "prefix")).alias("x"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies")
     )
-    classes = staged(classes.select("x.row", "x.tk", "x.n", "x.prefix", "k1", "k2", "least_id", "copies"), "classes")
+    wide = staged(classes.select("x.row", "x.tk", "x.n", "x.prefix", "k1", "k2", "least_id", "copies"), "classes")
+    rows = staged(sets.select("row", "doc_id", "n", "k1", "k2"), "rows")
+    filled = rows.filter("n > 0")
+    discard(sets)
 
-    entries = classes.select("row", "n", F.explode("prefix").alias("token"))
+    entries = wide.select("row", "n", F.explode("prefix").alias("token"))
     df = entries.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     # Most tokens are in one prefix; the others are written once for both uses.
     shared = staged(entries.join(df, "token"), "shared")
+    classes = staged(wide.drop("prefix"), "classes")
+    discard(wide)
     # Rare lists have at most `rare` members.
     lists = shared.filter(F.col("df") <= rare).groupBy("token").agg(
         F.sort_array(F.collect_list(F.struct("n", "row"))).alias("m")
@@ -251,8 +255,9 @@ def jaccard_links(
     # The smallest partner of a set of n has ceil(percent * n / 100) tokens.
     partner = f"(({percent} * n + 99) div 100)"
     heavy = frequent.filter(F.expr(f"size(tokens) >= {_k(partner, percent)}"))
-    pairs, indexed, own = _heavy_pairs(docs, classes, heavy.select("row"), text_col, width, percent, rare)
+    pairs, indexed, own, spent = _heavy_pairs(docs, classes, heavy.select("row"), text_col, width, percent, rare)
     pairs = staged(rare_pairs.union(pairs).distinct(), "pairs")
+    discard(shared, *spent)
     links = _links(docs, classes, pairs, text_col, width, percent, "links")
 
     # What the first links leave apart: members of one list and of different components, that is each list's
@@ -294,8 +299,9 @@ def _may_link(common, total, percent: int):
     return (100 + percent) * common >= percent * total
 
 
-def _heavy_pairs(docs, classes, heavy, text_col, width, percent, rare) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Candidates among sets whose prefixes are mostly frequent tokens: (pairs, lists of combinations, each set's own).
+def _heavy_pairs(docs, classes, heavy, text_col, width, percent, rare) -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]]:
+    """Candidates among sets whose prefixes are mostly frequent tokens: (pairs, lists of combinations, each set's own),
+    and the tables to discard once the pairs are written.
 
     These few sets are taken whole, and their tokens are ordered anew by how many of these sets hold them, rarest
     first.  All shared rare tokens are indexed, so a pair's number of common rare tokens is exact and
@@ -307,6 +313,7 @@ def _heavy_pairs(docs, classes, heavy, text_col, width, percent, rare) -> tuple[
     tokens = sets.select("row", F.size("s").cast("long").alias("n"), F.explode("s").alias("token"))
     df = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     shared = staged(tokens.join(df, "token"), "heavy-shared")
+    discard(sets)
     # A set's own tokens bound this list.
     frequent = staged(
         shared.filter(F.col("df") > rare)
@@ -368,14 +375,16 @@ def _heavy_pairs(docs, classes, heavy, text_col, width, percent, rare) -> tuple[
         .agg(F.max_by("hub", F.struct("c", -F.col("hub"))).alias("hub"))
         .select(F.least("row", "hub").alias("a"), F.greatest("row", "hub").alias("b"))
     )
-    return singles.union(stars), indexed.drop("hub"), kept.select("row", "all")
+    return singles.union(stars), indexed.drop("hub"), kept.select("row", "all"), [shared]
 
 
 def _links(docs, classes, pairs, text_col, width, percent, name) -> DataFrame:
     ends = pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct()
     wanted = staged(classes.select("row", "tk", "k1", "k2").join(ends, "row", "left_semi"), "wanted")
     sets = staged(_whole_sets(docs, wanted, text_col, width), "whole")
-    return staged(_verified(pairs, sets, percent), name)
+    links = staged(_verified(pairs, sets, percent), name)
+    discard(sets, wanted)
+    return links
 
 
 def jaccard_components(
