@@ -7,7 +7,9 @@ resort is a uniform code over the bytes seen nowhere.  Escapes are estimated as
 occurrences of d distinct bytes, a byte seen c times has c / (t + d) and the escape d / (t + d).
 
 In a pretrained trie the set excluded in a shorter context depends on the longer context alone, so the
-chain of escapes is folded into one table: a row for each kept context, a column for each byte.
+chain of escapes is folded into one table: a row for each kept context, a column for each byte.  All contexts of
+up to two bytes are kept there, and the common ones of three; bytes after any other context of three take
+their probabilities from the counts of all training texts in a join.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from .common import arrow_schema, remainder, staged, table, utf8
 ORDER = 3
 #: Stands before a text's first byte and, as a symbol, for its end; no UTF-8 text holds it.
 EDGE = 255
-#: Contexts of two and of three bytes that the trie keeps, at most, each: those with at least 1 / MAX_CONTEXTS of all occurrences.
+#: Contexts of three bytes in the table that is broadcast, at most: those with at least 1 / MAX_CONTEXTS of all occurrences.
 MAX_CONTEXTS = 16_384
 #: Words whose counts are broadcast, at most: those with at least 1 / MAX_COMMON of all training tokens.
 MAX_COMMON = 200_000
@@ -58,6 +60,7 @@ class Trie:
     logp: np.ndarray  # rows x columns, float32
     rows: np.ndarray  # (a * k + b) * k + c -> row of the longest kept ending of the context abc
     size: int  # k, the number of columns
+    whole: int  # the first row of a context of three bytes
 
     @classmethod
     def build(cls, codes: np.ndarray, counts: np.ndarray, pairs: tuple, single: tuple) -> Trie:
@@ -111,12 +114,13 @@ class Trie:
         rows[:, k - 1, :] = rows[k - 1, k - 1, :]
         with np.errstate(divide="ignore"):
             logp = np.log10(p)
-        return cls(columns, np.maximum(logp, -99).astype(np.float32), rows.reshape(-1), k)
+        return cls(columns, np.maximum(logp, -99).astype(np.float32), rows.reshape(-1), k, 1 + len(c1) + len(c2))
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each text, its end included."""
+    def score(self, texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """log10 probability of each text, its end included, but for the bytes after contexts that may have been
+        counted and aren't kept: their distinct codes, as those of grams(), and how often each stands in the text."""
         if not texts:
-            return np.zeros(0)
+            return np.zeros(0), [], []
         edge = b"\xff"
         flat = np.frombuffer(b"".join([edge * 3 + t.lower() for t in texts]) + edge * 3, np.uint8)
         c = self.columns[flat]
@@ -125,8 +129,24 @@ class Trie:
         p = self.logp.reshape(-1)[row.astype(np.int64) * k + c[3:]].astype(np.float64)
         lengths = np.fromiter((len(t) for t in texts), np.int64, len(texts))
         start = np.concatenate([[0], np.cumsum(lengths + 3)[:-1]])
+        # A context with a byte seen nowhere was never counted.
+        at = np.flatnonzero((row < self.whole) & (c[:-3] < k - 1) & (c[1:-2] < k - 1) & (c[2:-1] < k - 1))
+        text = np.searchsorted(start, at, "right") - 1
+        inside = at - start[text] <= lengths[text]
+        at, text = at[inside], text[inside]
+        p[at] = 0
         total = np.concatenate([[0.0], np.cumsum(p)])
-        return total[start + lengths + 1] - total[start]
+        code = text << 32
+        for i in range(4):
+            code |= flat[at + i].astype(np.int64) << (24 - 8 * i)
+        code, times = np.unique(code, return_counts=True)
+        ends = np.searchsorted(code >> 32, np.arange(1, len(texts)))
+        return total[start + lengths + 1] - total[start], np.split(code & 0xFFFFFFFF, ends), np.split(times, ends)
+
+    def logs(self, codes: np.ndarray) -> np.ndarray:
+        """log10 probability of codes as those of grams(), each by the longest kept ending of its context."""
+        c = [self.columns[codes >> shift & 0xFF] for shift in (24, 16, 8, 0)]
+        return self.logp[self.rows[(c[0] * self.size + c[1]) * self.size + c[2]], c[3]].astype(np.float64)
 
 
 def _emit(schema: pa.Schema, *cols) -> pa.RecordBatch:
@@ -201,26 +221,19 @@ def _chunks(texts: list[bytes]):
         yield part
 
 
-def train(texts: DataFrame, max_contexts: int = MAX_CONTEXTS) -> Trie:
-    """The trie of all texts of column t (lower-cased here; binary).
+def train(full: DataFrame, max_contexts: int = MAX_CONTEXTS) -> Trie:
+    """The trie of all texts whose gram_counts() are `full`.
 
-    All occurrences are counted.  What the driver gathers is bounded: at most `max_contexts` contexts of three bytes
-    and as many of two, which are those with at least 1 / max_contexts of all occurrences, and 256 of one,
-    each with 256 bytes at most.  A context not kept is coded by its longest kept ending.
+    What the driver gathers is bounded: at most `max_contexts` contexts of three bytes, which are those with at
+    least 1 / max_contexts of all occurrences, and all of two (65,536) and one (256), with 256 bytes at most each.
+    code_logs() has the bytes after all other contexts.
     """
-    full = staged(gram_counts(texts), "grams")
 
     def level(width: int) -> tuple[np.ndarray, np.ndarray]:
-        mask = (1 << (8 * (width + 1))) - 1
-        by = full.groupBy(F.col("g").bitwiseAND(F.lit(mask)).alias("g")).agg(F.sum("c").alias("c"))
-        if width > 1:
+        by = _shorter(full, width)
+        if width > 2:
             total = full.agg(F.sum("c").alias("n"))
-            kept = (
-                by.groupBy(F.shiftright("g", 8).alias("x"))
-                .agg(F.sum("c").alias("t"))
-                .join(F.broadcast(total), F.col("t") * max_contexts >= F.col("n"))
-                .select("x")
-            )
+            kept = _contexts(by).join(F.broadcast(total), F.col("t") * max_contexts >= F.col("n")).select("x")
             by = by.join(F.broadcast(kept), F.shiftright("g", 8) == F.col("x"), "left_semi")  # at most max_contexts rows
         t = by.select("g", "c").toArrow()
         g, c = t.column("g").to_numpy().astype(np.int64), t.column("c").to_numpy().astype(np.float64)
@@ -230,6 +243,68 @@ def train(texts: DataFrame, max_contexts: int = MAX_CONTEXTS) -> Trie:
     return Trie.build(*level(3), level(2), level(1))
 
 
+def _shorter(full: DataFrame, width: int) -> DataFrame:
+    """g, c: the counts of gram_counts() by contexts of `width` bytes."""
+    mask = (1 << (8 * (width + 1))) - 1
+    return full.groupBy(F.col("g").bitwiseAND(F.lit(mask)).alias("g")).agg(F.sum("c").alias("c"))
+
+
+def _contexts(by: DataFrame) -> DataFrame:
+    """x, t, d: occurrences and distinct bytes after each context of (g, c)."""
+    return by.groupBy(F.shiftright("g", 8).alias("x")).agg(F.sum("c").alias("t"), F.count(F.lit(1)).alias("d"))
+
+
+def _fixed(log: Column) -> Column:
+    return F.round(log * FIXED).cast("long")
+
+
+def code_logs(full: DataFrame, asked: DataFrame, trie) -> DataFrame:
+    """g, log: log10 probability times FIXED of every code of `full`, and of those of `asked` (g, distinct) that it lacks.
+
+    `trie` is a broadcast of train(full).  A code seen has its share of its context.  Any other is escaped from
+    its context of three bytes, if that was seen, to the one of two, without the bytes seen after the former; what
+    comes after another escape depends on the context of two alone, so it stands in the trie, beside that escape.
+    """
+    contexts = _contexts(full)
+    seen = full.join(contexts, F.shiftright("g", 8) == F.col("x")).select(
+        "g", _fixed(F.log10(F.col("c") / (F.col("t") + F.col("d")))).alias("log")
+    )
+    by = _shorter(full, 2)
+    pair = by.select(F.col("g").alias("g2"), F.col("c").alias("c2"))
+    pairs = _contexts(by).toDF("x2", "t2", "d2")
+    new = asked.join(full, "g", "left_anti").withColumn("x", F.shiftright("g", 8))
+    # Of a context: t occurrences of d bytes, and how often those d follow its last two bytes.
+    left = (
+        full.withColumn("x", F.shiftright("g", 8))
+        .join(new.select("x").distinct(), "x", "left_semi")
+        .join(pair, F.col("g").bitwiseAND(F.lit(0xFFFFFF)) == F.col("g2"))
+        .groupBy("x")
+        .agg(F.sum("c").alias("t"), F.count(F.lit(1)).alias("d"), F.sum("c2").alias("s"))
+    )
+    new = (
+        new.join(left, "x", "left")
+        .join(pair, F.col("g").bitwiseAND(F.lit(0xFFFFFF)) == F.col("g2"), "left")
+        .join(pairs, F.col("x").bitwiseAND(F.lit(0xFFFF)) == F.col("x2"), "left")
+    )
+    ddl = "g long, t long, d long, s long, c2 long, t2 long, d2 long, p double"
+    schema = arrow_schema(full.sparkSession, ddl)
+
+    def run(batches):
+        for batch in batches:
+            p = trie.value.logs(batch.column(0).to_numpy())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], schema=schema)
+
+    new = new.select("g", "t", "d", "s", "c2", "t2", "d2").mapInArrow(run, ddl)
+    t2, d2 = F.col("t2") - F.col("s"), F.col("d2") - F.col("d")
+    further = F.when(
+        F.col("c2").isNull(),
+        # The trie's escape from two bytes gives way to the one without the bytes excluded; with none left it is certain.
+        F.col("p") + F.log10((F.col("t2") + F.col("d2")) / F.col("d2")) + F.when(d2 > 0, F.log10(d2 / (t2 + d2))).otherwise(0.0),
+    ).otherwise(F.log10(F.col("c2") / (t2 + d2)))
+    log = F.when(F.col("t").isNull(), F.col("p")).otherwise(F.log10(F.col("d") / (F.col("t") + F.col("d"))) + further)
+    return seen.union(new.select("g", _fixed(log).alias("log")))
+
+
 def score(
     docs: DataFrame,
     train_on: Column,
@@ -245,7 +320,8 @@ def score(
     are scored each and count each.  Without training rows every token is unknown and both models are uniform.
 
     The counts of words that make up at least 1 / max_common of the tokens are broadcast; all other words of a
-    text go to their counts in a join, once a text.
+    text go to their counts in a join, once a text.  So do bytes after contexts that train() doesn't keep; neither
+    limit changes a result.
     """
     spark = docs.sparkSession
     train_texts = docs.filter(train_on).select(utf8(text_col).alias("t"))
@@ -256,16 +332,23 @@ def score(
     common = counts.filter((F.col("c") * max_common >= n) | (F.length("w") == 0)).toArrow()
     table_ = dict(zip(common.column("w").to_pylist(), common.column("c").to_pylist()))
     sent_common = spark.sparkContext.broadcast(table_)
-    sent_trie = spark.sparkContext.broadcast(train(train_texts, max_contexts))
+    full = staged(gram_counts(train_texts), "grams")
+    sent_trie = spark.sparkContext.broadcast(train(full, max_contexts))
 
     source = docs.select(
         F.monotonically_increasing_id().alias("row"),
         *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)],
+        F.coalesce(train_on, F.lit(False)).alias("trained"),
         utf8(text_col).alias("t"),
     )
     kinds = [f"k{i} {source.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep))]
     ddl = ", ".join(
-        ["row long", *kinds, "n_tokens long, known long, part long, score double, w array<binary>, m array<int>"]
+        [
+            "row long",
+            *kinds,
+            "trained boolean, n_tokens long, known long, part long, score double, w array<binary>, m array<int>",
+            "codes array<long>, times array<int>",
+        ]
     )
     schema = arrow_schema(spark, ddl)
 
@@ -277,7 +360,7 @@ def score(
             cols = [c.to_pylist() for c in batch.columns]
             for lo, hi in _spans([len(t) for t in cols[-1]]):
                 texts = cols[-1][lo:hi]
-                scores = trie.score(texts)
+                scores, codes, code_times = trie.score(texts)
                 out = []
                 for text in texts:
                     words = text.lower().split()
@@ -292,25 +375,36 @@ def score(
                             part += k * log
                     out.append((len(words) + 1, known, part, rare, times))
                 a = list(zip(*out))
-                yield _emit(schema, *[c[lo:hi] for c in cols[:-1]], a[0], a[1], a[2], scores, a[3], a[4])
+                yield _emit(schema, *[c[lo:hi] for c in cols[:-1]], a[0], a[1], a[2], scores, a[3], a[4], codes, code_times)
 
     scored = staged(source.mapInArrow(run, ddl), "scored")
     rare = scored.select("row", F.explode(F.arrays_zip("w", "m")).alias("x")).select("row", "x.w", "x.m")
-    log = F.round(F.log10(F.col("c") + 1) * FIXED).cast("long")
+    log = _fixed(F.log10(F.col("c") + 1))
     found = (
         rare.join(counts, "w")
         .groupBy("row")
         .agg(F.sum("m").alias("more_known"), F.sum(F.col("m") * log).alias("more"))
     )
+    # Training texts hold no code that wasn't counted.
+    asked = scored.filter(~F.col("trained")).select(F.explode("codes").alias("g")).distinct()
+    by_code = staged(code_logs(full, asked, sent_trie), "codes")
+    coded = (
+        scored.select("row", F.explode(F.arrays_zip("codes", "times")).alias("x"))
+        .select("row", F.col("x.codes").alias("g"), "x.times")
+        .join(by_code, "g")
+        .groupBy("row")
+        .agg(F.sum(F.col("times") * F.col("log")).alias("coded"))
+    )
     known = F.col("known") + F.coalesce("more_known", F.lit(0))
     logs = (F.col("part") + F.coalesce("more", F.lit(0))) / F.lit(float(FIXED))
-    return scored.drop("w", "m").join(found, "row", "left").select(
+    scored = scored.drop("trained", "w", "m", "codes", "times")
+    return scored.join(found, "row", "left").join(coded, "row", "left").select(
         *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)],
         "n_tokens",
         known.alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (logs - F.col("n_tokens") * float(np.log10(n + v + 1))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("coded", F.lit(0)) / F.lit(float(FIXED))).alias("score"),
     )
 
 

@@ -54,6 +54,18 @@ def test_ppm_and_base_equal_brute_force(spark, prose):
         assert rows[i].score == pytest.approx(want[i], rel=1e-5, abs=1e-4)
 
 
+@pytest.mark.parametrize("max_contexts", [ppm.MAX_CONTEXTS, 20, 1])
+def test_ppm_codes_all_contexts(spark, prose, max_contexts):
+    """Also after contexts too rare to be kept."""
+    rare = [f"x{chr(0xE0 + i % 30)}q{chr(97 + i % 7)}{i}" for i in range(90)] + ["漢字 🙂 漢字", ""]
+    texts = [*prose(150, 4, 50, 200), *rare, "hot " * 8000]
+    docs = documents(spark, [(i, t, "a") for i, t in enumerate(texts)]).repartition(3)
+    rows = {r.doc_id: r.score for r in ppm.score(docs, F.col("doc_id") % 3 != 0, max_contexts=max_contexts).collect()}
+    want = brute_ppm([t.encode() for i, t in enumerate(texts) if i % 3], [t.encode() for t in texts])
+    for i in range(len(texts)):
+        assert rows[i] == pytest.approx(want[i], rel=1e-5, abs=1e-4)
+
+
 def test_ppm_pruned_is_a_distribution():
     codes, counts = ppm.grams([b"abracadabra", b"banana bandana", b"", b"cabbage"])
 
