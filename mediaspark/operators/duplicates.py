@@ -47,8 +47,10 @@ def photo_groups(photos: DataFrame, max_distance: int = 5) -> DataFrame:
     return labelled.join(groups, "g").select("group_id", "id", "n")
 
 
-def duplicate_groups(lib: Library, max_distance: int = 5, limit: int = 50) -> DataFrame:
-    """Groups to review: group_id, group_key, size and ids, largest first; dismissed sets are left out.
+def duplicate_groups(lib: Library, max_distance: int = 5, limit: int | None = 50) -> DataFrame:
+    """Groups to review: group_id, group_key, size and ids; dismissed sets are left out.
+
+    The `limit` largest come, largest first; None gives all, in no order.
 
     A dismissed set comes back if its members change, since the key is the whole set.
     """
@@ -56,11 +58,8 @@ def duplicate_groups(lib: Library, max_distance: int = 5, limit: int = 50) -> Da
     groups = members.groupBy("group_id").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(
         "group_id", group_key(F.col("ids")).alias("group_key"), F.size("ids").alias("size"), "ids"
     )
-    return (
-        groups.join(lib.duplicate_dismissals.select("group_key"), "group_key", "left_anti")
-        .orderBy(F.desc("size"), "group_id")
-        .limit(limit)
-    )
+    groups = groups.join(lib.duplicate_dismissals.select("group_key"), "group_key", "left_anti")
+    return groups if limit is None else groups.orderBy(F.desc("size"), "group_id").limit(limit)
 
 
 def group_members(lib: Library, groups: DataFrame) -> DataFrame:

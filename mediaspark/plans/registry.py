@@ -226,7 +226,7 @@ query("c11_photo_groups", lambda lib: duplicates.photo_groups(browse.hashed_phot
 query("c12_duplicate_groups", lambda lib: duplicates.duplicate_groups(lib).select("group_id", "group_key", "size"), _GROUPS + """
     SELECT group_id, string_agg(id::VARCHAR, '-' ORDER BY id) AS group_key, count(*)::INT AS size FROM m JOIN z USING (g)
     GROUP BY group_id ORDER BY size DESC, group_id LIMIT 50""")
-query("c12_group_members", lambda lib: duplicates.group_members(lib, duplicates.duplicate_groups(lib, limit=10_000)), _GROUPS + """
+query("c12_group_members", lambda lib: duplicates.group_members(lib, duplicates.duplicate_groups(lib, limit=None)), _GROUPS + """
     SELECT z.group_id, (row_number() OVER (PARTITION BY z.group_id ORDER BY p.file_size DESC, p.id))::INT AS position, p.id, p.file_path, p.file_size
     FROM m JOIN z USING (g) JOIN photos p ON p.id = m.id""")
 query("s6_exact_duplicates", lambda lib: duplicates.exact_duplicates(lib), """

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from mediaspark.config import EngineConfig
 from mediaspark.operators import browse, clustering, duplicates, knowledge, merging, mutations, recognition, search, stats
 from mediaspark.operators.graph import components
+from mediaspark.plans import registry
 from mediaspark.plans.library import load
 from mediaspark.plans.pipeline import ImportRun, default_steps
 from mediaspark.schemas import SCHEMAS, Library
@@ -167,6 +168,17 @@ def test_duplicates(spark, lib):
         duplicates.hamming_pairs(photos, 8)
 
 
+def test_members_of_all_groups(spark, monkeypatch):
+    n = 10_050  # pairs of equal fingerprints
+    photos = spark.range(2 * n).select(
+        *[(F.col("id") if f.name == "id" else F.xxhash64(F.expr("id div 2")) if f.name == "phash" else F.lit(None)).cast(f.dataType).alias(f.name)
+          for f in SCHEMAS["photos"].fields]
+    )
+    monkeypatch.setattr(registry, "load", lambda spark, sf_dir: Library.empty(spark).with_tables(photos=photos))
+    members = registry.QUERIES["c12_group_members"](spark, "")
+    assert members.count() == 2 * n
+
+
 def test_bands_equal_brute_force(spark):
     rng = np.random.default_rng(2)
     base = rng.integers(-(2**63), 2**63 - 1, 30)
