@@ -7,13 +7,16 @@ Labelled negatives are never trained on.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, remainder, staged, table, utf8
+from .common import arrow_schema, map_rows, remainder, staged, table, utf8
 
 _MARKS = b"#*$%&<>!@^~|="
 _PUNCT = np.zeros(256, bool)
@@ -90,35 +93,69 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+#: How often training on a sample is set right by the risk and gradient of all unlabelled texts.
+PASSES = 4
+
+
+def risk_sums(u: np.ndarray, w: np.ndarray, b: float) -> np.ndarray:
+    """Sums over rows: 1, the loss of calling it positive, and that loss's gradient for w and b."""
+    s = 1 / (1 + np.exp(-(u @ w + b)))
+    # d/dz of log(1 + e^z) is s
+    return np.concatenate([[len(u), -np.log(1 - np.minimum(s, 1 - 1e-12)).sum()], s @ u, [s.sum()]])
+
+
 def train_nnpu(
-    positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 800, decay: float = 1e-3, rate: float = 0.05
+    positive: np.ndarray,
+    unlabelled: np.ndarray,
+    prior: float,
+    rounds: int = 800,
+    decay: float = 1e-3,
+    rate: float = 0.05,
+    moments: tuple[np.ndarray, np.ndarray] | None = None,
+    whole: Callable[..., np.ndarray] | None = None,
 ) -> QualityModel:
     """Minimise the non-negative PU risk of a linear model under the logistic loss, by full gradient steps.
 
     While the estimated negative risk is below 0 the step goes up its gradient instead, as the
     non-negative estimator asks.
+
+    Where `unlabelled` is a sample, give `moments`, the mean and deviation of all unlabelled rows, and
+    `whole`: (mean, scale, w, b) -> risk_sums() over all.  Training then starts anew PASSES times, each time with the
+    sample's risk and gradient shifted to those of all rows at the weights found last, so only the curvature
+    between one pass and the next stems from the sample.
     """
     if not len(unlabelled) or not len(positive):
         width = max(positive.shape[1] if positive.ndim == 2 else N_FEATURES, 1)
         return QualityModel(np.zeros(width), np.ones(width), np.zeros(width), float(np.log(prior / (1 - prior))), prior)
-    mean, scale = unlabelled.mean(0), np.maximum(unlabelled.std(0), 0.02)
+    mean, deviation = moments or (unlabelled.mean(0), unlabelled.std(0))
+    scale = np.maximum(deviation, 0.02)
     p = np.clip((positive - mean) / scale, -6, 6)
     u = np.clip((unlabelled - mean) / scale, -6, 6)
-    w, b = np.zeros(p.shape[1]), 0.0
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    for t in range(1, rounds + 1):
-        sp, su = 1 / (1 + np.exp(-(p @ w + b))), 1 / (1 + np.exp(-(u @ w + b)))
-        # d/dz of log(1 + e^-z) is s - 1, of log(1 + e^z) is s
-        negative = -np.log(1 - np.minimum(su, 1 - 1e-12)).mean() + prior * np.log(1 - np.minimum(sp, 1 - 1e-12)).mean()
-        dp, du = sp - 1, su
-        g_pos = prior * np.append(dp @ p, dp.sum()) / len(p)
-        g_neg = np.append(du @ u, du.sum()) / len(u) - prior * np.append(sp @ p, sp.sum()) / len(p)
-        g = g_pos + g_neg if negative >= 0 else -g_neg
-        g[:-1] += decay * w
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w, b = w - step[:-1], b - step[-1]
-    return QualityModel(mean, scale, w, float(b), prior)
+
+    def descend(anchor: np.ndarray, shift: np.ndarray) -> np.ndarray:
+        at = np.zeros(len(anchor))
+        m, v = np.zeros(len(at)), np.zeros(len(at))
+        for t in range(1, rounds + 1):
+            sp = 1 / (1 + np.exp(-(p @ at[:-1] + at[-1])))
+            sums = risk_sums(u, at[:-1], at[-1])[1:] / len(u) + shift
+            loss, g_u = sums[0] + shift[1:] @ (at - anchor), sums[1:]
+            # d/dz of log(1 + e^-z) is s - 1
+            dp = sp - 1
+            negative = loss + prior * np.log(1 - np.minimum(sp, 1 - 1e-12)).mean()
+            g_pos = prior * np.append(dp @ p, dp.sum()) / len(p)
+            g_neg = g_u - prior * np.append(sp @ p, sp.sum()) / len(p)
+            g = g_pos + g_neg if negative >= 0 else -g_neg
+            g[:-1] += decay * at[:-1]
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            at = at - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        return at
+
+    at = np.zeros(p.shape[1] + 1)
+    at = descend(at, np.zeros(len(at) + 1))
+    for _ in range(PASSES if whole else 0):
+        sums = whole(mean, scale, at[:-1], at[-1])
+        at = descend(at, sums[1:] / sums[0] - risk_sums(u, at[:-1], at[-1])[1:] / len(u))
+    return QualityModel(mean, scale, at[:-1], float(at[-1]), prior)
 
 
 def estimate_prior(labels: DataFrame, label_col: str = "quality") -> float:
@@ -129,6 +166,24 @@ def estimate_prior(labels: DataFrame, label_col: str = "quality") -> float:
     return float(np.clip(((row["p"] or 0) + 1) / (row["n"] + 2), 0.05, 0.97))
 
 
+def _sums(measured: DataFrame, f: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """Sum over all rows (x) of what f gives for a block of them; a task hands one row to the driver."""
+    ddl = "s array<double>"
+    schema = arrow_schema(measured.sparkSession, ddl)
+
+    def run(batches):
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                part = f(batch.column(0).flatten().to_numpy().reshape(batch.num_rows, N_FEATURES))
+                total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total], schema.field(0).type)], schema=schema)
+
+    rows = measured.select("x").mapInArrow(run, ddl).collect()
+    return np.array([math.fsum(c) for c in zip(*[r["s"] for r in rows])])
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
@@ -140,9 +195,10 @@ def fit(
 ) -> QualityModel:
     """Learn from the positive rows of `labels` (give training rows only) and from texts without regard to labels.
 
-    At most `max_positive` labelled and `max_unlabelled` other documents, those least by a hash of the id, are
-    measured; their measurements, of fixed width, are all that reaches the driver.  Null labels are left out,
-    null texts are empty, repeated ids count as often as they stand.
+    All documents are measured, and all enter the means, the scales and the unlabelled risk, as sums.  The driver
+    steps on at most `max_positive` labelled and `max_unlabelled` other ones, those least by a hash of the id, and
+    sets the latter right by the sums over all.  Null labels are left out, null texts are empty, repeated ids count
+    as often as they stand.
     """
     good = (
         labels.filter(F.col(label_col) == 1)
@@ -160,17 +216,30 @@ def fit(
         .agg(F.max("p").alias("p"), F.min("p").alias("u"), F.count(F.lit(1)).alias("n"))
     )
     texts = docs.select(F.col(id_col).alias("_id"), utf8(text_col).alias("_t"))
-    # max_positive + max_unlabelled ids at most are broadcast.
-    sample = texts.join(F.broadcast(chosen), texts["_id"].eqNullSafe(chosen["_id"])).select("p", "u", "_t")
+    kind = texts.schema["_id"].dataType.simpleString()
 
     def make():
-        return lambda row: (row[0], row[1], features(row[2]))
+        return lambda row: (row[0], features(row[1]))
 
-    rows = staged(map_rows(sample, make, "p int, u int, x array<double>"), "quality").collect()
+    measured = staged(map_rows(texts, make, f"_id {kind}, x array<double>"), "quality")
+    # max_positive + max_unlabelled ids at most are broadcast.
+    sample = measured.join(F.broadcast(chosen), measured["_id"].eqNullSafe(chosen["_id"])).select("p", "u", "x")
+    rows = sample.collect()
     x = np.array([r["x"] for r in rows], dtype=float).reshape(len(rows), N_FEATURES)
     p = np.array([r["p"] == 1 for r in rows], dtype=bool)
     u = np.array([r["u"] == 0 for r in rows], dtype=bool)
-    return train_nnpu(x[p], x[u], estimate_prior(labels, label_col))
+    prior = estimate_prior(labels, label_col)
+    if not u.any():
+        return train_nnpu(x[p], x[u], prior)
+
+    sums = _sums(measured, lambda x: np.concatenate([[len(x)], x.sum(0)]))
+    mean = sums[1:] / sums[0]
+    deviation = np.sqrt(_sums(measured, lambda x: ((x - mean) ** 2).sum(0)) / sums[0])
+
+    def whole(mean, scale, w, b):
+        return _sums(measured, lambda x: risk_sums(np.clip((x - mean) / scale, -6, 6), w, b))
+
+    return train_nnpu(x[p], x[u], prior, moments=(mean, deviation), whole=whole)
 
 
 def score(

@@ -178,3 +178,31 @@ def test_nnpu_learns_without_negatives():
     make = lambda n, mean: rng.normal(mean, 1.0, (n, 3))
     m = pu_quality.train_nnpu(make(500, 1.5), np.concatenate([make(1400, 1.5), make(600, -1.5)]), 0.7)
     assert (m.score(make(500, 1.5)) > 0.5).mean() > 0.95 and (m.score(make(500, -1.5)) < 0.5).mean() > 0.95
+
+
+def test_nnpu_takes_its_statistics_from_all_documents(spark, prose):
+    """A kind of junk that no sampled document shows is learnt from."""
+    texts = prose(400, 5, 40, 120)
+    junk = ["#$% " * 40] * 20
+    docs = documents(spark, [(i, t, "a") for i, t in enumerate(texts + junk)]).repartition(3)
+    labels = spark.createDataFrame([(i, 1) for i in range(100)], "doc_id long, quality int")
+    sampled = {r.doc_id for r in docs.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(30).collect()}
+    docs = docs.filter(~F.col("doc_id").isin([i for i in sampled if i >= len(texts)])).cache()
+    m = pu_quality.fit(docs, labels, max_unlabelled=30 - sum(i >= len(texts) for i in sampled))
+    x = np.array([pu_quality.features(r.text.encode()) for r in docs.collect()])
+    assert np.allclose(m.mean, x.mean(0)) and np.allclose(m.scale, np.maximum(x.std(0), 0.02))
+    good, bad = m.score(np.array(pu_quality.features(texts[0].encode()))), m.score(np.array(pu_quality.features(junk[0].encode())))
+    assert bad < good
+
+
+def test_nnpu_of_a_sample_comes_to_that_of_all():
+    rng = np.random.default_rng(2)
+    positive = rng.normal(1.0, 1.0, (500, 3))
+    rows = np.concatenate([rng.normal(1.0, 1.0, (14_000, 3)), rng.normal(-1.0, 1.0, (6_000, 3))])
+    some = rows[rng.permutation(len(rows))[:600]]
+    want = pu_quality.train_nnpu(positive, rows, 0.7)
+    whole = lambda mean, scale, w, b: pu_quality.risk_sums(np.clip((rows - mean) / scale, -6, 6), w, b)
+    got = pu_quality.train_nnpu(positive, some, 0.7, moments=(rows.mean(0), rows.std(0)), whole=whole)
+    alone = pu_quality.train_nnpu(positive, some, 0.7)
+    off = np.abs(got.score(rows) - want.score(rows)).mean()
+    assert off < 0.005 and off < np.abs(alone.score(rows) - want.score(rows)).mean() / 3
