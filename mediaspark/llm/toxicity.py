@@ -32,6 +32,9 @@ VOTERS = 16
 _EDGE = b".,;:!?\"'()[]{}<>*#$%&|-_=+~`/\\"
 _SHOUT = re.compile(rb"!!")
 _MASKED = re.compile(rb"[A-Za-z][*#$@%]{2,}[A-Za-z]")
+_MARKS = re.compile(r"[\W_]+")
+#: Characters of a word beyond which it is split at its marks.
+LONG = 40
 #: Word beginnings of these lengths, in characters, are features beside whole words.
 PREFIXES = (4, 5, 6)
 #: Words that a Python worker remembers.
@@ -39,11 +42,13 @@ MEMORY = 400_000
 
 
 def features_of(word: bytes) -> list[str]:
-    """The features of a lower-cased word: itself without marks at its edges, and its beginnings."""
+    """The features of a lower-cased word: itself without marks at its edges, and its beginnings.
+
+    A word of more than LONG characters is taken as the parts between its marks.
+    """
     w = word.strip(_EDGE).decode("utf-8", "replace")
-    if not w or len(w) > 40:
-        return []
-    return ["w" + w, *["p" + w[:n] for n in PREFIXES if len(w) > n]]
+    parts = _MARKS.split(w) if len(w) > LONG else [w]
+    return [f for w in parts if w for f in ("w" + w, *["p" + w[:n] for n in PREFIXES if len(w) > n])]
 
 
 def _found(text: bytes, memory: dict, index: dict[str, int]) -> set[int]:

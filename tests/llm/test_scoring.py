@@ -140,6 +140,14 @@ def test_toxicity_held_out(spark):
     assert sum(r.toxic for r in good) / len(good) > 0.95
 
 
+def test_toxic_words_in_long_tokens_are_found():
+    votes = toxicity.Votes(["wmarker"])
+    glued = b"https://example.org/some-quite-long-path/of-an-IDIOT.and_a-stupid/marker?x=1"
+    assert len(glued.split()[0]) > toxicity.LONG and votes.bits(glued) == votes.bits(b"idiot stupid marker") != 0
+    plain = "的" * 50
+    assert toxicity.features_of(f"{plain}。marker".encode())[-1] == "pmarke" and "w" + plain in toxicity.features_of(plain.encode())
+
+
 def test_label_model_finds_accuracies():
     rng = np.random.default_rng(0)
     y = rng.random(20_000) < 0.2
