@@ -343,21 +343,21 @@ def _heavy_pairs(docs, classes, heavy, text_col, width, percent, rare) -> tuple[
     # All that a pair without a common rare token shares is frequent; a set with too few frequent tokens has no such partner.
     least = f"(({percent} * n + 99) div 100)"
     able = frequent.filter(F.expr(f"f >= {least}"))
-    combos = able.select(
-        "row",
-        "n",
-        "f",
-        F.explode(F.expr("transform(slice(tokens, 1, size(tokens) - 1), (t, i) -> xxhash64(t, tokens[i + 1]))")).alias("combo"),
-    )
-    counts = combos.groupBy("combo").agg(F.count(F.lit(1)).alias("df"))
     # A similar pair has `least` tokens in common, and of the gaps between them it breaks one with each token that only
-    # one of them holds; the rest are common combinations.  So all but that number, less one, are indexed, rarest first.
-    common = f"greatest(1, {least} - 1 - {100 - percent} * n div {percent})"
+    # one of them holds; the rest are common combinations.
+    common = f"({least} - 1 - {100 - percent} * n div {percent})"
+    keys = "transform(slice(tokens, 1, size(tokens) - 1), (t, i) -> xxhash64(t, tokens[i + 1]))"
+    if percent < 67:
+        # Small sets may share no combination; these have their single tokens indexed too.
+        keys = f"concat({keys}, if({common} < 1, transform(tokens, t -> xxhash64(t)), slice(array(0L), 1, 0)))"
+    combos = able.select("row", "n", "f", F.explode(F.expr(keys)).alias("combo"))
+    counts = combos.groupBy("combo").agg(F.count(F.lit(1)).alias("df"))
+    # All but the number of common combinations, less one, are indexed, rarest first; everything, if there may be none.
     kept = staged(
         combos.join(counts, "combo")
         .groupBy("row", "n", "f")
         .agg(F.sort_array(F.collect_list(F.struct("df", "combo"))).alias("m"))  # a set's own tokens bound it
-        .select("row", "n", "f", F.expr(f"transform(slice(m, 1, cast(greatest(0, f - {common}) as int)), x -> x.combo)").alias("all")),
+        .select("row", "n", "f", F.expr(f"transform(slice(m, 1, cast(if({common} < 1, size(m), greatest(0, f - {common})) as int)), x -> x.combo)").alias("all")),
         "combinations",
     )
     combos = kept.select("row", "n", "f", F.explode("all").alias("combo"))

@@ -1,3 +1,4 @@
+import itertools
 import random
 from collections import Counter
 
@@ -70,6 +71,21 @@ def test_components_equal_all_pairs(spark, percent, width, seed):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
+@pytest.mark.parametrize("percent", [51, 66, 67])
+def test_small_sets_of_frequent_tokens(spark, percent):
+    """Sets that may have no two neighbouring tokens in common, whatever the order of tokens."""
+    words = [f"c{i}" for i in range(7)]
+    rows = [" ".join(c) for k in (2, 3, 4) for c in itertools.combinations(words, k)]
+    rows = list(enumerate(random.Random(5).sample(rows, 40)))
+    docs = documents(spark, [(i, t, "a") for i, t in rows])
+    want = {d: c for d, _, c, _ in brute_components(rows, percent, 1)}
+    assert {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs, percent, 1, rare=1).collect()} == want
+    few = [(0, "c1 c2")] + [(i, f"c1 p{i} c2") for i in range(1, 9)] + [(10 + i, f"p{i} {' '.join(f'z{i}x{k}' for k in range(5))}") for i in range(1, 9)]
+    docs = documents(spark, [(i, t, "a") for i, t in few])
+    want = {d: c for d, _, c, _ in brute_components(few, percent, 1)}
+    assert {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs, percent, 1, rare=1).collect()} == want
+
+
 def test_edges(spark, edge, empty):
     got = sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in jaccard.jaccard_components(edge).collect())
     want = sorted((d or -1, n, c or -1) for d, n, c, _ in brute_components([(i, t) for i, t, _ in edge_rows()], 90, 3))
