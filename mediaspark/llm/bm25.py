@@ -195,7 +195,7 @@ def document_frequencies(texts: DataFrame) -> DataFrame:
     Each task counts its own documents first.
     """
     ddl = "w binary, df long, n_words long"
-    schema = arrow_schema(texts.sparkSession, ddl)
+    schema = arrow_schema(ddl)
 
     def run(batches):
         df, words = Counter(), 0
@@ -279,7 +279,7 @@ def top_k(
         F.lit(None).cast("binary").alias("weights"),
     )
     ddl = "q long, doc_id long, score double"
-    schema = arrow_schema(spark, ddl)
+    schema = arrow_schema(ddl)
 
     def run(batches):
         shard = number = None

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,7 +44,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/staged/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged = path
     return out
@@ -67,6 +71,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a table of texts under which it is dealt over all cores.
+SMALL = 64 << 20
+
+
+def texts_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents; a file of a row group or two, which no split can part, is dealt over all cores first."""
+    docs = table(spark, sf_dir, "documents")
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return docs.repartition(spark.sparkContext.defaultParallelism) if size < SMALL else docs
+
+
 def remainder(column: str, modulus: int) -> Column:
     """crc32 of an id as text, modulo `modulus`; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)
@@ -77,16 +92,72 @@ def utf8(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
 
 
-#: Rows of texts in one Arrow batch, at most: a batch stands in memory several times, on both sides.
+class Memo(dict):
+    """What a Python worker remembers of words or pieces: of(key), computed once and kept until it takes `limit` bytes.
+
+    Call trim() between texts; so a worker holds at most `limit` bytes and what one text adds, however long its words.
+    """
+
+    def __init__(self, of: Callable, limit: int = 64 << 20):
+        super().__init__()
+        self.of, self.limit, self.used = of, limit, 0
+
+    def __missing__(self, key):
+        value = self[key] = self.of(key)
+        self.used += sys.getsizeof(key) + sys.getsizeof(value) + 100
+        return value
+
+    def trim(self) -> None:
+        if self.used > self.limit:
+            self.clear()
+            self.used = 0
+
+
+def spread_join(rows: DataFrame, per_key: DataFrame, keys: list[str], salt_by: str, salts: int) -> DataFrame:
+    """rows joined with per_key (one row a key), without gathering a key's rows in one task.
+
+    The rows of a key are dealt by a hash of `salt_by` over `salts` parts, and per_key is copied once for each part that a key has.
+    With the root of the greatest number of rows as `salts`, neither side of either join holds more than about that root of a key.
+    """
+    name = fresh_name([*rows.columns, *per_key.columns], "salt")
+    dealt = rows.withColumn(name, F.pmod(F.xxhash64(salt_by), F.lit(max(1, salts))))
+    parts = dealt.select(*keys, name).distinct().join(per_key, keys)
+    return dealt.join(parts, [*keys, name]).drop(name)
+
+
+def root_of(df: DataFrame) -> int:
+    """The square root of a table's number of rows, rounded up."""
+    return math.isqrt(df.count()) + 1
+
+
+#: Rows of texts that a worker takes from an Arrow batch at once.
 BATCH_ROWS = 1_000
 
 
-def limit_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batches to BATCH_ROWS rows, unless they are smaller already."""
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Arrow batches of BATCH_ROWS rows for the actions within; the session's own setting comes back after them.
+
+    A batch stands in memory several times, on both sides.  Spark bounds it by bytes too, so results that a
+    caller evaluates later, at the caller's setting, are bounded as well.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(name))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    now = spark.conf.get(name)
+    if 0 < int(now) <= BATCH_ROWS:
+        yield
+        return
+    spark.conf.set(name, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, now)
+
+
+def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of BATCH_ROWS rows at most."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, BATCH_ROWS):
+            yield batch.slice(lo, BATCH_ROWS)
 
 
 def map_rows(
@@ -95,11 +166,11 @@ def map_rows(
     schema: str,
 ) -> DataFrame:
     """One output row per input row through mapInArrow; make() runs once in each task and returns the row function."""
-    arrow = arrow_schema(df.sparkSession, schema)
+    arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for batch in batches:
+        for batch in parts_of(batches):
             cols = [c.to_pylist() for c in batch.columns]
             out = [f(row) for row in zip(*cols)]
             if out:
@@ -116,11 +187,11 @@ def map_chunks(
     most: int = 1 << 20,
 ) -> DataFrame:
     """As map_rows, with a function from a list of rows to a list of rows; a list ends once its weights reach `most`."""
-    arrow = arrow_schema(df.sparkSession, schema)
+    arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for batch in batches:
+        for batch in parts_of(batches):
             rows, weight = [], 0
             for row in zip(*[c.to_pylist() for c in batch.columns]):
                 rows.append(row)
@@ -139,9 +210,8 @@ def _record_batch(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, arrow)], schema=arrow)
 
 
-def arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
+def arrow_schema(schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    limit_batches(spark)
     return to_arrow_schema(StructType.fromDDL(schema))

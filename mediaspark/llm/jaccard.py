@@ -15,16 +15,20 @@ Each token of a prefix is rare (in at most `rare` prefixes) or frequent.
 
 Heavy sets are few.  They are read whole, and their tokens are put in order anew, rarest first among these
 sets.  Shared rare tokens are indexed singly again.  A pair that shares none of these has all its common tokens
-among the frequent ones.  Of the gaps between the common tokens, each token that only one set holds breaks one;
-over an unbroken gap two consecutive frequent tokens are the same in both sets.  So a similar pair has many
-common combinations of two consecutive frequent tokens, and by the prefix principle each set need index only its
-rarest combinations, all but that number less one.
-
-A list of a combination gives a star at first: its members are compared with its head.  Once the links found
-so far are joined to components, only members of different components in one list are compared
-further, so no list gives all pairs of a family, and no link between components is lost.
-
-All candidates are verified on whole sets.  Equal sets are one class from the start.
+among the frequent ones, so only a set's frequent tokens and its size bear on it: sets with the same frequent tokens
+are one group, and its least set stands for it, as what links with another set links with that one too.  Of the gaps
+between the common tokens of a pair, each token that only one set holds breaks one; over an unbroken gap two
+consecutive frequent tokens are the same in both sets.  So a similar pair has many common combinations of two
+consecutive frequent tokens, and by the prefix principle each group need index only its rarest combinations, all
+but that number less one.
+
+A list of a combination gives a star at first: its groups are compared with its head.  Once the links found
+so far are joined to components, only groups of different components in one list are compared further.  Of
+two sets one must be rich in frequent tokens, so pages that share a template and nothing else are not compared at
+all; the rest of a long list is dealt out in cells.  A group's sets too large to link with its least one are told
+the partner that leaves most room.  So no list gives all pairs of a family, and no link between components is lost.
+
+Candidates with a common rare token are verified on whole sets, the others on all their frequent tokens.  Equal sets are one class from the start.
 """
 
 from __future__ import annotations
@@ -35,14 +39,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, discard, staged, table, utf8
+from .common import Memo, arrow_schema, discard, parts_of, root_of, spread_join, staged, texts_of, utf8
 from .components import connected_components
 
 #: Prefixes that hold a rare token, at most; also the longest list that gives all pairs.
 RARE = 20
 #: Bits of the filter that is sent to the second reading of the texts.
 FILTER_BITS = 1 << 26
-_MEMORY = 400_000
+#: Sets on each side of a cell, about, when members of one list are compared.
+CELL = 512
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -51,19 +56,14 @@ class Shingler:
 
     def __init__(self, width: int):
         self.width = width
-        self.memory: dict[bytes, int] = {}
+        self.memory = Memo(xxhash.xxh3_64_intdigest)
 
     def __call__(self, text: bytes) -> np.ndarray:
         words = text.lower().split()
         if not words:
             return np.zeros(0, np.uint64)
-        memory = self.memory
-        if len(memory) > _MEMORY:
-            memory.clear()
-        for w in words:
-            if w not in memory:
-                memory[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(memory.__getitem__, words), np.uint64, len(words))
+        self.memory.trim()
+        h = np.fromiter(map(self.memory.__getitem__, words), np.uint64, len(words))
         k = min(self.width, len(h))
         # A short sequence is one shingle of its own kind.
         out = np.full(len(h) - k + 1, k, np.uint64)
@@ -106,11 +106,11 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int,
     )
     kind = source.schema["doc_id"].dataType.simpleString()
     ddl = f"row long, doc_id {kind}, tk long, n long, k1 long, k2 long, prefix array<long>"
-    schema = arrow_schema(docs.sparkSession, ddl)
+    schema = arrow_schema(ddl)
 
     def run(batches):
         shingle = Shingler(width)
-        for batch in batches:
+        for batch in parts_of(batches):
             n, k1, k2, lists, ends = [], [], [], [], [0]
             for text in batch.column(2).to_pylist():
                 s = shingle(text)
@@ -150,11 +150,11 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, text_col: str, width: int) -
     bits[words.column("i").to_numpy()] = words.column("b").to_numpy()
     sent = spark.sparkContext.broadcast(bits.view(np.uint64))
     ddl = "k1 long, k2 long, s array<long>"
-    schema = arrow_schema(spark, ddl)
+    schema = arrow_schema(ddl)
 
     def run(batches):
         bits, shingle, done = sent.value, Shingler(width), set()
-        for batch in batches:
+        for batch in parts_of(batches):
             tk = batch.column(1).to_numpy()
             c = np.mod(tk, FILTER_BITS)
             hit = np.flatnonzero(bits[c >> 6] >> (c & 63).astype(np.uint64) & np.uint64(1))
@@ -199,15 +199,18 @@ def jaccard_links(
     text_col: str = "text",
     rare: int = RARE,
     row_col: str | None = None,
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The classes and links of a similarity join: (documents, classes, links).
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The classes, links and components of a similarity join: (documents, classes, links, components).
 
     documents: row, doc_id, n, class (the first row with the same set).  classes: the rows that stand for a
     class, with size and the class's least doc_id.  links: verified pairs (a, b) of classes that connect all that
-    are similar; inside a large family further links are implied by its component and not listed.
+    are similar; inside a large family further links are implied by its component and not listed.  components:
+    (v, component) of all classes with a link.
 
-    Texts without words have an empty set, are each a class of their own row, and link with nothing.  Null
-    ids are documents like any other but never name a component.  Repeated rows fall into one class.
+    Texts without words, null ones too, have an empty set, are each a class of their own row, and link with nothing.
+    Null ids are documents like any other but never name a component.  Repeated rows fall into one class.  An empty table
+    gives empty results.  Texts are taken whole, however long; a set stands as one array in one row.  Other columns of
+    `docs` are not read, so their names don't matter.
     """
     if not 50 < percent <= 100:
         raise ValueError("percent must be over 50 and at most 100")
@@ -255,43 +258,25 @@ def jaccard_links(
     # The smallest partner of a set of n has ceil(percent * n / 100) tokens.
     partner = f"(({percent} * n + 99) div 100)"
     heavy = frequent.filter(F.expr(f"size(tokens) >= {_k(partner, percent)}"))
-    pairs, indexed, own, spent = _heavy_pairs(docs, classes, heavy.select("row"), text_col, width, percent, rare)
-    pairs = staged(rare_pairs.union(pairs).distinct(), "pairs")
-    discard(shared, *spent)
+    heavy = Heavy(docs, classes, heavy.select("row"), text_col, width, percent, rare)
+    pairs = staged(rare_pairs if heavy.empty else rare_pairs.union(heavy.singles).distinct(), "pairs")
     links = _links(docs, classes, pairs, text_col, width, percent, "links")
-
-    # What the first links leave apart: members of one list and of different components, that is each list's
-    # largest component against the others and these among themselves.
+    discard(shared, frequent)
+    if not heavy.empty:
+        discard(heavy.shared)
+        links = links.union(heavy.links)
     named = connected_components(links)
-    members = indexed.join(named.withColumnRenamed("v", "row"), "row", "left").select(
-        "combo", "row", "n", "f", F.coalesce("component", "row").alias("c")
-    )
-    parts = members.groupBy("combo", "c").agg(F.count(F.lit(1)).alias("k"))
-    main = parts.groupBy("combo").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count(F.lit(1)).alias("parts"))
-    open_lists = staged(members.join(main.filter("parts > 1").drop("parts"), "combo"), "open").join(own, "row")
-    strays = open_lists.filter("c <> main").select("combo", *[F.col(x).alias(f"s_{x}") for x in ("row", "n", "f", "c", "all")])
-    late = (
-        strays.join(open_lists, "combo")
-        .filter(
-            (F.col("c") != F.col("s_c"))
-            & ((F.col("c") == F.col("main")) | (F.col("s_row") < F.col("row")))
-            & _may_link(F.least("f", "s_f"), F.col("n") + F.col("s_n"), percent)
-            # In the first only of the lists that the two share.
-            & (F.array_min(F.array_intersect("all", "s_all")) == F.col("combo"))
-        )
-        .select(F.least("s_row", "row").alias("a"), F.greatest("s_row", "row").alias("b"))
-        .distinct()
-    )
-    late = staged(late.join(pairs, ["a", "b"], "left_anti"), "late")
-    if not late.isEmpty():
-        links = links.union(_links(docs, classes, late, text_col, width, percent, "late-links"))
+    late = heavy.late_links(named)
+    if late is not None:
+        links = links.union(late)
+        named = connected_components(links)
     # Only classes with copies need the join; their rows are split by Spark's skew handling if one is hot.
     several = classes.filter("copies > 1").select("k1", "k2", F.col("row").alias("class"))
     documents = filled.select("row", "doc_id", "n", "k1", "k2").join(several, ["k1", "k2"], "left").select(
         "row", "doc_id", "n", F.coalesce("class", "row").alias("class")
     )
     documents = documents.union(rows.filter("n = 0").select("row", "doc_id", "n", F.col("row").alias("class")))
-    return documents, classes.select(F.col("row").alias("class"), "n", "least_id", "copies"), links
+    return documents, classes.select(F.col("row").alias("class"), "n", "least_id", "copies"), links, named
 
 
 def _may_link(common, total, percent: int):
@@ -299,83 +284,198 @@ def _may_link(common, total, percent: int):
     return (100 + percent) * common >= percent * total
 
 
-def _heavy_pairs(docs, classes, heavy, text_col, width, percent, rare) -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]]:
-    """Candidates among sets whose prefixes are mostly frequent tokens: (pairs, lists of combinations, each set's own),
-    and the tables to discard once the pairs are written.
+class Heavy:
+    """Links among sets whose prefixes are mostly frequent tokens.
 
     These few sets are taken whole, and their tokens are ordered anew by how many of these sets hold them, rarest
-    first.  All shared rare tokens are indexed, so a pair's number of common rare tokens is exact and
-    with the least number of frequent tokens bounds what it shares.  A pair without a common rare token has its
-    shared tokens among the frequent ones (row, n, f: their number), whose first ones give the combinations.
+    first.  All shared rare tokens are indexed, so a pair's number of common rare tokens is exact and with the
+    least number of frequent tokens bounds what it shares: `singles` are the pairs left, still to be verified.
+    `links` are verified ones of pairs that share enough frequent tokens; late_links() gives all that is missing then.
     """
-    wanted = staged(classes.select("row", "tk", "k1", "k2").join(heavy, "row", "left_semi"), "heavy")
-    sets = staged(_whole_sets(docs, wanted, text_col, width), "heavy-sets")
-    tokens = sets.select("row", F.size("s").cast("long").alias("n"), F.explode("s").alias("token"))
-    df = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    shared = staged(tokens.join(df, "token"), "heavy-shared")
-    discard(sets)
-    # A set's own tokens bound this list.
-    frequent = staged(
-        shared.filter(F.col("df") > rare)
-        .groupBy("row", "n")
-        .agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("tokens"))
-        .withColumn("f", F.size("tokens").cast("long")),
-        "heavy-frequent",
-    )
-    f = frequent.select("row", "f")
-    singles = (
-        shared.filter(F.col("df") <= rare)
-        .groupBy("token")
-        .agg(F.sort_array(F.collect_list(F.struct("n", "row"))).alias("m"))
-        .select(F.explode(F.expr(_all_pairs("m"))).alias("p"))
-        .filter(F.col("p.n") * 100 >= F.col("p.m") * percent)
-        .groupBy("p.a", "p.b")
-        .agg(F.min(F.col("p.n") + F.col("p.m")).alias("total"), F.count(F.lit(1)).alias("common"))
-        .join(f.select(F.col("row").alias("a"), F.col("f").alias("fa")), "a", "left")
-        .join(f.select(F.col("row").alias("b"), F.col("f").alias("fb")), "b", "left")
-        .filter(
-            _may_link(
-                F.col("common") + F.least(F.coalesce("fa", F.lit(0)), F.coalesce("fb", F.lit(0))), F.col("total"), percent
+
+    def __init__(self, docs, classes, heavy, text_col, width, percent, rare):
+        self.percent = percent
+        wanted = staged(classes.select("row", "tk", "k1", "k2").join(heavy, "row", "left_semi"), "heavy")
+        self.empty = wanted.isEmpty()
+        if self.empty:
+            return
+        sets = staged(_whole_sets(docs, wanted, text_col, width), "heavy-sets")
+        self.salts = root_of(sets)
+        tokens = sets.select("row", F.size("s").cast("long").alias("n"), F.explode("s").alias("token"))
+        df = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+        self.shared = staged(spread_join(tokens, df, ["token"], "row", self.salts), "heavy-shared")
+        discard(sets, wanted)
+        # A set's own tokens bound this list.
+        frequent = (
+            self.shared.filter(F.col("df") > rare)
+            .groupBy("row", "n")
+            .agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("tokens"))
+            .withColumn("f", F.size("tokens").cast("long"))
+            .withColumns({"g1": F.xxhash64(F.lit(1), "tokens"), "g2": F.xxhash64(F.lit(2), "tokens")})
+        )
+        self.frequent = staged(frequent, "heavy-frequent")
+        self.singles = self._singles(rare)
+        self._group()
+        self._index()
+
+    def _may(self, common, total):
+        return _may_link(common, total, self.percent)
+
+    def _singles(self, rare) -> DataFrame:
+        f = self.frequent.select("row", "f")
+        least_f = F.least(F.coalesce("fa", F.lit(0)), F.coalesce("fb", F.lit(0)))
+        return (
+            self.shared.filter(F.col("df") <= rare)
+            .groupBy("token")
+            .agg(F.sort_array(F.collect_list(F.struct("n", "row"))).alias("m"))
+            .select(F.explode(F.expr(_all_pairs("m"))).alias("p"))
+            .filter(F.col("p.n") * 100 >= F.col("p.m") * self.percent)
+            .groupBy("p.a", "p.b")
+            .agg(F.min(F.col("p.n") + F.col("p.m")).alias("total"), F.count(F.lit(1)).alias("common"))
+            .join(f.select(F.col("row").alias("a"), F.col("f").alias("fa")), "a", "left")
+            .join(f.select(F.col("row").alias("b"), F.col("f").alias("fb")), "b", "left")
+            .filter(self._may(F.col("common") + least_f, F.col("total")))
+            .select("a", "b")
+        )
+
+    def _group(self) -> None:
+        """groups: row, n and f of the least set with some frequent tokens, and sizes of those too large to link with it (if any).
+
+        members: the other sets of each group (member, m_n; near: whether it links with the least one, named row).
+        """
+        # All that a pair without a common rare token shares is frequent; a set with too few frequent tokens has no such partner.
+        able = self.frequent.filter(F.expr(f"f >= ({self.percent} * n + 99) div 100"))
+        least = staged(
+            able.groupBy("g1", "g2").agg(F.min(F.struct("n", "row")).alias("x"), F.min("f").alias("f"))
+            .select("g1", "g2", F.col("x.row").alias("row"), F.col("x.n").alias("n"), "f"),
+            "heavy-least",
+        )
+        others = able.select(F.col("row").alias("member"), F.col("n").alias("m_n"), "g1", "g2")
+        others = spread_join(others, least, ["g1", "g2"], "member", self.salts).filter("member <> row")
+        near = self._may(F.col("f"), F.col("n") + F.col("m_n"))
+        self.members = staged(others.select("row", "member", "m_n", near.alias("near")), "heavy-members")
+        far = self.members.filter(~F.col("near")).groupBy("row").agg(F.min("m_n").alias("far"), F.max("m_n").alias("farthest"))
+        self.groups = staged(least.drop("g1", "g2").join(far, "row", "left"), "heavy-groups")
+        discard(least)
+
+    def _index(self) -> None:
+        """indexed: each group in the lists of its rarest combinations, those of two groups or more; and links of first stars."""
+        p = self.percent
+        # A similar pair has `least` tokens in common, and of the gaps between them it breaks one with each token that only
+        # one of them holds; the rest are common combinations.
+        common = lambda n: F.expr(f"(({p} * {n} + 99) div 100) - 1 - ({100 - p} * {n} div {p})")
+        # A group asks for what any of its sets needs; in between the number may fall by one.
+        asked = F.when(F.col("far").isNull(), common("n")).otherwise(
+            F.least(common("n"), common("coalesce(far, n)"), common("coalesce(farthest, n)")) - 1
+        )
+        keys = "transform(slice(tokens, 1, size(tokens) - 1), (t, i) -> xxhash64(t, tokens[i + 1]))"
+        if p < 67:
+            # Small sets may share no combination; these have their single tokens indexed too.
+            keys = f"concat({keys}, if(asked < 1, transform(tokens, t -> xxhash64(t)), slice(array(0L), 1, 0)))"
+        groups = self.groups.withColumn("asked", asked).join(self.frequent.select("row", "tokens"), "row")
+        combos = groups.select("row", "n", "f", "far", "asked", F.explode(F.expr(keys)).alias("combo"))
+        counts = combos.groupBy("combo").agg(F.count(F.lit(1)).alias("df"))
+        # All but the number of common combinations, less one, are indexed, rarest first; everything, if there may be none.
+        combos = staged(
+            spread_join(combos, counts, ["combo"], "row", self.salts)
+            .groupBy("row", "n", "f", "far", "asked")
+            .agg(F.sort_array(F.collect_list(F.struct("df", "combo"))).alias("m"))  # a set's own tokens bound it
+            .select(
+                "row", "n", "f", "far",
+                F.explode(F.expr("slice(m, 1, cast(if(asked < 1, size(m), greatest(0, f - asked)) as int))")).alias("m"),
             )
+            .select("row", "n", "f", "far", F.col("m.combo").alias("combo")),
+            "combinations",
+        )
+        # The member with the fewest rare tokens is the likeliest to be what the others were copied from.
+        heads = combos.groupBy("combo").agg(
+            F.count(F.lit(1)).alias("df"), F.min(F.struct(F.col("n") - F.col("f"), "row")).alias("hub")
         )
-        .select("a", "b")
-    )
-    # All that a pair without a common rare token shares is frequent; a set with too few frequent tokens has no such partner.
-    least = f"(({percent} * n + 99) div 100)"
-    able = frequent.filter(F.expr(f"f >= {least}"))
-    # A similar pair has `least` tokens in common, and of the gaps between them it breaks one with each token that only
-    # one of them holds; the rest are common combinations.
-    common = f"({least} - 1 - {100 - percent} * n div {percent})"
-    keys = "transform(slice(tokens, 1, size(tokens) - 1), (t, i) -> xxhash64(t, tokens[i + 1]))"
-    if percent < 67:
-        # Small sets may share no combination; these have their single tokens indexed too.
-        keys = f"concat({keys}, if({common} < 1, transform(tokens, t -> xxhash64(t)), slice(array(0L), 1, 0)))"
-    combos = able.select("row", "n", "f", F.explode(F.expr(keys)).alias("combo"))
-    counts = combos.groupBy("combo").agg(F.count(F.lit(1)).alias("df"))
-    # All but the number of common combinations, less one, are indexed, rarest first; everything, if there may be none.
-    kept = staged(
-        combos.join(counts, "combo")
-        .groupBy("row", "n", "f")
-        .agg(F.sort_array(F.collect_list(F.struct("df", "combo"))).alias("m"))  # a set's own tokens bound it
-        .select("row", "n", "f", F.expr(f"transform(slice(m, 1, cast(if({common} < 1, size(m), greatest(0, f - {common})) as int)), x -> x.combo)").alias("all")),
-        "combinations",
-    )
-    combos = kept.select("row", "n", "f", F.explode("all").alias("combo"))
-    # The member with the fewest rare tokens is the likeliest to be what the others were copied from.
-    heads = combos.groupBy("combo").agg(
-        F.count(F.lit(1)).alias("df"), F.min(F.struct(F.col("n") - F.col("f"), "row")).alias("hub")
-    )
-    indexed = staged(combos.join(heads.filter("df > 1").select("combo", F.col("hub.row").alias("hub")), "combo"), "indexed")
-    # Of the heads of its lists, each member is compared with the one that it shares most lists with.
-    stars = (
-        indexed.filter("row <> hub")
-        .groupBy("row", "hub")
-        .agg(F.count(F.lit(1)).alias("c"))
-        .groupBy("row")
-        .agg(F.max_by("hub", F.struct("c", -F.col("hub"))).alias("hub"))
-        .select(F.least("row", "hub").alias("a"), F.greatest("row", "hub").alias("b"))
-    )
-    return singles.union(stars), indexed.drop("hub"), kept.select("row", "all"), [shared]
+        heads = heads.filter("df > 1").select("combo", F.col("hub.row").alias("hub"))
+        self.indexed = staged(spread_join(combos, heads, ["combo"], "row", self.salts), "indexed")
+        discard(combos)
+        # Of the heads of its lists, each member is compared with the one that it shares most lists with.
+        stars = (
+            self.indexed.filter("row <> hub")
+            .groupBy("row", "hub")
+            .agg(F.count(F.lit(1)).alias("c"))
+            .groupBy("row")
+            .agg(F.max_by("hub", F.struct("c", -F.col("hub"))).alias("hub"))
+            .select(F.col("row").alias("a"), F.col("hub").alias("b"))
+        )
+        own = self.members.filter("near").select(F.col("row").alias("a"), F.col("member").alias("b"))
+        linked = self._shared_by(stars).filter(self._may(F.col("o"), F.col("na") + F.col("nb"))).select("a", "b")
+        self.links = staged(linked.union(own), "heavy-links")
+
+    def _shared_by(self, pairs: DataFrame) -> DataFrame:
+        """pairs (a, b, ...) with o, the number of frequent tokens in common, and the sizes na and nb."""
+        sets = self.frequent.select("row", "n", "tokens")
+        side = lambda x: sets.select(F.col("row").alias(x), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}"))
+        both = spread_join(spread_join(pairs, side("a"), ["a"], "b", self.salts), side("b"), ["b"], "a", self.salts)
+        return both.withColumn("o", F.size(F.array_intersect("ta", "tb")).cast("long")).drop("ta", "tb")
+
+    def late_links(self, named: DataFrame) -> DataFrame | None:
+        """Links that join what the components (v, component) of the links so far leave apart.
+
+        Groups of one list and of different components are compared: each list's largest component with the others, and
+        these among themselves; so are sets too large for their group's least one, with all groups of a list.  None if there
+        are none such.
+        """
+        if self.empty:
+            return None
+        p = self.percent
+        listed = self.indexed.drop("hub").join(named.withColumnRenamed("v", "row"), "row", "left")
+        listed = listed.withColumn("c", F.coalesce("component", "row")).drop("component")
+        # A set links with a larger one of n tokens if n <= 100 f / p + f - its own; that of poor ones is under their own size.
+        listed = staged(listed.withColumn("rich", (100 + p) * F.col("f") >= 2 * p * F.col("n")), "listed")
+        parts = listed.groupBy("combo", "c").agg(F.count(F.lit(1)).alias("k"))
+        main = parts.groupBy("combo").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count(F.lit(1)).alias("parts"))
+        strays = spread_join(listed, main.filter("parts > 1").drop("parts"), ["combo"], "row", self.salts).filter("c <> main")
+        wants = F.explode(F.when(F.col("rich"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True))))
+        # Sets too large for their own group are poor.
+        asking = strays.select("combo", wants.alias("rich"), "row", "n", "f", "c", F.lit(False).alias("far")).union(
+            listed.filter("far is not null").select("combo", F.lit(True), "row", "far", "f", F.lit(None).cast("long"), F.lit(True))
+        )
+        asking = staged(asking, "asking")
+        if asking.isEmpty():
+            return None
+        keys = ["combo", "rich"]
+        sizes = (
+            asking.select(*keys, F.lit(1).alias("x"), F.lit(0).alias("y"))
+            .union(listed.select(*keys, F.lit(0), F.lit(1)))
+            .groupBy(*keys)
+            .agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+            .filter("x > 0 and y > 0")
+            .select(*keys, F.ceil(F.col("x") / CELL).alias("x"), F.ceil(F.col("y") / CELL).alias("y"))
+        )
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        left = (
+            spread_join(asking, sizes, keys, "row", self.salts)
+            .withColumn("i", F.pmod(F.xxhash64("row"), F.col("x")))
+            .select(*keys, "i", every("y").alias("j"), *[F.col(k).alias(f"s_{k}") for k in ("row", "n", "f", "c", "far")])
+        )
+        right = (
+            spread_join(listed, sizes, keys, "row", self.salts)
+            .withColumn("j", F.pmod(F.xxhash64("row"), F.col("y")))
+            .select(*keys, every("x").alias("i"), "j", "row", "n", "f", "c")
+        )
+        pairs = (
+            left.join(right, [*keys, "i", "j"])
+            .filter(F.col("row") != F.col("s_row"))
+            .filter(F.col("s_far") | (F.col("c") != F.col("s_c")))
+            .filter(self._may(F.least("f", "s_f"), F.col("n") + F.col("s_n")))
+            .select(F.col("s_row").alias("a"), F.col("row").alias("b"), F.col("s_far").alias("far"))
+            .distinct()
+        )
+        found = staged(self._shared_by(pairs), "late")
+        links = found.filter(~F.col("far") & self._may(F.col("o"), F.col("na") + F.col("nb"))).select("a", "b")
+        # The partner that leaves most room for a set of these frequent tokens.
+        room = (100 + p) * F.col("o") - p * F.col("nb")
+        best = found.filter("far").groupBy(F.col("a").alias("row")).agg(F.max(F.struct(room.alias("room"), F.col("b").alias("b"))).alias("x"))
+        far = self.members.filter(~F.col("near"))
+        far = spread_join(far, best.select("row", "x.room", "x.b"), ["row"], "member", self.salts)
+        far = far.filter(p * F.col("m_n") <= F.col("room")).select(F.col("member").alias("a"), "b")
+        return staged(links.union(far), "late-links")
 
 
 def _links(docs, classes, pairs, text_col, width, percent, name) -> DataFrame:
@@ -402,8 +502,7 @@ def jaccard_components(
     rows, linked tells whether the group has a second row.  `row_col` names a column of unique longs that
     becomes row; without it rows are numbered in scan order.
     """
-    documents, classes, links = jaccard_links(docs, percent, width, id_col, text_col, rare, row_col)
-    named = connected_components(links)
+    documents, classes, _, named = jaccard_links(docs, percent, width, id_col, text_col, rare, row_col)
     # One row for each class that has a link or a copy.
     grouped = classes.join(named.withColumnRenamed("v", "class"), "class", "left").filter(
         "component is not null or copies > 1"
@@ -423,7 +522,8 @@ def jaccard_components(
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    """doc_id, n_shingles and component_id of all documents: three-word shingles, similarity 0.9."""
+    return jaccard_components(texts_of(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
 OP1_SQL = r"""

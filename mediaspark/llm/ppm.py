@@ -159,7 +159,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
     Each task sums its words first, in a table that is handed on before it outgrows memory.
     """
     ddl = "w binary, c long"
-    schema = arrow_schema(texts.sparkSession, ddl)
+    schema = arrow_schema(ddl)
 
     def run(batches):
         counts: Counter = Counter()
@@ -179,7 +179,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
 def gram_counts(texts: DataFrame) -> DataFrame:
     """Count of each code of grams() over column t: g long, c long; each task sums its own first."""
     ddl = "g long, c long"
-    schema = arrow_schema(texts.sparkSession, ddl)
+    schema = arrow_schema(ddl)
 
     def run(batches):
         parts: list[tuple[np.ndarray, np.ndarray]] = []
@@ -287,7 +287,7 @@ def code_logs(full: DataFrame, asked: DataFrame, trie) -> DataFrame:
         .join(pairs, F.col("x").bitwiseAND(F.lit(0xFFFF)) == F.col("x2"), "left")
     )
     ddl = "g long, t long, d long, s long, c2 long, t2 long, d2 long, p double"
-    schema = arrow_schema(full.sparkSession, ddl)
+    schema = arrow_schema(ddl)
 
     def run(batches):
         for batch in batches:
@@ -350,7 +350,7 @@ def score(
             "codes array<long>, times array<int>",
         ]
     )
-    schema = arrow_schema(spark, ddl)
+    schema = arrow_schema(ddl)
 
     def run(batches):
         trie = sent_trie.value

@@ -169,7 +169,7 @@ def estimate_prior(labels: DataFrame, label_col: str = "quality") -> float:
 def _sums(measured: DataFrame, f: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
     """Sum over all rows (x) of what f gives for a block of them; a task hands one row to the driver."""
     ddl = "s array<double>"
-    schema = arrow_schema(measured.sparkSession, ddl)
+    schema = arrow_schema(ddl)
 
     def run(batches):
         total = None

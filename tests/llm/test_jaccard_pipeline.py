@@ -6,10 +6,11 @@ import public_tokenizers as P
 import pytest
 import tiktoken
 from llm_cases import documents, edge_rows
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from mediaspark.llm import bpe, jaccard, mixing, quality_rules, toxicity
-from mediaspark.llm.components import connected_components
+from mediaspark.llm.components import _state, connected_components
 
 
 def shingles(text, width):
@@ -96,7 +97,7 @@ def test_edges(spark, edge, empty):
 def test_links_are_real(spark):
     rows = families(7)
     docs = documents(spark, [(i, t, "a") for i, t in rows])
-    documents_, _, links = jaccard.jaccard_links(docs, rare=4)
+    documents_, _, links, _ = jaccard.jaccard_links(docs, rare=4)
     text = {r.row: rows[r.doc_id][1] for r in documents_.collect()}
     for r in links.collect():
         x, y = shingles(text[r.a], 3), shingles(text[r.b], 3)
@@ -158,3 +159,31 @@ def test_stages_bear_edges(spark, edge, empty):
             assert rows == 0 or docs is edge, name
             if name != corpus_pipeline.STAGES[-1][0]:
                 assert out.columns == docs.columns
+
+
+def test_edge_checksum_does_not_overflow(spark):
+    edges = spark.range(20_000_000).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
+    assert _state(edges)[0] == 20_000_000
+    assert _state(edges) == _state(edges.repartition(7)) != _state(edges.withColumn("v", F.col("v") + 1))
+
+
+def template_pages(n, extra, kinds=1, seed=11):
+    """Pages of a template and words of their own, with 90 per cent or less in common; some pages of the bare template."""
+    rng = random.Random(seed)
+    template = [f"t{i}" for i in range(200)]
+    out = []
+    for i in range(n):
+        t = list(template)
+        for _ in range(i % kinds):
+            t[rng.randrange(len(t))] = f"r{i % 7}"
+        out.append((i, " ".join(t + [f"own{i}x{k}" for k in range(extra[i % len(extra)])])))
+    return out
+
+
+@pytest.mark.parametrize("extra,kinds", [((24, 30), 1), ((0, 3, 24, 12, 30, 20, 8), 1), ((0, 6, 14, 24, 40), 4)])
+def test_pages_of_a_template(spark, extra, kinds):
+    rows = template_pages(150, extra, kinds)
+    docs = documents(spark, [(i, t, "a") for i, t in rows]).repartition(3)
+    want = {d: (n, c) for d, n, c, _ in brute_components(rows, 90, 3)}
+    got = jaccard.jaccard_components(docs, rare=4).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
