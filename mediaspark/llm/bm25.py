@@ -1,88 +1,145 @@
 """Exact top-k search by BM25 over inverted-index shards with block-max pruning.
 
-Documents are dealt into shards of about equal numbers of postings.  A task builds the inverted index of its
-shard in memory: for each term its postings with their term-frequency parts, their maximum, and the maximum in each
-block of documents.  Queries then stream through the shard, batch by batch.  Weights of query terms come from
-global statistics, so the scores of all shards compare, and the best k of a query are the best of the shards' best k.
-
-A query is pruned as block-max WAND does, in whole vectors.  Terms in very many documents are added first, for many
-queries in one product.  Of the others, those with the highest bound per posting give a first threshold: the k-th best exact score among the documents that they rank highest.  Postings are added up
-term by term in this order; a document is a candidate while its sum plus the block maxima of the terms left reaches
-the threshold, which rises with the sums.  Once the candidates are few, the postings left are skipped and only
-the candidates are scored in full, in double precision.  The bounds err on the high side, so
-the result is that of scoring every document.
+Documents are dealt into shards of about equal numbers of postings, and each shard's inverted index is written once: for
+each term its postings in document order, for each document its terms.  Documents of a shard are ordered by their
+most telling frequent word and by length, so that a block of neighbours has much alike and its maxima are tight.
+Weights of query terms come from global statistics, so the scores of all shards compare, and the best k of a
+query are the best of the shards' best k.
+
+A query first meets its home shard, as that is built; its k-th best score there is a threshold for all others.  Then
+blocks of queries of bounded size are sent to the tasks that read the shards: work is dealt in cells of one shard and one
+block, whose size does not grow with the corpus, and the index is read but never shuffled.
+
+Within a shard a query is pruned as block-max WAND does, in whole vectors.  Terms in very many documents are added first,
+for many queries in one product.  Of the others, those with the highest bound per posting give a first threshold: the k-th best
+exact score among the documents that they rank highest.  Postings are added up term by term in this order; a
+document is a candidate while its sum plus the block maxima of the terms left reaches the threshold, which rises with
+the sums.  Once the candidates are few, the postings left are skipped and only the candidates are scored in full, in double
+precision.  The bounds err on the high side, so the result is that of scoring every document.
+
+Words are told apart by 64-bit fingerprints.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import arrow_schema, staged, table, utf8
+from .common import Memo, arrow_schema, discard, parts_of, staged, texts_of, utf8
 
 K1, B = 1.2, 0.75
 #: Postings in a shard, about.
 SHARD_POSTINGS = 3_000_000
 #: A term in at least one of so many documents stands as a full row, the most frequent MOST_DENSE at most.
 DENSE, MOST_DENSE = 8, 256
+#: Frequent words of a shard by which its documents are ordered.
+TELLING = 64
 #: Documents in a block of the index.
 BLOCK = 128
-#: Queries in one product, and shards that a task searches one after another: the later ones under the earlier's thresholds.
-QUERIES, SHARDS_A_TASK = 64, 5
+#: Queries in one product.
+QUERIES = 64
+#: Queries, and words of theirs, that are sent to the tasks at once, about: 16 bytes a word.
+QUERY_BLOCK, QUERY_WORDS = 2_048, 1_000_000
+#: Tasks that build the index, at most; each builds its shards one after another.
+TASKS = 10_000
 #: Added to bounds, as a part of them, for their single precision.
 SLACK = 1e-4
 
 
+def fingerprints() -> Memo:
+    return Memo(xxhash.xxh3_64_intdigest)
+
+
+def counted(text: bytes, memory: Memo) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of a text's words, lower-cased (A-Z), in order, and how often each stands in it."""
+    memory.trim()
+    counts = Counter(text.lower().split())
+    h = np.fromiter(map(memory.__getitem__, counts), np.uint64, len(counts))
+    c = np.fromiter(counts.values(), np.int32, len(counts))
+    order = np.argsort(h)
+    return h[order], c[order]
+
+
 class Shard:
-    """The index of one shard: add() documents, then seal(), then search()."""
+    """The index of one shard: add() documents, then seal() or give pack() to a later load(); then search()."""
 
     def __init__(self, mean_length: float):
         self.mean = max(mean_length, 1e-9)
-        self.vocabulary: dict[bytes, int] = {}
         self.ids: list = []
-        self.lengths: list[int] = []
-        self.terms: list[np.ndarray] = []
+        self.words: list[np.ndarray] = []
         self.freqs: list[np.ndarray] = []
 
-    def add(self, doc_id, text: bytes) -> None:
-        counts = Counter(text.lower().split())
-        v = self.vocabulary
-        self.terms.append(np.fromiter((v.setdefault(w, len(v)) for w in counts), np.int32, len(counts)))
-        self.freqs.append(np.fromiter(counts.values(), np.int32, len(counts)))
+    def add(self, doc_id, words: np.ndarray, freqs: np.ndarray) -> None:
         self.ids.append(doc_id)
-        self.lengths.append(sum(counts.values()))
+        self.words.append(words)
+        self.freqs.append(freqs)
 
-    def seal(self) -> None:
-        n, v = len(self.ids), len(self.vocabulary)
-        sizes = np.array([len(t) for t in self.terms], np.int64)
-        self.doc_size = sizes
+    def seal(self) -> Shard:
+        n = len(self.ids)
+        lengths = np.fromiter((f.sum() for f in self.freqs), np.int64, n)
+        self.vocabulary, df = np.unique(np.concatenate(self.words), return_counts=True) if n else (np.zeros(0, np.uint64), np.zeros(0, int))
+        terms = [np.searchsorted(self.vocabulary, w).astype(np.int32) for w in self.words]
+        # The frequent word of which a document has most for its length and the word's frequency tells what it is like.
+        telling = np.full(len(df), -1)
+        best = np.argsort(-df, kind="stable")[:TELLING]
+        telling[best] = np.arange(len(best))
+        kind = np.full(n, -1)
+        for i, (t, f) in enumerate(zip(terms, self.freqs)):
+            own = telling[t] >= 0
+            if own.any():
+                kind[i] = telling[t[own]][np.argmax(f[own] / df[t[own]])]
+        order = np.lexsort((lengths, kind))
+        sizes = np.fromiter((len(terms[i]) for i in order), np.int64, n)
+        freq = np.concatenate([self.freqs[i] for i in order]) if n else np.zeros(0, np.int32)
+        self.doc_freq = freq.astype(np.uint16) if not n or freq.max(initial=0) < 1 << 16 else freq
+        self.doc_term = np.concatenate([terms[i] for i in order]) if n else np.zeros(0, np.int32)
         self.doc_start = np.concatenate([[0], np.cumsum(sizes)])
-        self.doc_term = np.concatenate(self.terms) if n else np.zeros(0, np.int32)
-        freq = np.concatenate(self.freqs) if n else np.zeros(0, np.int32)
-        self.terms, self.freqs = [], []
-        norm = K1 * (1 - B + B * np.array(self.lengths, float) / self.mean)
-        doc = np.repeat(np.arange(n, dtype=np.int32), sizes)
-        self.doc_part = freq / (freq + norm[doc])  # exact; one for each posting, by document
-        order = np.argsort(self.doc_term, kind="stable")
-        self.post_doc = doc[order]
-        self.post_part = self.doc_part[order].astype(np.float32)
+        self.ids = [self.ids[i] for i in order]
+        self.lengths = lengths[order]
+        by_term = np.argsort(self.doc_term, kind="stable")
+        self.post_doc = np.repeat(np.arange(n, dtype=np.int32), sizes)[by_term]
+        self.post_freq = self.doc_freq[by_term]
+        self.words, self.freqs = [], []
+        return self._prepare()
+
+    def pack(self) -> bytes:
+        names = ("mean", "ids", "vocabulary", "doc_freq", "doc_term", "doc_start", "lengths", "post_doc", "post_freq")
+        return pickle.dumps({x: getattr(self, x) for x in names}, protocol=5)
+
+    @classmethod
+    def load(cls, data: bytes) -> Shard:
+        shard = cls(1.0)
+        shard.__dict__.update(pickle.loads(data))
+        return shard._prepare()
+
+    def _prepare(self) -> Shard:
+        """What search() needs beside the packed index: bounds of terms and blocks, and rows of the frequent terms."""
+        n, v = len(self.ids), len(self.vocabulary)
+        self.norm = K1 * (1 - B + B * self.lengths / self.mean)
+        self.doc_size = np.diff(self.doc_start)
         self.df = np.bincount(self.doc_term, minlength=v)
         self.start = np.concatenate([[0], np.cumsum(self.df)])
+        part = self.post_freq / (self.post_freq + self.norm[self.post_doc])
+        self.post_part = part.astype(np.float32)
         self.top = np.maximum.reduceat(self.post_part, self.start[:-1]) if v else np.zeros(0, np.float32)
         # Block maxima of terms long enough that blocks tell more than the whole list does.
         self.blocks = -(-n // BLOCK) if n else 0
         self.block_row = np.full(v, -1, np.int64)
         long = np.flatnonzero(self.df >= max(4 * self.blocks, 1))
+        self.block_row[long] = np.arange(len(long))
         self.block_top = np.zeros((len(long), self.blocks), np.float32)
         for r, t in enumerate(long.tolist()):
-            self.block_row[t] = r
             lo, hi = self.start[t], self.start[t + 1]
-            np.maximum.at(self.block_top[r], self.post_doc[lo:hi] // BLOCK, self.post_part[lo:hi])
+            block = self.post_doc[lo:hi] // BLOCK
+            first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+            self.block_top[r, block[first]] = np.maximum.reduceat(self.post_part[lo:hi], first)
         # Terms in many documents also stand as a full row.
         frequent = np.flatnonzero(self.df * DENSE >= n) if n else np.zeros(0, np.int64)
         frequent = frequent[np.argsort(-self.df[frequent], kind="stable")[:MOST_DENSE]]
@@ -93,6 +150,7 @@ class Shard:
             lo, hi = self.start[t], self.start[t + 1]
             self.dense[r, self.post_doc[lo:hi]] = self.post_part[lo:hi]
         self.weight = np.zeros(v)
+        return self
 
     def _sums(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """For every document the weighted sum over the postings of some terms."""
@@ -112,25 +170,27 @@ class Shard:
             size, first = sizes[lo : lo + 4096], self.doc_start[docs[lo : lo + 4096]]
             total = int(size.sum())
             at = np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(total)
-            part = self.weight[self.doc_term[at]] * self.doc_part[at]
+            freq = self.doc_freq[at]
+            part = self.weight[self.doc_term[at]] * (freq / (freq + np.repeat(self.norm[docs[lo : lo + 4096]], size)))
             full = size > 0
             if total:
                 ends = np.cumsum(size)
                 out[lo : lo + 4096][full] = np.add.reduceat(part, (ends - size)[full])
         return out
 
-    def search(self, queries: list[tuple[list[bytes], np.ndarray, float]], k: int) -> list[list[tuple]]:
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray, float]], k: int) -> list[list[tuple]]:
         """For each query (words, weights, floor) the best k (doc id, score) with a score over 0 and not under the floor.
 
-        Equal scores rank by the lesser id.  Terms with a full row are added for all queries in one product.
+        Equal scores rank by the lesser id.  Terms with a full row are added for all queries of QUERIES in one product.
         """
-        if not self.ids or k < 1:
+        if len(queries) > QUERIES:
+            return [x for lo in range(0, len(queries), QUERIES) for x in self.search(queries[lo : lo + QUERIES], k)]
+        if not len(self.vocabulary) or k < 1:
             return [[] for _ in queries]
-        get = self.vocabulary.get
         asked, full = [], np.zeros((len(queries), len(self.dense)), np.float32)
         for i, (words, weights, _) in enumerate(queries):
-            terms = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-            known = (terms >= 0) & (weights > 0)
+            terms = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
+            known = (self.vocabulary[terms] == words) & (weights > 0)
             terms, weights = terms[known], weights[known]
             rows = self.dense_row[terms]
             full[i, rows[rows >= 0]] = weights[rows >= 0]
@@ -190,36 +250,54 @@ class Shard:
 
 
 def document_frequencies(texts: DataFrame) -> DataFrame:
-    """w binary, df long over column t; the empty word stands for a document and its df counts all; n_words sums their words.
+    """h long, df long over column t: documents that hold the word with this fingerprint; each task counts its own first.
 
-    Each task counts its own documents first.
+    A row with a null h counts the documents as df, and its n_words (null elsewhere) their words.
     """
-    ddl = "w binary, df long, n_words long"
+    ddl = "h long, df long, n_words long"
     schema = arrow_schema(ddl)
 
     def run(batches):
-        df, words = Counter(), 0
+        memory, df, n, words = fingerprints(), Counter(), 0, 0
 
-        def out():
-            ws = list(df)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, t.type) for c, t in zip((ws, [df[w] for w in ws], [words if w == b"" else 0 for w in ws]), schema)],
-                schema=schema,
-            )
+        def out(hs, counts, n_words):
+            cols = [pa.array(c, pa.int64()) for c in (hs, counts, n_words)]
+            return pa.RecordBatch.from_arrays(cols, schema=schema)
 
-        for batch in batches:
+        def all_out():
+            hs = np.fromiter(df, np.uint64, len(df)).view(np.int64)
+            return out(hs, np.fromiter(df.values(), np.int64, len(df)), [None] * len(df))
+
+        for batch in parts_of(batches):
             for text in batch.column(0).to_pylist():
                 w = text.lower().split()
                 words += len(w)
-                df.update(set(w))
-                df[b""] += 1
-                if len(df) > 300_000:
-                    yield out()
-                    df, words = Counter(), 0
+                n += 1
+                memory.trim()
+                df.update(map(memory.__getitem__, set(w)))
+                if len(df) > 500_000:
+                    yield all_out()
+                    df = Counter()
         if df:
-            yield out()
+            yield all_out()
+        if n:
+            yield out([None], [n], [words])
 
-    return texts.mapInArrow(run, ddl).groupBy("w").agg(F.sum("df").alias("df"), F.sum("n_words").alias("n_words"))
+    return texts.mapInArrow(run, ddl).groupBy("h").agg(F.sum("df").alias("df"), F.sum("n_words").alias("n_words"))
+
+
+def _asked(queries: DataFrame, stats: DataFrame, n: int, shards: int) -> DataFrame:
+    """q, home, n_words, words and weights (fingerprints and weights as bytes) of queries (q, t)."""
+    idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return (
+        queries.mapInArrow(_query_words, "q long, h long, c long")
+        .join(stats.filter("h is not null").select("h", "df"), "h")
+        .groupBy("q")
+        .agg(F.collect_list(F.struct("h", (F.col("c") * idf).alias("x"))).alias("m"))  # one text's words
+        .select("q", F.col("m.h").alias("h"), F.col("m.x").alias("x"))
+        .mapInArrow(_pack, "q long, n_words long, words binary, weights binary")
+        .withColumn("home", F.pmod(F.xxhash64("q", F.lit(1)), F.lit(shards)).cast("int"))
+    )
 
 
 def top_k(
@@ -229,130 +307,157 @@ def top_k(
     id_col: str = "doc_id",
     text_col: str = "text",
     shard_postings: int = SHARD_POSTINGS,
+    query_block: int = QUERY_BLOCK,
 ) -> DataFrame:
     """The k best documents for each row of `docs` that `is_query` holds for: query_id, rank, doc_id, score.
 
     A query is the whole text of its row: each distinct word weighs its count times its idf,
     log(1 + (N - df + 0.5) / (df + 0.5)).  Every row is searched, the query's own included.  Equal scores (to six
-    decimals) rank by the lesser id.  A null text is empty: as a document never found, as a query without results.
-    Repeated rows are documents each; rows with an equal query id are one query each and rank apart.
+    decimals) rank by the lesser id.  A null text is empty: as a document never found, as a query without results; a
+    null `is_query` is no query.  Repeated rows are documents each; rows with an equal query id are one query each and rank
+    apart.  An empty table gives an empty result.  Very long texts are indexed and asked whole.  Ids must be whole numbers, others
+    raise TypeError; a null id is found as null.  Other columns are not read, so their names don't matter.
+
+    Queries times documents is quadratic, and so are the cells of one shard and one block of queries; each cell reads one
+    index of about `shard_postings` postings and `query_block` queries, which alone are sent to all tasks at once.
     """
     spark = docs.sparkSession
+    kind = docs.schema[id_col].dataType
+    if kind.simpleString() not in ("bigint", "int", "smallint", "tinyint"):
+        raise TypeError("ids must be whole numbers")
     text = utf8(text_col).alias("t")
     stats = staged(document_frequencies(docs.select(text)), "frequencies")
-    whole = stats.filter(F.length("w") == 0).first()
+    whole = stats.filter("h is null").first()
     n = whole["df"] if whole else 0
     mean = whole["n_words"] / n if n else 0.0
-    postings = stats.filter(F.length("w") > 0).agg(F.sum("df")).first()[0] or 0
+    postings = stats.filter("h is not null").agg(F.sum("df")).first()[0] or 0
     shards = max(1, -(-postings // shard_postings))
-
-    # Queries with the weights of their terms.
-    asked = staged(
-        docs.filter(is_query).select(F.monotonically_increasing_id().alias("q"), F.col(id_col).alias("query_id"), text),
-        "queries",
-    )
-    idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = (
-        asked.select("q", "t")
-        .mapInArrow(_query_words, "q long, w binary, c long")
-        .join(stats.select("w", "df"), "w")
-        .groupBy("q")
-        .agg(F.sort_array(F.collect_list(F.struct("w", (F.col("c") * idf).alias("x")))).alias("m"))  # one text's words
-        .select("q", F.col("m.w").alias("words"), F.col("m.x").alias("weights"))
-        .mapInArrow(_pack, "q long, words binary, weights binary")
-    )
-    everywhere = weighed.select(
-        F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"),
-        F.lit(1).alias("kind"),
-        F.col("q").alias("id"),
-        F.col("words").alias("t"),
-        "weights",
+    queries = staged(
+        docs.filter(is_query).select(F.monotonically_increasing_id().alias("q"), F.col(id_col).alias("query_id"), text), "queries"
     )
-    kind = docs.schema[id_col].dataType
-    if kind.simpleString() not in ("bigint", "int", "smallint", "tinyint"):
-        raise TypeError("ids must be whole numbers")
+    asked = staged(_asked(queries.select("q", "t"), stats, n, shards), "asked")
+    discard(stats)
+    # One row a shard and a row group each, so that tasks share out the shards of a file.
+    index = staged(_index(docs.select(F.col(id_col).cast("long").alias("id"), text), asked, k, mean, shards), "index", 1)
+    at_home = index.select(F.explode(F.arrays_zip("q", "d", "s")).alias("x")).select("x.q", F.col("x.d").alias("doc_id"), F.col("x.s").alias("score"))
+    found = [at_home]
+    if shards > 1:
+        floors = at_home.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("floor")).filter(F.col("n") == k)
+        size = asked.agg(F.count(F.lit(1)).alias("q"), F.sum("n_words").alias("w")).first()
+        blocks = max(-(-size["q"] // query_block), -(-(size["w"] or 0) // QUERY_WORDS))
+        dealt = staged(
+            asked.join(floors.select("q", "floor"), "q", "left")
+            .withColumn("floor", F.coalesce("floor", F.lit(0.0)))
+            .withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int"))
+            .repartition("block"),
+            "dealt",
+        )
+        for b in range(blocks):
+            block = dealt.filter(F.col("block") == b).select("q", "home", "words", "weights", "floor").toArrow()
+            sent = spark.sparkContext.broadcast(
+                [
+                    (q, home, np.frombuffer(w, np.uint64), np.frombuffer(x, np.float64), floor)
+                    for q, home, w, x, floor in zip(*[c.to_pylist() for c in block.columns])
+                ]
+            )
+            found.append(staged(_search_block(index, sent, k), "found"))
+            sent.destroy()
+        discard(dealt)
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    order = Window.partitionBy("q").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last())
+    ranked = out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return ranked.join(queries.select("q", "query_id"), "q").select("query_id", "rank", "doc_id", "score")
+
+
+def _index(docs: DataFrame, asked: DataFrame, k: int, mean: float, shards: int) -> DataFrame:
+    """One row a shard: shard, data (the packed index), and q, d, s: what its home queries find there."""
     indexed = docs.select(
         F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int").alias("shard"),
-        F.lit(0).alias("kind"),
-        F.col(id_col).cast("long").alias("id"),
-        text,
-        F.lit(None).cast("binary").alias("weights"),
-    )
-    ddl = "q long, doc_id long, score double"
+        F.lit(0).alias("kind"), "id", "t", F.lit(None).cast("binary").alias("weights"),
+    )
+    at_home = asked.select(F.col("home").alias("shard"), F.lit(1).alias("kind"), F.col("q").alias("id"), F.col("words").alias("t"), "weights")
+    ddl = "shard int, data binary, q array<long>, d array<long>, s array<double>"
     schema = arrow_schema(ddl)
 
     def run(batches):
-        shard = number = None
-        sealed = False
-        best: dict[int, list[float]] = {}  # the best k scores of each query in the shards that this task searched so far
-
-        def answers(queries):
-            floor = lambda i: best[i][-1] if len(best.get(i, ())) == k else 0.0
-            given = [(t.split(b" "), np.frombuffer(w, np.float64), floor(i)) for i, t, w in queries]
-            for (i, _, _), found in zip(queries, shard.search(given, k)):
-                if found:
-                    best[i] = sorted([*best.get(i, ()), *[x for _, x in found]], reverse=True)[:k]
-                    least = floor(i)
-                    yield from ((i, d, x) for d, x in found if x >= least)
+        memory, shard, number, queries = fingerprints(), None, None, []
 
-        for batch in batches:
-            out, queries = [], []
+        def out():
+            shard.seal()
+            found = shard.search([x[1:] for x in queries], k)
+            flat = [(q[0], d, s) for q, rows in zip(queries, found) for d, s in rows]
+            cols = [[number], [shard.pack()], *[[[x[i] for x in flat]] for i in range(3)]]
+            return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, schema)], schema=schema)
+
+        for batch in parts_of(batches):
             for s, what, i, t, weights in zip(*[c.to_pylist() for c in batch.columns]):
-                if queries and (s != number or len(queries) == QUERIES):
-                    out += answers(queries)
-                    queries = []
                 if s != number:
-                    shard, number, sealed = Shard(mean), s, False
+                    if shard is not None:
+                        yield out()
+                    shard, number, queries = Shard(mean), s, []
                 if what == 0:
-                    shard.add(i, t)
-                    continue
-                if not sealed:
-                    shard.seal()
-                    sealed = True
-                queries.append((i, t, weights))
-            if queries:
-                out += answers(queries)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), schema)], schema=schema)
-
-    tasks = -(-shards // SHARDS_A_TASK)
-    found = (
-        indexed.union(everywhere)
+                    shard.add(i, *counted(t, memory))
+                else:
+                    queries.append((i, np.frombuffer(t, np.uint64), np.frombuffer(weights, np.float64), 0.0))
+        if shard is not None:
+            yield out()
+
+    tasks = min(shards, TASKS)
+    return (
+        indexed.union(at_home)
         .repartitionById(tasks, (F.col("shard") % tasks).cast("int"))  # the same number of shards for each task
         .sortWithinPartitions("shard", "kind")
         .mapInArrow(run, ddl)
     )
-    order = Window.partitionBy("q").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last())
-    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.join(asked.select("q", "query_id"), "q").select("query_id", "rank", "doc_id", "score")
+
+
+def _search_block(index: DataFrame, sent, k: int) -> DataFrame:
+    """q, doc_id, score: what a block of queries finds in all shards but their home, not under their floors."""
+    ddl = "q long, doc_id long, score double"
+    schema = arrow_schema(ddl)
+
+    def run(batches):
+        for batch in batches:
+            for number, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                shard = Shard.load(memoryview(data.as_buffer()))
+                queries = [x for x in sent.value if x[1] != number]
+                found = shard.search([x[2:] for x in queries], k)
+                flat = [(x[0], d, s) for x, rows in zip(queries, found) for d, s in rows]
+                if flat:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*flat), schema)], schema=schema)
+
+    return index.select("shard", "data").mapInArrow(run, ddl)
 
 
 def _query_words(batches):
-    for batch in batches:
-        q, w, c = [], [], []
+    memory = fingerprints()
+    for batch in parts_of(batches):
         for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            counts = Counter(t.lower().split())
-            q += [i] * len(counts)
-            w += counts.keys()
-            c += counts.values()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(q, pa.int64()), pa.array(w, pa.binary()), pa.array(c, pa.int64())], names=["q", "w", "c"]
-        )
+            h, c = counted(t, memory)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(h), i, np.int64)), pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], names=["q", "h", "c"]
+            )
 
 
 def _pack(batches):
-    """Words, which hold no space, joined by spaces, and weights as bytes: a query crosses to each shard in little room."""
+    """Fingerprints in order and weights as bytes: a query crosses to its home and to a block in little room."""
     for batch in batches:
         q, words, weights = (c.to_pylist() for c in batch.columns)
+        h = [np.array(x, np.int64).view(np.uint64) for x in words]
+        order = [np.argsort(x) for x in h]
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(q, pa.int64()),
-                pa.array([b" ".join(w) for w in words], pa.binary()),
-                pa.array([np.array(x, np.float64).tobytes() for x in weights], pa.binary()),
+                pa.array([len(x) for x in h], pa.int64()),
+                pa.array([x[o].tobytes() for x, o in zip(h, order)], pa.binary()),
+                pa.array([np.array(x, np.float64)[o].tobytes() for x, o in zip(weights, order)], pa.binary()),
             ],
-            names=["q", "words", "weights"],
+            names=["q", "n_words", "words", "weights"],
         )
 
 
 def op8_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return top_k(table(spark, sf_dir, "documents"), F.col("doc_id") % 50 == 0)
+    """query_id, rank, doc_id and score: the ten best documents for each whose id is divisible by 50."""
+    return top_k(texts_of(spark, sf_dir), F.col("doc_id") % 50 == 0)

@@ -17,12 +17,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_chunks, table
+from .common import kept_names, map_chunks, texts_of
 
-#: Pieces that a Python worker remembers; beyond it the memory starts anew.
-MEMORY = 400_000
-#: Distinct pieces in one replay at most.
-BATCH = 20_000
+#: Bytes of pieces and ids that a Python worker remembers; beyond it the memory starts anew.
+MEMORY = 96 << 20
+#: Distinct pieces in one replay, and their bytes, at most; a longer piece is replayed alone.
+BATCH, BATCH_BYTES = 20_000, 1 << 20
 
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
@@ -122,17 +122,24 @@ class Codec:
         self.ranks = ranks
         self.find = regex.compile(pattern).findall
         self.memory: dict[str, bytes] = {}
+        self.used = 0
         self.token = {str(r).encode(): t for t, r in ranks.items()}
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """For each text its ids in decimal, with one space after each."""
         cut = [self.find(x) for x in texts]
-        if len(self.memory) > MEMORY:
+        if self.used > MEMORY:
             self.memory.clear()
+            self.used = 0
         memory = self.memory
-        new = list({p for pieces in cut for p in pieces if p not in memory})
-        for i in range(0, len(new), BATCH):
-            self._learn(new[i : i + BATCH])
+        batch, size = [], 0
+        for p in {p for pieces in cut for p in pieces if p not in memory}:
+            if len(batch) == BATCH or (batch and size + len(p) > BATCH_BYTES):
+                self._learn(batch)
+                batch, size = [], 0
+            batch.append(p)
+            size += len(p)
+        self._learn(batch)
         return [b"".join(map(memory.__getitem__, pieces)) for pieces in cut]
 
     def _learn(self, new: list[str]) -> None:
@@ -140,6 +147,7 @@ class Codec:
         for p in new:
             b = p.encode()
             rank = self.ranks.get(b)
+            self.used += 5 * len(b) + 200
             if rank is None:
                 rest.append((p, b))
             else:
@@ -179,7 +187,8 @@ def encode(
     of the tokenizer's fixed size) goes to the executors.  ids is array<int>; intact tells whether the decoded
     ids give the text's bytes again.  With `digests`
     ids_sha256 is of the decimal ids joined by one space, decoded_sha256 of the decoded bytes.  A null text counts as
-    empty and has no tokens; every row gives one row.
+    empty and has no tokens; every row gives one row, repeated ones too, and an empty table none.  Very long texts and
+    words are encoded whole.  A kept column that is called like an output comes out with an underscore before its name.
     """
     with open(vocabulary, "rb") as f:
         data = f.read()
@@ -206,7 +215,7 @@ def encode(
     out = map_chunks(source, make, ", ".join([*kinds, result]), lambda row: len(row[-1]))
     names = ("ids_sha256", "decoded_sha256") if digests else ("ids", "intact")
     return out.select(
-        *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)],
+        *[F.col(f"k{i}").alias(c) for i, c in enumerate(kept_names(keep, ("n_tokens", *names)))],
         F.col("n").alias("n_tokens"),
         F.col("a").alias(names[0]),
         F.col("b").alias(names[1]),
@@ -214,10 +223,11 @@ def encode(
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and the digests of ids and decoded bytes of all documents."""
     import public_tokenizers
 
     return encode(
-        table(spark, sf_dir, "documents"),
+        texts_of(spark, sf_dir),
         public_tokenizers.path("byte_bpe_50k.tiktoken"),
         public_tokenizers.PATTERN,
         digests=True,

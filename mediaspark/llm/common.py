@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,8 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
     return conf
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back.
+def staged(df: DataFrame, name: str, group_rows: int | None = None) -> DataFrame:
+    """Write df as Parquet, with row groups of `group_rows` rows if given, in the shared folder and read it back.
 
     This cuts the lineage, so a lost executor costs no more than the stages after the table, and it
     freezes values such as row ids that a second evaluation could draw differently.
@@ -45,12 +46,30 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/staged/{name}-{uuid.uuid4().hex}"
     with small_batches(spark):
-        df.write.parquet(path)
+        (df.write.option("parquet.block.row.count.limit", group_rows) if group_rows else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged = path
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def temporary():
+    """Delete all tables staged within, at the end: for a caller who has written what came from them by then.
+
+    Operators whose results are evaluated later can't delete what these still read.  Gives the list of tables; one taken out stays.
+    """
+    _scopes.append([])
+    try:
+        yield _scopes[-1]
+    finally:
+        discard(*_scopes.pop())
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete staged() tables that nothing reads any more: all that came from them is staged itself."""
     for df in tables:
@@ -67,6 +86,14 @@ def fresh_name(columns: list[str], name: str) -> str:
     return name
 
 
+def kept_names(keep: tuple[str, ...], outputs: tuple[str, ...]) -> list[str]:
+    """Names of kept columns beside an operator's own outputs: one that is called like an output gets underscores before it."""
+    names: list[str] = []
+    for c in keep:
+        names.append(fresh_name([*outputs, *names], c))
+    return names
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -92,6 +119,10 @@ def utf8(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
 
 
+#: Bytes of counts that a task gathers before it hands them on.
+COUNTED = 64 << 20
+
+
 class Memo(dict):
     """What a Python worker remembers of words or pieces: of(key), computed once and kept until it takes `limit` bytes.
 
@@ -210,6 +241,64 @@ def _record_batch(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, arrow)], schema=arrow)
 
 
+def summed(df: DataFrame, f: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray | None:
+    """The sum over all batches of what f gives, None without rows.  A task hands one vector to the driver, whatever its rows.
+
+    The parts are added exactly, so their order doesn't matter.
+    """
+    ddl = "s array<double>"
+    schema = arrow_schema(ddl)
+
+    def run(batches):
+        total = None
+        for batch in parts_of(batches):
+            part = f(batch)
+            total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total], schema.field(0).type)], schema=schema)
+
+    rows = df.mapInArrow(run, ddl).collect()
+    return np.array([math.fsum(c) for c in zip(*[r["s"] for r in rows])]) if rows else None
+
+
+def minimise(f: Callable, w: np.ndarray, rounds: int = 40, tolerance: float = 1e-6) -> np.ndarray:
+    """The minimum of a convex function by limited-memory BFGS: f(w) gives (value, gradient).
+
+    Each f is a pass over the data; a step that Armijo's rule refuses is halved.
+    """
+    value, g = f(w)
+    steps: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(rounds):
+        d, kept = -g, []
+        for s, y in reversed(steps):
+            a = s @ d / (y @ s)
+            d = d - a * y
+            kept.append(a)
+        if steps:
+            s, y = steps[-1]
+            d = d * (s @ y) / (y @ y)
+        for (s, y), a in zip(steps, reversed(kept)):
+            d = d + s * (a - y @ d / (y @ s))
+        slope = float(g @ d)
+        if slope >= 0 or not np.isfinite(slope):
+            break
+        step = 1.0 if steps else min(1.0, 1.0 / max(1e-12, np.abs(g).sum()))
+        for _ in range(12):
+            new = w + step * d
+            then, h = f(new)
+            if then <= value + 1e-4 * step * slope:
+                break
+            step /= 2
+        else:
+            break
+        if (new - w) @ (h - g) > 1e-14:
+            steps = [*steps, (new - w, h - g)][-10:]
+        gain, w, g, value = value - then, new, h, then
+        if gain <= tolerance * max(1e-3, abs(value)):
+            break
+    return w
+
+
 def arrow_schema(schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

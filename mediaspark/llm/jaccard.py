@@ -276,7 +276,8 @@ def jaccard_links(
         "row", "doc_id", "n", F.coalesce("class", "row").alias("class")
     )
     documents = documents.union(rows.filter("n = 0").select("row", "doc_id", "n", F.col("row").alias("class")))
-    return documents, classes.select(F.col("row").alias("class"), "n", "least_id", "copies"), links, named
+    classes = classes.select(F.col("row").alias("class"), "n", "least_id", "copies", "tk", "k1", "k2")
+    return documents, classes, links, named
 
 
 def _may_link(common, total, percent: int):
@@ -487,6 +488,98 @@ def _links(docs, classes, pairs, text_col, width, percent, name) -> DataFrame:
     return links
 
 
+#: Tokens of the sets on each side of a cell, about, when links are counted.
+CELL_TOKENS = 1 << 16
+
+
+def link_counts(
+    docs: DataFrame,
+    percent: int = 90,
+    width: int = 3,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    rare: int = RARE,
+    row_col: str | None = None,
+) -> DataFrame:
+    """One row a document: row, doc_id, n_shingles, class, group and n_links, the exact number of other texts (classes) it is similar to.
+
+    All links lie within groups.  The sets of a group are dealt over cells of two parts of about CELL_TOKENS tokens, and a cell
+    lets out one number a set, so no pair is written and no link is lost; the work still grows with the square of a group's
+    number of different texts, which is why op1 does without it.  Edge cases are those of jaccard_links().
+    """
+    documents, classes, _, named = jaccard_links(docs, percent, width, id_col, text_col, rare, row_col)
+    grouped = classes.select(F.col("class").alias("row"), "n", "k1", "k2", "tk").join(named.withColumnRenamed("v", "row"), "row")
+    grouped = staged(grouped.select("row", "n", "k1", "k2", "tk", F.col("component").alias("group")), "grouped")
+    sets = staged(_whole_sets(docs, grouped, text_col, width), "group-sets")
+    sizes = grouped.groupBy("group").agg(F.ceil(F.sum("n") / CELL_TOKENS).alias("parts"))
+    dealt = spread_join(grouped.select("row", "group"), sizes, ["group"], "row", root_of(grouped)).join(sets, "row")
+    dealt = dealt.withColumn("i", F.pmod(F.xxhash64("row"), F.col("parts")))
+    # Each set is sent once to every cell of its part's row and column, upper half alone.
+    others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    cells = dealt.withColumn("other", others).select(
+        "group", F.least("i", "other").alias("i"), F.greatest("i", "other").alias("j"), (F.col("i") <= F.col("other")).alias("left"), "row", "s"
+    )
+    ddl = "row long, links long"
+    schema = arrow_schema(ddl)
+
+    def counts(a: list[np.ndarray], b: list[np.ndarray], same: bool) -> np.ndarray:
+        """A table of a's sets by b's: whether they are similar."""
+        flat = np.concatenate([*a, *b])
+        _, token = np.unique(flat, return_inverse=True)
+        sizes_ = np.array([len(x) for x in [*a, *b]])
+        owner = np.repeat(np.arange(len(sizes_)), sizes_)
+        in_a = owner < len(a)
+        ta, oa = token[in_a], owner[in_a]
+        tb, ob = token[~in_a], owner[~in_a] - len(a)
+        order = np.argsort(tb, kind="stable")
+        tb, ob = tb[order], ob[order]
+        shared = np.zeros((len(a), len(b)), np.int64)
+        lo, hi = np.searchsorted(tb, ta), np.searchsorted(tb, ta, "right")
+        for o in range(len(a)):
+            mine = np.flatnonzero(oa == o)
+            n = hi[mine] - lo[mine]
+            at = np.repeat(lo[mine] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            shared[o] = np.bincount(ob[at], minlength=len(b))
+        total = sizes_[: len(a), None] + sizes_[None, len(a) :]
+        hit = _may_link(shared, total, percent)
+        if same:
+            np.fill_diagonal(hit, False)
+        return hit
+
+    def run(batches):
+        key, a, b = None, [], []
+
+        def out():
+            if key[1] == key[2]:
+                hit = counts([x[1] for x in a], [x[1] for x in a], True)
+                found = list(zip([x[0] for x in a], hit.sum(1).tolist()))
+            elif a and b:
+                hit = counts([x[1] for x in a], [x[1] for x in b], False)
+                found = [*zip([x[0] for x in a], hit.sum(1).tolist()), *zip([x[0] for x in b], hit.sum(0).tolist())]
+            else:
+                found = []
+            return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*found), schema)], schema=schema) if found else None
+
+        for batch in parts_of(batches):
+            heads = zip(*[c.to_pylist() for c in batch.columns[:5]])
+            for k, (group, i, j, left, row) in enumerate(heads):
+                if (group, i, j) != key:
+                    if key is not None and (done := out()) is not None:
+                        yield done
+                    key, a, b = (group, i, j), [], []
+                (a if left else b).append((row, batch.column(5)[k].values.to_numpy()))
+        if key is not None and (done := out()) is not None:
+            yield done
+
+    keys = ["group", "i", "j"]
+    found = cells.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, ddl).groupBy("row").agg(F.sum("links").alias("n_links"))
+    linked = grouped.select(F.col("row").alias("class"), "group").join(found.withColumnRenamed("row", "class"), "class")
+    return documents.join(linked, "class", "left").select(
+        "row", "doc_id", F.col("n").alias("n_shingles"), "class", F.coalesce("group", "class").alias("group"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+    )
+
+
 def jaccard_components(
     docs: DataFrame,
     percent: int = 90,

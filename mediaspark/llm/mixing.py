@@ -66,7 +66,8 @@ def mix(
     differ from the target by no more than the source's longest document.  The offset of a source is a hash
     of its name and `seed`, so reruns agree.  A null source is a source of its own, a null size counts as 0,
     repeated rows are rows like any other, an empty table gives an empty result.  `row` numbers the rows of
-    `docs` in their scan order; no source is ever gathered in one task, however many rows it holds.
+    `docs` in their scan order; no source is ever gathered in one task, however many rows it holds.  Sizes of very long
+    texts count whole; columns other than id, source and what `size` reads are not read.
     """
     rows = staged(
         docs.select(
@@ -128,6 +129,7 @@ def words(text_col: str = "text"):
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the words that the mix takes of each."""
     return mix(table(spark, sf_dir, "documents"), words()).select(
         "doc_id",
         "size",

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, remainder, staged, table, utf8
+from .common import COUNTED, arrow_schema, kept_names, parts_of, remainder, staged, texts_of, utf8
 
 ORDER = 3
 #: Stands before a text's first byte and, as a symbol, for its end; no UTF-8 text holds it.
@@ -31,6 +31,8 @@ EDGE = 255
 MAX_CONTEXTS = 16_384
 #: Words whose counts are broadcast, at most: those with at least 1 / MAX_COMMON of all training tokens.
 MAX_COMMON = 200_000
+#: Bytes of a word that is broadcast, at most.
+COMMON_BYTES = 64
 #: Whole numbers that stand for 1 in sums of logarithms, so that the order of adding doesn't matter.
 FIXED = 10**10
 _CHUNK = 1 << 20
@@ -163,13 +165,16 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
     def run(batches):
         counts: Counter = Counter()
-        for batch in batches:
+        used = 0
+        for batch in parts_of(batches):
             for text in batch.column(0).to_pylist():
-                counts.update(text.lower().split())
+                words = text.lower().split()
+                used += sum(len(w) + 150 for w in set(words).difference(counts))
+                counts.update(words)
                 counts[b""] += 1
-                if len(counts) > 300_000:
+                if used > COUNTED:
                     yield _emit(schema, list(counts), list(counts.values()))
-                    counts = Counter()
+                    counts, used = Counter(), 0
         if counts:
             yield _emit(schema, list(counts), list(counts.values()))
 
@@ -192,7 +197,7 @@ def gram_counts(texts: DataFrame) -> DataFrame:
             first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
             return codes[first], np.add.reduceat(counts, first)
 
-        for batch in batches:
+        for batch in parts_of(batches):
             for texts_ in _chunks(batch.column(0).to_pylist()):
                 parts.append(grams(texts_))
                 if sum(len(p[0]) for p in parts) > 2_000_000:
@@ -317,7 +322,9 @@ def score(
 
     Returns `keep`, n_tokens (words and one end), n_known (tokens with a count), train_tokens, base_score (add-one
     unigram, log10) and score (PPM, log10).  A null text counts as empty: its one token is the end.  Repeated rows
-    are scored each and count each.  Without training rows every token is unknown and both models are uniform.
+    are scored each and count each.  Without training rows every token is unknown and both models are uniform; an empty
+    table gives an empty result.  Very long texts are scored whole, by rows of fixed size for each of their distinct codes.
+    A kept column that is called like an output comes out with an underscore before its name; others are not read.
 
     The counts of words that make up at least 1 / max_common of the tokens are broadcast; all other words of a
     text go to their counts in a join, once a text.  So do bytes after contexts that train() doesn't keep; neither
@@ -328,8 +335,8 @@ def score(
     counts = staged(word_counts(train_texts), "words")
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = totals["n"], totals["v"]
-    # At most max_common words and the end.
-    common = counts.filter((F.col("c") * max_common >= n) | (F.length("w") == 0)).toArrow()
+    # At most max_common words of COMMON_BYTES bytes, and the end.
+    common = counts.filter(((F.col("c") * max_common >= n) & (F.length("w") <= COMMON_BYTES)) | (F.length("w") == 0)).toArrow()
     table_ = dict(zip(common.column("w").to_pylist(), common.column("c").to_pylist()))
     sent_common = spark.sparkContext.broadcast(table_)
     full = staged(gram_counts(train_texts), "grams")
@@ -356,7 +363,7 @@ def score(
         trie = sent_trie.value
         logs = {w: round(float(np.log10(c + 1)) * FIXED) for w, c in sent_common.value.items()}
         end = logs.get(b"")
-        for batch in batches:
+        for batch in parts_of(batches):
             cols = [c.to_pylist() for c in batch.columns]
             for lo, hi in _spans([len(t) for t in cols[-1]]):
                 texts = cols[-1][lo:hi]
@@ -398,8 +405,9 @@ def score(
     known = F.col("known") + F.coalesce("more_known", F.lit(0))
     logs = (F.col("part") + F.coalesce("more", F.lit(0))) / F.lit(float(FIXED))
     scored = scored.drop("trained", "w", "m", "codes", "times")
+    names = kept_names(keep, ("n_tokens", "n_known", "train_tokens", "base_score", "score"))
     return scored.join(found, "row", "left").join(coded, "row", "left").select(
-        *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)],
+        *[F.col(f"k{i}").alias(c) for i, c in enumerate(names)],
         "n_tokens",
         known.alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
@@ -424,6 +432,7 @@ def held_out() -> Column:
 
 
 def op7_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(table(spark, sf_dir, "documents"), ~held_out()).select(
+    """doc_id, held_out, token counts, base score and score of all documents, learnt from those that are not held out."""
+    return score(texts_of(spark, sf_dir), ~held_out()).select(
         "doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )

@@ -2,21 +2,19 @@
 
 Trusted positives, unlabelled texts and an estimated class prior train a linear classifier that minimises
 the non-negative unbiased risk: prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)).
-Labelled negatives are never trained on.
+The prior too is estimated from positives and unlabelled texts; labelled negatives are used nowhere.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, map_rows, remainder, staged, table, utf8
+from .common import discard, kept_names, map_rows, remainder, staged, summed, table, texts_of, utf8
 
 _MARKS = b"#*$%&<>!@^~|="
 _PUNCT = np.zeros(256, bool)
@@ -89,163 +87,205 @@ class QualityModel:
     prior: float
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.mean) / self.scale, -6, 6) @ self.weights + self.bias
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        return _logistic(standardised(x, self.mean, self.scale) @ self.weights + self.bias)
 
 
-#: How often training on a sample is set right by the risk and gradient of all unlabelled texts.
-PASSES = 4
+#: Bins of a score between 0 and 1.
+BINS = 1_000
 
 
-def risk_sums(u: np.ndarray, w: np.ndarray, b: float) -> np.ndarray:
-    """Sums over rows: 1, the loss of calling it positive, and that loss's gradient for w and b."""
-    s = 1 / (1 + np.exp(-(u @ w + b)))
-    # d/dz of log(1 + e^z) is s
-    return np.concatenate([[len(u), -np.log(1 - np.minimum(s, 1 - 1e-12)).sum()], s @ u, [s.sum()]])
+def _logistic(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train_nnpu(
-    positive: np.ndarray,
-    unlabelled: np.ndarray,
-    prior: float,
-    rounds: int = 800,
-    decay: float = 1e-3,
-    rate: float = 0.05,
-    moments: tuple[np.ndarray, np.ndarray] | None = None,
-    whole: Callable[..., np.ndarray] | None = None,
-) -> QualityModel:
-    """Minimise the non-negative PU risk of a linear model under the logistic loss, by full gradient steps.
+def standardised(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    return np.clip((x - mean) / scale, -6, 6)
+
+
+def risk_sums(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Sums over rows: 1, the loss of calling each negative, z, the gradients of both for (w, b), and the former's curvature."""
+    x = np.column_stack([x, np.ones(len(x))])
+    z = x @ w
+    s = _logistic(z)
+    curvature = x.T @ (x * (s * (1 - s))[:, None])
+    return np.concatenate([[len(x), np.logaddexp(0, z).sum(), z.sum()], s @ x, x.sum(0), curvature.reshape(-1)])
+
 
-    While the estimated negative risk is below 0 the step goes up its gradient instead, as the
-    non-negative estimator asks.
+def descend(f: Callable, w: np.ndarray, rounds: int = 20, tolerance: float = 1e-8) -> np.ndarray:
+    """The minimum of a convex function by Newton's steps: f(w) gives (value, gradient, curvature, whether w is allowed).
 
-    Where `unlabelled` is a sample, give `moments`, the mean and deviation of all unlabelled rows, and
-    `whole`: (mean, scale, w, b) -> risk_sums() over all.  Training then starts anew PASSES times, each time with the
-    sample's risk and gradient shifted to those of all rows at the weights found last, so only the curvature
-    between one pass and the next stems from the sample.
+    A step that does not lower the value enough, or leads to where it isn't allowed, is halved.
     """
-    if not len(unlabelled) or not len(positive):
-        width = max(positive.shape[1] if positive.ndim == 2 else N_FEATURES, 1)
-        return QualityModel(np.zeros(width), np.ones(width), np.zeros(width), float(np.log(prior / (1 - prior))), prior)
-    mean, deviation = moments or (unlabelled.mean(0), unlabelled.std(0))
-    scale = np.maximum(deviation, 0.02)
-    p = np.clip((positive - mean) / scale, -6, 6)
-    u = np.clip((unlabelled - mean) / scale, -6, 6)
-
-    def descend(anchor: np.ndarray, shift: np.ndarray) -> np.ndarray:
-        at = np.zeros(len(anchor))
-        m, v = np.zeros(len(at)), np.zeros(len(at))
-        for t in range(1, rounds + 1):
-            sp = 1 / (1 + np.exp(-(p @ at[:-1] + at[-1])))
-            sums = risk_sums(u, at[:-1], at[-1])[1:] / len(u) + shift
-            loss, g_u = sums[0] + shift[1:] @ (at - anchor), sums[1:]
-            # d/dz of log(1 + e^-z) is s - 1
-            dp = sp - 1
-            negative = loss + prior * np.log(1 - np.minimum(sp, 1 - 1e-12)).mean()
-            g_pos = prior * np.append(dp @ p, dp.sum()) / len(p)
-            g_neg = g_u - prior * np.append(sp @ p, sp.sum()) / len(p)
-            g = g_pos + g_neg if negative >= 0 else -g_neg
-            g[:-1] += decay * at[:-1]
-            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            at = at - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        return at
-
-    at = np.zeros(p.shape[1] + 1)
-    at = descend(at, np.zeros(len(at) + 1))
-    for _ in range(PASSES if whole else 0):
-        sums = whole(mean, scale, at[:-1], at[-1])
-        at = descend(at, sums[1:] / sums[0] - risk_sums(u, at[:-1], at[-1])[1:] / len(u))
-    return QualityModel(mean, scale, at[:-1], float(at[-1]), prior)
-
-
-def estimate_prior(labels: DataFrame, label_col: str = "quality") -> float:
-    """Share of positives among unlabelled texts: that of the labelled training rows, drawn from the same texts."""
-    row = labels.filter(F.col(label_col).isNotNull()).agg(
-        F.count(F.lit(1)).alias("n"), F.sum((F.col(label_col) == 1).cast("int")).alias("p")
-    ).first()
-    return float(np.clip(((row["p"] or 0) + 1) / (row["n"] + 2), 0.05, 0.97))
-
-
-def _sums(measured: DataFrame, f: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-    """Sum over all rows (x) of what f gives for a block of them; a task hands one row to the driver."""
-    ddl = "s array<double>"
-    schema = arrow_schema(ddl)
-
-    def run(batches):
-        total = None
-        for batch in batches:
-            if batch.num_rows:
-                part = f(batch.column(0).flatten().to_numpy().reshape(batch.num_rows, N_FEATURES))
-                total = part if total is None else total + part
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total], schema.field(0).type)], schema=schema)
-
-    rows = measured.select("x").mapInArrow(run, ddl).collect()
-    return np.array([math.fsum(c) for c in zip(*[r["s"] for r in rows])])
+    value, g, h, _ = f(w)
+    for _ in range(rounds):
+        d = -np.linalg.solve(h + 1e-9 * np.eye(len(w)), g)
+        slope, step = float(g @ d), 1.0
+        if -slope <= tolerance:
+            break
+        for _ in range(10):
+            then, *more, allowed = f(w + step * d)
+            if allowed and then <= value + 1e-4 * step * slope:
+                break
+            step /= 2
+        else:
+            break
+        w, value, (g, h) = w + step * d, then, more
+    return w
+
+
+#: sums(mean, scale, w) gives risk_sums() of all texts, of the positives and of each of two halves of the positives.
+Sums = Callable[[np.ndarray, np.ndarray, np.ndarray], list[np.ndarray]]
+
+
+def best_bin(unlabelled: np.ndarray, positive: np.ndarray, delta: float = 0.1, gamma: float = 0.01) -> float:
+    """Share of positives among unlabelled texts, by best bin estimation from counts of both by bins of a score.
+
+    Of the texts over a threshold, positives have at most the share q_u / q_p; the threshold is taken at which the
+    upper bound of that share, for samples of these sizes, is least.  No negative is needed.
+    """
+    n_u, n_p = unlabelled.sum(), positive.sum()
+    if not n_u or not n_p:
+        return 0.5
+    q_u, q_p = unlabelled[::-1].cumsum() / n_u, positive[::-1].cumsum() / n_p
+    slack = np.sqrt(np.log(4 / delta) / (2 * n_u)) + (1 + gamma) * np.sqrt(np.log(4 / delta) / (2 * n_p))
+    seen = q_p > 0
+    share, bound = q_u[seen] / q_p[seen], (q_u[seen] + slack) / q_p[seen]
+    return float(np.clip(share[np.argmin(bound)], 0.02, 0.98))
+
+
+def _parts(sums: np.ndarray, k: int) -> tuple:
+    """Means of risk_sums() over its rows: loss, z, the gradients of both, and the curvature."""
+    m = sums / max(1.0, sums[0])
+    return m[1], m[2], m[3 : 3 + k], m[3 + k : 3 + 2 * k], m[3 + 2 * k :].reshape(k, k)
+
+
+def _ridge(w: np.ndarray, decay: float) -> tuple[float, np.ndarray, np.ndarray]:
+    v = np.append(w[:-1], 0)
+    return decay / 2 * float(v @ v), decay * v, np.diag(np.append(np.full(len(w) - 1, decay), 0))
+
+
+def train_told_apart(sums: Sums, mean: np.ndarray, scale: np.ndarray, decay: float = 1e-3) -> np.ndarray:
+    """Weights that tell the first half of the positives from all texts, both weighing one half."""
+
+    def f(w):
+        k = len(w)
+        u, _, p, _ = sums(mean, scale, w)
+        (lu, _, gu, _, hu), (lp, zp, gp, xp, hp) = _parts(u, k), _parts(p, k)
+        r, gr, hr = _ridge(w, decay)
+        # The loss of calling a positive is that of calling it negative less z.
+        return lu + lp - zp + r, gu + gp - xp + gr, hu + hp + hr, True
+
+    return descend(f, np.zeros(len(mean) + 1))
+
+
+def train_nnpu(sums: Sums, prior: float, mean: np.ndarray, scale: np.ndarray, decay: float = 1e-3) -> np.ndarray:
+    """Weights and bias of least non-negative PU risk under the logistic loss.
+
+    For this loss the unbiased risk, prior * R+(positives) - prior * R-(positives) + R-(all texts), is convex.  Its
+    negative part R-(all texts) - prior * R-(positives) estimates a risk that can't be below 0: a step that would
+    take it there is shortened, so the descent stays where the non-negative risk and the unbiased one are equal.
+    """
+
+    def f(w):
+        k = len(w)
+        u, p, *_ = sums(mean, scale, w)
+        (lu, _, gu, _, hu), (lp, zp, _, xp, _) = _parts(u, k), _parts(p, k)
+        r, gr, hr = _ridge(w, decay)
+        return lu - prior * zp + r, gu - prior * xp + gr, hu + hr, lu - prior * lp >= 0
+
+    return descend(f, np.zeros(len(mean) + 1))
 
 
 def fit(
     docs: DataFrame,
     labels: DataFrame,
     max_positive: int = 10_000,
-    max_unlabelled: int = 20_000,
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "quality",
 ) -> QualityModel:
-    """Learn from the positive rows of `labels` (give training rows only) and from texts without regard to labels.
+    """Learn from the positive rows of `labels` (give training rows only) and from all texts without regard to labels.
+
+    `max_positive` bounds the labelled ids that count as positives: those least by a hash.  All documents are measured
+    once, and all enter the means, the scales, the class prior and the unlabelled risk.  Each step of the training is a pass
+    over these measurements whose sums alone reach the driver, however often an id repeats or is null.
+
+    The prior is estimated without negatives: weights that tell half of the positives from all texts give a score, and
+    best_bin() compares how the other half and all texts lie on it.
 
-    All documents are measured, and all enter the means, the scales and the unlabelled risk, as sums.  The driver
-    steps on at most `max_positive` labelled and `max_unlabelled` other ones, those least by a hash of the id, and
-    sets the latter right by the sums over all.  Null labels are left out, null texts are empty, repeated ids count
-    as often as they stand.
+    Null labels and null ids of labels are left out, null texts are empty, repeated rows count as often as they stand.
+    Without documents or without a positive among them every text scores 0.5.  Very long texts are measured whole; other
+    columns are not read.
     """
+    half = F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(2)).cast("int") + 1
     good = (
-        labels.filter(F.col(label_col) == 1)
+        labels.filter((F.col(label_col) == 1) & F.col(id_col).isNotNull())
         .select(F.col(id_col).alias("_id"))
         .distinct()
         .orderBy(F.xxhash64("_id"), "_id")
         .limit(max_positive)
+        .withColumn("_half", half)
     )
-    ids = docs.select(F.col(id_col).alias("_id"))
-    some = ids.orderBy(F.xxhash64("_id", F.lit(1)), "_id").limit(max_unlabelled).distinct()
-    chosen = (
-        good.withColumn("p", F.lit(1))
-        .unionByName(some.withColumn("p", F.lit(0)))
-        .groupBy("_id")
-        .agg(F.max("p").alias("p"), F.min("p").alias("u"), F.count(F.lit(1)).alias("n"))
+    # At most max_positive ids are broadcast.
+    texts = docs.select(F.col(id_col).alias("_id"), utf8(text_col).alias("_t")).join(F.broadcast(good), "_id", "left")
+    measured = staged(
+        map_rows(
+            texts.select(F.coalesce("_half", F.lit(0)).alias("half"), "_t"),
+            lambda: lambda row: (row[0], features(row[1])),
+            "half int, x array<double>",
+        ),
+        "quality",
     )
-    texts = docs.select(F.col(id_col).alias("_id"), utf8(text_col).alias("_t"))
-    kind = texts.schema["_id"].dataType.simpleString()
 
-    def make():
-        return lambda row: (row[0], features(row[1]))
+    def rows(batch) -> tuple[np.ndarray, np.ndarray]:
+        return batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().reshape(batch.num_rows, N_FEATURES)
+
+    def moments(batch):
+        half, x = rows(batch)
+        return np.concatenate([[len(x), (half == 1).sum(), (half == 2).sum()], x.sum(0), (x * x).sum(0)])
+
+    total = summed(measured, moments)
+    if total is None or not total[1] + total[2]:
+        discard(measured)
+        return QualityModel(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES), 0.0, 0.5)
+    n, *_ = total
+    mean = total[3 : 3 + N_FEATURES] / n
+    scale = np.maximum(np.sqrt(np.maximum(total[3 + N_FEATURES :] / n - mean**2, 0)), 0.02)
+    # With few positives both halves are all of them.
+    split = min(total[1], total[2]) >= 20
 
-    measured = staged(map_rows(texts, make, f"_id {kind}, x array<double>"), "quality")
-    # max_positive + max_unlabelled ids at most are broadcast.
-    sample = measured.join(F.broadcast(chosen), measured["_id"].eqNullSafe(chosen["_id"])).select("p", "u", "x")
-    rows = sample.collect()
-    x = np.array([r["x"] for r in rows], dtype=float).reshape(len(rows), N_FEATURES)
-    p = np.array([r["p"] == 1 for r in rows], dtype=bool)
-    u = np.array([r["u"] == 0 for r in rows], dtype=bool)
-    prior = estimate_prior(labels, label_col)
-    if not u.any():
-        return train_nnpu(x[p], x[u], prior)
+    def sums(mean, scale, w):
+        def of(batch):
+            half, x = rows(batch)
+            x = standardised(x, mean, scale)
+            return np.concatenate([risk_sums(x, w), risk_sums(x[half == 1], w), risk_sums(x[half == 2], w)])
 
-    sums = _sums(measured, lambda x: np.concatenate([[len(x)], x.sum(0)]))
-    mean = sums[1:] / sums[0]
-    deviation = np.sqrt(_sums(measured, lambda x: ((x - mean) ** 2).sum(0)) / sums[0])
+        u, a, b = np.split(summed(measured, of), 3)
+        return [u, a + b, a, b] if split else [u, a + b, a + b, a + b]
 
-    def whole(mean, scale, w, b):
-        return _sums(measured, lambda x: risk_sums(np.clip((x - mean) / scale, -6, 6), w, b))
+    apart = train_told_apart(sums, mean, scale)
 
-    return train_nnpu(x[p], x[u], prior, moments=(mean, deviation), whole=whole)
+    def bins(batch):
+        half, x = rows(batch)
+        s = _logistic(standardised(x, mean, scale) @ apart[:-1] + apart[-1])
+        at = np.minimum((s * BINS).astype(int), BINS - 1)
+        own = half == 2 if split else half > 0
+        return np.concatenate([np.bincount(at, minlength=BINS), np.bincount(at[own], minlength=BINS)]).astype(float)
+
+    prior = best_bin(*np.split(summed(measured, bins), 2))
+    w = train_nnpu(sums, prior, mean, scale)
+    discard(measured)
+    return QualityModel(mean, scale, w[:-1], float(w[-1]), prior)
 
 
 def score(
     docs: DataFrame, model: QualityModel, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text"
 ) -> DataFrame:
-    """`keep` and score, 0 to 1, of each whole text, in one pass without a shuffle; a null text counts as empty."""
+    """`keep` and score, 0 to 1, of each whole text, in one pass without a shuffle.
+
+    A null text counts as empty, each row gives one row (repeated ones too), an empty table none.  A kept column named score
+    comes out as _score; other columns are not read.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     source = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], utf8(text_col).alias("t"))
     kinds = [f"k{i} {source.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep))]
@@ -255,7 +295,8 @@ def score(
         return lambda row: (*row[:-1], float(m.score(np.array(features(row[-1])))))
 
     out = map_rows(source, make, ", ".join([*kinds, "score double"]))
-    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "score")
+    names = kept_names(keep, ("score",))
+    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(names)], "score")
 
 
 THRESHOLD = 0.3
@@ -271,7 +312,8 @@ def held_out() -> Column:
 
 
 def op10_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """doc_id, held_out, score and predicted of all documents, learnt from the labels that are not held out."""
+    docs = texts_of(spark, sf_dir)
     model = fit(docs, training_rows(table(spark, sf_dir, "labels")))
     return score(docs, model).select(
         "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")

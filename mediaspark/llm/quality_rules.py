@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, table, utf8
+from .common import kept_names, map_rows, texts_of, utf8
 
 MEASURES = (
     "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long, "
@@ -107,17 +107,21 @@ def _measured(docs: DataFrame, keep: tuple[str, ...], text_col: str) -> DataFram
 def ledger(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """`keep`, the measurements and `failed_bits`, one row a document.
 
-    A null text counts as empty: all measurements 0, bit 0 set.  Repeated rows and ties get equal rows; any
-    further columns of `docs` may be named in `keep`, except those with the name of a measurement.
+    A null text counts as empty: all measurements 0, bit 0 set.  Repeated rows and ties get equal rows, an empty table none;
+    very long texts are measured whole.  Any further columns of `docs` may be named in `keep`; one that is called like a
+    measurement comes out with an underscore before its name.
     """
-    names = [x.split()[0] for x in MEASURES.split(", ")]
+    outputs = [*[x.split()[0] for x in MEASURES.split(", ")], "failed_bits"]
     return _measured(docs, keep, text_col).select(
-        *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *names, "failed_bits"
+        *[F.col(f"k{i}").alias(c) for i, c in enumerate(kept_names(keep, tuple(outputs)))], *outputs
     )
 
 
 def kept(docs: DataFrame, policy: int | None = None, text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, with all their columns whatever their names, that a policy keeps."""
+    """The rows of `docs`, with all their columns whatever their names, that a policy keeps.
+
+    A null or empty text has too few words for every policy; repeated rows share a fate; an empty table stays empty.
+    """
     columns = docs.columns
     rows = _measured(docs, tuple(columns), text_col).filter(~rejected(CURRENT_POLICY if policy is None else policy))
     return rows.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(columns)])
@@ -154,7 +158,8 @@ def ablations(rows: DataFrame, policy: int = CURRENT_POLICY) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger(table(spark, sf_dir, "documents")).select(
+    """The measurements, the base verdict and the current policy's, and the failure bits, of all documents."""
+    return ledger(texts_of(spark, sf_dir)).select(
         "doc_id",
         "n_words",
         "word_chars",

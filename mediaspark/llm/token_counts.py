@@ -14,13 +14,11 @@ import ahocorasick
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, table
+from .common import Memo, kept_names, map_rows, texts_of
 
 SPACE = "▁"
 #: Below the lowest score of the vocabulary, for a character without a piece of its own.
 UNKNOWN_PENALTY = 10.0
-#: Words that a Python worker remembers; beyond it the memory starts anew.
-MEMORY = 400_000
 
 
 class Counter:
@@ -44,7 +42,7 @@ class Counter:
             if p:
                 self.matches.add_word(p, (len(p), s))
         self.matches.make_automaton()
-        self.memory: dict[str, int] = {}
+        self.memory = Memo(self.word)
 
     def word(self, word: str) -> int:
         """Pieces of a word that no boundary cuts."""
@@ -78,9 +76,7 @@ class Counter:
     def count(self, text: str) -> int:
         if not text:
             return 0
-        memory = self.memory
-        if len(memory) > MEMORY:
-            memory.clear()
+        self.memory.trim()
         if not self.bytes_known:  # a run of unknown characters counts once, and it may cross any boundary
             return self.word((" " + text).replace(" ", SPACE))
         lines = (" " + text).replace(SPACE, " ").split("\n")
@@ -91,11 +87,7 @@ class Counter:
             else:
                 first, *rest = line.split(" ")
                 words = ([first] if first else []) + [SPACE + w for w in rest]
-            for w in words:
-                n = memory.get(w)
-                if n is None:
-                    n = memory[w] = self.word(w)
-                total += n
+            total += sum(map(self.memory.__getitem__, words))
         return total
 
 
@@ -145,8 +137,9 @@ def count_tokens(
 ) -> DataFrame:
     """`keep`, n_chars, n_bytes and n_tokens of each whole text, in one pass without a shuffle.
 
-    A null or empty text has no tokens.  Every row gives one row, so repeated rows stay.  The vocabulary, of the
-    tokenizer's fixed size, is all that is broadcast.
+    A null or empty text has no tokens.  Every row gives one row, so repeated rows stay; an empty table gives none.  Very long
+    texts and words are counted whole.  A kept column that is called like an output comes out with an underscore before its
+    name.  The vocabulary, of the tokenizer's fixed size, is all that is broadcast.
     """
     key = hashlib.sha256(repr(vocabulary).encode()).hexdigest()
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
@@ -159,12 +152,14 @@ def count_tokens(
         return lambda row: (*row[:-1], len(row[-1]), len(row[-1].encode()), count(row[-1]))
 
     out = map_rows(source, make, ", ".join([*kinds, "n_chars long, n_bytes long, n_tokens long"]))
-    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "n_chars", "n_bytes", "n_tokens")
+    outputs = ("n_chars", "n_bytes", "n_tokens")
+    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(kept_names(keep, outputs))], *outputs)
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_chars, n_bytes and n_tokens of all documents."""
     import public_tokenizers
 
     return count_tokens(
-        table(spark, sf_dir, "documents"), read_vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+        texts_of(spark, sf_dir), read_vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
     )

@@ -3,7 +3,8 @@
 Voters (lexicons and patterns) fire or keep silent on each text.  A generative label model estimates from
 all votes of the corpus how often each voter fires under either class and how far voters depend on each
 other given the class, and turns votes into posterior labels.  A linear classifier on words and word
-beginnings, trained on the posterior labels, gives the score.
+beginnings, trained on the posterior labels of all documents, gives the score.  Given labels do two things: lexicons are mined
+from them, and they tell the label model which of its two classes is the toxic one.
 
 Voters 0 to 6 stem from a fixed English lexicon, 7 and 8 are patterns, 9 to 15 are lexicons mined from labelled
 texts, so languages that the fixed lexicon lacks have voters too.
@@ -18,7 +19,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, remainder, staged, table, utf8
+from .common import (
+    COUNTED, Memo, discard, kept_names, map_rows, minimise, parts_of, remainder, staged, summed, table, texts_of, utf8,
+)
 
 #: English insults by kind, one voter each.
 LEXICON = (
@@ -37,8 +40,6 @@ _MARKS = re.compile(r"[\W_]+")
 LONG = 40
 #: Word beginnings of these lengths, in characters, are features beside whole words.
 PREFIXES = (4, 5, 6)
-#: Words that a Python worker remembers.
-MEMORY = 400_000
 
 
 def features_of(word: bytes) -> list[str]:
@@ -51,15 +52,16 @@ def features_of(word: bytes) -> list[str]:
     return [f for w in parts if w for f in ("w" + w, *["p" + w[:n] for n in PREFIXES if len(w) > n])]
 
 
-def _found(text: bytes, memory: dict, index: dict[str, int]) -> set[int]:
+def lookup(index: dict[str, int]) -> Memo:
+    """The indexed features of each word asked for."""
+    return Memo(lambda w: tuple(index[f] for f in features_of(w) if f in index))
+
+
+def found(text: bytes, memory: Memo) -> set[int]:
     """The indexed features that a text holds."""
-    if len(memory) > MEMORY:
-        memory.clear()
+    memory.trim()
     out: set[int] = set()
-    for w in set(text.lower().split()):
-        ids = memory.get(w)
-        if ids is None:
-            ids = memory[w] = tuple(index[f] for f in features_of(w) if f in index)
+    for ids in map(memory.__getitem__, set(text.lower().split())):
         if ids:
             out.update(ids)
     return out
@@ -75,15 +77,16 @@ class Votes:
             for w in words:
                 self.index["w" + w] = len(self.kind)
                 self.kind.append(("fixed", group))
-        for k, f in enumerate(mined):
-            if f not in self.index:
-                self.index[f] = len(self.kind)
-                self.kind.append((f[0], k % 3))
-        self.memory: dict = {}
-
-    def bits(self, text: bytes) -> int:
+        for k, f in enumerate(f for f in mined if f not in self.index):
+            self.index[f] = len(self.kind)
+            self.kind.append((f[0], k % 3))
+        self.memory = lookup(self.index)
+
+    def __call__(self, text: bytes) -> tuple[int, list[int]]:
+        """The vote bits and the indexed features."""
+        ids = found(text, self.memory)
         bits = fixed = mined = 0
-        for i in _found(text, self.memory, self.index):
+        for i in ids:
             kind, group = self.kind[i]
             if kind == "fixed":
                 fixed += 1
@@ -101,7 +104,7 @@ class Votes:
             bits |= 1 << 8
         if mined >= 2:
             bits |= 1 << 15
-        return bits
+        return bits, sorted(ids)
 
 
 @dataclass
@@ -175,46 +178,63 @@ class ToxicityModel:
     label_model: LabelModel | None
 
 
-def train_linear(x: list[list[int]], size: int, target: np.ndarray, rounds: int = 300, decay: float = 3e-4):
-    """Logistic regression on feature lists with soft targets, by full gradient steps with momentum estimates."""
-    rows = np.repeat(np.arange(len(x)), [len(v) for v in x])
-    cols = np.fromiter((i for v in x for i in v), dtype=np.int64, count=len(rows))
-    w, b = np.zeros(size), 0.0
-    m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
-    n = max(1, len(x))
-    # Each class weighs one half in total, tempered, so a rare class is learnt too.
-    share = float(np.clip(target.mean() if len(target) else 0.5, 0.02, 0.98))
-    weight = target * (0.5 / share) ** 0.5 + (1 - target) * (0.5 / (1 - share)) ** 0.5
-    for t in range(1, rounds + 1):
-        z = np.bincount(rows, w[cols], minlength=len(x)) + b
-        d = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) / n
-        gw = np.bincount(cols, d[rows], minlength=size) + decay * w
-        gb = d.sum()
-        m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw
-        mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
-        fix1, fix2 = 1 - 0.9**t, 1 - 0.99**t
-        w = w - 0.1 * (m / fix1) / (np.sqrt(v / fix2) + 1e-8)
-        b = b - 0.1 * (mb / fix1) / (np.sqrt(vb / fix2) + 1e-8)
-    return w, float(b)
+def loss_sums(offsets, ids, counts, target, weight, w: np.ndarray) -> np.ndarray:
+    """Sums over rows of feature lists: the logistic loss against soft targets, and its gradient for (weights, bias).
+
+    Row i holds the features ids[offsets[i]:offsets[i + 1]] and stands for counts[i] texts.
+    """
+    n = len(counts)
+    rows = np.repeat(np.arange(n), np.diff(offsets))
+    z = np.bincount(rows, w[ids], minlength=n) + w[-1]
+    c = counts * weight
+    d = c * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target)
+    loss = c @ (np.logaddexp(0, z) - target * z)
+    return np.concatenate([[loss], np.bincount(ids, d[rows], minlength=len(w) - 1), [d.sum()]])
+
+
+def train_linear(sums, size: int, total: float, decay: float = 3e-4) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft targets: sums(w) gives loss_sums() of all texts, `total` in number."""
+
+    def f(w):
+        s = sums(w) / total
+        v = np.append(w[:-1], 0)
+        return s[0] + decay / 2 * (v @ v), s[1:] + decay * v
+
+    w = minimise(f, np.zeros(size + 1))
+    return w[:-1], float(w[-1])
+
+
+def class_weights(share: float) -> tuple[float, float]:
+    """Weights of clean and toxic: each class weighs one half in total, tempered, so a rare class is learnt too."""
+    share = float(np.clip(share, 0.02, 0.98))
+    return (0.5 / (1 - share)) ** 0.5, (0.5 / share) ** 0.5
+
+
+#: Least number of toxic labelled texts that a mined feature stands in, the least share of toxic ones among its texts, and by how
+#: many standard deviations the toxic ones outnumber what chance gives.
+MINED_TEXTS, MINED_SHARE, MINED_SIGMA = 4, 0.6, 5.0
 
 
 def fit(
     docs: DataFrame,
     labels: DataFrame,
     max_labelled: int = 20_000,
-    max_candidates: int = 50_000,
-    max_features: int = 512,
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
 ) -> ToxicityModel:
     """Learn from the rows of `labels` (give training rows only) and the unlabelled votes of all of `docs`.
 
-    `max_labelled` bounds the labelled rows that lexicons and classifier are fitted on: those least by a
-    hash of their id; `max_candidates` and `max_features` bound the mined features.  The vote statistics cover
-    all documents.  Labels that are null are left out, a null text is empty, repeated ids count once for the
-    labels.  Without labelled rows of both classes only the fixed lexicon and the patterns vote.
+    `max_labelled` bounds the labelled ids used, those least by a hash; lexicons are all the features that their texts
+    show to be toxic ones beyond chance.  Vote statistics and classifier cover all documents: their votes and lexicon
+    features are written once as a table of distinct rows with counts, and each step of the training is a pass over it, whose
+    sums alone reach the driver, however many rows an id has.
+
+    Labels that are null, or of a null id, are left out, a null text is empty, repeated ids count once for the labels and
+    each row of `docs` is a text.  Without labelled texts of both classes only the fixed lexicon votes, each of its words with one
+    weight; so with an empty table.  Very long texts are read whole; columns other than id and text are not read.
     """
+    spark = docs.sparkSession
     gold = (
         labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
         .groupBy(F.col(id_col).alias("_id"))
@@ -225,104 +245,110 @@ def fit(
     texts = docs.select(F.col(id_col).alias("_id"), utf8(text_col).alias("_t"))
     # At most max_labelled ids and labels are broadcast.
     sample = staged(texts.join(F.broadcast(gold), "_id").select("_y", "_t"), "labelled")
-
-    # Features of enough positive texts are candidates; then their negatives are counted.
-    sizes = {r["_y"]: r["n"] for r in sample.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_pos, n_neg = sizes.get(1, 0), sizes.get(0, 0)
-    mined: list[str] = []
-    if n_pos and n_neg:
-        least = max(4, round(0.004 * n_pos))
-        positive = sample.filter("_y = 1").mapInArrow(_features_of_rows, "f string")
-        common = positive.groupBy("f").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
-        top = common.orderBy(F.desc("n"), "f").limit(max_candidates).collect()
-        positives = {r["f"]: r["n"] for r in top}
-        index = {f: i for i, f in enumerate(positives)}
-        sent = docs.sparkSession.sparkContext.broadcast(index)
-        negative = sample.filter("_y = 0").mapInArrow(_counts_of_rows(sent), "i int, n long").groupBy("i").agg(F.sum("n").alias("n"))
-        negatives = {r["i"]: r["n"] for r in negative.collect()}
-        scored = []
-        for f, p in positives.items():
-            q = negatives.get(index[f], 0)
-            if p >= 0.6 * (p + q):  # more often toxic than not, at the rates of the labelled rows
-                scored.append((-(p * p) / (p + 3 * q), f))
-        mined = [f for _, f in sorted(scored)[:max_features]]
-
-    model = Votes(mined)
-    index = model.index
-    sent_mined = docs.sparkSession.sparkContext.broadcast(mined)
+    n = {r["_y"]: r["n"] for r in sample.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    mined = _mine(sample, n.get(1, 0), n.get(0, 0)) if n.get(1) and n.get(0) else []
+    index = Votes(mined).index
+    sent = spark.sparkContext.broadcast(mined)
 
     def make_votes():
-        votes = Votes(sent_mined.value)
-        return lambda row: (row[0], votes.bits(row[1]))
-
-    all_votes = map_rows(texts.select(F.lit(0).alias("y"), "_t"), make_votes, "y int, bits int")
-    patterns = all_votes.groupBy("bits").agg(F.count(F.lit(1)).alias("n")).toPandas()
-    gold_votes = map_rows(sample, make_votes, "y int, bits int")
-    known = gold_votes.groupBy("bits").agg(
-        F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")
-    ).toPandas()
+        votes = Votes(sent.value)
+        return lambda row: (row[0], *votes(row[1]))
+
+    if not (n.get(1) and n.get(0)):
+        discard(sample)
+        return ToxicityModel(list(index), np.full(len(index), 4.0), -4.0, None)
+    ddl = "y int, bits int, x array<int>"
+    everything = map_rows(texts.select(F.lit(0).alias("y"), "_t"), make_votes, ddl)
+    # Most texts hold few lexicon features or none, so the distinct rows are few.
+    table_ = staged(everything.groupBy("bits", "x").agg(F.count(F.lit(1)).alias("n")), "votes")
+    # At most 2 ** VOTERS rows reach the driver, of all texts and of the labelled ones.
+    patterns = table_.groupBy("bits").agg(F.sum("n").alias("n")).toPandas()
+    known = (
+        map_rows(sample, make_votes, ddl)
+        .groupBy("bits")
+        .agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+        .toPandas()
+    )
     as_array = lambda s, kind=float: np.asarray(s, dtype=kind)
+    bits, counts = as_array(patterns["bits"], np.int64), as_array(patterns["n"])
     label_model = fit_label_model(
-        as_array(patterns["bits"], np.int64), as_array(patterns["n"]),
-        as_array(known["bits"], np.int64), as_array(known["pos"]), as_array(known["neg"]),
-    )
-
-    def make_rows():
-        votes = Votes(sent_mined.value)
-        return lambda row: (
-            row[0],
-            votes.bits(row[1]),
-            sorted(_found(row[1], votes.memory, votes.index)),
-        )
-
-    rows = map_rows(sample, make_rows, "y int, bits int, x array<int>").collect()
-    if not rows:
-        return ToxicityModel(list(index), np.full(len(index), 4.0), -4.0, label_model)
-    y = np.array([r["y"] for r in rows], dtype=float)
-    votes_only = label_model.posterior(unpack(np.array([r["bits"] for r in rows], dtype=np.int64)))
-    # The label itself is one more voter; its rates under each class follow from its agreement with the others.
-    hit = (y @ votes_only + 1) / (votes_only.sum() + 1.1)
-    false = (y @ (1 - votes_only) + 0.02) / ((1 - votes_only).sum() + 1.0)
-    hit, false = float(np.clip(hit, 0.7, 0.999)), float(np.clip(false, 0.001, 0.3))
-    odds = np.log(votes_only / (1 - votes_only)) + np.where(y == 1, np.log(hit / false), np.log((1 - hit) / (1 - false)))
-    target = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-    w, b = train_linear([r["x"] for r in rows], len(index), target)
+        bits, counts, as_array(known["bits"], np.int64), as_array(known["pos"]), as_array(known["neg"])
+    )
+    posterior = np.zeros(1 << VOTERS)
+    posterior[bits] = label_model.posterior(unpack(bits))
+    clean, toxic = class_weights(float(counts @ posterior[bits] / counts.sum()))
+    sent_posterior = spark.sparkContext.broadcast(posterior)
+
+    def sums(w):
+        def of(batch):
+            x = batch.column(1)
+            ids = x.flatten().to_numpy()
+            offsets = x.offsets.to_numpy() - x.offsets[0].as_py()
+            target = sent_posterior.value[batch.column(0).to_numpy()]
+            return loss_sums(offsets, ids, batch.column(2).to_numpy(), target, target * toxic + (1 - target) * clean, w)
+
+        return summed(table_, of)
+
+    w, b = train_linear(sums, len(index), float(counts.sum()))
+    discard(sample, table_)
     return ToxicityModel(list(index), w, b, label_model)
 
 
-def _features_of_rows(batches):
-    import pyarrow as pa
+def _mine(sample: DataFrame, n_pos: int, n_neg: int) -> list[str]:
+    """Features that toxic texts of `sample` (_y, _t) hold more often than chance gives, strongest first."""
+    counts = (
+        sample.mapInArrow(_class_counts, "f string, p long, n long")
+        .groupBy("f")
+        .agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    )
+    share = n_pos / (n_pos + n_neg)
+    p, n = F.col("p"), F.col("n")
+    told = counts.filter(
+        (p >= max(MINED_TEXTS, round(0.004 * n_pos)))
+        & (p >= MINED_SHARE * n)
+        & (p - share * n >= MINED_SIGMA * F.sqrt(n * share * (1 - share)))
+    )
+    # Each stands in a part of the labelled toxic texts, of which there are max_labelled at most.
+    return [r["f"] for r in sorted(told.collect(), key=lambda r: (-(r["p"] ** 2) / (r["p"] + 3 * (r["n"] - r["p"])), r["f"]))]
 
-    for batch in batches:
-        t = batch.schema.get_field_index("_t")
-        for text in batch.column(t).to_pylist():
-            found = {f for w in set(text.lower().split()) for f in features_of(w)}
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string())], names=["f"])
 
+def _class_counts(batches):
+    """Toxic texts and all texts that hold each feature; a task sums its own first."""
+    import pyarrow as pa
 
-def _counts_of_rows(sent):
-    def run(batches):
-        import pyarrow as pa
+    counts: dict[str, list[int]] = {}
+    used = 0
 
-        index, memory = sent.value, {}
-        counts = np.zeros(len(index), dtype=np.int64)
-        for batch in batches:
-            t = batch.schema.get_field_index("_t")
-            for text in batch.column(t).to_pylist():
-                found = _found(text, memory, index)
-                counts[list(found)] += 1
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counts[some])], names=["i", "n"])
+    def out():
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(counts), pa.string()), *[pa.array([c[i] for c in counts.values()], pa.int64()) for i in (0, 1)]],
+            names=["f", "p", "n"],
+        )
 
-    return run
+    for batch in parts_of(batches):
+        y, t = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_y", "_t"))
+        for label, text in zip(y, t):
+            for f in {f for w in set(text.lower().split()) for f in features_of(w)}:
+                c = counts.get(f)
+                if c is None:
+                    c = counts[f] = [0, 0]
+                    used += 150 + len(f)
+                c[0] += label
+                c[1] += 1
+            if used > COUNTED:
+                yield out()
+                counts, used = {}, 0
+    if counts:
+        yield out()
 
 
 def score(
     docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text"
 ) -> DataFrame:
-    """`keep` and score, 0 to 1, of each whole text, in one pass without a shuffle; a null text counts as empty.
+    """`keep` and score, 0 to 1, of each whole text, in one pass without a shuffle.
 
-    Only text is read for the score.  The model, of at most max_features features, is all that is broadcast.
+    A null text counts as empty, each row gives one row (repeated ones too), an empty table none.  Only text is read
+    for the score; a kept column named score comes out as _score.  The model is all that is broadcast.
     """
     sent = docs.sparkSession.sparkContext.broadcast((model.features, model.weights, model.bias))
     source = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], utf8(text_col).alias("t"))
@@ -330,18 +356,18 @@ def score(
 
     def make():
         features, weights, bias = sent.value
-        index = {f: i for i, f in enumerate(features)}
-        memory: dict = {}
+        memory = lookup({f: i for i, f in enumerate(features)})
 
         def row(values):
-            found = sorted(_found(values[-1], memory, index))
-            z = bias + float(weights[found].sum()) if found else bias
+            ids = sorted(found(values[-1], memory))
+            z = bias + float(weights[ids].sum()) if ids else bias
             return (*values[:-1], 1 / (1 + float(np.exp(-min(30.0, max(-30.0, z))))))
 
         return row
 
     out = map_rows(source, make, ", ".join([*kinds, "score double"]))
-    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "score")
+    names = kept_names(keep, ("score",))
+    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(names)], "score")
 
 
 THRESHOLD = 0.7
@@ -357,7 +383,8 @@ def held_out() -> Column:
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """doc_id, held_out, score and predicted of all documents, learnt from the labels that are not held out."""
+    docs = texts_of(spark, sf_dir)
     model = fit(docs, training_rows(table(spark, sf_dir, "labels")))
     return score(docs, model).select(
         "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")

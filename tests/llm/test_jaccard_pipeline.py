@@ -104,6 +104,19 @@ def test_links_are_real(spark):
         assert 100 * len(x & y) >= 90 * len(x | y)
 
 
+@pytest.mark.parametrize("cell", [150, 1 << 16])
+def test_links_are_counted_exactly(spark, monkeypatch, cell):
+    """Each text's number of similar other texts, within groups cut in many parts or none."""
+    monkeypatch.setattr(jaccard, "CELL_TOKENS", cell)
+    rows = families(9, 140) + [(900, ""), (901, "one"), (902, "one")]
+    docs = documents(spark, [(i, t, "a") for i, t in rows]).repartition(3)
+    sets = {t: shingles(t, 2) for _, t in rows}
+    texts = {frozenset(s) for s in sets.values() if s}
+    want = {i: sum(s != sets[t] and 100 * len(s & sets[t]) >= 80 * len(s | sets[t]) for s in texts) for i, t in rows}
+    got = jaccard.link_counts(docs, 80, 2, rare=4).collect()
+    assert {r.doc_id: r.n_links for r in got} == want and max(want.values()) > 5
+
+
 def test_connected_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 80)] + [(rng.randint(2000, 2200), rng.randint(2000, 2200)) for _ in range(120)]
@@ -125,10 +138,10 @@ def plain_pipeline(spark, folder):
     """The stages over plain lists."""
     docs = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang", "source").collect()]
     model = toxicity.fit(spark.read.parquet(f"{folder}/documents.parquet"), toxicity.training_rows(spark.read.parquet(f"{folder}/labels.parquet")))
-    index = {f: i for i, f in enumerate(model.features)}
+    memory = toxicity.lookup({f: i for i, f in enumerate(model.features)})
 
     def toxic(text):
-        found = sorted(toxicity._found(text.encode(), {}, index))
+        found = sorted(toxicity.found(text.encode(), memory))
         return 1 / (1 + 2.718281828459045 ** -(model.bias + sum(model.weights[i] for i in found)))
 
     docs = [d for d in docs if toxic(d[1]) < toxicity.THRESHOLD]

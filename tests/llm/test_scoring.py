@@ -143,11 +143,122 @@ def test_toxicity_held_out(spark):
 def test_toxic_words_in_long_tokens_are_found():
     votes = toxicity.Votes(["wmarker"])
     glued = b"https://example.org/some-quite-long-path/of-an-IDIOT.and_a-stupid/marker?x=1"
-    assert len(glued.split()[0]) > toxicity.LONG and votes.bits(glued) == votes.bits(b"idiot stupid marker") != 0
+    assert len(glued.split()[0]) > toxicity.LONG and votes(glued) == votes(b"idiot stupid marker") != votes(b"")
     plain = "的" * 50
     assert toxicity.features_of(f"{plain}。marker".encode())[-1] == "pmarke" and "w" + plain in toxicity.features_of(plain.encode())
 
 
+def plain_label_model(votes, pos, neg, rounds=20):
+    """EM text by text: rates from labelled texts first, then from posteriors of all and the labels."""
+    x, g, y = votes, np.concatenate([pos, neg]), np.concatenate([np.ones(len(pos)), np.zeros(len(neg))])
+    prior = (len(pos) + 1) / (len(g) + 2)
+    scale = min(1.0, len(g) / len(x))
+    start = prior
+
+    def rates(r, c):
+        out = np.zeros((2, x.shape[1]))
+        for k in (0, 1):
+            for v in range(x.shape[1]):
+                own = sum(c * (r[i] if k else 1 - r[i]) * x[i, v] for i in range(len(x)))
+                labelled = sum(g[i, v] for i in range(len(g)) if y[i] == k)
+                whole = sum(c * (r[i] if k else 1 - r[i]) for i in range(len(x))) + (y == k).sum()
+                out[k, v] = min(max((own + labelled + 0.5 * start) / (whole + 1), 1e-4), 1 - 1e-4)
+        return out
+
+    theta, weights = rates(np.zeros(len(x)), 0.0), np.ones(x.shape[1])
+    for _ in range(rounds):
+        r = []
+        for row in x:
+            odds = np.log(prior / (1 - prior))
+            for v, bit in enumerate(row):
+                odds += weights[v] * np.log((theta[1, v] if bit else 1 - theta[1, v]) / (theta[0, v] if bit else 1 - theta[0, v]))
+            r.append(1 / (1 + np.exp(-min(30, max(-30, odds)))))
+        r = np.array(r)
+        theta = rates(r, scale)
+        prior = min(max((scale * r.sum() + len(pos) + 1) / (scale * len(x) + len(g) + 2), 1e-3), 0.999)
+        cov = np.zeros((x.shape[1],) * 2)
+        for row, p in zip(x, r):
+            cov += scale * (p * np.outer(row - theta[1], row - theta[1]) + (1 - p) * np.outer(row - theta[0], row - theta[0]))
+        for row, k in zip(g, y):
+            cov += np.outer(row - theta[int(k)], row - theta[int(k)])
+        sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
+        off = np.clip(cov / np.outer(sd, sd), 0, 1)
+        np.fill_diagonal(off, 0)
+        weights = 1 / (1 + off.sum(1))
+    return theta, prior, weights
+
+
+def test_label_model_equals_plain_em():
+    rng = np.random.default_rng(8)
+    y = rng.random(300) < 0.3
+    x = (rng.random((300, toxicity.VOTERS)) < np.where(y[:, None], 0.4, 0.05)).astype(float)
+    x[:, 3] = x[:, 2]
+    bits = (x.astype(int) << np.arange(toxicity.VOTERS)).sum(1)
+    patterns, counts = np.unique(bits, return_counts=True)
+    gold, at = np.unique(bits[:60], return_inverse=True)
+    m = toxicity.fit_label_model(
+        patterns, counts.astype(float), gold, np.bincount(at, y[:60]).astype(float), np.bincount(at, ~y[:60]).astype(float)
+    )
+    theta, prior, weights = plain_label_model(x, x[:60][y[:60]], x[:60][~y[:60]])
+    assert np.allclose(m.rates, theta, atol=1e-6) and abs(m.prior - prior) < 1e-6 and np.allclose(m.weights, weights, atol=1e-6)
+
+
+def test_toxicity_equals_a_plain_version(spark, prose):
+    """All votes, posteriors and the classifier's weights, from lists; the labels' texts are few among many."""
+    rng = np.random.default_rng(6)
+    toxic_words = ["idiot", "moron", "zorgish", "blarfen", "zorgly"]
+    rows = []
+    for i, t in enumerate(prose(900, 12, 10, 60)):
+        bad = rng.random() < 0.2
+        rows.append((i, t + "".join(f" {w}" for w in rng.choice(toxic_words, rng.integers(1, 4)) if bad) + (" !!" if bad and i % 3 else ""), int(bad)))
+    docs = documents(spark, [(i, t, "a") for i, t, _ in rows]).repartition(3)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows[:250]], "doc_id long, toxic int")
+    m = toxicity.fit(docs, labels)
+    # The lexicon: features of enough toxic texts, mostly of toxic ones, and beyond chance.
+    held, held_bad = Counter(), Counter()
+    for _, t, y in rows[:250]:
+        for f in {f for w in t.lower().encode().split() for f in toxicity.features_of(w)}:
+            held[f] += 1
+            held_bad[f] += y
+    n_pos = sum(y for _, _, y in rows[:250])
+    share = n_pos / 250
+    mined = {
+        f for f in held
+        if held_bad[f] >= 4 and held_bad[f] >= 0.6 * held[f] and held_bad[f] - share * held[f] >= 5 * (held[f] * share * (1 - share)) ** 0.5
+    }
+    fixed = {"w" + w for g in toxicity.LEXICON for w in g}
+    assert set(m.features) == mined | fixed and {"wzorgish", "pzorg", "wblarfen"} <= mined
+    votes = toxicity.Votes([f for f in m.features if f not in fixed])
+    at = {f: i for i, f in enumerate(m.features)}
+    assert votes.index == at
+    bits, x = zip(*[votes(t.encode()) for _, t, _ in rows])
+    gold, place = np.unique(bits[:250], return_inverse=True)
+    y = np.array([r[2] for r in rows[:250]], float)
+    patterns, counts = np.unique(bits, return_counts=True)
+    label_model = toxicity.fit_label_model(patterns, counts.astype(float), gold, np.bincount(place, y), np.bincount(place, 1 - y))
+    r = label_model.posterior(toxicity.unpack(np.array(bits)))
+    dense = np.zeros((len(rows), len(at) + 1))
+    for i, ids in enumerate(x):
+        dense[i, ids] = 1
+    dense[:, -1] = 1
+    clean, toxic = toxicity.class_weights(r.mean())
+    weight = r * toxic + (1 - r) * clean
+    w = np.append(m.weights, m.bias)
+    s = 1 / (1 + np.exp(-(dense @ w)))
+    gradient = dense.T @ (weight * (s - r)) / len(rows) + 3e-4 * np.append(w[:-1], 0)
+    assert np.abs(gradient).max() < 2e-3  # at the minimum of the convex loss on all posteriors
+    loss = lambda w: (weight * (np.logaddexp(0, dense @ w) - r * (dense @ w))).mean() + 1.5e-4 * w[:-1] @ w[:-1]
+    best = w.copy()
+    for _ in range(4000):
+        s = 1 / (1 + np.exp(-(dense @ best)))
+        best -= 0.5 * (dense.T @ (weight * (s - r)) / len(rows) + 3e-4 * np.append(best[:-1], 0))
+    assert loss(w) <= loss(best) + 1e-4
+    got = {q.doc_id: q.score for q in toxicity.score(docs, m).collect()}
+    assert all(abs(got[i] - 1 / (1 + np.exp(-dense[i] @ w))) < 1e-9 for i in range(len(rows)))
+    unlabelled = [got[i] > 0.7 for i in range(250, 900)]
+    assert np.mean([a == (rows[i + 250][2] == 1) for i, a in enumerate(unlabelled)]) > 0.97
+
+
 def test_label_model_finds_accuracies():
     rng = np.random.default_rng(0)
     y = rng.random(20_000) < 0.2
@@ -181,36 +292,85 @@ def test_quality_held_out(spark):
     assert accuracy(rows, "quality", True) > 0.97
 
 
-def test_nnpu_learns_without_negatives():
+def local_sums(positive, rows):
+    """Sums over arrays, as fit() has them over a table."""
+    a, b = positive[::2], positive[1::2]
+
+    def sums(mean, scale, w):
+        return [pu_quality.risk_sums(pu_quality.standardised(x, mean, scale), w) for x in (rows, positive, a, b)]
+
+    return sums
+
+
+def plain_nnpu(p, u, prior, decay=1e-3, rounds=30_000, rate=0.2):
+    """The non-negative risk step by step: against the gradient of the whole risk, or up that of a negative part under 0."""
+    w = np.zeros(p.shape[1] + 1)
+    p, u = (np.column_stack([x, np.ones(len(x))]) for x in (p, u))
+    s = lambda z: 1 / (1 + np.exp(-z))
+    for _ in range(rounds):
+        negative = np.logaddexp(0, u @ w).mean() - prior * np.logaddexp(0, p @ w).mean()
+        g_pos = prior * ((s(p @ w) - 1) @ p) / len(p)
+        g_neg = s(u @ w) @ u / len(u) - prior * (s(p @ w) @ p) / len(p)
+        w -= rate * ((g_pos + g_neg if negative >= 0 else -g_neg) + decay * np.append(w[:-1], 0))
+    return w
+
+
+def test_nnpu_equals_plain_steps_and_needs_no_negatives():
     rng = np.random.default_rng(1)
     make = lambda n, mean: rng.normal(mean, 1.0, (n, 3))
-    m = pu_quality.train_nnpu(make(500, 1.5), np.concatenate([make(1400, 1.5), make(600, -1.5)]), 0.7)
+    positive, rows = make(500, 1.5), np.concatenate([make(1400, 1.5), make(600, -1.5)])
+    mean, scale = rows.mean(0), rows.std(0)
+    w = pu_quality.train_nnpu(local_sums(positive, rows), 0.7, mean, scale)
+    want = plain_nnpu(pu_quality.standardised(positive, mean, scale), pu_quality.standardised(rows, mean, scale), 0.7)
+    assert np.allclose(w, want, atol=0.02)
+    m = pu_quality.QualityModel(mean, scale, w[:-1], w[-1], 0.7)
     assert (m.score(make(500, 1.5)) > 0.5).mean() > 0.95 and (m.score(make(500, -1.5)) < 0.5).mean() > 0.95
 
 
-def test_nnpu_takes_its_statistics_from_all_documents(spark, prose):
-    """A kind of junk that no sampled document shows is learnt from."""
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.85])
+def test_prior_from_positives_and_unlabelled_alone(share):
+    rng = np.random.default_rng(4)
+    n = int(20_000 * share)
+    rows = np.concatenate([rng.normal(1.5, 1.0, (n, 3)), rng.normal(-1.5, 1.0, (20_000 - n, 3))])
+    positive = rng.normal(1.5, 1.0, (2_000, 3))
+    mean, scale = rows.mean(0), rows.std(0)
+    w = pu_quality.train_told_apart(local_sums(positive, rows), mean, scale)
+    bins = [
+        np.histogram(1 / (1 + np.exp(-(pu_quality.standardised(x, mean, scale) @ w[:-1] + w[-1]))), pu_quality.BINS, (0, 1))[0]
+        for x in (rows, positive[1::2])
+    ]
+    assert abs(pu_quality.best_bin(*bins) - share) < 0.06
+
+
+def test_quality_fit_uses_all_documents(spark, prose):
+    """Means, scales, prior and risk are those of every row, also where one id or the null id has very many."""
     texts = prose(400, 5, 40, 120)
-    junk = ["#$% " * 40] * 20
-    docs = documents(spark, [(i, t, "a") for i, t in enumerate(texts + junk)]).repartition(3)
-    labels = spark.createDataFrame([(i, 1) for i in range(100)], "doc_id long, quality int")
-    sampled = {r.doc_id for r in docs.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(30).collect()}
-    docs = docs.filter(~F.col("doc_id").isin([i for i in sampled if i >= len(texts)])).cache()
-    m = pu_quality.fit(docs, labels, max_unlabelled=30 - sum(i >= len(texts) for i in sampled))
-    x = np.array([pu_quality.features(r.text.encode()) for r in docs.collect()])
+    junk = ["#$% " * 40, "a | b | " * 30] * 60
+    rows = [(i, t, "a") for i, t in enumerate(texts)] + [(None if k % 2 else 350, t, "a") for k, t in enumerate(junk)]
+    docs = documents(spark, rows).repartition(3)
+    labels = spark.createDataFrame([(i, 1) for i in range(100)] + [(None, 1), (300, None)], "doc_id long, quality int")
+    m = pu_quality.fit(docs, labels)
+    x = np.array([pu_quality.features(t.encode()) for _, t, _ in rows])
     assert np.allclose(m.mean, x.mean(0)) and np.allclose(m.scale, np.maximum(x.std(0), 0.02))
-    good, bad = m.score(np.array(pu_quality.features(texts[0].encode()))), m.score(np.array(pu_quality.features(junk[0].encode())))
-    assert bad < good
-
-
-def test_nnpu_of_a_sample_comes_to_that_of_all():
-    rng = np.random.default_rng(2)
-    positive = rng.normal(1.0, 1.0, (500, 3))
-    rows = np.concatenate([rng.normal(1.0, 1.0, (14_000, 3)), rng.normal(-1.0, 1.0, (6_000, 3))])
-    some = rows[rng.permutation(len(rows))[:600]]
-    want = pu_quality.train_nnpu(positive, rows, 0.7)
-    whole = lambda mean, scale, w, b: pu_quality.risk_sums(np.clip((rows - mean) / scale, -6, 6), w, b)
-    got = pu_quality.train_nnpu(positive, some, 0.7, moments=(rows.mean(0), rows.std(0)), whole=whole)
-    alone = pu_quality.train_nnpu(positive, some, 0.7)
-    off = np.abs(got.score(rows) - want.score(rows)).mean()
-    assert off < 0.005 and off < np.abs(alone.score(rows) - want.score(rows)).mean() / 3
+    positive = np.array([pu_quality.features(t.encode()) for i, t, _ in rows if i is not None and i < 100])
+    want = pu_quality.train_nnpu(local_sums(positive, x), m.prior, m.mean, m.scale)
+    assert np.allclose(m.weights, want[:-1], atol=1e-4) and abs(m.bias - want[-1]) < 1e-4
+    # No negative label was given.
+    assert m.score(np.array(pu_quality.features(texts[0].encode()))) > m.score(np.array(pu_quality.features(junk[0].encode())))
+
+
+def test_many_rows_of_one_id_do_not_reach_the_driver(spark):
+    docs = spark.range(60_000).select(
+        F.when(F.col("id") % 2 == 0, F.lit(5)).cast("long").alias("doc_id"), F.concat(F.lit("some words here idiot "), F.col("id")).alias("text")
+    )
+    labels = spark.createDataFrame([(5, 1, 1), (None, 1, 0), (6, 0, 0)], "doc_id long, quality int, toxic int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "777")
+    sent = []
+    collect = type(docs).collect
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(type(docs), "collect", lambda self: sent.append(len(r := collect(self))) or r)
+        m = pu_quality.fit(docs, labels)
+        toxicity.fit(docs, labels)
+    assert sent and max(sent) <= 64 and 0 < m.prior < 1
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "777"
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
