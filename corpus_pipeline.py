@@ -1,6 +1,8 @@
 """A training-corpus pipeline over `documents`: toxicity, quality rules, near duplicates, mixing, tokens.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs, in their order
+and with their names, whatever further columns there are.  A stage works on whole texts however long, takes an empty table to an
+empty one, and treats repeated rows as rows of their own (the near-duplicate stage as copies).
 """
 
 from __future__ import annotations
@@ -10,11 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediaspark.llm import bpe, jaccard, mixing, quality_rules, toxicity
-from mediaspark.llm.common import fresh_name, staged, table
+from mediaspark.llm.common import discard, fresh_name, staged, table, temporary, texts_of
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is under the threshold; the scorer learns from the labels' training rows."""
+    """Documents whose toxicity score is under the threshold; the scorer learns from the labels' training rows.
+
+    A null text is scored as an empty one; null ids have no label and are scored like the others.  Without labels of both
+    classes among the documents the fixed lexicon decides alone.
+    """
     model = toxicity.fit(docs, toxicity.training_rows(table(spark, sf_dir, "labels")))
     # Texts pass once more as a kept column; the score's name is put apart from theirs.
     columns = docs.columns
@@ -24,7 +30,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no rule of the current policy rejects."""
+    """Documents that no rule of the current policy rejects.  A null or empty text has too few words and goes."""
     columns = docs.columns
     return quality_rules.kept(docs, quality_rules.CURRENT_POLICY).select(*columns)
 
@@ -32,7 +38,8 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that five-word shingles link at a Jaccard similarity of 0.8 or more.
 
-    Of a group the first row of the smallest id stays; texts without words are no group.
+    Of a group the first row of the smallest id stays, a null id last; texts without words, null ones too, are no group and
+    all stay.
     """
     key = fresh_name(docs.columns, "row")
     numbered = staged(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
@@ -48,7 +55,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it."""
+    """Each document as often as the mix of sources takes it, none or up to three times.
+
+    A null source is a source of its own, a null text has no words; a document of size 0 is taken like its neighbours of that size.
+    """
     key = fresh_name(docs.columns, "row")
     numbered = staged(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
     rows = numbered.select(
@@ -61,7 +71,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with a check that they decode to its text."""
+    """Token ids of each document, with a check that they decode to its text; a null text has no tokens and counts as empty."""
     return bpe.encode(
         docs,
         public_tokenizers.path("byte_bpe_50k.tiktoken"),
@@ -82,8 +92,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again before the next."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    """All stages over documents, each written and read again before the next; what a stage needed goes once it is written."""
+    docs = texts_of(spark, sf_dir)
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        before = docs
+        with temporary() as tables:
+            docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            tables.pop()  # the stage's result, written last, stays
+        if i:
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
