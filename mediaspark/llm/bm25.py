@@ -49,6 +49,8 @@ QUERIES = 64
 QUERY_BLOCK, QUERY_WORDS = 2_048, 1_000_000
 #: Tasks that build the index, at most; each builds its shards one after another.
 TASKS = 10_000
+#: Bytes of a packed index in one row.
+PART = 2 << 20
 #: Added to bounds, as a part of them, for their single precision.
 SLACK = 1e-4
 
@@ -337,9 +339,9 @@ def top_k(
     )
     asked = staged(_asked(queries.select("q", "t"), stats, n, shards), "asked")
     discard(stats)
-    # One row a shard and a row group each, so that tasks share out the shards of a file.
-    index = staged(_index(docs.select(F.col(id_col).cast("long").alias("id"), text), asked, k, mean, shards), "index", 1)
-    at_home = index.select(F.explode(F.arrays_zip("q", "d", "s")).alias("x")).select("x.q", F.col("x.d").alias("doc_id"), F.col("x.s").alias("score"))
+    # A file a shard, of one row group, so that one task reads all of it.
+    index = staged(_index(docs.select(F.col(id_col).cast("long").alias("id"), text), asked, k, mean, shards), "index", "shard")
+    at_home = index.filter("data is null").select(F.explode(F.arrays_zip("q", "d", "s")).alias("x")).select("x.q", F.col("x.d").alias("doc_id"), F.col("x.s").alias("score"))
     found = [at_home]
     if shards > 1:
         floors = at_home.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("floor")).filter(F.col("n") == k)
@@ -372,37 +374,42 @@ def top_k(
 
 
 def _index(docs: DataFrame, asked: DataFrame, k: int, mean: float, shards: int) -> DataFrame:
-    """One row a shard: shard, data (the packed index), and q, d, s: what its home queries find there."""
+    """For each shard rows with the parts of its packed index in order (data), and one with q, d, s: what its home queries find there."""
     indexed = docs.select(
         F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int").alias("shard"),
         F.lit(0).alias("kind"), "id", "t", F.lit(None).cast("binary").alias("weights"),
     )
     at_home = asked.select(F.col("home").alias("shard"), F.lit(1).alias("kind"), F.col("q").alias("id"), F.col("words").alias("t"), "weights")
-    ddl = "shard int, data binary, q array<long>, d array<long>, s array<double>"
+    ddl = "shard int, size long, data binary, q array<long>, d array<long>, s array<double>"
     schema = arrow_schema(ddl)
 
     def run(batches):
         memory, shard, number, queries = fingerprints(), None, None, []
 
+        def row(*cells):
+            return pa.RecordBatch.from_arrays([pa.array([c], t.type) for c, t in zip(cells, schema)], schema=schema)
+
         def out():
             shard.seal()
             found = shard.search([x[1:] for x in queries], k)
             flat = [(q[0], d, s) for q, rows in zip(queries, found) for d, s in rows]
-            cols = [[number], [shard.pack()], *[[[x[i] for x in flat]] for i in range(3)]]
-            return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, schema)], schema=schema)
+            yield row(number, 0, None, *[[x[i] for x in flat] for i in range(3)])
+            data = memoryview(shard.pack())
+            for lo in range(0, len(data), PART):
+                yield row(number, len(data), data[lo : lo + PART], None, None, None)
 
         for batch in parts_of(batches):
             for s, what, i, t, weights in zip(*[c.to_pylist() for c in batch.columns]):
                 if s != number:
                     if shard is not None:
-                        yield out()
+                        yield from out()
                     shard, number, queries = Shard(mean), s, []
                 if what == 0:
                     shard.add(i, *counted(t, memory))
                 else:
                     queries.append((i, np.frombuffer(t, np.uint64), np.frombuffer(weights, np.float64), 0.0))
         if shard is not None:
-            yield out()
+            yield from out()
 
     tasks = min(shards, TASKS)
     return (
@@ -419,16 +426,24 @@ def _search_block(index: DataFrame, sent, k: int) -> DataFrame:
     schema = arrow_schema(ddl)
 
     def run(batches):
+        parts, read = [], 0
         for batch in batches:
-            for number, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                shard = Shard.load(memoryview(data.as_buffer()))
+            for number, size, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                parts.append(data.as_py())
+                read += len(parts[-1])
+                if read < size:
+                    continue
+                shard = Shard.load(b"".join(parts))
+                parts, read = [], 0
                 queries = [x for x in sent.value if x[1] != number]
                 found = shard.search([x[2:] for x in queries], k)
                 flat = [(x[0], d, s) for x, rows in zip(queries, found) for d, s in rows]
                 if flat:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*flat), schema)], schema=schema)
+        if parts:
+            raise RuntimeError("a shard was read in part")
 
-    return index.select("shard", "data").mapInArrow(run, ddl)
+    return index.filter("data is not null").select("shard", "size", "data").mapInArrow(run, ddl)
 
 
 def _query_words(batches):

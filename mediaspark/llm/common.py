@@ -37,8 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
     return conf
 
 
-def staged(df: DataFrame, name: str, group_rows: int | None = None) -> DataFrame:
-    """Write df as Parquet, with row groups of `group_rows` rows if given, in the shared folder and read it back.
+def staged(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write df as Parquet, in a folder for each value of column `by` if given, in the shared folder and read it back.
 
     This cuts the lineage, so a lost executor costs no more than the stages after the table, and it
     freezes values such as row ids that a second evaluation could draw differently.
@@ -46,7 +46,7 @@ def staged(df: DataFrame, name: str, group_rows: int | None = None) -> DataFrame
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/staged/{name}-{uuid.uuid4().hex}"
     with small_batches(spark):
-        (df.write.option("parquet.block.row.count.limit", group_rows) if group_rows else df.write).parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged = path
     if _scopes:
