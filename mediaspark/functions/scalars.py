@@ -120,21 +120,34 @@ def subsequence_match(query: str, text: Column) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
-    """A size in B, KB, MB, GB or TB with one decimal over bytes, half to even."""
+    """A size in B, KB, MB, GB, TB or PB with one decimal over bytes, half to even; the sign doesn't choose the unit."""
     amount = lambda power: F.format_string("%.1f", F.bround(n / F.lit(float(1024**power)), 1))
-    out = F.concat(amount(4), F.lit(" TB"))
-    for power, unit in ((3, "GB"), (2, "MB"), (1, "KB")):
+    out = F.concat(amount(5), F.lit(" PB"))
+    for power, unit in ((4, "TB"), (3, "GB"), (2, "MB"), (1, "KB")):
         part = F.concat(amount(power), F.lit(f" {unit}"))
-        out = F.when(n < 1024 ** (power + 1), part).otherwise(out)
-    return F.when(n < 1024, F.concat(n.cast("long").cast("string"), F.lit(" B"))).otherwise(out)
+        out = F.when(F.abs(n) < 1024 ** (power + 1), part).otherwise(out)
+    return F.when(F.abs(n) < 1024, F.concat(n.cast("long").cast("string"), F.lit(" B"))).otherwise(out)
 
 
 def human_duration(seconds: Column) -> Column:
-    """1h 02m, 2m 03s or 4s."""
-    s = seconds.cast("long")
-    hours = F.format_string("%dh %02dm", F.floor(s / 3600), F.floor(s % 3600 / 60))
-    minutes = F.format_string("%dm %02ds", F.floor(s / 60), s % 60)
-    return F.when(s >= 3600, hours).when(s >= 60, minutes).otherwise(F.format_string("%ds", s))
+    """M:SS, or H:MM:SS from an hour on; whole seconds, none under 0."""
+    s = F.greatest(seconds.cast("long"), F.lit(0).cast("long"))
+    hours = F.format_string("%d:%02d:%02d", F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60)
+    minutes = F.format_string("%d:%02d", F.floor(s / 60), s % 60)
+    return F.when(seconds.isNull(), None).when(s >= 3600, hours).otherwise(minutes)
+
+
+def greeting(hour: Column) -> Column:
+    """Good morning before 12, Good afternoon before 18, else Good evening."""
+    return F.when(hour < 12, "Good morning").when(hour < 18, "Good afternoon").otherwise("Good evening")
+
+
+def seen_line(photos: Column, first: Column, last: Column) -> Column:
+    """How many photos show a person, the month of the first and the day of the last, as far as they are known."""
+    shown = F.concat(F.format_string("%,d", F.coalesce(photos, F.lit(0)).cast("long")), F.lit(" photos"))
+    since = F.concat(F.lit("First seen "), F.date_format(first, "MMM yyyy"))
+    until = F.concat(F.lit("Last seen "), F.date_format(last, "MMM dd, yyyy"))
+    return F.concat_ws("   ·   ", shown, since, until)
 
 
 def year_span(first: Column, last: Column) -> Column:

@@ -2,54 +2,83 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions.vectors import l2_normalize
 from ..schemas import Library
 from .graph import components, cut, settled
-from .recognition import best_scores, cover_faces, gallery_candidates, person_centroids, refresh_galleries, store_faces, with_quality
+from .numbering import number_rows
+from .products import near_products
+from .recognition import cover_faces, gallery_candidates, person_centroids, refresh_galleries, store_faces, with_quality
 
 
 def resolve_algorithm(algorithm: str) -> str:
-    """auto, hdbscan and dbscan all run as dbscan here: no HDBSCAN library is at hand."""
-    if algorithm not in ("auto", "dbscan", "hdbscan"):
+    """auto means dbscan here; hdbscan is refused, as no library for it is at hand and its clusters are others."""
+    if algorithm == "hdbscan":
+        raise NotImplementedError("hdbscan is not available: choose auto or dbscan")
+    if algorithm not in ("auto", "dbscan"):
         raise ValueError(algorithm)
     return "dbscan"
 
 
-def neighbours(vectors: DataFrame, eps: float) -> DataFrame:
-    """(a, b) of vectors (id, embedding) within cosine distance eps, both ways and each with itself.
-
-    Blocks of normalised vectors are multiplied, and only pairs within eps come out.
-    """
-    unit = vectors.select("id", l2_normalize(F.col("embedding")).alias("vector"))
-    near = best_scores(
-        unit.withColumnRenamed("id", "face_id"), unit.withColumnRenamed("id", "person_id"), 1.0 - eps - 1e-12
-    )
-    return near.filter("face_id <> person_id").select(F.col("face_id").alias("a"), F.col("person_id").alias("b")).unionByName(
-        vectors.select(F.col("id").alias("a"), F.col("id").alias("b"))
-    )
+def _merged(hit: np.ndarray) -> np.ndarray:
+    """For rows and columns of a table of links the least place in reach, rows first and columns after them."""
+    n, m = hit.shape
+    rows, cols = np.arange(n), n + np.arange(m)
+    while True:
+        new_rows = np.minimum(rows, np.where(hit, cols, n + m).min(1, initial=n + m))
+        new_cols = np.minimum(cols, np.where(hit, new_rows[:, None], n + m).min(0, initial=n + m))
+        if (new_rows == rows).all() and (new_cols == cols).all():
+            return np.concatenate([rows, cols])
+        rows, cols = new_rows, new_cols
 
 
 def dbscan(vectors: DataFrame, eps: float, min_samples: int) -> DataFrame:
     """(id, cluster) with cluster -1 for noise, else the least core id of the cluster.
 
-    A core point has at least min_samples points within eps, itself among them.  Core points within eps of each
+    A core point has at least min_samples points within cosine distance eps, itself among them.  Core points within eps of each
     other are one cluster; a border point joins the cluster with the least core id within its reach.
+
+    Three rounds of block products: neighbours are counted, core points of two blocks are joined by one link each, and border
+    points learn the least cluster in reach.  No round lets out pairs, so a dense cluster costs its points, not their square.
     """
-    near = neighbours(vectors, eps)
-    core = near.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_samples).select(F.col("a").alias("id"))
-    edges = near.join(core.select(F.col("id").alias("a")), "a", "left_semi").join(
-        core.select(F.col("id").alias("b")), "b", "left_semi"
-    )
-    named = components(edges.select("a", "b"))
-    border = (
-        near.join(named.select(F.col("id").alias("b"), "component"), "b")
-        .groupBy(F.col("a").alias("id"))
-        .agg(F.min("component").alias("reach"))
-    )
+    least = 1.0 - eps - 1e-12
+    unit = vectors.select("id", F.lit(0).cast("long").alias("label"), l2_normalize(F.col("embedding")).alias("vector"))
+
+    def hits(a_ids, a, b_ids, b):
+        return (a @ b.T >= least) & (a_ids[:, None] != b_ids[None, :])
+
+    def count(a_ids, _, a, b_ids, __, b, same):
+        hit = hits(a_ids, a, b_ids, b)
+        own = pd.DataFrame({"id": a_ids, "n": hit.sum(1)})
+        return own if same else pd.concat([own, pd.DataFrame({"id": b_ids, "n": hit.sum(0)})])
+
+    near = near_products(unit, None, least, count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    core = cut(unit.join(near.filter(F.col("n") >= min_samples - 1).select("id"), "id", "left_semi"))
+
+    def link(a_ids, _, a, b_ids, __, b, ___):
+        ids = np.concatenate([a_ids, b_ids])
+        least_of = _merged(hits(a_ids, a, b_ids, b))
+        linked = least_of != np.arange(len(ids))
+        return pd.DataFrame({"a": ids[linked], "b": ids[least_of[linked]]})
+
+    edges = near_products(core, None, least, link, "a long, b long").filter("a <> b")
+    named = core.select("id").join(components(edges), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    named = cut(named)
+
+    def join_cluster(a_ids, _, a, __, labels, b, ___):
+        hit = a @ b.T >= least
+        own = np.where(hit, labels[None, :], np.iinfo(np.int64).max).min(1)
+        some = hit.any(1)
+        return pd.DataFrame({"id": a_ids[some], "reach": own[some]})
+
+    rest = unit.join(core.select("id"), "id", "left_anti")
+    labelled = core.select("id", "vector").join(named, "id").select("id", F.col("component").alias("label"), "vector")
+    border = near_products(rest, labelled, least, join_cluster, "id long, reach long").groupBy("id").agg(F.min("reach").alias("reach"))
     return (
         vectors.select("id")
         .join(named, "id", "left")
@@ -61,13 +90,8 @@ def dbscan(vectors: DataFrame, eps: float, min_samples: int) -> DataFrame:
 def _people_of(lib: Library, clustered: DataFrame) -> DataFrame:
     """New person ids for clusters, after the highest one there is, in the order of the cluster's least id."""
     first = lib.persons.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    order = Window.orderBy("cluster")  # one row a new person
-    return (
-        clustered.filter("cluster >= 0").select("cluster").distinct()
-        .withColumn("k", F.row_number().over(order))
-        .crossJoin(F.broadcast(first))
-        .select("cluster", (F.col("top") + F.col("k")).cast("long").alias("person_id"))
-    )
+    new = number_rows(clustered.filter("cluster >= 0").select("cluster").distinct(), ["cluster"], "k")
+    return new.crossJoin(F.broadcast(first)).select("cluster", (F.col("top") + 1 + F.col("k")).cast("long").alias("person_id"))  # one row
 
 
 def _found(lib: Library, clustered: DataFrame) -> tuple[Library, DataFrame]:

@@ -83,7 +83,8 @@ def scan_for_merges(lib: Library, config: EngineConfig) -> tuple[Library, int, i
     """Merge what is surely one person, suggest the rest: the library, merges done and suggestions.
 
     Each merge changes what later pairs mean, so the fold runs on the driver over pairs of persons above the
-    suggestion threshold, which are few; more than MOST_PAIRS is an error, never a cut.
+    suggestion threshold, which are few; more than MOST_PAIRS is an error, never a cut.  Of the rejections only
+    those between persons of these pairs are fetched, as a merge can lead to no others.
     """
     from .mutations import merge_many
 
@@ -91,7 +92,15 @@ def scan_for_merges(lib: Library, config: EngineConfig) -> tuple[Library, int, i
     rows = merge_candidates(lib, config).select(*columns).limit(MOST_PAIRS + 1).collect()
     if len(rows) > MOST_PAIRS:
         raise RuntimeError(f"more than {MOST_PAIRS} candidate pairs: raise merge_suggest_threshold")
-    rejected = {(r[0], r[1]) for r in lib.person_merge_rejections.select("person_a", "person_b").collect()} if rows else set()
+    rejected: set[tuple[int, int]] = set()
+    if rows:
+        # At most two persons a pair, and so bounded by MOST_PAIRS too.
+        spark = lib.persons.sparkSession
+        named = spark.createDataFrame([(p,) for p in sorted({p for r in rows for p in r[:2]})], "p long")
+        between = lib.person_merge_rejections.select("person_a", "person_b")
+        for side in ("person_a", "person_b"):
+            between = between.join(named.withColumnRenamed("p", side), side, "left_semi")
+        rejected = {(r["person_a"], r["person_b"]) for r in between.collect()}
     merges, open_ = fold_merges([tuple(r) for r in rows], rejected, config.merge_auto_threshold)
     if merges:
         lib = merge_many(lib, merges, config)

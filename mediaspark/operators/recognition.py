@@ -12,6 +12,7 @@ from ..functions.scalars import adaptive_threshold, context_score, face_quality,
 from ..functions.vectors import consistency, dot, l2_normalize, mean_vector, running_centroid
 from ..schemas import Library
 from .graph import cut, settled
+from .products import near_products
 
 
 def with_quality(faces: DataFrame) -> DataFrame:
@@ -156,53 +157,26 @@ def match_vectors(lib: Library, config: EngineConfig) -> DataFrame:
     )
 
 
-#: Faces in one block and match vectors in one block of the matrix product.
-FACE_BLOCK, VECTOR_BLOCK = 2_048, 2_048
-
-
 def best_scores(faces: DataFrame, vectors: DataFrame, least: float = -1.0) -> DataFrame:
     """(face_id, person_id, score): each face's best cosine with each person's vectors, where it is at least `least`.
 
-    Faces (face_id, vector) and vectors (person_id, vector), all of length 1, are cut in blocks of fixed size;
+    Faces (face_id, vector) and vectors (person_id, vector), all of length 1, meet in blocks that may hold such a cosine;
     each pair of blocks is one matrix product in Arrow batches, and only scores over the floor come out.
     """
-    blocks = _blocks(faces, "face_id", FACE_BLOCK, "f").crossJoin(_blocks(vectors, "person_id", VECTOR_BLOCK, "p"))
-
-    def product(batches):
-        for pdf in batches:
-            ids, persons, scores = [], [], []
-            for f_ids, f_flat, p_ids, p_flat in zip(pdf["f_ids"], pdf["f_flat"], pdf["p_ids"], pdf["p_flat"]):
-                f_ids, p_ids = np.asarray(f_ids), np.asarray(p_ids)
-                f = np.asarray(f_flat, dtype=np.float64).reshape(len(f_ids), -1)
-                p = np.asarray(p_flat, dtype=np.float64).reshape(len(p_ids), -1)
-                order = np.argsort(p_ids, kind="stable")
-                p_ids, p = p_ids[order], p[order]
-                first = np.flatnonzero(np.concatenate([[True], p_ids[1:] != p_ids[:-1]]))
-                top = np.maximum.reduceat(f @ p.T, first, axis=1)
-                i, j = np.nonzero(top >= least)
-                ids.append(f_ids[i])
-                persons.append(p_ids[first][j])
-                scores.append(top[i, j])
-            if ids:
-                yield pd.DataFrame(
-                    {"face_id": np.concatenate(ids), "person_id": np.concatenate(persons), "score": np.concatenate(scores)}
-                )
-
-    found = blocks.mapInPandas(product, "face_id long, person_id long, score double")
-    return found.groupBy("face_id", "person_id").agg(F.max("score").alias("score"))
-
 
-def _blocks(rows: DataFrame, key: str, size: int, name: str) -> DataFrame:
-    """Rows gathered in blocks of up to `size` within each task: NAME_ids and NAME_flat (vectors end to end)."""
-
-    def gather(batches):
-        for pdf in batches:
-            for lo in range(0, len(pdf), size):
-                part = pdf.iloc[lo : lo + size]
-                flat = np.concatenate([np.asarray(x, dtype=np.float64) for x in part["vector"]])
-                yield pd.DataFrame({f"{name}_ids": [part[key].to_numpy()], f"{name}_flat": [flat]})
-
-    return rows.select(key, "vector").mapInPandas(gather, f"{name}_ids array<long>, {name}_flat array<double>")
+    def product(f_ids, _, f, p_ids, __, p, ___):
+        order = np.argsort(p_ids, kind="stable")
+        p_ids, p = p_ids[order], p[order]
+        first = np.flatnonzero(np.concatenate([[True], p_ids[1:] != p_ids[:-1]]))
+        top = np.maximum.reduceat(f @ p.T, first, axis=1)
+        i, j = np.nonzero(top >= least)
+        return pd.DataFrame({"face_id": f_ids[i], "person_id": p_ids[first][j], "score": top[i, j]})
+
+    side = lambda rows, key: rows.select(F.col(key).alias("id"), F.lit(0).cast("long").alias("label"), "vector")
+    found = near_products(
+        side(faces, "face_id"), side(vectors, "person_id"), least, product, "face_id long, person_id long, score double"
+    )
+    return found.groupBy("face_id", "person_id").agg(F.max("score").alias("score"))
 
 
 def person_contexts(lib: Library) -> tuple[DataFrame, DataFrame]:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import os
 from collections import OrderedDict
 from collections.abc import Callable, Sequence
 from datetime import datetime
@@ -139,19 +142,52 @@ def _candidates(lib: Library, near: DataFrame, words: Sequence[str], pool: int,
 
 
 class TextVectorCache:
-    """Query vectors by model, version and trimmed lower-case text; the least recently used one goes first."""
+    """Query vectors by model, version and trimmed lower-case text; the least recently used one goes first.
 
-    def __init__(self, encode: Callable[[str], Sequence[float]], model: str, version: int, capacity: int = 256):
-        self.encode, self.model, self.version, self.capacity = encode, model, version, capacity
+    With `folder` each vector is also kept in a file there, which a later process finds again; a file that can't be read
+    or written counts as missing.
+    """
+
+    def __init__(
+        self, encode: Callable[[str], Sequence[float]], model: str, version: int, capacity: int = 256, folder: str | None = None
+    ):
+        self.encode, self.model, self.version, self.capacity, self.folder = encode, model, version, capacity, folder
         self.entries: OrderedDict[str, tuple[float, ...]] = OrderedDict()
 
     def key(self, text: str) -> str:
         return f"{self.model}|{self.version}|{text.strip().lower()}"
 
+    def _file(self, key: str) -> str:
+        return os.path.join(self.folder, f"{hashlib.sha256(key.encode()).hexdigest()}.json")
+
+    def _kept(self, key: str) -> tuple[float, ...] | None:
+        if self.folder is None:
+            return None
+        try:
+            with open(self._file(key)) as f:
+                return tuple(float(x) for x in json.load(f))
+        except (OSError, ValueError, TypeError):
+            return None
+
+    def _keep(self, key: str, vector: tuple[float, ...]) -> None:
+        if self.folder is None:
+            return
+        try:
+            os.makedirs(self.folder, exist_ok=True)
+            with open(self._file(key) + ".new", "w") as f:
+                json.dump(vector, f)
+            os.replace(f.name, self._file(key))
+        except OSError:
+            pass  # the cache only saves time
+
     def __call__(self, text: str) -> tuple[float, ...]:
         key = self.key(text)
         if key not in self.entries:
-            self.entries[key] = tuple(float(x) for x in self.encode(text))
+            vector = self._kept(key)
+            if vector is None:
+                vector = tuple(float(x) for x in self.encode(text))
+                self._keep(key, vector)
+            self.entries[key] = vector
         self.entries.move_to_end(key)
         while len(self.entries) > self.capacity:
             self.entries.popitem(last=False)

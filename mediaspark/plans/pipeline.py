@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..operators import browse, mutations, recognition
-from ..operators.graph import settled
+from ..operators.graph import cut, settled
 from ..schemas import Library
 from ..sources import images
 
@@ -124,6 +124,19 @@ class ThumbnailStep:
         return mutations.set_photo_values(lib, values, "thumbnail_path"), _tally(rows)
 
 
+def make_thumbnails(lib: Library, root: str, folder: str, size: int = 320, limit: int | None = None) -> tuple[Library, dict[str, int]]:
+    """Thumbnails of photos below `root` that have none, written to a folder that all tasks share: the library and a report.
+
+    A photo that can't be decoded keeps none and is counted.
+    """
+    pending = browse.pending_thumbnails(lib) if limit is None else browse.pending_thumbnails(lib).orderBy("id").limit(limit)
+    photos = pending.select("id", "file_path").join(lib.photos.select("id", "orientation"), "id")
+    rows = cut(images.write_images(images.thumbnails(photos, root, size), folder, "id"))
+    r = rows.agg(F.count("path").alias("generated"), F.count_if(F.col("path").isNull()).alias("errors")).first()
+    values = rows.filter("path is not null").select("id", F.col("path").alias("value"))
+    return mutations.set_photo_values(lib, values, "thumbnail_path"), {"generated": r["generated"], "errors": r["errors"]}
+
+
 def default_steps(config: EngineConfig, thumbnail=None, phash=None, faces=None, clip=None, ocr=None, dim: int = 512) -> list[Step]:
     """thumbnails, phash, faces, people, clip, ocr: in this order."""
     return [

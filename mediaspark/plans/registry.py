@@ -308,9 +308,9 @@ query("c15_export_favorites", lambda lib: knowledge.export_favorites(lib), "SELE
 query("c15_export_feedback", lambda lib: knowledge.export_feedback(lib), """
     SELECT p.file_hash, f.bbox_x, f.bbox_y, f.bbox_w, f.bbox_h, r.display_name AS person, v.verdict FROM recognition_feedback v
       JOIN faces f ON f.id = v.face_id JOIN photos p ON p.id = f.photo_id JOIN persons r ON r.id = v.person_id WHERE r.display_name IS NOT NULL""")
-query("j20_find_faces", lambda lib: knowledge.find_faces(lib, knowledge.face_keys(lib).filter("face_id % 3 = 0").select(*knowledge.FACE_KEY).distinct()), """
+query("j20_find_faces", lambda lib: knowledge.find_faces(lib, knowledge.face_keys(lib).select(*knowledge.FACE_KEY).distinct()), """
     SELECT p.file_hash, f.bbox_x, f.bbox_y, f.bbox_w, f.bbox_h, min(f.id) AS face_id FROM faces f JOIN photos p ON p.id = f.photo_id
-    GROUP BY ALL HAVING bool_or(f.id % 3 = 0)""")
+    GROUP BY ALL""")
 
 # Changes
 query("m3_merge_persons", lambda lib: mutations.merge_persons(lib, 3, 5, CONFIG).persons.select("id", "display_name", "face_count"), """
@@ -319,36 +319,37 @@ query("m3_merge_persons", lambda lib: mutations.merge_persons(lib, 3, 5, CONFIG)
 query("m2_delete_person", lambda lib: mutations.delete_persons(lib, lib.persons.filter("id = 4").select("id")).faces.select("id", "person_id"),
       "SELECT id, CASE WHEN person_id = 4 THEN NULL ELSE person_id END AS person_id FROM faces")
 query("m5_record_feedback", lambda lib: mutations.record_feedback(
-          lib, lib.faces.filter("id % 26 = 0").select(F.col("id").alias("face_id"), ((F.col("id") + 3) % 10).alias("person_id"),
+          lib, lib.recognition_feedback.filter("verdict = 'reject'").select("face_id", ((F.col("face_id") + 3) % 10).alias("person_id"),
                                                       F.lit("confirm").alias("verdict"), F.lit(NOW).cast("timestamp_ntz").alias("created_at"))
       ).recognition_feedback.select("face_id", "person_id", "verdict"),
-      "SELECT face_id, person_id, CASE WHEN face_id % 26 = 0 THEN 'confirm' ELSE verdict END AS verdict FROM recognition_feedback")
+      "SELECT face_id, person_id, 'confirm' AS verdict FROM recognition_feedback")
 query("m6_stale_suggestions", lambda lib: recognition.drop_stale_suggestions(lib).recognition_suggestions,
       "SELECT * FROM recognition_suggestions WHERE face_id IN (SELECT id FROM faces WHERE person_id IS NULL)")
 query("m7_reject_merge", lambda lib: mutations.reject_merge(lib, 3, 0).person_merge_rejections,
       "SELECT person_a, person_b FROM person_merge_rejections UNION SELECT 0, 3")
 query("m8_set_favorite", lambda lib: mutations.set_photo_values(
-          lib, lib.photos.filter("id % 10 = 0").select("id", F.lit(True).alias("value")), "is_favorite").photos.select("id", "is_favorite"),
-      "SELECT id, is_favorite OR id % 10 = 0 AS is_favorite FROM photos")
+          lib, lib.photos.select("id", (~F.col("is_favorite")).alias("value")), "is_favorite").photos.select("id", "is_favorite"),
+      "SELECT id, NOT is_favorite AS is_favorite FROM photos")
 query("m9_mark_duplicates", lambda lib: mutations.mark_duplicates(lib, 2, [2, 9, 40]).photos.select("id", "duplicate_of"),
       "SELECT id, CASE WHEN id IN (9, 40) THEN 2 WHEN id = 2 THEN NULL ELSE duplicate_of END AS duplicate_of FROM photos")
 query("m10_add_to_album", lambda lib: mutations.add_to_album(lib, 4, [9, 2, 9, 14], NOW)[0].album_photos.select("album_id", "photo_id"),
       "SELECT album_id, photo_id FROM album_photos UNION SELECT 4, unnest([9, 2, 14])")
 query("m11_upsert_clip", lambda lib: mutations.upsert_clip(
-          lib, lib.clip_embeddings.filter("photo_id % 4 = 0").withColumn("model", F.lit("m3"))).clip_embeddings.select("photo_id", "model"),
-      "SELECT photo_id, CASE WHEN photo_id % 4 = 0 THEN 'm3' ELSE model END AS model FROM clip_embeddings")
+          lib, lib.clip_embeddings.withColumn("model", F.concat("model", F.lit("-next")))).clip_embeddings.select("photo_id", "model"),
+      "SELECT photo_id, model || '-next' AS model FROM clip_embeddings")
 query("s7_insert_photos", lambda lib: mutations.insert_photos(
-          lib, lib.photos.filter("id < 40").select(F.when(F.col("id") % 2 == 0, F.concat(F.lit("/new"), "file_path")).otherwise(F.col("file_path")).alias("file_path"),
-                                                   "file_hash", "file_size"), NOW).photos.select("id", "file_path"), """
+          lib, lib.photos.select(F.when(F.col("is_favorite"), F.concat(F.lit("/new"), "file_path")).otherwise(F.col("file_path")).alias("file_path"),
+                               "file_hash", "file_size"), NOW).photos.select("id", "file_path"), """
     SELECT id, file_path FROM photos UNION ALL SELECT (SELECT max(id) FROM photos) + row_number() OVER (ORDER BY '/new' || file_path COLLATE "C"), '/new' || file_path
-    FROM photos WHERE id < 40 AND id % 2 = 0""".replace(' COLLATE "C"', ""))
+    FROM photos WHERE is_favorite""".replace(' COLLATE "C"', ""))
 query("m12_reset", lambda lib: stats.library_stats(mutations.reset_library(lib)),
       "SELECT 0::BIGINT AS photos, 0::BIGINT AS bytes, 0::BIGINT AS faces, 0::BIGINT AS persons")
 
 # Presentation
 query("x17_presentation", lambda lib: lib.photos.select(
-          "id", scalars.human_bytes(F.col("file_size") * 997).alias("size"), scalars.human_duration(F.col("file_size")).alias("duration")), """
+          "id", scalars.human_bytes(F.col("file_size") * F.pow(F.lit(997), F.col("id") % 5).cast("long")).alias("size"), scalars.human_duration(F.col("file_size")).alias("duration")), """
     SELECT id, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f KB', b / 1024.0::DOUBLE) WHEN b < 1073741824 THEN printf('%.1f MB', b / 1048576.0::DOUBLE)
-        ELSE printf('%.1f GB', b / 1073741824.0::DOUBLE) END AS size,
-      CASE WHEN s >= 3600 THEN printf('%dh %02dm', s // 3600, s % 3600 // 60) WHEN s >= 60 THEN printf('%dm %02ds', s // 60, s % 60) ELSE printf('%ds', s) END AS duration
-    FROM (SELECT id, file_size * 997 AS b, file_size AS s FROM photos)""")
+        WHEN b < 1099511627776 THEN printf('%.1f GB', b / 1073741824.0::DOUBLE) WHEN b < 1125899906842624 THEN printf('%.1f TB', b / 1099511627776.0::DOUBLE)
+        ELSE printf('%.1f PB', b / 1125899906842624.0::DOUBLE) END AS size,
+      CASE WHEN s >= 3600 THEN printf('%d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) ELSE printf('%d:%02d', s // 60, s % 60) END AS duration
+    FROM (SELECT id, file_size * cast(pow(997, id % 5) AS BIGINT) AS b, file_size AS s FROM photos)""")

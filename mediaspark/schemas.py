@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -53,9 +53,12 @@ SCHEMAS: dict[str, T.StructType] = {
 
 
 class Library:
-    """An immutable snapshot: one DataFrame a table, by attribute.  Mutations give a new Library."""
+    """An immutable snapshot: one DataFrame a table, by attribute.  Mutations give a new Library.
 
-    def __init__(self, tables: Mapping[str, DataFrame]):
+    A table may be given as a function that makes it; it is called once, when something first asks for the table.
+    """
+
+    def __init__(self, tables: Mapping[str, DataFrame | Callable[[], DataFrame]]):
         unknown = set(tables) - set(SCHEMAS)
         if unknown:
             raise KeyError(f"unknown tables: {sorted(unknown)}")
@@ -63,19 +66,25 @@ class Library:
 
     def __getattr__(self, name: str) -> DataFrame:
         try:
-            return self.__dict__["_tables"][name]
+            return self[name]
         except KeyError:
             raise AttributeError(name) from None
 
     def __getitem__(self, name: str) -> DataFrame:
-        return self._tables[name]
+        tables = self.__dict__["_tables"]
+        table = tables[name]
+        if not isinstance(table, DataFrame):
+            table = tables[name] = table()
+        return table
 
     @property
     def tables(self) -> dict[str, DataFrame]:
-        return dict(self._tables)
+        return {name: self[name] for name in self._tables}
 
     def with_tables(self, **changed: DataFrame) -> Library:
-        return Library(self._tables | changed)
+        # Tables that nothing asked for yet are made by this library, once for both.
+        later = {n: t if isinstance(t, DataFrame) else (lambda n=n: self[n]) for n, t in self._tables.items()}
+        return Library(later | changed)
 
     @classmethod
     def empty(cls, spark: SparkSession) -> Library:

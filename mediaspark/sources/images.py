@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import struct
+import tempfile
+import zlib
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -16,8 +19,11 @@ from ..functions.scalars import clamp_box, dms_to_degrees, parse_exif_datetime
 
 
 def image_files(spark: SparkSession, root: str, config: EngineConfig = EngineConfig(), content: bool = True) -> DataFrame:
-    """Files below a folder whose suffix, letter case aside, is an image's: path, modificationTime, length, content."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    """Files below a folder whose suffix, letter case aside, is an image's: path, modificationTime, length, content.
+
+    A file that can't be read is left out, unless `content` is not asked for, as a listing names it still.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).load(root)
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./\\]+)$", 1))
     files = files.filter(suffix.isin(list(config.image_suffixes)))
     return files if content else files.drop("content")
@@ -186,6 +192,114 @@ def photo_hashes(spark: SparkSession, root: str) -> DataFrame:
     return images.mapInPandas(run, "file_path string, phash long")
 
 
+def oriented(px: np.ndarray, orientation: int | None) -> np.ndarray:
+    """Pixels turned upright by the EXIF orientation, 1 to 8; any other value leaves them as they are."""
+    turns = {
+        2: lambda p: p[:, ::-1], 3: lambda p: p[::-1, ::-1], 4: lambda p: p[::-1], 5: lambda p: p.transpose(1, 0, 2),
+        6: lambda p: p[::-1].transpose(1, 0, 2), 7: lambda p: p[::-1, ::-1].transpose(1, 0, 2), 8: lambda p: p[:, ::-1].transpose(1, 0, 2),
+    }
+    return turns.get(orientation, lambda p: p)(px)
+
+
+def shrunk(px: np.ndarray, size: int) -> np.ndarray:
+    """Pixels whose longer side is `size` at most, with the proportions kept; small images stay."""
+    h, w = px.shape[:2]
+    scale = size / max(h, w)
+    if scale >= 1:
+        return px
+    rows, cols = _lanczos(h, max(1, round(h * scale))), _lanczos(w, max(1, round(w * scale)))
+    out = np.einsum("ij,jkc->ikc", rows, px.astype(np.float64))
+    return np.clip(np.rint(np.einsum("lk,ikc->ilc", cols, out)), 0, 255).astype(np.uint8)
+
+
+def png(px: np.ndarray) -> bytes:
+    """An RGB image as a PNG file."""
+    h, w, _ = px.shape
+    lines = np.concatenate([np.zeros((h, 1), np.uint8), np.ascontiguousarray(px).reshape(h, 3 * w)], axis=1)
+
+    def chunk(kind: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    header = struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", header) + chunk(b"IDAT", zlib.compress(lines.tobytes(), 6)) + chunk(b"IEND", b"")
+
+
+def _rgb(h: int, w: int, c: int, data: bytes) -> np.ndarray | None:
+    if h <= 0 or w <= 0:
+        return None
+    px = np.frombuffer(data, np.uint8).reshape(h, w, c)
+    return np.repeat(px, 3, axis=2) if c == 1 else px[:, :, 2::-1]  # stored blue first
+
+
+def _decoded(spark: SparkSession, root: str) -> DataFrame:
+    images = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", True).load(root)
+    return images.select(_plain(F.col("image.origin")).alias("file_path"), "image.height", "image.width", "image.nChannels", "image.data")
+
+
+def _plain(path):
+    """A local path as one source writes it; the image source has more slashes."""
+    return F.regexp_replace(path, "^file:/+", "file:/")
+
+
+def thumbnails(photos: DataFrame, root: str, size: int = 320) -> DataFrame:
+    """(id, image) for photos (id, file_path, orientation) below a folder: upright PNG images of at most `size` pixels a side.
+
+    image is null where a photo can't be decoded.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples():
+                px = _rgb(r.height, r.width, r.nChannels, r.data)
+                out.append(None if px is None else png(shrunk(oriented(px, r.orientation), size)))
+            yield pd.DataFrame({"id": pdf["id"], "image": out})
+
+    rows = photos.select("id", _plain(F.col("file_path")).alias("file_path"), F.coalesce("orientation", F.lit(1)).cast("int").alias("orientation"))
+    return rows.join(_decoded(photos.sparkSession, root), "file_path").drop("file_path").mapInPandas(run, "id long, image binary")
+
+
+def face_crops(faces: DataFrame, root: str) -> DataFrame:
+    """(crop_path, image) for faces (crop_path, file_path, boxes) below a folder: the box cut out, as a PNG image."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples():
+                px = _rgb(r.height, r.width, r.nChannels, r.data)
+                cut = None if px is None else px[r.bbox_y : r.bbox_y + r.bbox_h, r.bbox_x : r.bbox_x + r.bbox_w]
+                out.append(None if cut is None or not cut.size else png(cut))
+            yield pd.DataFrame({"crop_path": pdf["crop_path"], "image": out})
+
+    rows = faces.select("crop_path", _plain(F.col("file_path")).alias("file_path"), "bbox_x", "bbox_y", "bbox_w", "bbox_h")
+    return rows.join(_decoded(faces.sparkSession, root), "file_path").drop("file_path").mapInPandas(run, "crop_path string, image binary")
+
+
+def write_images(images: DataFrame, folder: str, name: str) -> DataFrame:
+    """Write each image of (NAME, image) as a file of a folder that all tasks share: (NAME, path), path null for a null image.
+
+    A file appears under its name once it is whole, so a task that is run again does no harm.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        os.makedirs(folder, exist_ok=True)
+        for pdf in batches:
+            paths = []
+            for key, image in zip(pdf[name], pdf["image"]):
+                if image is None:
+                    paths.append(None)
+                    continue
+                path = os.path.join(folder, f"{os.path.splitext(str(key))[0]}.png")
+                with tempfile.NamedTemporaryFile(dir=folder, delete=False) as f:
+                    f.write(image)
+                os.replace(f.name, path)
+                paths.append(path)
+            yield pd.DataFrame({name: pdf[name], "path": paths})
+
+    kind = images.schema[name].dataType.simpleString()
+    return images.select(name, "image").mapInPandas(run, f"{name} {kind}, path string")
+
+
 class FaceDetector(Protocol):
     def __call__(self, content: bytes) -> list[tuple[float, float, float, float, float, list[float]]]:
         """(x1, y1, x2, y2, score, vector) of each face."""

@@ -1,46 +1,101 @@
 """Library state on disk: each write is a new folder of Parquet tables, and a pointer file names the current one.
 
 A reader never sees a half-written state, a lost writer leaves the old one in place, and a path that is being read
-is never overwritten.  The pointer is a one-row text table, read and written through Spark, so a snapshot may lie in
-any store that Spark reaches.
+is never overwritten.  Each version has a pointer file of its own, which names the folder and is never replaced; it is written
+through Hadoop's file systems, so a snapshot may lie in any store that Spark reaches.
 """
 
 from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import SCHEMAS, Library
 
 
-def write_snapshot(library: Library, root: str, partitions: dict[str, str] | None = None) -> str:
+class Conflict(RuntimeError):
+    """Another writer moved the pointer since this one read it."""
+
+
+def write_snapshot(library: Library, root: str, expected: int | None = None) -> str:
     """Write all tables and move the pointer; returns the snapshot's name.
 
-    photos are sorted by taken_at within files, so date ranges skip row groups.
+    photos are sorted by taken_at within files, so date ranges skip row groups.  `expected` is the version that the library
+    came from (version()); without it, that of the start of this write.  The next version's pointer is made by one writer
+    alone: any other finds it taken, fails with Conflict and leaves the state as it is.
     """
     name = uuid.uuid4().hex
-    spark = next(iter(library.tables.values())).sparkSession
+    tables = library.tables
+    spark = next(iter(tables.values())).sparkSession
+    now = version(spark, root)
+    if expected is not None and expected != now:
+        raise Conflict(f"version {now} is current, not {expected}")
     for table, schema in SCHEMAS.items():
-        df = library.tables.get(table)
+        df = tables.get(table)
         if df is None:
             df = spark.createDataFrame([], schema)
         df = df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
         if table == "photos":
             df = df.sortWithinPartitions("taken_at")
         df.write.parquet(f"{root}/{name}/{table}")
-    versions = spark.read.text(f"{root}/_pointers").count() if _exists(spark, f"{root}/_pointers") else 0
-    spark.range(1).select(F.lit(f"{versions + 1:012d} {name}").alias("value")).coalesce(1).write.mode("append").text(
-        f"{root}/_pointers"
-    )
+    _publish(spark, root, now + 1, name)
     return name
 
 
+def _publish(spark: SparkSession, root: str, number: int, name: str) -> None:
+    """Make the pointer of a version by a rename that refuses to replace: of two writers one alone succeeds."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(f"{root}/_pointers")
+    conf = spark._jsc.hadoopConfiguration()
+    fs = folder.getFileSystem(conf)
+    whole, target = (fs.makeQualified(jvm.org.apache.hadoop.fs.Path(folder, n)) for n in (f".{name}", f"{number:012d}"))
+    out = fs.create(whole, True)
+    out.write(bytearray(name.encode()))
+    out.close()
+    plain = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(whole, target, plain)
+    except Py4JJavaError as error:
+        fs.delete(whole, False)
+        if "AlreadyExists" in error.java_exception.getClass().getName():
+            raise Conflict(f"version {number} is taken") from error
+        raise
+
+
+def version(spark: SparkSession, root: str) -> int:
+    """Number of the latest snapshot, 0 before the first."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_pointers")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return 0
+    names = [s.getPath().getName() for s in fs.listStatus(path)]
+    return max((int(n) for n in names if n.isdigit()), default=0)
+
+
 def current_snapshot(spark: SparkSession, root: str) -> str:
     """Name of the latest snapshot."""
-    row = spark.read.text(f"{root}/_pointers").agg(F.max("value")).first()
-    return row[0].split(" ")[1]
+    return spark.read.text(f"{root}/_pointers/{version(spark, root):012d}").first()[0]
+
+
+def optimize_after_import(spark: SparkSession, root: str, file_bytes: int = 128 << 20) -> str:
+    """The current snapshot anew in files of about `file_bytes`, the hot tables ordered so that filters skip row groups.
+
+    Imports leave many small files.  Photos are dealt by ranges of taken_at, faces by photo, vectors by model, each with the column
+    statistics of Parquet in its footers, which scans read as a planner reads refreshed statistics.
+    """
+    lib = read_snapshot(spark, root)
+    now = version(spark, root)
+    order = {"photos": ["taken_at", "id"], "faces": ["photo_id", "id"], "clip_embeddings": ["model", "photo_id"], "person_embeddings": ["person_id", "face_id"]}
+    tables = {}
+    for name, df in lib.tables.items():
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        files = max(1, -(-size // file_bytes))
+        by = order.get(name)
+        tables[name] = df.repartitionByRange(files, *by).sortWithinPartitions(*by) if by else df.coalesce(files)
+    return write_snapshot(Library(tables), root, now)
 
 
 def read_snapshot(spark: SparkSession, root: str, name: str | None = None) -> Library:

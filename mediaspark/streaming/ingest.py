@@ -16,21 +16,30 @@ from ..sources.images import image_files, photo_metadata
 from ..sources.snapshots import read_snapshot, write_snapshot
 
 
-def scan(lib: Library, files: DataFrame, root: str, now: datetime) -> tuple[Library, dict[str, int]]:
+def scan(
+    lib: Library, files: DataFrame, root: str, now: datetime, listed: DataFrame | None = None
+) -> tuple[Library, dict[str, int]]:
     """Take in image files (path, modificationTime, length, content): the library and a summary.
 
-    Known paths are skipped.  A new file counts as a duplicate if a photo has its hash, or an earlier new file has.
+    Known paths are skipped.  A new file counts as a duplicate if a photo has its hash, or an earlier new file has.  `listed`
+    (path) are the files that a listing names; a new one of these that could not be read counts as an error.
     """
     lib, run = start_scan_run(lib, root, now)
     known = lib.photos.select(F.col("file_path").alias("path"))
-    fresh = files.join(known, "path", "left_anti")
-    rows = photo_metadata(fresh).persist()
+    rows = photo_metadata(files.join(known, "path", "left_anti")).persist()
     try:
-        total, new = files.count(), rows.count()
-        first = rows.groupBy("file_hash").agg(F.count(F.lit(1)).alias("n"))
-        seen = first.join(lib.photos.select("file_hash").distinct(), "file_hash", "left_semi").agg(F.sum("n")).first()[0] or 0
-        again = first.join(lib.photos.select("file_hash"), "file_hash", "left_anti").agg(F.sum(F.col("n") - 1)).first()[0] or 0
-        summary = {"processed": new, "skipped": total - new, "duplicates": seen + again, "errors": 0}
+        seen = lib.photos.select("file_hash").distinct().withColumn("_seen", F.lit(1))
+        new = rows.groupBy("file_hash").agg(F.count(F.lit(1)).alias("n")).join(seen, "file_hash", "left").agg(
+            F.coalesce(F.sum("n"), F.lit(0)).alias("processed"),
+            F.coalesce(F.sum(F.col("n") - F.when(F.col("_seen").isNull(), 1).otherwise(0)), F.lit(0)).alias("duplicates"),
+        )
+        names = (files if listed is None else listed).select("path").distinct()
+        there = names.join(known.withColumn("_known", F.lit(1)), "path", "left").agg(
+            F.count("_known").alias("skipped"), F.count(F.lit(1)).alias("all")
+        )
+        r = new.crossJoin(there).first()  # two single rows
+        errors = r["all"] - r["skipped"] - r["processed"] if listed is not None else 0
+        summary = {"processed": r["processed"], "skipped": r["skipped"], "duplicates": r["duplicates"], "errors": errors}
         lib = insert_photos(lib, rows, now)
         return finish_scan_run(lib, run, **summary, now=now), summary
     finally:
@@ -38,7 +47,9 @@ def scan(lib: Library, files: DataFrame, root: str, now: datetime) -> tuple[Libr
 
 
 def scan_directory(lib: Library, root: str, now: datetime, config: EngineConfig = EngineConfig()) -> tuple[Library, dict[str, int]]:
-    return scan(lib, image_files(lib.photos.sparkSession, root, config), root, now)
+    """scan() of a folder: files that can't be read are counted and left for the next scan."""
+    spark = lib.photos.sparkSession
+    return scan(lib, image_files(spark, root, config), root, now, image_files(spark, root, config, content=False))
 
 
 #: Columns of Spark's binary file source.

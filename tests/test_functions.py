@@ -69,10 +69,19 @@ def test_texts_and_boxes(spark):
         hit=s.subsequence_match("o.s", F.lit("Open .settings")), miss=s.subsequence_match("zz", F.lit("z")), box=box(-5, 2.6, 300, 40), bad=box(float("nan"), 0, 1, 1),
         bytes=s.human_bytes(F.lit(1536)), b=s.human_bytes(F.lit(12)), time=s.human_duration(F.lit(3725)), eta=s.eta_seconds(F.lit(2), F.lit(6), F.lit(10.0)),
         none=s.eta_seconds(F.lit(0), F.lit(6), F.lit(10.0)), span=s.year_span(F.to_date(F.lit("2019-01-01")), F.to_date(F.lit("2024-01-01"))),
+        short=s.human_duration(F.lit(65)), day=s.human_duration(F.lit(90_000.9)), under=s.human_duration(F.lit(-3)), zero=s.human_duration(F.lit(9)),
+        tb=s.human_bytes(F.lit(5 << 40)), pb=s.human_bytes(F.lit(3 << 50)), huge=s.human_bytes(F.lit(3 << 60)), minus=s.human_bytes(F.lit(-2048)),
+        am=s.greeting(F.lit(11)), pm=s.greeting(F.lit(12)), late=s.greeting(F.lit(18)),
+        seen=s.seen_line(F.lit(1234), F.to_timestamp(F.lit("2019-03-05 01:00:00")), F.to_timestamp(F.lit("2024-01-09 01:00:00"))),
+        unseen=s.seen_line(F.lit(0), F.lit(None).cast("timestamp"), F.lit(None).cast("timestamp")),
     )
     assert r.name == "Ann" and r.blank is None and r.key == "9-10" and r.hit and not r.miss
     assert tuple(r.box) == (0, 3, 99, 37) and r.bad is None
-    assert (r.bytes, r.b, r.time, r.eta, r.none, r.span) == ("1.5 KB", "12 B", "1h 02m", 20.0, None, "2019 – 2024")
+    assert (r.bytes, r.b, r.time, r.eta, r.none, r.span) == ("1.5 KB", "12 B", "1:02:05", 20.0, None, "2019 – 2024")
+    assert (r.short, r.day, r.under, r.zero) == ("1:05", "25:00:00", "0:00", "0:09")
+    assert (r.tb, r.pb, r.huge, r.minus) == ("5.0 TB", "3.0 PB", "3072.0 PB", "-2.0 KB")
+    assert (r.am, r.pm, r.late) == ("Good morning", "Good afternoon", "Good evening")
+    assert (r.seen, r.unseen) == ("1,234 photos   ·   First seen Mar 2019   ·   Last seen Jan 09, 2024", "0 photos")
 
 
 def test_exif_values(spark):

@@ -1,21 +1,24 @@
+import random
 import struct
 import zlib
 from datetime import datetime
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from mediaspark.config import EngineConfig
-from mediaspark.operators import browse, clustering, duplicates, knowledge, merging, mutations, recognition, search, stats
+from mediaspark.functions import scalars
+from mediaspark.operators import browse, clustering, duplicates, knowledge, merging, mutations, products, recognition, search, stats
 from mediaspark.operators.graph import components
 from mediaspark.plans import registry
 from mediaspark.plans.library import load
-from mediaspark.plans.pipeline import ImportRun, default_steps
+from mediaspark.plans.pipeline import ImportRun, default_steps, make_thumbnails
 from mediaspark.schemas import SCHEMAS, Library
-from mediaspark.sources import images
+from mediaspark.sources import images, snapshots
 from mediaspark.sources.snapshots import read_snapshot, write_snapshot
-from mediaspark.streaming.ingest import scan_directory, watch
+from mediaspark.streaming.ingest import scan, scan_directory, watch
 
 NOW = datetime(2024, 6, 1)
 C = EngineConfig(cluster_min_samples=2)
@@ -351,3 +354,127 @@ def test_phash_of_files(spark, tree):
     noise = np.random.default_rng(0).integers(0, 255, (80, 90))
     big = np.kron(noise, np.ones((3, 3)))
     assert ((images.dhash(noise) ^ images.dhash(big)) & (2**64 - 1)).bit_count() <= 5
+
+
+def test_thumbnails_and_crops(spark, tree, tmp_path):
+    lib, _ = scan_directory(Library.empty(spark), tree, NOW)
+    out, report = make_thumbnails(lib, tree, str(tmp_path / "thumbs"), size=50)
+    assert report == {"generated": 3, "errors": 2}  # one JPEG is broken, one is headers alone
+    paths = {r.file_path.rsplit("/", 1)[1]: r.thumbnail_path for r in out.photos.collect()}
+    assert paths["broken.jpg"] is None
+    sizes = {n: (f["width"], f["height"]) for n, p in paths.items() if p for f in [images.read_facts(open(p, "rb").read())]}
+    assert sizes["a.PNG"] == (50, 33)
+    turned = images.thumbnails(lib.photos.filter("file_path like '%a.PNG'").select("id", "file_path", F.lit(6).alias("orientation")), tree, 60).first()
+    assert [images.read_facts(bytes(turned.image))[x] for x in ("width", "height")] == [40, 60]
+    faces = out.photos.filter("file_path like '%a.PNG'").select(
+        F.lit("7_0.jpg").alias("crop_path"), "file_path", F.lit(10).alias("bbox_x"), F.lit(5).alias("bbox_y"), F.lit(30).alias("bbox_w"), F.lit(20).alias("bbox_h")
+    )
+    crop = images.face_crops(faces, tree).first()
+    assert images.read_facts(bytes(crop.image))["width"] == 30 and images.read_facts(bytes(crop.image))["height"] == 20
+
+
+def test_orientations():
+    px = np.arange(24, dtype=np.uint8).reshape(2, 4, 3)
+    turned = {6: np.rot90(px, -1), 8: np.rot90(px), 3: px[::-1, ::-1], 2: px[:, ::-1], 4: px[::-1], 5: px.swapaxes(0, 1), 1: px, None: px}
+    for o, want in turned.items():
+        assert (images.oriented(px, o) == want).all()
+    assert (images.oriented(px, 7) == np.rot90(px, 2).swapaxes(0, 1)).all()
+
+
+def test_files_that_cannot_be_read_are_counted(spark, tree):
+    files = images.image_files(spark, tree)
+    listed = files.select("path").unionByName(spark.createDataFrame([("file:/gone.jpg",)], "path string"))
+    lib, report = scan(Library.empty(spark), files, tree, NOW, listed)
+    assert report == dict(processed=5, skipped=0, duplicates=1, errors=1)
+    assert scan(lib, files, tree, NOW, listed)[1] == dict(processed=0, skipped=5, duplicates=0, errors=1)
+
+
+def test_of_two_writers_one_succeeds(spark, tmp_path):
+    root = str(tmp_path / "state")
+    lib = Library.empty(spark)
+    first = write_snapshot(lib, root)
+    assert snapshots.version(spark, root) == 1
+    with pytest.raises(snapshots.Conflict):
+        snapshots._publish(spark, root, 1, "other")
+    with pytest.raises(snapshots.Conflict):
+        write_snapshot(lib, root, expected=0)
+    assert snapshots.current_snapshot(spark, root) == first
+    lib = lib.with_tables(albums=spark.createDataFrame([(1, "a", None, NOW, NOW)], SCHEMAS["albums"]))
+    write_snapshot(lib, root, expected=1)
+    compact = snapshots.optimize_after_import(spark, root)
+    assert snapshots.current_snapshot(spark, root) == compact and read_snapshot(spark, root).albums.count() == 1
+
+
+def test_vectors_are_kept_in_files(tmp_path):
+    asked = []
+    encode = lambda text: asked.append(text) or [1.0, 0.5]
+    for _ in range(2):
+        cache = search.TextVectorCache(encode, "m", 1, folder=str(tmp_path))
+        assert cache(" Red car") == (1.0, 0.5) == cache("red CAR ")
+    assert len(asked) == 1
+    next(tmp_path.iterdir()).write_text("broken")
+    assert search.TextVectorCache(encode, "m", 1, folder=str(tmp_path))("red car") == (1.0, 0.5) and len(asked) == 2
+
+
+def clustered_vectors(n, dim=16, seed=2):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(12, dim))
+    v = centres[rng.integers(0, 12, n)] + rng.normal(scale=0.25, size=(n, dim))
+    v[:5] = 0
+    v[5:60] = rng.normal(size=(55, dim))
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+
+
+@pytest.mark.parametrize("block", [64, 5_000])
+def test_products_around_pivots_lose_no_hit(spark, monkeypatch, block):
+    """Blocks so small that there are many pivots, or one block, give what one product of all vectors gives."""
+    monkeypatch.setattr(products, "BLOCK", block)
+    v = clustered_vectors(900)
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, embedding array<double>").repartition(4).cache()
+    got = recognition.best_scores(
+        rows.filter("id < 400").select(F.col("id").alias("face_id"), F.col("embedding").alias("vector")),
+        rows.filter("id >= 300").select((F.col("id") % 50).alias("person_id"), F.col("embedding").alias("vector")), 0.6,
+    )
+    sims = v[:400] @ v[300:].T
+    want = {}
+    for i, j in zip(*np.nonzero(sims >= 0.6)):
+        key = (int(i), int(j + 300) % 50)
+        want[key] = max(want.get(key, -1), sims[i, j])
+    assert {(r.face_id, r.person_id): pytest.approx(r.score, abs=1e-9) for r in got.collect()} == want
+    eps, least = 0.12, 6
+    near = v @ v.T >= 1 - eps
+    np.fill_diagonal(near, True)
+    core = near.sum(1) >= least
+    label = np.where(core, np.arange(900), 10**6)
+    while True:
+        new = np.where(core, np.where(near & core[None, :], label[None, :], 10**6).min(1), label)
+        if (new == label).all():
+            break
+        label = new
+    reach = np.where(near & core[None, :], label[None, :], 10**6).min(1)
+    cluster = np.where(core, label, np.where(reach < 10**6, reach, -1))
+    found = {r.id: r.cluster for r in clustering.dbscan(rows, eps, least).collect()}
+    assert found == dict(enumerate(cluster.tolist())) and len(set(cluster.tolist())) > 5
+
+
+def test_blocks_out_of_reach_do_not_meet(spark, monkeypatch):
+    """Twelve tight clusters: far fewer rows of block pairs than all."""
+    monkeypatch.setattr(products, "BLOCK", 50)
+    rng = np.random.default_rng(3)
+    v = np.repeat(np.eye(12, 16), 100, axis=0) + rng.normal(scale=0.01, size=(1200, 16))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, 0, x.tolist()) for i, x in enumerate(v)], "id long, label long, vector array<double>")
+    one = lambda *a: pd.DataFrame({"n": [1]})
+    met = products.near_products(rows, None, 0.8, one, "n long").count()
+    assert met < 150
+
+
+@pytest.mark.parametrize("distance", [0, 3, 5, 7])
+def test_hamming_pairs_miss_none(spark, distance):
+    rng = random.Random(distance)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    values = {scalars.to_signed(b ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 7)))) for b in base for _ in range(6)} | {0, -1, 1, 2**62}
+    rows = spark.createDataFrame([(x,) for x in values], "phash long")
+    want = {(a, b) for a in values for b in values if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= distance}
+    got = [(r.a, r.b) for r in duplicates.hamming_pairs(rows, distance).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
