@@ -32,15 +32,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import Memo, arrow_schema, discard, parts_of, staged, texts_of, utf8
+from .common import arrow_schema, discard, parts_of, return_large_arrays, staged, texts_of, utf8
 
 K1, B = 1.2, 0.75
 #: Postings in a shard, about.
-SHARD_POSTINGS = 3_000_000
+SHARD_POSTINGS = 2_000_000
 #: A term in at least one of so many documents stands as a full row, the most frequent MOST_DENSE at most.
 DENSE, MOST_DENSE = 8, 256
 #: Frequent words of a shard by which its documents are ordered.
 TELLING = 64
+#: Postings that are worked on at once; arrays of all of a shard's are few.
+STEP = 1 << 19
 #: Documents in a block of the index.
 BLOCK = 128
 #: Queries in one product.
@@ -49,76 +51,111 @@ QUERIES = 64
 QUERY_BLOCK, QUERY_WORDS = 2_048, 1_000_000
 #: Tasks that build the index, at most; each builds its shards one after another.
 TASKS = 10_000
-#: Bytes of a packed index in one row.
-PART = 2 << 20
+#: Words that a task counts, and bytes of text that it takes them from, before it hands its counts on.
+WORDS, COUNTED = 250_000, 32 << 20
+#: Bytes of a packed index in one row, and rows in a batch of them.
+PART, PART_ROWS = 256 << 10, 16
 #: Added to bounds, as a part of them, for their single precision.
 SLACK = 1e-4
 
 
-def fingerprints() -> Memo:
-    return Memo(xxhash.xxh3_64_intdigest)
+#: The fingerprint of a word.
+FINGERPRINT = xxhash.xxh3_64_intdigest
 
 
-def counted(text: bytes, memory: Memo) -> tuple[np.ndarray, np.ndarray]:
+def counted(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprints of a text's words, lower-cased (A-Z), in order, and how often each stands in it."""
-    memory.trim()
     counts = Counter(text.lower().split())
-    h = np.fromiter(map(memory.__getitem__, counts), np.uint64, len(counts))
+    h = np.fromiter(map(FINGERPRINT, counts), np.uint64, len(counts))
     c = np.fromiter(counts.values(), np.int32, len(counts))
     order = np.argsort(h)
     return h[order], c[order]
 
 
+#: What pack() keeps of an index.
+ARRAYS = ("vocabulary", "doc_freq", "doc_term", "doc_start", "lengths", "post_doc", "post_freq")
+
+
 class Shard:
     """The index of one shard: add() documents, then seal() or give pack() to a later load(); then search()."""
 
     def __init__(self, mean_length: float):
         self.mean = max(mean_length, 1e-9)
         self.ids: list = []
-        self.words: list[np.ndarray] = []
-        self.freqs: list[np.ndarray] = []
+        self.sizes: list[int] = []
+        self.words, self.freqs = np.empty(1 << 20, np.uint64), np.empty(1 << 20, np.int32)
+        self.used = 0
 
     def add(self, doc_id, words: np.ndarray, freqs: np.ndarray) -> None:
         self.ids.append(doc_id)
-        self.words.append(words)
-        self.freqs.append(freqs)
+        self.sizes.append(len(words))
+        end = self.used + len(words)
+        if end > len(self.words):
+            room = max(end, len(self.words) * 3 // 2) - self.used
+            self.words = np.concatenate([self.words[: self.used], np.empty(room, np.uint64)])
+            self.freqs = np.concatenate([self.freqs[: self.used], np.empty(room, np.int32)])
+        self.words[self.used : end], self.freqs[self.used : end] = words, freqs
+        self.used = end
 
     def seal(self) -> Shard:
         n = len(self.ids)
-        lengths = np.fromiter((f.sum() for f in self.freqs), np.int64, n)
-        self.vocabulary, df = np.unique(np.concatenate(self.words), return_counts=True) if n else (np.zeros(0, np.uint64), np.zeros(0, int))
-        terms = [np.searchsorted(self.vocabulary, w).astype(np.int32) for w in self.words]
+        sizes = np.array(self.sizes, np.int64)
+        start = np.concatenate([[0], np.cumsum(sizes)])
+        words, freq = self.words[: self.used], self.freqs[: self.used]
+        self.words = self.freqs = None
+        lengths = np.fromiter((freq[start[i] : start[i + 1]].sum() for i in range(n)), np.int64, n)
+        # Arrays of all postings are let go as soon as they have served; the largest are made in steps.
+        self.vocabulary, df = np.unique(words, return_counts=True)
+        term = np.empty(len(words), np.int32)
+        for lo in range(0, len(words), STEP):
+            term[lo : lo + STEP] = np.searchsorted(self.vocabulary, words[lo : lo + STEP])
+        del words
+        freq = freq.astype(np.uint16) if freq.max(initial=0) < 1 << 16 else freq.copy()
         # The frequent word of which a document has most for its length and the word's frequency tells what it is like.
         telling = np.full(len(df), -1)
         best = np.argsort(-df, kind="stable")[:TELLING]
         telling[best] = np.arange(len(best))
         kind = np.full(n, -1)
-        for i, (t, f) in enumerate(zip(terms, self.freqs)):
+        for i in range(n):
+            t, f = term[start[i] : start[i + 1]], freq[start[i] : start[i + 1]]
             own = telling[t] >= 0
             if own.any():
                 kind[i] = telling[t[own]][np.argmax(f[own] / df[t[own]])]
         order = np.lexsort((lengths, kind))
-        sizes = np.fromiter((len(terms[i]) for i in order), np.int64, n)
-        freq = np.concatenate([self.freqs[i] for i in order]) if n else np.zeros(0, np.int32)
-        self.doc_freq = freq.astype(np.uint16) if not n or freq.max(initial=0) < 1 << 16 else freq
-        self.doc_term = np.concatenate([terms[i] for i in order]) if n else np.zeros(0, np.int32)
+        sizes = sizes[order]
         self.doc_start = np.concatenate([[0], np.cumsum(sizes)])
+        at = np.repeat(start[order] - self.doc_start[:-1], sizes)
+        at += np.arange(len(at))
+        self.doc_term, self.doc_freq = term[at], freq[at]
+        del at, term, freq
         self.ids = [self.ids[i] for i in order]
         self.lengths = lengths[order]
         by_term = np.argsort(self.doc_term, kind="stable")
         self.post_doc = np.repeat(np.arange(n, dtype=np.int32), sizes)[by_term]
         self.post_freq = self.doc_freq[by_term]
-        self.words, self.freqs = [], []
+        del by_term
         return self._prepare()
 
     def pack(self) -> bytes:
-        names = ("mean", "ids", "vocabulary", "doc_freq", "doc_term", "doc_start", "lengths", "post_doc", "post_freq")
-        return pickle.dumps({x: getattr(self, x) for x in names}, protocol=5)
+        """The index as bytes: the length of a head, the head, then each array where a multiple of 8 bytes begins."""
+        arrays = [np.ascontiguousarray(getattr(self, x)) for x in ARRAYS]
+        head = pickle.dumps((self.mean, self.ids, [(a.dtype.str, len(a)) for a in arrays]))
+        out = [len(head).to_bytes(8, "little"), head, bytes(-len(head) % 8)]
+        for a in arrays:
+            out += [memoryview(a).cast("B") if len(a) else b"", bytes(-a.nbytes % 8)]
+        return b"".join(out)
 
     @classmethod
-    def load(cls, data: bytes) -> Shard:
-        shard = cls(1.0)
-        shard.__dict__.update(pickle.loads(data))
+    def load(cls, data: bytes | bytearray) -> Shard:
+        """The index that pack() gave; its arrays stay views of `data`."""
+        at = 8 + int.from_bytes(data[:8], "little")
+        mean, ids, arrays = pickle.loads(memoryview(data)[8:at])
+        shard = cls(mean)
+        shard.ids = ids
+        for name, (kind, n) in zip(ARRAYS, arrays):
+            at += -at % 8
+            setattr(shard, name, np.frombuffer(data, kind, n, at))
+            at += getattr(shard, name).nbytes
         return shard._prepare()
 
     def _prepare(self) -> Shard:
@@ -126,10 +163,13 @@ class Shard:
         n, v = len(self.ids), len(self.vocabulary)
         self.norm = K1 * (1 - B + B * self.lengths / self.mean)
         self.doc_size = np.diff(self.doc_start)
-        self.df = np.bincount(self.doc_term, minlength=v)
+        self.df = np.zeros(v, np.int64)
+        self.post_part = np.empty(len(self.post_freq), np.float32)
+        for lo in range(0, len(self.post_freq), STEP):
+            self.df += np.bincount(self.doc_term[lo : lo + STEP], minlength=v)
+            freq = self.post_freq[lo : lo + STEP]
+            self.post_part[lo : lo + STEP] = freq / (freq + self.norm[self.post_doc[lo : lo + STEP]])
         self.start = np.concatenate([[0], np.cumsum(self.df)])
-        part = self.post_freq / (self.post_freq + self.norm[self.post_doc])
-        self.post_part = part.astype(np.float32)
         self.top = np.maximum.reduceat(self.post_part, self.start[:-1]) if v else np.zeros(0, np.float32)
         # Block maxima of terms long enough that blocks tell more than the whole list does.
         self.blocks = -(-n // BLOCK) if n else 0
@@ -156,13 +196,18 @@ class Shard:
 
     def _sums(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """For every document the weighted sum over the postings of some terms."""
-        sizes = self.df[terms]
-        total = int(sizes.sum())
-        if not total:
-            return np.zeros(len(self.ids))
-        shift = np.repeat(self.start[terms] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
-        at = shift + np.arange(total)
-        return np.bincount(self.post_doc[at], np.repeat(weights, sizes) * self.post_part[at], minlength=len(self.ids))
+        n, size, first = len(self.ids), self.df[terms], self.start[terms]
+        ends = np.cumsum(size)
+        if not len(terms):
+            return np.zeros(n)
+        if ends[-1] > STEP and len(terms) > 1:
+            half = len(terms) // 2
+            return self._sums(terms[:half], weights[:half]) + self._sums(terms[half:], weights[half:])
+        at = np.arange(ends[-1])
+        at += (first - ends + size).repeat(size)
+        gain = weights.repeat(size)
+        gain *= self.post_part.take(at)
+        return np.bincount(self.post_doc.take(at), gain, minlength=n)
 
     def _exact(self, docs: np.ndarray) -> np.ndarray:
         """Full scores of some documents under the weights set for the query."""
@@ -260,14 +305,15 @@ def document_frequencies(texts: DataFrame) -> DataFrame:
     schema = arrow_schema(ddl)
 
     def run(batches):
-        memory, df, n, words = fingerprints(), Counter(), 0, 0
+        return_large_arrays()
+        df, held, n, words = Counter(), 0, 0, 0
 
         def out(hs, counts, n_words):
             cols = [pa.array(c, pa.int64()) for c in (hs, counts, n_words)]
             return pa.RecordBatch.from_arrays(cols, schema=schema)
 
         def all_out():
-            hs = np.fromiter(df, np.uint64, len(df)).view(np.int64)
+            hs = np.fromiter(map(FINGERPRINT, df), np.uint64, len(df)).view(np.int64)
             return out(hs, np.fromiter(df.values(), np.int64, len(df)), [None] * len(df))
 
         for batch in parts_of(batches):
@@ -275,11 +321,11 @@ def document_frequencies(texts: DataFrame) -> DataFrame:
                 w = text.lower().split()
                 words += len(w)
                 n += 1
-                memory.trim()
-                df.update(map(memory.__getitem__, set(w)))
-                if len(df) > 500_000:
+                df.update(set(w))
+                held += len(text)
+                if len(df) > WORDS or held > COUNTED:
                     yield all_out()
-                    df = Counter()
+                    df, held = Counter(), 0
         if df:
             yield all_out()
         if n:
@@ -340,7 +386,7 @@ def top_k(
     asked = staged(_asked(queries.select("q", "t"), stats, n, shards), "asked")
     discard(stats)
     # A file a shard, of one row group, so that one task reads all of it.
-    index = staged(_index(docs.select(F.col(id_col).cast("long").alias("id"), text), asked, k, mean, shards), "index", "shard")
+    index = staged(_index(docs.select(F.col(id_col).cast("long").alias("id"), text), asked, k, mean, shards), "index", "shard", PART_ROWS)
     at_home = index.filter("data is null").select(F.explode(F.arrays_zip("q", "d", "s")).alias("x")).select("x.q", F.col("x.d").alias("doc_id"), F.col("x.s").alias("score"))
     found = [at_home]
     if shards > 1:
@@ -362,7 +408,7 @@ def top_k(
                     for q, home, w, x, floor in zip(*[c.to_pylist() for c in block.columns])
                 ]
             )
-            found.append(staged(_search_block(index, sent, k), "found"))
+            found.append(staged(_search_block(index, sent, k), "found", rows=PART_ROWS))
             sent.destroy()
         discard(dealt)
     out = found[0]
@@ -374,17 +420,19 @@ def top_k(
 
 
 def _index(docs: DataFrame, asked: DataFrame, k: int, mean: float, shards: int) -> DataFrame:
-    """For each shard rows with the parts of its packed index in order (data), and one with q, d, s: what its home queries find there."""
+    """For each shard rows with the parts of its packed index (data, which begins at byte `place`), and one with q, d, s: what its
+    home queries find there."""
     indexed = docs.select(
         F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int").alias("shard"),
         F.lit(0).alias("kind"), "id", "t", F.lit(None).cast("binary").alias("weights"),
     )
     at_home = asked.select(F.col("home").alias("shard"), F.lit(1).alias("kind"), F.col("q").alias("id"), F.col("words").alias("t"), "weights")
-    ddl = "shard int, size long, data binary, q array<long>, d array<long>, s array<double>"
+    ddl = "shard int, size long, place long, data binary, q array<long>, d array<long>, s array<double>"
     schema = arrow_schema(ddl)
 
     def run(batches):
-        memory, shard, number, queries = fingerprints(), None, None, []
+        return_large_arrays()
+        shard, number, queries = None, None, []
 
         def row(*cells):
             return pa.RecordBatch.from_arrays([pa.array([c], t.type) for c, t in zip(cells, schema)], schema=schema)
@@ -393,10 +441,11 @@ def _index(docs: DataFrame, asked: DataFrame, k: int, mean: float, shards: int)
             shard.seal()
             found = shard.search([x[1:] for x in queries], k)
             flat = [(q[0], d, s) for q, rows in zip(queries, found) for d, s in rows]
-            yield row(number, 0, None, *[[x[i] for x in flat] for i in range(3)])
+            yield row(number, 0, 0, None, *[[x[i] for x in flat] for i in range(3)])
             data = memoryview(shard.pack())
+            shard.__dict__.clear()  # the packed index alone is needed from here
             for lo in range(0, len(data), PART):
-                yield row(number, len(data), data[lo : lo + PART], None, None, None)
+                yield row(number, len(data), lo, data[lo : lo + PART], None, None, None)
 
         for batch in parts_of(batches):
             for s, what, i, t, weights in zip(*[c.to_pylist() for c in batch.columns]):
@@ -405,7 +454,7 @@ def _index(docs: DataFrame, asked: DataFrame, k: int, mean: float, shards: int)
                         yield from out()
                     shard, number, queries = Shard(mean), s, []
                 if what == 0:
-                    shard.add(i, *counted(t, memory))
+                    shard.add(i, *counted(t))
                 else:
                     queries.append((i, np.frombuffer(t, np.uint64), np.frombuffer(weights, np.float64), 0.0))
         if shard is not None:
@@ -426,31 +475,37 @@ def _search_block(index: DataFrame, sent, k: int) -> DataFrame:
     schema = arrow_schema(ddl)
 
     def run(batches):
-        parts, read = [], 0
+        return_large_arrays()
+        whole, read, own = None, 0, None
         for batch in batches:
-            for number, size, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                parts.append(data.as_py())
-                read += len(parts[-1])
+            for number, size, place, data in zip(*[batch.column(i).to_pylist() for i in range(3)], batch.column(3)):
+                if whole is None:
+                    whole, read, own = bytearray(size), 0, number
+                if number != own:
+                    raise RuntimeError("a shard was read in part")
+                part = data.as_buffer()
+                whole[place : place + part.size] = part
+                read += part.size
                 if read < size:
                     continue
-                shard = Shard.load(b"".join(parts))
-                parts, read = [], 0
+                shard = Shard.load(whole)
+                whole = None
                 queries = [x for x in sent.value if x[1] != number]
                 found = shard.search([x[2:] for x in queries], k)
                 flat = [(x[0], d, s) for x, rows in zip(queries, found) for d, s in rows]
                 if flat:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*flat), schema)], schema=schema)
-        if parts:
+                del shard
+        if whole is not None:
             raise RuntimeError("a shard was read in part")
 
-    return index.filter("data is not null").select("shard", "size", "data").mapInArrow(run, ddl)
+    return index.filter("data is not null").select("shard", "size", "place", "data").mapInArrow(run, ddl)
 
 
 def _query_words(batches):
-    memory = fingerprints()
     for batch in parts_of(batches):
         for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            h, c = counted(t, memory)
+            h, c = counted(t)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(h), i, np.int64)), pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], names=["q", "h", "c"]
             )

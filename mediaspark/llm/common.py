@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import sys
 import tempfile
@@ -37,15 +38,15 @@ def shared_dir(spark: SparkSession) -> str:
     return conf
 
 
-def staged(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+def staged(df: DataFrame, name: str, by: str | None = None, rows: int | None = None) -> DataFrame:
     """Write df as Parquet, in a folder for each value of column `by` if given, in the shared folder and read it back.
 
-    This cuts the lineage, so a lost executor costs no more than the stages after the table, and it
+    Batches hold BATCH_ROWS rows, or `rows` on their way from a file as well, for tables of large cells.  This cuts the lineage, so a lost executor costs no more than the stages after the table, and it
     freezes values such as row ids that a second evaluation could draw differently.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/staged/{name}-{uuid.uuid4().hex}"
-    with small_batches(spark):
+    with small_batches(spark, rows):
         (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged = path
@@ -144,6 +145,18 @@ class Memo(dict):
             self.used = 0
 
 
+def return_large_arrays() -> None:
+    """Have this Python worker give freed arrays of 4 MB or more back to the system at once; elsewhere than with glibc, nothing.
+
+    By default glibc raises its limit up to 32 MB as it meets such arrays and then keeps them in its heap, in pieces.
+    """
+    mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
+    if mallopt:
+        m_trim_threshold, m_mmap_threshold = -1, -3
+        mallopt(m_mmap_threshold, 4 << 20)
+        mallopt(m_trim_threshold, 8 << 20)
+
+
 def spread_join(rows: DataFrame, per_key: DataFrame, keys: list[str], salt_by: str, salts: int) -> DataFrame:
     """rows joined with per_key (one row a key), without gathering a key's rows in one task.
 
@@ -166,22 +179,23 @@ BATCH_ROWS = 1_000
 
 
 @contextmanager
-def small_batches(spark: SparkSession):
+def small_batches(spark: SparkSession, rows: int | None = None):
     """Arrow batches of BATCH_ROWS rows for the actions within; the session's own setting comes back after them.
 
-    A batch stands in memory several times, on both sides.  Spark bounds it by bytes too, so results that a
-    caller evaluates later, at the caller's setting, are bounded as well.
+    With `rows` Arrow batches and those read from Parquet are of so many.  A batch stands in memory several times, on
+    both sides.  Spark bounds it by bytes too, so results that a caller evaluates later, at the caller's setting, are bounded as well.
     """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = spark.conf.get(name)
-    if 0 < int(now) <= BATCH_ROWS:
-        yield
-        return
-    spark.conf.set(name, str(BATCH_ROWS))
+    arrow, reader = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"
+    wanted = {arrow: rows or BATCH_ROWS} | ({reader: rows} if rows else {})
+    now = {name: spark.conf.get(name) for name in wanted}
+    for name, value in wanted.items():
+        if not 0 < int(now[name]) <= value:
+            spark.conf.set(name, str(value))
     try:
         yield
     finally:
-        spark.conf.set(name, now)
+        for name, value in now.items():
+            spark.conf.set(name, value)
 
 
 def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
