@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import arrow_schema, discard, parts_of, return_large_arrays, staged, texts_of, utf8
+from .common import arrow_schema, discard, in_arrow, parts_of, staged, texts_of, utf8
 
 K1, B = 1.2, 0.75
 #: Postings in a shard, about.
@@ -305,7 +305,6 @@ def document_frequencies(texts: DataFrame) -> DataFrame:
     schema = arrow_schema(ddl)
 
     def run(batches):
-        return_large_arrays()
         df, held, n, words = Counter(), 0, 0, 0
 
         def out(hs, counts, n_words):
@@ -331,19 +330,19 @@ def document_frequencies(texts: DataFrame) -> DataFrame:
         if n:
             yield out([None], [n], [words])
 
-    return texts.mapInArrow(run, ddl).groupBy("h").agg(F.sum("df").alias("df"), F.sum("n_words").alias("n_words"))
+    return texts.transform(in_arrow, run, ddl).groupBy("h").agg(F.sum("df").alias("df"), F.sum("n_words").alias("n_words"))
 
 
 def _asked(queries: DataFrame, stats: DataFrame, n: int, shards: int) -> DataFrame:
     """q, home, n_words, words and weights (fingerprints and weights as bytes) of queries (q, t)."""
     idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     return (
-        queries.mapInArrow(_query_words, "q long, h long, c long")
+        queries.transform(in_arrow, _query_words, "q long, h long, c long")
         .join(stats.filter("h is not null").select("h", "df"), "h")
         .groupBy("q")
         .agg(F.collect_list(F.struct("h", (F.col("c") * idf).alias("x"))).alias("m"))  # one text's words
         .select("q", F.col("m.h").alias("h"), F.col("m.x").alias("x"))
-        .mapInArrow(_pack, "q long, n_words long, words binary, weights binary")
+        .transform(in_arrow, _pack, "q long, n_words long, words binary, weights binary")
         .withColumn("home", F.pmod(F.xxhash64("q", F.lit(1)), F.lit(shards)).cast("int"))
     )
 
@@ -431,7 +430,6 @@ def _index(docs: DataFrame, asked: DataFrame, k: int, mean: float, shards: int)
     schema = arrow_schema(ddl)
 
     def run(batches):
-        return_large_arrays()
         shard, number, queries = None, None, []
 
         def row(*cells):
@@ -465,7 +463,7 @@ def _index(docs: DataFrame, asked: DataFrame, k: int, mean: float, shards: int)
         indexed.union(at_home)
         .repartitionById(tasks, (F.col("shard") % tasks).cast("int"))  # the same number of shards for each task
         .sortWithinPartitions("shard", "kind")
-        .mapInArrow(run, ddl)
+        .transform(in_arrow, run, ddl)
     )
 
 
@@ -475,7 +473,6 @@ def _search_block(index: DataFrame, sent, k: int) -> DataFrame:
     schema = arrow_schema(ddl)
 
     def run(batches):
-        return_large_arrays()
         whole, read, own = None, 0, None
         for batch in batches:
             for number, size, place, data in zip(*[batch.column(i).to_pylist() for i in range(3)], batch.column(3)):
@@ -499,7 +496,7 @@ def _search_block(index: DataFrame, sent, k: int) -> DataFrame:
         if whole is not None:
             raise RuntimeError("a shard was read in part")
 
-    return index.filter("data is not null").select("shard", "size", "place", "data").mapInArrow(run, ddl)
+    return index.filter("data is not null").select("shard", "size", "place", "data").transform(in_arrow, run, ddl)
 
 
 def _query_words(batches):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import math
 import sys
 import tempfile
@@ -145,16 +146,33 @@ class Memo(dict):
             self.used = 0
 
 
-def return_large_arrays() -> None:
-    """Have this Python worker give freed arrays of 4 MB or more back to the system at once; elsewhere than with glibc, nothing.
+def release_memory() -> None:
+    """Give back what earlier tasks of this Python worker have left: their functions and broadcast values, and freed memory.
 
-    By default glibc raises its limit up to 32 MB as it meets such arrays and then keeps them in its heap, in pieces.
+    A task's functions refer to each other, so only the collector frees them and what they hold.  glibc raises the size from which
+    freed arrays go back to the system up to 32 MB as it meets such arrays, and keeps smaller ones in its heap, in pieces; here it
+    stays at 4 MB.  Elsewhere than with glibc that part does nothing.
     """
-    mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
-    if mallopt:
+    gc.collect()
+    if not gc.get_freeze_count():
+        gc.freeze()  # modules; collecting again takes little time
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "mallopt"):
         m_trim_threshold, m_mmap_threshold = -1, -3
-        mallopt(m_mmap_threshold, 4 << 20)
-        mallopt(m_trim_threshold, 8 << 20)
+        libc.mallopt(m_mmap_threshold, 4 << 20)
+        libc.mallopt(m_trim_threshold, 8 << 20)
+        libc.malloc_trim(0)
+
+
+def in_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow; each task first gives back what earlier ones of its worker left, so that a worker's memory is that of one task."""
+
+    def run(batches):
+        release_memory()
+        yield from f(batches)
+
+    return df.mapInArrow(run, schema)
 
 
 def spread_join(rows: DataFrame, per_key: DataFrame, keys: list[str], salt_by: str, salts: int) -> DataFrame:
@@ -221,7 +239,7 @@ def map_rows(
             if out:
                 yield _record_batch(out, arrow)
 
-    return df.mapInArrow(run, schema)
+    return in_arrow(df, run, schema)
 
 
 def map_chunks(
@@ -247,7 +265,7 @@ def map_chunks(
             if rows:
                 yield _record_batch(f(rows), arrow)
 
-    return df.mapInArrow(run, schema)
+    return in_arrow(df, run, schema)
 
 
 def _record_batch(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
@@ -271,7 +289,7 @@ def summed(df: DataFrame, f: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarr
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total], schema.field(0).type)], schema=schema)
 
-    rows = df.mapInArrow(run, ddl).collect()
+    rows = in_arrow(df, run, ddl).collect()
     return np.array([math.fsum(c) for c in zip(*[r["s"] for r in rows])]) if rows else None
 
 

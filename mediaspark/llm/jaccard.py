@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, arrow_schema, discard, parts_of, root_of, spread_join, staged, texts_of, utf8
+from .common import Memo, arrow_schema, discard, in_arrow, parts_of, root_of, spread_join, staged, texts_of, utf8
 from .components import connected_components
 
 #: Prefixes that hold a rare token, at most; also the longest list that gives all pairs.
@@ -130,7 +130,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int,
                 schema=schema,
             )
 
-    return source.mapInArrow(run, ddl)
+    return source.transform(in_arrow, run, ddl)
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame, text_col: str, width: int) -> DataFrame:
@@ -169,7 +169,7 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, text_col: str, width: int) -
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), schema)], schema=schema)
 
-    found = docs.select(utf8(text_col).alias("t"), F.xxhash64(utf8(text_col)).alias("tk")).mapInArrow(run, ddl)
+    found = docs.select(utf8(text_col).alias("t"), F.xxhash64(utf8(text_col)).alias("tk")).transform(in_arrow, run, ddl)
     once = found.groupBy("k1", "k2").agg(F.first("s").alias("s"))
     return once.join(wanted.select("row", "k1", "k2"), ["k1", "k2"]).select("row", "s")
 
@@ -572,7 +572,7 @@ def link_counts(
             yield done
 
     keys = ["group", "i", "j"]
-    found = cells.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, ddl).groupBy("row").agg(F.sum("links").alias("n_links"))
+    found = cells.repartition(*keys).sortWithinPartitions(*keys).transform(in_arrow, run, ddl).groupBy("row").agg(F.sum("links").alias("n_links"))
     linked = grouped.select(F.col("row").alias("class"), "group").join(found.withColumnRenamed("row", "class"), "class")
     return documents.join(linked, "class", "left").select(
         "row", "doc_id", F.col("n").alias("n_shingles"), "class", F.coalesce("group", "class").alias("group"),

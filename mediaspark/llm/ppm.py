@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import COUNTED, arrow_schema, kept_names, parts_of, remainder, staged, texts_of, utf8
+from .common import COUNTED, arrow_schema, in_arrow, kept_names, parts_of, remainder, staged, texts_of, utf8
 
 ORDER = 3
 #: Stands before a text's first byte and, as a symbol, for its end; no UTF-8 text holds it.
@@ -178,7 +178,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
         if counts:
             yield _emit(schema, list(counts), list(counts.values()))
 
-    return texts.mapInArrow(run, ddl).groupBy("w").agg(F.sum("c").alias("c"))
+    return texts.transform(in_arrow, run, ddl).groupBy("w").agg(F.sum("c").alias("c"))
 
 
 def gram_counts(texts: DataFrame) -> DataFrame:
@@ -211,7 +211,7 @@ def gram_counts(texts: DataFrame) -> DataFrame:
             codes, counts = merged()
             yield _emit(schema, codes.astype(np.int64), counts)
 
-    return texts.mapInArrow(run, ddl).groupBy("g").agg(F.sum("c").alias("c"))
+    return texts.transform(in_arrow, run, ddl).groupBy("g").agg(F.sum("c").alias("c"))
 
 
 def _chunks(texts: list[bytes]):
@@ -299,7 +299,7 @@ def code_logs(full: DataFrame, asked: DataFrame, trie) -> DataFrame:
             p = trie.value.logs(batch.column(0).to_numpy())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], schema=schema)
 
-    new = new.select("g", "t", "d", "s", "c2", "t2", "d2").mapInArrow(run, ddl)
+    new = new.select("g", "t", "d", "s", "c2", "t2", "d2").transform(in_arrow, run, ddl)
     t2, d2 = F.col("t2") - F.col("s"), F.col("d2") - F.col("d")
     further = F.when(
         F.col("c2").isNull(),
@@ -384,7 +384,7 @@ def score(
                 a = list(zip(*out))
                 yield _emit(schema, *[c[lo:hi] for c in cols[:-1]], a[0], a[1], a[2], scores, a[3], a[4], codes, code_times)
 
-    scored = staged(source.mapInArrow(run, ddl), "scored")
+    scored = staged(source.transform(in_arrow, run, ddl), "scored")
     rare = scored.select("row", F.explode(F.arrays_zip("w", "m")).alias("x")).select("row", "x.w", "x.m")
     log = _fixed(F.log10(F.col("c") + 1))
     found = (

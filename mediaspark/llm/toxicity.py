@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import (
-    COUNTED, Memo, discard, kept_names, map_rows, minimise, parts_of, remainder, staged, summed, table, texts_of, utf8,
+    COUNTED, Memo, discard, in_arrow, kept_names, map_rows, minimise, parts_of, remainder, staged, summed, table, texts_of, utf8,
 )
 
 #: English insults by kind, one voter each.
@@ -297,7 +297,7 @@ def fit(
 def _mine(sample: DataFrame, n_pos: int, n_neg: int) -> list[str]:
     """Features that toxic texts of `sample` (_y, _t) hold more often than chance gives, strongest first."""
     counts = (
-        sample.mapInArrow(_class_counts, "f string, p long, n long")
+        sample.transform(in_arrow, _class_counts, "f string, p long, n long")
         .groupBy("f")
         .agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     )
