@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bm25, bpe, jaccard, mixing, ppm, pu_quality, quality_rules, sharding, token_counts, toxicity
+from . import bm25, bpe, conversations, jaccard, mixing, periodic, ppm, pu_quality, quality_rules, sharding, simhash, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": jaccard.op1_ngram_jaccard,
@@ -19,9 +19,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bm25": bm25.op8_bm25,
     "op9_mixing": mixing.op9_mixing,
     "op10_pu_quality": pu_quality.op10_pu_quality,
+    "op11_periodic_runs": periodic.op11_periodic_runs,
+    "op12_simhash": simhash.op12_simhash,
+    "op13_conversation_trie": conversations.op13_conversation_trie,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_jaccard": jaccard.OP1_SQL,
     "op6_quality_rules": quality_rules.OP6_SQL,
     "op9_mixing": mixing.OP9_SQL,
+    "op13_conversation_trie": conversations.OP13_SQL,
 }
