@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from .config import EngineConfig
 from .operators import browse, duplicates, knowledge, merging, mutations, recognition, search, stats
 from .schemas import Library
-from .sources.snapshots import write_snapshot
+from .sources.snapshots import read_snapshot, write_snapshot
 
 
 class MediaLibrary:
@@ -170,4 +170,11 @@ class MediaLibrary:
         return report
 
     def save(self, root: str) -> str:
-        return write_snapshot(self.library, root)
+        """Write what changed since the version that the library came from, and go on from the new one.
+
+        Another writer's newer version is a Conflict.
+        """
+        source = self.library.source
+        name = write_snapshot(self.library, root, source[1] if source and source[0] == root else None)
+        self.library = read_snapshot(self.library.photos.sparkSession, root)
+        return name

@@ -107,8 +107,8 @@ def _found(lib: Library, clustered: DataFrame) -> tuple[Library, DataFrame]:
             F.col("centroid").cast("array<float>").alias("centroid"), F.lit(None).cast("double").alias("adaptive_threshold"),
         )
     )
-    faces = lib.faces.join(given, "id", "left").withColumn("person_id", F.coalesce("_new", "person_id")).select(*lib.faces.columns)
-    return settled(lib.with_tables(faces=faces, persons=lib.persons.unionByName(persons)), "faces", "persons"), members
+    out = lib.changed("faces", patch=given.withColumnRenamed("_new", "person_id")).changed("persons", append=persons)
+    return settled(out, "faces", "persons"), members
 
 
 def recluster(lib: Library, config: EngineConfig, algorithm: str = "auto") -> Library:

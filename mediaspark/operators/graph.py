@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +30,18 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def settled(library, *names: str):
-    """The library with some tables written to checkpoints, so that plans don't grow from step to step."""
-    return library.with_tables(**{n: cut(library[n]) for n in names})
+    """The library with some tables cut, so that plans don't grow from step to step.
+
+    Of a table that a snapshot holds only the changes are written, and they stay changes.
+    """
+    out = {}
+    for n in names:
+        part = library.part(n)
+        if library.source is None or part.whole:
+            out[n] = replace(part, base=cut(library[n]), changes=(), content=None)
+        else:
+            out[n] = replace(part, changes=tuple(c if c.settled else c.with_rows(cut(c.rows)) for c in part.changes), content=None)
+    return library.with_tables(**out)
 
 
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:

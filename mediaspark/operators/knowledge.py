@@ -149,8 +149,7 @@ def restore(lib: Library, data: dict, now: datetime) -> tuple[Library, dict[str,
     known = lib.photos.select("file_hash").distinct()
     report["favorites"] = wanted.join(known, "file_hash", "left_semi").count()
     report["favorites_skipped"] = len(data.get("favorites", [])) - report["favorites"]
-    marked = lib.photos.join(wanted.distinct().withColumn("_f", F.lit(True)), "file_hash", "left")
-    photos = marked.withColumn("is_favorite", F.coalesce("_f", "is_favorite")).select(*lib.photos.columns)
+    marked = lib.photos.join(wanted, "file_hash", "left_semi").select("id", F.lit(True).alias("is_favorite"))
 
     rows = [(i, p["name"], *k) for i, p in enumerate(data.get("people", [])) for k in p["faces"]]
     keys = spark.createDataFrame(rows, f"i int, name string, {KEY_SCHEMA}")
@@ -171,12 +170,11 @@ def restore(lib: Library, data: dict, now: datetime) -> tuple[Library, dict[str,
         else:
             ids[r["name"]] = r["person_id"]
     report["people"] = len(new)
-    persons = lib.persons.unionByName(spark.createDataFrame(new, lib.persons.schema))
+    persons = spark.createDataFrame(new, lib.persons.schema)
     table = spark.createDataFrame(list(ids.items()), "name string, _to long")
     # A face named twice goes to the person that comes last.
     moves = found.join(table, "name").groupBy(F.col("face_id").alias("id")).agg(F.max_by("_to", "i").alias("_to"))
-    faces = lib.faces.join(moves, "id", "left").withColumn("person_id", F.coalesce("_to", "person_id")).select(*lib.faces.columns)
-    lib = lib.with_tables(photos=photos, faces=faces, persons=persons)
+    lib = lib.changed("photos", patch=marked).changed("faces", patch=moves.withColumnRenamed("_to", "person_id")).changed("persons", append=persons)
     if ids:
         lib = recompute_profiles(lib, table.select(F.col("_to").alias("id")))
 

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions.scalars import group_key
-from ..schemas import SCHEMAS, Library
-from .graph import settled
+from ..schemas import KEYS, SCHEMAS, Library
+from .graph import cut, settled
 from .recognition import person_centroids, refresh_galleries
 
 #: Tables with a column that goes with a face or a person.
@@ -28,30 +28,31 @@ def _ids(lib: Library, ids: Sequence[int], name: str = "id") -> DataFrame:
     return lib.photos.sparkSession.createDataFrame([(int(i),) for i in ids], f"{name} long")
 
 
-def _set(df: DataFrame, where: Column, **values) -> DataFrame:
-    """Columns set where a condition holds, kept elsewhere."""
-    changed = {
-        c: F.when(where, v if isinstance(v, Column) else F.lit(v).cast(df.schema[c].dataType)).otherwise(F.col(c)).cast(
-            df.schema[c].dataType
-        )
-        for c, v in values.items()
-    }
-    return df.withColumns(changed)
+def _patch(df: DataFrame, where: Column, key: str = "id", **values) -> DataFrame:
+    """Keys of the rows where a condition holds, with the columns that a patch sets there."""
+    cells = [(v if isinstance(v, Column) else F.lit(v)).cast(df.schema[c].dataType).alias(c) for c, v in values.items()]
+    return df.filter(where).select(key, *cells)
 
 
-def insert_ignore(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Union of old rows and those new ones whose key is not there yet; of equal new keys one stays."""
-    fresh = new.dropDuplicates(list(key)).join(old.select(*key), list(key), "left_anti")
-    return old.unionByName(fresh.select(*old.columns))
+def insert_ignore(lib: Library, table: str, new: DataFrame) -> Library:
+    """With those new rows whose key is not there yet; of equal new keys one stays."""
+    key = list(KEYS[table])
+    return lib.changed(table, append=new.dropDuplicates(key).join(lib[table].select(*key), key, "left_anti"))
 
 
-def upsert(old: DataFrame, new: DataFrame, key: Sequence[str], latest: Column | None = None) -> DataFrame:
+def upsert(lib: Library, table: str, new: DataFrame, latest: Column | None = None) -> Library:
     """New rows replace old ones of their key; of equal new keys the latest by `latest` stays."""
-    if latest is not None:
-        order = Window.partitionBy(*key).orderBy(latest.desc())
-        new = new.withColumn("_r", F.row_number().over(order)).filter("_r = 1").drop("_r")
-    kept = old.join(new.select(*key), list(key), "left_anti")
-    return kept.unionByName(new.select(*old.columns))
+    if latest is None:
+        return lib.changed(table, put=new.dropDuplicates(list(KEYS[table])))
+    order = Window.partitionBy(*KEYS[table]).orderBy(latest.desc())
+    return lib.changed(table, put=new.withColumn("_r", F.row_number().over(order)).filter("_r = 1").drop("_r"))
+
+
+def _drop_by(lib: Library, table: str, gone: DataFrame) -> Library:
+    """Without the rows of a table that agree with `gone` in its columns."""
+    key, by = KEYS[table], gone.columns
+    rows = gone if set(by) == set(key) else lib[table].join(gone, by, "left_semi").select(*key)
+    return lib.changed(table, drop=rows.distinct())
 
 
 def next_ids(new: DataFrame, old: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -78,7 +79,7 @@ def insert_photos(lib: Library, new: DataFrame, now: datetime) -> Library:
         }
     )
     numbered = next_ids(fresh, lib.photos, ["file_path"])
-    return lib.with_tables(photos=lib.photos.unionByName(numbered.select(*lib.photos.columns)))
+    return lib.changed("photos", append=numbered)
 
 
 def replace_faces(lib: Library, photo_ids: DataFrame, faces: DataFrame) -> Library:
@@ -86,27 +87,23 @@ def replace_faces(lib: Library, photo_ids: DataFrame, faces: DataFrame) -> Libra
     old = lib.faces.join(photo_ids, "photo_id", "left_semi").select(F.col("id").alias("face_id"))
     lib = delete_faces(lib, old)
     new = next_ids(faces.withColumn("person_id", F.lit(None).cast("long")), lib.faces, ["photo_id", "bbox_x", "bbox_y", "bbox_w", "bbox_h"])
-    done = photo_ids.select(F.col("photo_id").alias("id"), F.lit(True).alias("_done"))
-    photos = lib.photos.join(done, "id", "left")
-    photos = photos.withColumn("faces_processed", F.coalesce("_done", "faces_processed")).select(*lib.photos.columns)
-    return lib.with_tables(faces=lib.faces.unionByName(new.select(*lib.faces.columns)), photos=photos)
+    done = photo_ids.select(F.col("photo_id").alias("id"), F.lit(True).alias("faces_processed")).distinct()
+    return lib.changed("faces", append=new).changed("photos", patch=done)
 
 
 def delete_faces(lib: Library, faces: DataFrame) -> Library:
     """Without some faces (face_id) and what depends on them."""
     gone = faces.select("face_id").distinct()
-    cover = gone.select(F.col("face_id").alias("cover_face_id"), F.lit(True).alias("_gone"))
-    persons = lib.persons.join(cover, "cover_face_id", "left")
-    persons = _set(persons, F.col("_gone").isNotNull(), cover_face_id=None).select(*lib.persons.columns)
-    return lib.with_tables(
-        faces=lib.faces.join(gone.withColumnRenamed("face_id", "id"), "id", "left_anti").select(*lib.faces.columns),
-        persons=persons,
-        **{t: lib[t].join(gone, "face_id", "left_anti").select(*lib[t].columns) for t in FACE_CHILDREN},
-    )
+    covers = lib.persons.join(gone.withColumnRenamed("face_id", "cover_face_id"), "cover_face_id", "left_semi")
+    out = lib.changed("persons", patch=covers.select("id", F.lit(None).cast("long").alias("cover_face_id")))
+    out = out.changed("faces", drop=gone.withColumnRenamed("face_id", "id"))
+    for t in FACE_CHILDREN:
+        out = _drop_by(out, t, gone)
+    return out
 
 
 def reset_faces_processed(lib: Library) -> Library:
-    return lib.with_tables(photos=lib.photos.withColumn("faces_processed", F.lit(False)))
+    return lib.changed("photos", patch=_patch(lib.photos, ~F.coalesce(~F.col("faces_processed"), F.lit(False)), faces_processed=False))
 
 
 def create_person(lib: Library, face_count: int = 0, cover_face_id: int | None = None, name: str | None = None) -> tuple[Library, int]:
@@ -115,47 +112,48 @@ def create_person(lib: Library, face_count: int = 0, cover_face_id: int | None =
     row = lib.persons.sparkSession.createDataFrame(
         [(top + 1, name.strip() or None if name else None, face_count, cover_face_id, None, None)], SCHEMAS["persons"]
     )
-    return lib.with_tables(persons=lib.persons.unionByName(row)), top + 1
+    return lib.changed("persons", append=row), top + 1
 
 
 def rename_person(lib: Library, person_id: int, name: str | None) -> Library:
     """A blank name takes the name away."""
     clean = (name or "").strip() or None
-    return lib.with_tables(persons=_set(lib.persons, F.col("id") == person_id, display_name=clean))
+    row = lib.persons.sparkSession.createDataFrame([(int(person_id), clean)], "id long, display_name string")
+    return lib.changed("persons", patch=row)
 
 
 def assign_faces(lib: Library, person_id: int, face_ids: Sequence[int]) -> Library:
-    return lib.with_tables(faces=_set(lib.faces, F.col("id").isin(list(face_ids)), person_id=person_id))
+    return lib.changed("faces", patch=_ids(lib, sorted(set(face_ids))).withColumn("person_id", F.lit(person_id).cast("long")))
 
 
 def detach_faces(lib: Library, face_ids: Sequence[int]) -> Library:
     """Faces lose their person and their place in galleries."""
-    wanted = F.col("id").isin(list(face_ids))
-    return lib.with_tables(
-        faces=_set(lib.faces, wanted, person_id=None),
-        person_embeddings=lib.person_embeddings.filter(~F.col("face_id").isin(list(face_ids))),
-    )
+    return _detached(lib, _ids(lib, sorted(set(face_ids))))
+
+
+def _detached(lib: Library, faces: DataFrame) -> Library:
+    """Faces (id) without their person and their place in galleries."""
+    out = lib.changed("faces", patch=faces.withColumn("person_id", F.lit(None).cast("long")))
+    return out.changed("person_embeddings", drop=faces.withColumnRenamed("id", "face_id"))
 
 
 def delete_persons(lib: Library, persons: DataFrame) -> Library:
     """Without some persons (id): their faces stay ungrouped, what depends on them goes."""
     gone = persons.select("id").distinct()
     who = gone.select(F.col("id").alias("person_id"))
-    faces = lib.faces.join(who.withColumn("_gone", F.lit(True)), "person_id", "left")
-    faces = _set(faces, F.col("_gone").isNotNull(), person_id=None).select(*lib.faces.columns)
-    tables = {t: lib[t].join(who, "person_id", "left_anti").select(*lib[t].columns) for t in PERSON_CHILDREN}
+    out = lib.changed("faces", patch=lib.faces.join(who, "person_id", "left_semi").select("id", F.lit(None).cast("long").alias("person_id")))
+    for t in PERSON_CHILDREN:
+        out = _drop_by(out, t, who)
     for t in PAIR_CHILDREN:
         for side in ("person_a", "person_b"):
-            df = tables.get(t, lib[t])
-            tables[t] = df.join(gone.withColumnRenamed("id", side), side, "left_anti").select(*lib[t].columns)
-    persons_left = lib.persons.join(gone, "id", "left_anti").select(*lib.persons.columns)
-    return lib.with_tables(faces=faces, persons=persons_left, **tables)
+            out = _drop_by(out, t, gone.withColumnRenamed("id", side))
+    return out.changed("persons", drop=gone)
 
 
 def clear_persons(lib: Library) -> Library:
     """No person is left, and no face has one."""
     empty = {t: lib[t].limit(0) for t in ("persons", *PERSON_CHILDREN, *PAIR_CHILDREN)}
-    return lib.with_tables(faces=lib.faces.withColumn("person_id", F.lit(None).cast("long")), **empty)
+    return lib.changed("faces", patch=_patch(lib.faces, F.col("person_id").isNotNull(), person_id=None)).with_tables(**empty)
 
 
 def recompute_profiles(lib: Library, persons: DataFrame) -> Library:
@@ -164,12 +162,11 @@ def recompute_profiles(lib: Library, persons: DataFrame) -> Library:
     fresh = faces.groupBy("person_id").agg(F.count(F.lit(1)).cast("int").alias("_n")).join(
         person_centroids(faces, normalize_rows=False).withColumnRenamed("centroid", "_c"), "person_id"
     )
-    touched = persons.select("id").distinct().withColumn("_t", F.lit(True))
-    rows = lib.persons.join(touched, "id", "left").join(fresh.withColumnRenamed("person_id", "id"), "id", "left")
-    rows = _set(
-        rows, F.col("_t").isNotNull(), face_count=F.coalesce("_n", F.lit(0)).cast("int"), centroid=F.col("_c").cast("array<float>")
+    rows = persons.select("id").distinct().join(fresh.withColumnRenamed("person_id", "id"), "id", "left")
+    return lib.changed(
+        "persons",
+        patch=rows.select("id", F.coalesce("_n", F.lit(0)).cast("int").alias("face_count"), F.col("_c").cast("array<float>").alias("centroid")),
     )
-    return lib.with_tables(persons=rows.select(*lib.persons.columns))
 
 
 def merge_many(lib: Library, merges: Sequence[tuple[int, int]], config: EngineConfig) -> Library:
@@ -190,8 +187,8 @@ def merge_many(lib: Library, merges: Sequence[tuple[int, int]], config: EngineCo
         return lib
     spark = lib.persons.sparkSession
     moves = spark.createDataFrame([(s, t) for s, t in final.items()], "person_id long, _to long")
-    faces = lib.faces.join(moves, "person_id", "left").withColumn("person_id", F.coalesce("_to", "person_id"))
-    lib = lib.with_tables(faces=faces.select(*lib.faces.columns))
+    moved = lib.faces.join(moves, "person_id").select("id", F.col("_to").alias("person_id"))
+    lib = lib.changed("faces", patch=moved)
     lib = delete_persons(lib, moves.select(F.col("person_id").alias("id")))
     targets = moves.select(F.col("_to").alias("id")).distinct()
     lib = settled(recompute_profiles(lib, targets), "faces", "persons", "person_embeddings")
@@ -207,19 +204,15 @@ def merge_persons(lib: Library, source: int, target: int, config: EngineConfig)
 
 def record_feedback(lib: Library, verdicts: DataFrame) -> Library:
     """Verdicts (face_id, person_id, verdict, created_at); the last one of a pair counts."""
-    return lib.with_tables(
-        recognition_feedback=upsert(lib.recognition_feedback, verdicts, ["face_id", "person_id"], F.col("created_at"))
-    )
+    return upsert(lib, "recognition_feedback", verdicts, F.col("created_at"))
 
 
 def record_suggestions(lib: Library, rows: DataFrame) -> Library:
-    return lib.with_tables(
-        recognition_suggestions=upsert(lib.recognition_suggestions, rows, ["face_id"], F.col("score"))
-    )
+    return upsert(lib, "recognition_suggestions", rows, F.col("score"))
 
 
 def delete_suggestion(lib: Library, face_id: int) -> Library:
-    return lib.with_tables(recognition_suggestions=lib.recognition_suggestions.filter(F.col("face_id") != face_id))
+    return lib.changed("recognition_suggestions", drop=_ids(lib, [face_id], "face_id"))
 
 
 def replace_merge_suggestions(lib: Library, rows: DataFrame) -> Library:
@@ -232,10 +225,7 @@ def reject_merge(lib: Library, a: int, b: int) -> Library:
     """The pair is never suggested again."""
     a, b = min(a, b), max(a, b)
     row = lib.persons.sparkSession.createDataFrame([(a, b)], "person_a long, person_b long")
-    return lib.with_tables(
-        person_merge_rejections=insert_ignore(lib.person_merge_rejections, row, ["person_a", "person_b"]),
-        person_merge_suggestions=lib.person_merge_suggestions.join(row, ["person_a", "person_b"], "left_anti"),
-    )
+    return insert_ignore(lib, "person_merge_rejections", row).changed("person_merge_suggestions", drop=row)
 
 
 def _verdict(lib: Library, face_ids: Sequence[int], person_id: int, verdict: str, now: datetime) -> Library:
@@ -257,8 +247,12 @@ def reject_suggestion(lib: Library, face_id: int, person_id: int, now: datetime)
     return delete_suggestion(_verdict(lib, [face_id], person_id, "reject", now), face_id)
 
 
-def _take_from_person(lib: Library, face_ids: list[int], person_id: int, config: EngineConfig, now: datetime) -> Library:
-    lib = _verdict(detach_faces(lib, face_ids), face_ids, person_id, "reject", now)
+def _take_from_person(lib: Library, faces: DataFrame, person_id: int, config: EngineConfig, now: datetime) -> Library:
+    """Without some faces (id) of a person; nothing but whether one is left reaches the driver."""
+    verdicts = faces.select(
+        F.col("id").alias("face_id"), F.lit(person_id).cast("long").alias("person_id"), F.lit("reject").alias("verdict"), F.lit(now).cast("timestamp_ntz").alias("created_at")
+    )
+    lib = record_feedback(_detached(lib, faces), verdicts)
     who = _ids(lib, [person_id])
     if not lib.faces.filter(F.col("person_id") == person_id).limit(1).count():
         return delete_persons(lib, who)
@@ -267,97 +261,88 @@ def _take_from_person(lib: Library, face_ids: list[int], person_id: int, config:
 
 def reject_representative(lib: Library, person_id: int, face_id: int, config: EngineConfig, now: datetime) -> Library:
     """The face is not the person's; a person left without faces goes."""
-    return _take_from_person(lib, [face_id], person_id, config, now)
+    return _take_from_person(lib, _ids(lib, [face_id]), person_id, config, now)
 
 
 def remove_person_from_photos(lib: Library, person_id: int, photo_ids: Sequence[int], config: EngineConfig, now: datetime) -> Library:
     """The person is on none of these photos."""
     mine = lib.faces.filter((F.col("person_id") == person_id) & F.col("photo_id").isin(list(photo_ids)))
-    face_ids = [r["id"] for r in mine.select("id").collect()]
-    return _take_from_person(lib, face_ids, person_id, config, now) if face_ids else lib
+    faces = cut(mine.select("id"))
+    return lib if faces.isEmpty() else _take_from_person(lib, faces, person_id, config, now)
 
 
 def set_photo_values(lib: Library, values: DataFrame, column: str) -> Library:
-    """phash, thumbnail_path, ocr_text or is_favorite of photos from rows (id, value); other photos keep theirs."""
+    """phash, thumbnail_path, ocr_text or is_favorite of photos from rows (id, value); other photos, and those with a null value, keep theirs."""
     if column not in ("phash", "thumbnail_path", "ocr_text", "is_favorite"):
         raise ValueError(column)
-    new = values.select("id", F.col("value").alias("_new"))
-    photos = lib.photos.join(new, "id", "left").withColumn(column, F.coalesce("_new", column)).select(*lib.photos.columns)
-    return lib.with_tables(photos=photos)
+    return lib.changed("photos", patch=values.filter("value is not null").select("id", F.col("value").alias(column)))
 
 
 def mark_duplicates(lib: Library, keep_id: int, hide_ids: Sequence[int]) -> Library:
     """Hide all members but one behind it."""
-    hidden = F.col("id").isin([i for i in hide_ids if i != keep_id])
-    photos = _set(lib.photos, hidden, duplicate_of=keep_id)
-    return lib.with_tables(photos=_set(photos, F.col("id") == keep_id, duplicate_of=None))
+    rows = [(int(i), int(keep_id)) for i in sorted(set(hide_ids)) if i != keep_id] + [(int(keep_id), None)]
+    return lib.changed("photos", patch=lib.photos.sparkSession.createDataFrame(rows, "id long, duplicate_of long"))
 
 
 def restore_duplicate(lib: Library, photo_id: int) -> Library:
-    return lib.with_tables(photos=_set(lib.photos, F.col("id") == photo_id, duplicate_of=None))
+    row = lib.photos.sparkSession.createDataFrame([(int(photo_id), None)], "id long, duplicate_of long")
+    return lib.changed("photos", patch=row)
 
 
 def dismiss_group(lib: Library, photo_ids: Sequence[int]) -> Library:
     """This very set of photos is no duplicate group."""
     row = lib.photos.sparkSession.range(1).select(group_key(F.array(*[F.lit(int(i)) for i in photo_ids])).alias("group_key"))
-    return lib.with_tables(duplicate_dismissals=insert_ignore(lib.duplicate_dismissals, row, ["group_key"]))
+    return insert_ignore(lib, "duplicate_dismissals", row)
 
 
 def create_album(lib: Library, name: str, now: datetime) -> tuple[Library, int]:
     top = lib.albums.agg(F.max("id")).first()[0]
     new = 1 if top is None else top + 1
     row = lib.albums.sparkSession.createDataFrame([(new, name, None, now, now)], SCHEMAS["albums"])
-    return lib.with_tables(albums=lib.albums.unionByName(row)), new
+    return lib.changed("albums", append=row), new
 
 
 def rename_album(lib: Library, album_id: int, name: str, now: datetime) -> Library:
-    return lib.with_tables(albums=_set(lib.albums, F.col("id") == album_id, name=name, updated_at=now))
+    return lib.changed("albums", patch=_patch(lib.albums, F.col("id") == album_id, name=name, updated_at=now))
 
 
 def delete_album(lib: Library, album_id: int) -> Library:
     """The album goes, its photos stay."""
-    return lib.with_tables(
-        albums=lib.albums.filter(F.col("id") != album_id),
-        album_photos=lib.album_photos.filter(F.col("album_id") != album_id),
-    )
+    return _drop_by(lib.changed("albums", drop=_ids(lib, [album_id])), "album_photos", _ids(lib, [album_id], "album_id"))
 
 
 def add_to_album(lib: Library, album_id: int, photo_ids: Sequence[int], now: datetime) -> tuple[Library, int]:
     """Add photos and tell how many were new; the first becomes the cover of an album without one."""
     spark = lib.albums.sparkSession
     rows = spark.createDataFrame([(album_id, int(i), now) for i in photo_ids], SCHEMAS["album_photos"])
-    members = insert_ignore(lib.album_photos, rows, ["album_id", "photo_id"])
     added = rows.dropDuplicates(["photo_id"]).join(lib.album_photos.select("album_id", "photo_id"), ["album_id", "photo_id"], "left_anti").count()
     here = F.col("id") == album_id
-    albums = _set(lib.albums, here, updated_at=now)
+    out = insert_ignore(lib, "album_photos", rows).changed("albums", patch=_patch(lib.albums, here, updated_at=now))
     if photo_ids:
-        albums = _set(albums, here & F.col("cover_photo_id").isNull(), cover_photo_id=int(photo_ids[0]))
-    return lib.with_tables(album_photos=members, albums=albums), added
+        out = out.changed("albums", patch=_patch(lib.albums, here & F.col("cover_photo_id").isNull(), cover_photo_id=int(photo_ids[0])))
+    return out, added
 
 
 def remove_from_album(lib: Library, album_id: int, photo_ids: Sequence[int]) -> Library:
-    gone = (F.col("album_id") == album_id) & F.col("photo_id").isin(list(photo_ids))
-    return lib.with_tables(album_photos=lib.album_photos.filter(~gone))
+    rows = [(int(album_id), int(i)) for i in sorted(set(photo_ids))]
+    return lib.changed("album_photos", drop=lib.albums.sparkSession.createDataFrame(rows, "album_id long, photo_id long"))
 
 
 def upsert_clip(lib: Library, rows: DataFrame) -> Library:
     """One vector a photo: the new one replaces the old, whatever its model."""
-    return lib.with_tables(clip_embeddings=upsert(lib.clip_embeddings, rows, ["photo_id"]))
+    return upsert(lib, "clip_embeddings", rows)
 
 
 def start_scan_run(lib: Library, root: str, now: datetime) -> tuple[Library, int]:
     top = lib.scan_runs.agg(F.max("id")).first()[0]
     new = 1 if top is None else top + 1
     row = lib.scan_runs.sparkSession.createDataFrame([(new, root, 0, 0, 0, 0, now, None)], SCHEMAS["scan_runs"])
-    return lib.with_tables(scan_runs=lib.scan_runs.unionByName(row)), new
+    return lib.changed("scan_runs", append=row), new
 
 
 def finish_scan_run(lib: Library, run_id: int, processed: int, skipped: int, duplicates: int, errors: int, now: datetime) -> Library:
-    return lib.with_tables(
-        scan_runs=_set(
-            lib.scan_runs, F.col("id") == run_id, processed=processed, skipped=skipped, duplicates=duplicates, errors=errors, finished_at=now
-        )
-    )
+    done = dict(processed=processed, skipped=skipped, duplicates=duplicates, errors=errors, finished_at=now)
+    return lib.changed("scan_runs", patch=_patch(lib.scan_runs, F.col("id") == run_id, **done))
 
 
 def reset_library(lib: Library) -> Library:

@@ -93,13 +93,11 @@ def refresh_galleries(lib: Library, config: EngineConfig, persons: DataFrame | N
         )
     )
     own = gallery_thresholds(gallery, config)
-    updated = (
-        lib.persons.join(own.withColumnRenamed("person_id", "id"), "id", "left")
-        .join(touched.select(F.col("person_id").alias("id"), F.lit(True).alias("_touched")), "id", "left")
-        .withColumn("adaptive_threshold", F.when(F.col("_touched"), F.col("threshold")).otherwise(F.col("adaptive_threshold")))
-        .select(*lib.persons.columns)
+    fresh = touched.select(F.col("person_id").alias("id")).join(own.withColumnRenamed("person_id", "id"), "id", "left")
+    flags = gallery.join(touched, "person_id", "left_semi").select("face_id", "is_representative")
+    return lib.changed("person_embeddings", patch=flags).changed(
+        "persons", patch=fresh.select("id", F.col("threshold").alias("adaptive_threshold"))
     )
-    return lib.with_tables(person_embeddings=gallery, persons=updated)
 
 
 def gallery_thresholds(gallery: DataFrame, config: EngineConfig) -> DataFrame:
@@ -121,8 +119,7 @@ def store_faces(lib: Library, faces: DataFrame, config: EngineConfig, ensure_one
     new = gallery_candidates(with_quality(faces), config, ensure_one).select(
         "person_id", F.col("id").alias("face_id"), "embedding", "quality", F.lit(False).alias("is_representative")
     )
-    old = lib.person_embeddings.join(new.select("face_id"), "face_id", "left_anti")
-    return lib.with_tables(person_embeddings=old.unionByName(new))
+    return lib.changed("person_embeddings", put=new)
 
 
 def backfill_galleries(lib: Library, config: EngineConfig) -> Library:
@@ -266,11 +263,6 @@ def assign_to_existing(lib: Library, config: EngineConfig) -> tuple[Library, Dat
     """Apply match_faces(): persons, galleries, centroids and suggestions; returns the library and the decisions."""
     found = cut(match_faces(lib, config))
     given = found.filter("verdict = 'assign'").select(F.col("face_id").alias("id"), F.col("person_id").alias("_new"))
-    faces = (
-        lib.faces.join(given, "id", "left")
-        .withColumn("person_id", F.coalesce("_new", "person_id"))
-        .select(*lib.faces.columns)
-    )
     taken = lib.faces.join(given, "id").withColumn("person_id", F.col("_new")).drop("_new")
     unit = taken.select("person_id", F.posexplode(l2_normalize(F.col("embedding"))).alias("pos", "x"))
     sums = (
@@ -282,15 +274,12 @@ def assign_to_existing(lib: Library, config: EngineConfig) -> tuple[Library, Dat
     blended = F.when(F.col("centroid").isNull(), l2_normalize(F.col("_sum"))).otherwise(
         running_centroid(F.col("centroid"), n, F.col("_sum"))
     )
-    persons = (
-        lib.persons.join(sums.withColumnRenamed("person_id", "id"), "id", "left")
-        .withColumn("centroid", F.when(F.col("_k").isNull(), F.col("centroid")).otherwise(blended.cast("array<float>")))
-        .withColumn("face_count", (n + F.coalesce("_k", F.lit(0))).cast("int"))
-        .select(*lib.persons.columns)
+    persons = lib.persons.join(sums.withColumnRenamed("person_id", "id"), "id").select(
+        "id", blended.cast("array<float>").alias("centroid"), (n + F.col("_k")).cast("int").alias("face_count")
     )
     suggested = found.filter("verdict = 'suggest'").select("face_id", "person_id", "score")
-    suggestions = lib.recognition_suggestions.join(suggested, "face_id", "left_anti").unionByName(suggested)
-    lib = settled(lib.with_tables(faces=faces, persons=persons, recognition_suggestions=suggestions), "persons")
+    lib = lib.changed("faces", patch=given.withColumnRenamed("_new", "person_id")).changed("persons", patch=persons)
+    lib = settled(lib.changed("recognition_suggestions", put=suggested), "persons")
     lib = settled(store_faces(lib, taken, config, ensure_one=False), "person_embeddings")
     return refresh_galleries(lib, config, taken.select(F.col("person_id").alias("id")).distinct()), found
 
@@ -298,9 +287,7 @@ def assign_to_existing(lib: Library, config: EngineConfig) -> tuple[Library, Dat
 def drop_stale_suggestions(lib: Library) -> Library:
     """Without suggestions for faces that have a person now."""
     grouped = lib.faces.filter(F.col("person_id").isNotNull()).select(F.col("id").alias("face_id"))
-    return lib.with_tables(
-        recognition_suggestions=lib.recognition_suggestions.join(grouped, "face_id", "left_anti")
-    )
+    return lib.changed("recognition_suggestions", drop=grouped)
 
 
 def person_centroids(faces: DataFrame, normalize_rows: bool = True) -> DataFrame:

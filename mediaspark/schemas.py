@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -52,17 +53,61 @@ SCHEMAS: dict[str, T.StructType] = {
 }
 
 
+# The columns that name a row of each table.
+KEYS: dict[str, tuple[str, ...]] = {
+    "photos": ("id",),
+    "faces": ("id",),
+    "persons": ("id",),
+    "person_embeddings": ("face_id",),
+    "recognition_feedback": ("face_id", "person_id"),
+    "recognition_suggestions": ("face_id",),
+    "person_merge_suggestions": ("person_a", "person_b"),
+    "person_merge_rejections": ("person_a", "person_b"),
+    "clip_embeddings": ("photo_id",),
+    "albums": ("id",),
+    "album_photos": ("album_id", "photo_id"),
+    "duplicate_dismissals": ("group_key",),
+    "scan_runs": ("id",),
+}
+
+
+@dataclass
+class Part:
+    """A table: base rows and their changes, the first `saved` of which lie on disk; `whole`: a save has to write all of it."""
+
+    base: DataFrame | Callable[[], DataFrame]
+    changes: tuple = ()
+    saved: int = 0
+    whole: bool = True
+    content: DataFrame | None = None
+
+    def rows(self, name: str) -> DataFrame:
+        if self.content is None:
+            if not isinstance(self.base, DataFrame):
+                self.base = self.base()
+            if self.changes:
+                from .sources.deltas import merged
+
+                self.content = merged(self.base, self.changes, SCHEMAS[name], KEYS[name])
+            else:
+                self.content = self.base
+        return self.content
+
+
 class Library:
     """An immutable snapshot: one DataFrame a table, by attribute.  Mutations give a new Library.
 
-    A table may be given as a function that makes it; it is called once, when something first asks for the table.
+    A table may be given as a function that makes it; it is called once, when something first asks for the table.  changed() keeps
+    apart what a mutation changes, so that a save writes that alone; with_tables() replaces whole tables.  `source` is the (root,
+    version) of the snapshot that the library came from, or None.
     """
 
-    def __init__(self, tables: Mapping[str, DataFrame | Callable[[], DataFrame]]):
+    def __init__(self, tables: Mapping[str, DataFrame | Callable[[], DataFrame] | Part], source: tuple[str, int] | None = None):
         unknown = set(tables) - set(SCHEMAS)
         if unknown:
             raise KeyError(f"unknown tables: {sorted(unknown)}")
-        self._tables = dict(tables)
+        self._parts = {n: t if isinstance(t, Part) else Part(t) for n, t in tables.items()}
+        self.source = source
 
     def __getattr__(self, name: str) -> DataFrame:
         try:
@@ -71,20 +116,30 @@ class Library:
             raise AttributeError(name) from None
 
     def __getitem__(self, name: str) -> DataFrame:
-        tables = self.__dict__["_tables"]
-        table = tables[name]
-        if not isinstance(table, DataFrame):
-            table = tables[name] = table()
-        return table
+        return self.__dict__["_parts"][name].rows(name)
 
     @property
     def tables(self) -> dict[str, DataFrame]:
-        return {name: self[name] for name in self._tables}
+        return {name: self[name] for name in self._parts}
+
+    def part(self, name: str) -> Part | None:
+        return self._parts.get(name)
+
+    def with_tables(self, **changed: DataFrame | Part) -> Library:
+        return Library(self._parts | changed, self.source)
 
-    def with_tables(self, **changed: DataFrame) -> Library:
-        # Tables that nothing asked for yet are made by this library, once for both.
-        later = {n: t if isinstance(t, DataFrame) else (lambda n=n: self[n]) for n, t in self._tables.items()}
-        return Library(later | changed)
+    def changed(self, table: str, **rows: DataFrame) -> Library:
+        """With changes of one table, in the order given: append, put, patch or drop, as sources.deltas.Change tells."""
+        from .sources.deltas import Change, shaped
+
+        part = self._parts[table]
+        changes = part.changes
+        for kind, df in rows.items():
+            seq = changes[-1].seq + 1 if changes else 1
+            changes = (*changes, Change(kind, shaped(kind, df, SCHEMAS[table], KEYS[table]), seq))
+        # Until someone asks for the new rows, the base is made once for both.
+        base = part.base if isinstance(part.base, DataFrame) else (lambda: _made(part))
+        return self.with_tables(**{table: replace(part, base=base, changes=changes, content=None)})
 
     @classmethod
     def empty(cls, spark: SparkSession) -> Library:
@@ -96,3 +151,9 @@ class Library:
         from .sources.snapshots import read_snapshot
 
         return read_snapshot(spark, root)
+
+
+def _made(part: Part) -> DataFrame:
+    if not isinstance(part.base, DataFrame):
+        part.base = part.base()
+    return part.base
