@@ -1,11 +1,13 @@
-"""Products of vectors near each other: blocks gathered around pivots, multiplied only where the angles allow a hit."""
+"""Products of vectors near each other: blocks gathered around pivots, multiplied in tiles where the angles allow a hit."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,9 +15,12 @@ from .graph import cut
 
 #: Vectors in a block, and pivots that blocks gather around, at most.
 BLOCK, PIVOTS = 2_048, 256
+#: Bytes of blocks that a task holds while it streams the other side of its tile.
+HELD = 256 << 20
 
 #: product(ids, labels, vectors, ids, labels, vectors, same) of two blocks: a frame, or None; same: whether they are one block.
 Product = Callable[..., pd.DataFrame | None]
+_CELLS = "pivot int, angle double, ids array<long>, labels array<long>, flat array<double>"
 
 
 def near_products(left: DataFrame, right: DataFrame | None, least: float, product: Product, schema: str) -> DataFrame:
@@ -26,70 +31,154 @@ def near_products(left: DataFrame, right: DataFrame | None, least: float, produc
 
     Vectors are assigned to the nearest of at most PIVOTS vectors drawn from right, and a block holds up to BLOCK of one
     pivot with the greatest angle to it.  By the triangle inequality of angles two blocks are out of reach if their pivots'
-    angle less both greatest angles exceeds that of `least`; such pairs are never formed.  All others are, so no
+    angle less both greatest angles exceeds that of `least`; such pairs are never multiplied.  All others are, so no
     hit is lost.  Vectors without neighbourhoods, such as random ones, are all in reach of each other.
+
+    Blocks meet in tiles of a grid.  In order of pivot and angle, the blocks of each side are cut into as many tile rows (or columns)
+    as the root of their number, or more where a task couldn't hold a row.  A block goes once to each tile of its row that
+    holds a block in reach, and a task keeps the row's blocks and streams the column's.  So n vectors are shuffled as n to the
+    power of 1.5 at most, and by pruning less, until rows are limited by memory.
     """
-    size = max(left.count(), 0 if right is None else right.count())
-    pivots = _pivots(left if right is None else right, min(PIVOTS, size // BLOCK))
-    a = _blocks(left, pivots, "a")
-    b = _blocks(left if right is None else right, pivots, "b") if right is not None or len(pivots) < 2 else None
     alone = right is None
+    size = max(left.count(), 0 if right is None else right.count())
     limit = float(np.arccos(np.clip(least, -1.0, 1.0))) + 1e-9
+    if size < 2 * BLOCK:
+        return _few(left, right, product, schema)
+    pivots = _pivots(left if right is None else right, min(PIVOTS, size // BLOCK))
+    a = _Side(_blocks(left, pivots))
+    b = a if right is None else _Side(_blocks(right, pivots))
+    apart = np.arccos(np.clip(pivots @ pivots.T, -1, 1)) if len(pivots) > 1 else np.zeros((1, 1))
+    width = a.width()
+    a.cut_into(max(math.isqrt(max(0, a.n - 1)) + 1, -(-a.n * BLOCK * width * 8 // HELD)))
+    if b is not a:
+        b.cut_into(math.isqrt(max(0, b.n - 1)) + 1)
+    columns = b.tiles
+    rows = a.reaching(b, apart, limit, 0, alone)
+    rows = rows.unionByName(b.reaching(a, apart, limit, 1, alone))
+    dealt = rows.withColumn("_to", F.col("row") * columns + F.col("column")).repartitionById(max(1, a.tiles * columns), "_to")
 
     def run(batches):
-        for pdf in batches:
-            for r in pdf.itertuples():
-                x = [np.asarray(r.a_ids), np.asarray(r.a_labels), np.asarray(r.a_flat).reshape(len(r.a_ids), -1)]
-                y = [np.asarray(r.b_ids), np.asarray(r.b_labels), np.asarray(r.b_flat).reshape(len(r.b_ids), -1)]
-                out = product(*x, *y, alone and r.a == r.b)
+        tile, held = None, []
+        for side, to, n, pivot, angle, x in _read(batches):
+            if to != tile:
+                tile, held = to, []
+            if side == 0:
+                held.append((n, pivot, angle, x))
+                continue
+            for m, p, far, y in held:
+                if apart[p, pivot] - far - angle <= limit and (not alone or m <= n):
+                    out = product(*y, *x, alone and m == n)
+                    if out is not None and len(out):
+                        yield out
+
+    run_on = dealt.sortWithinPartitions("_to", "side").select("side", "_to", "n", "pivot", "angle", "ids", "labels", "flat")
+    kind = [f.split()[0] for f in schema.split(", ")]
+    arrow = _arrow(schema)
+    return run_on.mapInArrow(lambda batches: (pa.RecordBatch.from_pandas(out[kind], arrow, preserve_index=False) for out in run(batches)), schema)
+
+
+def _few(left: DataFrame, right: DataFrame | None, product: Product, schema: str) -> DataFrame:
+    """The products of so few vectors that one task multiplies all."""
+    one, alone = np.zeros((1, 1)), right is None
+    rows = _blocks(left, one, few=True).withColumn("side", F.lit(0))
+    if right is not None:
+        rows = rows.unionByName(_blocks(right, one, few=True).withColumn("side", F.lit(1)))
+
+    def run(batches):
+        sides: tuple[list, list] = ([], [])
+        for side, _, __, ___, ____, x in _read(batches):
+            sides[side].append(x)
+        for i, x in enumerate(sides[0]):
+            for j, y in enumerate(sides[0][i:] if alone else sides[1]):
+                out = product(*x, *y, alone and j == 0)
                 if out is not None and len(out):
                     yield out
 
-    if len(pivots) < 2:
-        # One pivot: few vectors, or none.
-        if right is None:
-            # Each block with itself and the later ones; both sides number the same rows the same way.
-            a = cut(a)
-            b = a.toDF(*[c.replace("a", "b", 1) if c.startswith("a") else c for c in a.columns])
-        pairs = a.join(b, "pivot")
-        if right is None:
-            pairs = pairs.filter("a <= b")
-        return pairs.mapInPandas(run, schema)
-
-    a = cut(a)
-    if right is None:
-        b = a.toDF(*[c.replace("a", "b", 1) if c.startswith("a") else c for c in a.columns])
-    else:
-        b = cut(b)
-    # One row a pivot.
-    far = {r["pivot"]: r["far"] for r in b.groupBy("pivot").agg(F.max("b_angle").alias("far")).collect()}
-    apart = np.arccos(np.clip(pivots @ pivots.T, -1, 1))
-
-    def reach(batches):
-        for pdf in batches:
-            rows = [
-                (r.a, q, float(limit + r.a_angle - apart[r.pivot, q]))
-                for r in pdf.itertuples()
-                for q, angle in far.items()
-                if apart[r.pivot, q] - r.a_angle - angle <= limit
-            ]
-            yield pd.DataFrame(rows, columns=["a", "pivot", "room"])
-
-    wanted = a.select("a", "pivot", "a_angle").mapInPandas(reach, "a long, pivot int, room double")
-    # Numbers of blocks alone: the vectors join once it is known which pairs meet.
-    pairs = wanted.join(b.select("pivot", "b", "b_angle"), "pivot").filter(-F.col("b_angle") <= F.col("room")).select("a", "b")
-    if right is None:
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return pairs.join(a.drop("pivot"), "a").join(b.drop("pivot"), "b").mapInPandas(run, schema)
+    kind = [f.split()[0] for f in schema.split(", ")]
+    arrow = _arrow(schema)
+    zero = F.lit(0).cast("long")
+    one_task = rows.repartition(1).select("side", zero.alias("_to"), zero.alias("n"), "pivot", "angle", "ids", "labels", "flat")
+    return one_task.mapInArrow(lambda batches: (pa.RecordBatch.from_pandas(out[kind], arrow, preserve_index=False) for out in run(batches)), schema)
+
+
+def _arrow(schema: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(schema))
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """side, tile, number, pivot, angle and (ids, labels, vectors) of each block; a column's values are views of the batch."""
+    for batch in batches:
+        heads = zip(*[c.to_pylist() for c in batch.columns[:5]])
+        for k, head in enumerate(heads):
+            ids, labels, flat = (batch.column(i)[k].values.to_numpy(zero_copy_only=False) for i in (5, 6, 7))
+            yield *head, (ids, labels, flat.reshape(len(ids), -1))
+
+
+class _Side:
+    """The blocks of one side, numbered from 0 in order of pivot and angle, and their tiles."""
+
+    def __init__(self, blocks: DataFrame):
+        part, place = F.shiftright("m", 33), F.col("m").bitwiseAND(F.lit((1 << 33) - 1))
+        blocks = cut(blocks.withColumn("m", F.monotonically_increasing_id()))
+        # One row for each task that made blocks.
+        counts = sorted((r["part"], r["k"]) for r in blocks.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("k")).collect())
+        self.n = sum(k for _, k in counts)
+        starts, at = [], 0
+        for p, k in counts:
+            starts.append((p, at))
+            at += k
+        table = blocks.sparkSession.createDataFrame(starts, "part long, start long")
+        self.blocks = blocks.withColumn("part", part.cast("long")).join(F.broadcast(table), "part").withColumn("n", F.col("start") + place).drop("part", "start", "m")
+        self.bounds: list[tuple[int, int, float]] = []
+
+    def width(self) -> int:
+        r = self.blocks.select((F.size("flat") / F.size("ids")).alias("d")).first()
+        return int(r["d"]) if r else 1
+
+    def cut_into(self, tiles: int) -> None:
+        """Tiles of near-equal numbers of blocks, and the greatest angle of each pivot in each tile: as many rows as tiles and pivots, about."""
+        self.per = max(1, -(-self.n // max(1, tiles)))
+        self.tiles = max(1, -(-self.n // self.per))
+        tile = F.floor(F.col("n") / self.per).cast("int")
+        self.blocks = self.blocks.withColumn("tile", tile)
+        rows = self.blocks.groupBy("tile", "pivot").agg(F.max("angle").alias("far")).collect()
+        self.bounds = [(r["tile"], r["pivot"], r["far"]) for r in rows]
+
+    def reaching(self, other: _Side, apart: np.ndarray, limit: float, side: int, alone: bool) -> DataFrame:
+        """The blocks once for each tile where they may meet one of the other side: side, row, column and the block's columns."""
+        tiles, pivots, far = (np.array(x) for x in zip(*other.bounds)) if other.bounds else (np.zeros(0, int),) * 3
+        schema = _arrow(f"n long, tile int, {_CELLS}, meets array<int>")
+
+        def run(batches):
+            for batch in batches:
+                own = batch.column(1).to_pylist()
+                meets = []
+                for t, p, angle in zip(own, batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                    near = tiles[apart[p, pivots] - angle - far <= limit]
+                    if alone:
+                        near = near[near >= t] if side == 0 else near[near <= t]
+                    meets.append(np.unique(near).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(meets, pa.list_(pa.int32()))], schema=schema)
+
+        cells = self.blocks.select("n", "tile", "pivot", "angle", "ids", "labels", "flat")
+        met = cells.mapInArrow(run, f"n long, tile int, {_CELLS}, meets array<int>").withColumn("meets", F.explode("meets"))
+        row, column = ("tile", "meets") if side == 0 else ("meets", "tile")
+        return met.select(F.lit(side).alias("side"), F.col(row).alias("row"), F.col(column).alias("column"), "n", "pivot", "angle", "ids", "labels", "flat")
 
 
 def _pivots(vectors: DataFrame, n: int) -> np.ndarray:
     """Up to n vectors of length 1, each as far from those before it as any of 4 n that a hash draws; one that stands for no choice if n is under 2."""
     if n < 2:
         return np.zeros((1, 1))
+    # At most 4 PIVOTS rows.
     rows = vectors.select("vector").filter(F.size("vector") > 0).distinct().orderBy(F.xxhash64("vector")).limit(4 * n).collect()
     v = np.array([r["vector"] for r in rows], dtype=np.float64)
-    v = v[np.linalg.norm(v, axis=1) > 0.5]
+    v = v[np.linalg.norm(v, axis=1) > 0.5] if len(v) else v
+    if len(v) < 2:
+        return np.zeros((1, 1))
     chosen, nearest = [], np.full(len(v), -2.0)
     for _ in range(min(n, len(v))):
         chosen.append(int(nearest.argmin()))
@@ -97,18 +186,15 @@ def _pivots(vectors: DataFrame, n: int) -> np.ndarray:
     return v[chosen]
 
 
-def _blocks(rows: DataFrame, pivots: np.ndarray, name: str) -> DataFrame:
-    """NAME (number), pivot, NAME_angle (greatest angle to it), NAME_ids, NAME_labels, NAME_flat (vectors end to end)."""
-    kind = f"pivot int, {name}_angle double, {name}_ids array<long>, {name}_labels array<long>, {name}_flat array<double>"
+def _blocks(rows: DataFrame, pivots: np.ndarray, few: bool = False) -> DataFrame:
+    """pivot, angle (greatest angle to it), ids, labels, flat (vectors end to end) of blocks; `few` leaves rows where they are."""
 
     def stacked(column) -> np.ndarray:
         return np.stack([np.asarray(x, dtype=np.float64) for x in column])
 
     def block(part: pd.DataFrame, pivot: int, angle: float) -> pd.DataFrame:
         flat = np.concatenate([np.asarray(x, dtype=np.float64) for x in part["vector"]])
-        return pd.DataFrame(
-            {"pivot": [pivot], f"{name}_angle": [angle], f"{name}_ids": [part["id"].to_numpy()], f"{name}_labels": [part["label"].to_numpy()], f"{name}_flat": [flat]}
-        )
+        return pd.DataFrame({"pivot": [pivot], "angle": [angle], "ids": [part["id"].to_numpy()], "labels": [part["label"].to_numpy()], "flat": [flat]})
 
     def gather(batches):
         for pdf in batches:
@@ -116,13 +202,16 @@ def _blocks(rows: DataFrame, pivots: np.ndarray, name: str) -> DataFrame:
                 yield block(pdf.iloc[lo : lo + BLOCK], 0, float(np.pi))
 
     rows = rows.select("id", "label", "vector")
-    if len(pivots) < 2:
-        return rows.mapInPandas(gather, kind).withColumn(name, F.monotonically_increasing_id())
+    if few:
+        return rows.mapInPandas(gather, _CELLS)
 
     def assign(batches):
         for pdf in batches:
             if len(pdf):
                 v = stacked(pdf["vector"])
+                if len(pivots) < 2:
+                    yield pdf.assign(pivot=np.int32(0), angle=float(np.pi))
+                    continue
                 dots = v @ pivots.T
                 best = dots.argmax(1)
                 angle = np.arccos(np.clip(dots[np.arange(len(v)), best], -1, 1)) + 1e-7
@@ -151,4 +240,4 @@ def _blocks(rows: DataFrame, pivots: np.ndarray, name: str) -> DataFrame:
     assigned = cut(rows.mapInPandas(assign, "id long, label long, vector array<double>, pivot int, angle double"))
     # By ranges of pivot and id, so a pivot that holds very many vectors is cut over several tasks.
     dealt = assigned.repartitionByRange("pivot", "angle", "id").sortWithinPartitions("pivot", "angle")
-    return dealt.mapInPandas(gather_by_pivot, kind).withColumn(name, F.monotonically_increasing_id())
+    return dealt.mapInPandas(gather_by_pivot, _CELLS)
