@@ -1,53 +1,37 @@
-"""Near duplicates by perceptual hash: banded Hamming join, groups and their review."""
+"""Near duplicates by perceptual hash: pairs, groups and their review."""
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import group_key, hamming, hash_band, to_signed
+from ..functions.scalars import group_key
 from ..schemas import Library
 from .browse import hashed_photos
 from .graph import components
+from .hamming import hamming_join
 
+#: Distances under this one.
 BANDS = 8
 
 
 def hamming_pairs(hashes: DataFrame, max_distance: int = 5) -> DataFrame:
-    """(a, b, distance) of distinct fingerprints within max_distance, from rows (phash).
+    """(a, b, distance) of distinct fingerprints within max_distance, from rows (phash); each pair once, a under b.
 
-    Two 64-bit values that differ in at most d < 8 bits agree in 8 - d of eight bytes, so the join on each choice of so many
-    bytes misses none; at a distance of 5 a key has 24 bits.  A pair is emitted by the first choice that it agrees in.  It runs
-    over distinct fingerprints: copies are one value.
+    It runs over distinct fingerprints: copies are one value.
     """
+    return hamming_join(hashes, _distance(max_distance))
+
+
+def _distance(max_distance: int) -> int:
     if not 0 <= max_distance < BANDS:
         raise ValueError(f"max_distance must be under {BANDS}")
-    choices = list(combinations(range(BANDS), BANDS - max_distance))
-    mask = [sum(255 << (8 * k) for k in c) for c in choices]
-    keys = F.array(*[
-        F.struct(F.lit(i).alias("i"), F.col("phash").bitwiseAND(F.lit(to_signed(m)).cast("long")).alias("v")) for i, m in enumerate(mask)
-    ])
-    keyed = hashes.select("phash").distinct().select("phash", F.explode(keys).alias("key")).select("phash", "key.i", "key.v")
-    left, right = keyed.withColumnRenamed("phash", "a"), keyed.withColumnRenamed("phash", "b")
-    d = hamming(F.col("a"), F.col("b"))
-    # Choices stand in lexical order, so the first is that of the lowest bytes that agree.
-    x = F.col("a").bitwiseXOR(F.col("b"))
-    agree = F.filter(F.array(*[F.when(hash_band(x, k) == 0, F.lit(k)) for k in range(BANDS)]), lambda k: k.isNotNull())
-    first = F.slice(agree, 1, BANDS - max_distance)
-    own = F.element_at(F.array(*[F.array(*[F.lit(k) for k in c]) for c in choices]), F.col("i") + 1)
-    return (
-        left.join(right, ["i", "v"])
-        .filter((F.col("a") < F.col("b")) & (d <= max_distance))
-        .filter(first == own)
-        .select("a", "b", d.alias("distance"))
-    )
+    return max_distance
 
 
 def photo_groups(photos: DataFrame, max_distance: int = 5) -> DataFrame:
     """(group_id, id) of photos (id, phash) that chains of near fingerprints join, groups of two or more."""
-    pairs = hamming_pairs(photos, max_distance)
+    pairs = hamming_join(photos, _distance(max_distance), spanning=True)
     named = components(pairs.select("a", "b"))
     labelled = photos.select("id", "phash").join(named.withColumnRenamed("id", "phash"), "phash", "left").select(
         "id", F.coalesce("component", "phash").alias("g")
