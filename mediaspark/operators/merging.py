@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions.vectors import l2_normalize
 from ..schemas import Library
+from .graph import components, cut
 from .recognition import best_scores
 
 
@@ -40,73 +44,102 @@ def fold_merges(pairs: list[tuple], rejected: set[tuple[int, int]], auto: float)
     """Merges (source, target) in order, and suggestions (a, b, score), from candidates (a, b, score, names, sizes).
 
     The strongest pair comes first; a pair over `auto` of two unnamed persons merges the smaller (the first
-    on equal sizes) into the larger, and later pairs see the survivor with the sizes added up.
+    on equal sizes) into the larger, and later pairs see the survivor with the sizes added up.  This is the plain form of what
+    scan_for_merges() does over tables.
     """
+    can = [p for p in pairs if p[2] >= auto and p[3] is None and p[4] is None]
+    merges = fold_component([(p[0], p[1], p[2], p[5] or 0, p[6] or 0) for p in sorted(can, key=lambda p: (-p[2], p[0], p[1]))])
+    alias = dict(merges)
+
+    def now(p: int) -> int:
+        while p in alias:
+            p = alias[p]
+        return p
+
+    left, seen = [], set()
+    for a, b, score, *_ in sorted(pairs, key=lambda p: (-p[2], p[0], p[1])):
+        a, b = sorted((now(a), now(b)))
+        if a != b and (a, b) not in seen and (a, b) not in rejected:
+            seen.add((a, b))
+            left.append((a, b, score))
+    return merges, left
+
+
+def fold_component(pairs) -> list[tuple[int, int]]:
+    """Merges (source, target) in order of pairs (a, b, score, size_a, size_b) that may all merge, strongest first."""
     alias: dict[int, int] = {}
-    names: dict[int, str | None] = {}
     sizes: dict[int, int] = {}
-    for a, b, _, name_a, name_b, size_a, size_b in pairs:
-        names |= {a: name_a, b: name_b}
-        sizes |= {a: size_a or 0, b: size_b or 0}
 
     def now(p: int) -> int:
         while p in alias:
             p = alias[p]
         return p
 
-    merges, open_ = [], []
-    for a, b, score, *_ in sorted(pairs, key=lambda p: (-p[2], p[0], p[1])):
+    merges = []
+    for a, b, _, size_a, size_b in pairs:
+        sizes.setdefault(a, size_a)
+        sizes.setdefault(b, size_b)
         a, b = now(a), now(b)
-        if a == b:
-            continue
-        if score >= auto and names[a] is None and names[b] is None:
+        if a != b:
             source, target = (a, b) if sizes[a] <= sizes[b] else (b, a)
             sizes[target] += sizes[source]
             alias[source] = target
             merges.append((source, target))
-        else:
-            open_.append((a, b, score))
-    left, seen = [], set()
-    for a, b, score in open_:
-        a, b = sorted((now(a), now(b)))
-        if a != b and (a, b) not in seen and (a, b) not in rejected:
-            seen.add((a, b))
-            left.append((a, b, score))
-    return merges, left
+    return merges
+
 
+def merge_survivors(pairs: DataFrame, auto: float) -> DataFrame:
+    """(person_id, survivor) of all persons that the candidates (person_a, person_b, score, names, sizes) merge into another.
 
-#: Candidate pairs that one scan folds, at most; they alone reach the driver.
-MOST_PAIRS = 1_000_000
+    Whatever the order, persons that pairs over `auto` of unnamed persons join end as one, so these pairs' components are
+    independent; the order tells who survives.  Each component is folded by a task that streams its pairs, strongest first, and holds
+    its persons' sizes; no pair reaches the driver.
+    """
+    can = pairs.filter((F.col("score") >= auto) & F.col("name_a").isNull() & F.col("name_b").isNull())
+    can = can.select("person_a", "person_b", "score", F.coalesce("size_a", F.lit(0)).cast("long").alias("size_a"), F.coalesce("size_b", F.lit(0)).cast("long").alias("size_b"))
+    can = cut(can)
+    named = components(can.select(F.col("person_a").alias("a"), F.col("person_b").alias("b")))
+    rows = can.join(named.select(F.col("id").alias("person_a"), "component"), "person_a")
+    dealt = rows.select("component", "person_a", "person_b", "score", "size_a", "size_b").repartition("component")
+    ordered = dealt.sortWithinPartitions("component", F.desc("score"), "person_a", "person_b")
+
+    def run(batches):
+        rows_of = ((row for batch in batches for row in zip(*[c.to_pylist() for c in batch.columns])))
+        for _, group in groupby(rows_of, key=lambda r: r[0]):
+            alias = dict(fold_component(r[1:] for r in group))
+            out = []
+            for p in alias:
+                t = alias[p]
+                while t in alias:
+                    t = alias[t]
+                out.append((p, t))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["person_id", "survivor"])
+
+    return ordered.mapInArrow(run, "person_id long, survivor long")
 
 
 def scan_for_merges(lib: Library, config: EngineConfig) -> tuple[Library, int, int]:
     """Merge what is surely one person, suggest the rest: the library, merges done and suggestions.
 
-    Each merge changes what later pairs mean, so the fold runs on the driver over pairs of persons above the
-    suggestion threshold, which are few; more than MOST_PAIRS is an error, never a cut.  Of the rejections only
-    those between persons of these pairs are fetched, as a merge can lead to no others.
+    The strongest pair comes first; a pair over the automatic threshold of two unnamed persons merges the smaller into the larger.  A
+    pair that is left is suggested between the survivors of both, once and with its best score, unless it was rejected.
     """
-    from .mutations import merge_many
-
-    columns = ("person_a", "person_b", "score", "name_a", "name_b", "size_a", "size_b")
-    rows = merge_candidates(lib, config).select(*columns).limit(MOST_PAIRS + 1).collect()
-    if len(rows) > MOST_PAIRS:
-        raise RuntimeError(f"more than {MOST_PAIRS} candidate pairs: raise merge_suggest_threshold")
-    rejected: set[tuple[int, int]] = set()
-    if rows:
-        # At most two persons a pair, and so bounded by MOST_PAIRS too.
-        spark = lib.persons.sparkSession
-        named = spark.createDataFrame([(p,) for p in sorted({p for r in rows for p in r[:2]})], "p long")
-        between = lib.person_merge_rejections.select("person_a", "person_b")
-        for side in ("person_a", "person_b"):
-            between = between.join(named.withColumnRenamed("p", side), side, "left_semi")
-        rejected = {(r["person_a"], r["person_b"]) for r in between.collect()}
-    merges, open_ = fold_merges([tuple(r) for r in rows], rejected, config.merge_auto_threshold)
-    if merges:
-        lib = merge_many(lib, merges, config)
-    spark = lib.persons.sparkSession
-    suggestions = spark.createDataFrame(open_, "person_a long, person_b long, score double")
-    return lib.with_tables(person_merge_suggestions=suggestions), len(merges), len(open_)
+    from .mutations import merge_into
+
+    pairs = cut(merge_candidates(lib, config).select("person_a", "person_b", "score", "name_a", "name_b", "size_a", "size_b"))
+    survivors = cut(merge_survivors(pairs, config.merge_auto_threshold))
+    left = pairs.select("person_a", "person_b", "score")
+    for side in ("person_a", "person_b"):
+        moved = survivors.select(F.col("person_id").alias(side), F.col("survivor").alias("_to"))
+        left = left.join(moved, side, "left").withColumn(side, F.coalesce("_to", side)).drop("_to")
+    a, b = F.least("person_a", "person_b"), F.greatest("person_a", "person_b")
+    left = left.select(a.alias("person_a"), b.alias("person_b"), "score").filter("person_a <> person_b")
+    left = left.groupBy("person_a", "person_b").agg(F.max("score").alias("score"))
+    suggestions = cut(left.join(lib.person_merge_rejections.select("person_a", "person_b"), ["person_a", "person_b"], "left_anti"))
+    merged = survivors.count()
+    if merged:
+        lib = merge_into(lib, survivors.select("person_id", F.col("survivor").alias("_to")), config)
+    return lib.with_tables(person_merge_suggestions=suggestions), merged, suggestions.count()
 
 
 def review_direction(name_a: Column, name_b: Column, size_a: Column, size_b: Column) -> Column:

@@ -186,7 +186,11 @@ def merge_many(lib: Library, merges: Sequence[tuple[int, int]], config: EngineCo
     if not final:
         return lib
     spark = lib.persons.sparkSession
-    moves = spark.createDataFrame([(s, t) for s, t in final.items()], "person_id long, _to long")
+    return merge_into(lib, spark.createDataFrame([(s, t) for s, t in final.items()], "person_id long, _to long"), config)
+
+
+def merge_into(lib: Library, moves: DataFrame, config: EngineConfig) -> Library:
+    """Merge persons (person_id) into survivors (_to) that are merged into nobody themselves."""
     moved = lib.faces.join(moves, "person_id").select("id", F.col("_to").alias("person_id"))
     lib = lib.changed("faces", patch=moved)
     lib = delete_persons(lib, moves.select(F.col("person_id").alias("id")))

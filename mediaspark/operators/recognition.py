@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,12 +23,13 @@ def with_quality(faces: DataFrame) -> DataFrame:
 
 def gallery_candidates(faces: DataFrame, config: EngineConfig, ensure_one: bool = True) -> DataFrame:
     """Faces (person_id, id, quality) good enough to store; with ensure_one the best of a person who has none such."""
-    best = Window.partitionBy("person_id").orderBy(F.desc("quality"), "id")
     rows = faces if "quality" in faces.columns else with_quality(faces)
     good = F.col("quality") >= config.face_quality_store_min
     if not ensure_one:
         return rows.filter(good)
-    return rows.withColumn("_r", F.row_number().over(best)).filter(good | (F.col("_r") == 1)).drop("_r")
+    # One row a person, summed up where the faces are: a person of very many faces is not gathered.
+    best = rows.groupBy("person_id").agg(F.max_by("id", F.struct("quality", -F.col("id"))).alias("_best"))
+    return rows.join(best, "person_id").filter(good | (F.col("id") == F.col("_best"))).select(*rows.columns)
 
 
 def choose_representatives(vectors: np.ndarray, qualities: np.ndarray, config: EngineConfig) -> list[int]:
@@ -50,23 +52,42 @@ def choose_representatives(vectors: np.ndarray, qualities: np.ndarray, config: E
 def representatives(gallery: DataFrame, config: EngineConfig) -> DataFrame:
     """(person_id, face_id) of the representatives of a gallery (person_id, face_id, embedding, quality).
 
-    The choice depends on the choices before it, so each person's gallery is one group in Python; a gallery holds the
-    stored faces of one person.  Equal qualities prefer the greater face id.
+    The choice depends on the choices before it, so a task streams its persons' faces, best first, and holds no more than the chosen
+    few of one person.  The rest of a person is passed over once the few are full or the first weak face comes; weak
+    faces but each person's best are not even sent.  Equal qualities prefer the greater face id.
     """
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("face_id", ascending=False)
-        v = np.stack([np.asarray(x, dtype=np.float64) for x in pdf["embedding"]])
-        n = np.linalg.norm(v, axis=1, keepdims=True)
-        v = v / np.where(n > 0, n, 1)
-        picked = choose_representatives(v, pdf["quality"].to_numpy(dtype=np.float64), config)
-        return pdf.iloc[picked][["person_id", "face_id"]]
-
-    return (
-        gallery.select("person_id", "face_id", "embedding", "quality")
-        .groupBy("person_id")
-        .applyInPandas(choose, "person_id long, face_id long")
-    )
+    best = gallery.groupBy("person_id").agg(F.max_by("face_id", F.struct("quality", "face_id")).alias("_best"))
+    rows = gallery.select("person_id", "face_id", "embedding", "quality").join(best, "person_id")
+    rows = rows.filter((F.col("quality") >= config.face_quality_learn_min) | (F.col("face_id") == F.col("_best"))).drop("_best")
+    order = [F.col("person_id"), F.desc("quality"), F.desc("face_id")]
+    most, weak, alike = config.person_max_representatives, config.face_quality_learn_min, config.representative_diversity_sim
+
+    def run(batches):
+        person, chosen, done = None, [], False
+        for batch in batches:
+            persons, ids, qualities = (batch.column(i).to_pylist() for i in (0, 1, 3))
+            picked = []
+            for k, (who, face, quality) in enumerate(zip(persons, ids, qualities)):
+                if who != person:
+                    person, chosen, done = who, [], False
+                if done:
+                    continue
+                if chosen and quality < weak:
+                    done = True
+                    continue
+                v = np.asarray(batch.column(2)[k].values, dtype=np.float64)
+                n = np.linalg.norm(v)
+                v = v / (n if n > 0 else 1)
+                if chosen and float((np.stack(chosen) @ v).max()) > alike:
+                    continue
+                chosen.append(v)
+                picked.append((who, face))
+                done = len(chosen) == most
+            if picked:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*picked)], names=["person_id", "face_id"])
+
+    dealt = rows.repartition("person_id").sortWithinPartitions(*order)
+    return dealt.mapInArrow(run, "person_id long, face_id long")
 
 
 def refresh_galleries(lib: Library, config: EngineConfig, persons: DataFrame | None = None) -> Library:

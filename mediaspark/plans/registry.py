@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from ..config import EngineConfig
 from ..functions import scalars, vectors
 from ..operators import browse, clustering, duplicates, knowledge, merging, mutations, recognition, search, stats
-from ..schemas import Library
+from ..schemas import SCHEMAS, Library
 from .library import QUALITY, load, with_views
 
 CONFIG = EngineConfig()
@@ -342,8 +343,16 @@ query("s7_insert_photos", lambda lib: mutations.insert_photos(
                                "file_hash", "file_size"), NOW).photos.select("id", "file_path"), """
     SELECT id, file_path FROM photos UNION ALL SELECT (SELECT max(id) FROM photos) + row_number() OVER (ORDER BY '/new' || file_path COLLATE "C"), '/new' || file_path
     FROM photos WHERE is_favorite""".replace(' COLLATE "C"', ""))
-query("m12_reset", lambda lib: stats.library_stats(mutations.reset_library(lib)),
-      "SELECT 0::BIGINT AS photos, 0::BIGINT AS bytes, 0::BIGINT AS faces, 0::BIGINT AS persons")
+def _reset_counts(lib: Library) -> DataFrame:
+    """Rows of each table that has any, before and after a reset."""
+    empty = mutations.reset_library(lib)
+    parts = [lib[t].select(F.lit(t).alias("name"), F.lit(1).alias("b"), F.lit(0).alias("a")) for t in SCHEMAS]
+    parts += [empty[t].select(F.lit(t).alias("name"), F.lit(0).alias("b"), F.lit(1).alias("a")) for t in SCHEMAS]
+    return reduce(DataFrame.union, parts).groupBy("name").agg(F.sum("b").alias("before"), F.sum("a").alias("after"))
+
+
+query("m12_reset", _reset_counts, " UNION ALL ".join(
+    f"SELECT '{t}' AS name, count(*) AS before, 0::BIGINT AS after FROM {t} HAVING count(*) > 0" for t in SCHEMAS))
 
 # Presentation
 query("x17_presentation", lambda lib: lib.photos.select(
