@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import clean_name
 from ..schemas import Library
+from ..sources.textindex import narrowed
 
 #: Rows of a page.
 PAGE = 300
@@ -25,7 +26,8 @@ def photo_grid(
     lib: Library, limit: int = PAGE, offset: int = 0, person_id: int | None = None, search: str | None = None
 ) -> DataFrame:
     """A page of visible photos, newest first; by person, or by a text in path or camera (% and _ are wildcards)."""
-    photos = lib.photos.filter(F.col("duplicate_of").isNull())
+    shown = narrowed(lib, [search], "names") if search else lib
+    photos = shown.photos.filter(F.col("duplicate_of").isNull())
     if person_id is not None:
         wanted = lib.faces.filter(F.col("person_id") == person_id).select(F.col("photo_id").alias("id"))
         photos = photos.join(wanted, "id", "left_semi")
@@ -134,9 +136,12 @@ def photos_by_ocr(
     until: datetime | None = None,
     person_id: int | None = None,
 ) -> DataFrame:
-    """Photos whose recognised text holds any token, newest first; without a long enough token none."""
+    """Photos whose recognised text holds any token, newest first; without a long enough token none.
+
+    Of a snapshot's photos only the pages are read that may hold one.
+    """
     tokens = [t for t in tokens if len(t) >= TOKEN_LENGTH]
-    photos = photo_filters(lib, favorite, since, until, person_id)
+    photos = photo_filters(narrowed(lib, tokens), favorite, since, until, person_id)
     hit = reduce(lambda a, b: a | b, [F.col("ocr_text").ilike(f"%{t}%") for t in tokens], F.lit(False))
     return _newest(photos.filter(hit).select(*BRIEF, "taken_at")).limit(limit)
 

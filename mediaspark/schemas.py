@@ -80,6 +80,8 @@ class Part:
     saved: int = 0
     whole: bool = True
     content: DataFrame | None = None
+    #: Of photos on disk: the trigram index and the base rows with their chunks.
+    index: tuple[DataFrame, DataFrame] | None = None
 
     def rows(self, name: str) -> DataFrame:
         if self.content is None:

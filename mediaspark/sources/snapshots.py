@@ -2,7 +2,7 @@
 
 A save writes what has changed since the version it came from: nothing for a table that is as it was, a small file of keyed changes for
 one that mutations touched, all rows for one that was replaced.  The manifest carries over the files of the rest, and reading merges
-the changes.  After FOLD changes a table is written whole again.
+the changes.  After FOLD changes a table is written whole again.  Whole photos have a trigram index beside them (textindex).
 
 A reader never sees a half-written state, a lost writer leaves the old one in place, and a path that is being read
 is never overwritten.  Each version has a pointer file of its own, which names the folder and is never replaced; it is written
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import SCHEMAS, Library, Part
+from . import textindex
 from .deltas import Change
 
 #: Changes of a table that a manifest names, at most.
@@ -53,8 +54,12 @@ def write_snapshot(library: Library, root: str, expected: int | None = None) ->
             continue
         df = spark.createDataFrame([], schema) if part is None else library[table]
         df = df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
-        _in_order(df, table).write.parquet(f"{root}/{name}/{table}")
         manifest[table] = {"base": f"{name}/{table}", "changes": []}
+        if table == "photos":
+            textindex.write_indexed(spark, _in_order(df, table), f"{root}/{name}/{table}")
+            manifest[table]["grams"] = f"{name}/{table}.grams"
+        else:
+            df.write.parquet(f"{root}/{name}/{table}")
     _write_text(spark, f"{root}/{name}/{MANIFEST}", json.dumps(manifest))
     _publish(spark, root, now + 1, name)
     return name
@@ -75,7 +80,7 @@ def _saved_changes(part: Part, entry: dict, table: str, root: str, name: str) ->
         path = f"{name}/{table}.{c.seq}"
         _in_order(c.rows, table).write.parquet(f"{root}/{path}")
         changes.append({"kind": c.kind, "path": path, "seq": c.seq, "columns": c.rows.columns})
-    return {"base": entry["base"], "changes": changes}
+    return entry | {"changes": changes}
 
 
 def _write_text(spark: SparkSession, path: str, text: str) -> None:
@@ -169,7 +174,10 @@ def read_snapshot(spark: SparkSession, root: str, name: str | None = None) -> Li
             for c in entry["changes"]
         )
         base = spark.read.schema(SCHEMAS[table]).parquet(f"{root}/{entry['base']}")
-        parts[table] = Part(base, changes, len(changes), whole=False)
+        index = None
+        if "grams" in entry:
+            index = spark.read.schema("gram int, chunk long").parquet(f"{root}/{entry['grams']}"), textindex.chunked(spark, f"{root}/{entry['base']}")
+        parts[table] = Part(base, changes, len(changes), whole=False, index=index)
     return Library(parts, source)
 
 
