@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..config import EngineConfig
 from ..functions.vectors import cosine, literal
 from ..schemas import Library
+from ..sources.vectorindex import narrowed
 from .browse import TOKEN_LENGTH, person_by_name, photo_filters
 
 
@@ -31,8 +32,25 @@ def nearest(
     """photo_id and similarity (-1 to 1) of the photos nearest to a vector by cosine, of one model, under filters.
 
     Exact: one scan of the model's vectors with a top-k in each task.  Filters are applied before the top-k, so
-    they never leave fewer results than there are.  A vector without length is never found.
+    they never leave fewer results than there are.  A vector without length is never found.  Of a snapshot's vectors
+    only the cells are scanned that may hold one of the nearest.
     """
+    filters = (favorite, since, until, person_id)
+    if not isinstance(query, Column):
+        lib = narrowed(lib, query, model, limit, lambda few: _scanned(few, query, model, limit, *filters))
+    return _scanned(lib, query, model, limit, *filters)
+
+
+def _scanned(
+    lib: Library,
+    query: Sequence[float] | Column,
+    model: str,
+    limit: int,
+    favorite: bool | None,
+    since: datetime | None,
+    until: datetime | None,
+    person_id: int | None,
+) -> DataFrame:
     vector = query if isinstance(query, Column) else literal(query)
     rows = lib.clip_embeddings.filter(F.col("model") == model).select("photo_id", cosine(F.col("embedding"), vector).alias("similarity"))
     if any(x is not None for x in (favorite, since, until, person_id)):

@@ -80,7 +80,7 @@ class Part:
     saved: int = 0
     whole: bool = True
     content: DataFrame | None = None
-    #: Of photos on disk: the trigram index and the base rows with their chunks.
+    #: Of photos on disk: the trigram index and the base rows with their chunks; of clip vectors: cells, and the rows with theirs.
     index: tuple[DataFrame, DataFrame] | None = None
 
     def rows(self, name: str) -> DataFrame:

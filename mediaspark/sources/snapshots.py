@@ -2,7 +2,8 @@
 
 A save writes what has changed since the version it came from: nothing for a table that is as it was, a small file of keyed changes for
 one that mutations touched, all rows for one that was replaced.  The manifest carries over the files of the rest, and reading merges
-the changes.  After FOLD changes a table is written whole again.  Whole photos have a trigram index beside them (textindex).
+the changes.  After FOLD changes a table is written whole again.  Whole photos have a trigram index
+beside them (textindex), and whole clip vectors lie in cells around pivots (vectorindex).
 
 A reader never sees a half-written state, a lost writer leaves the old one in place, and a path that is being read
 is never overwritten.  Each version has a pointer file of its own, which names the folder and is never replaced; it is written
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import SCHEMAS, Library, Part
-from . import textindex
+from . import textindex, vectorindex
 from .deltas import Change
 
 #: Changes of a table that a manifest names, at most.
@@ -58,6 +59,9 @@ def write_snapshot(library: Library, root: str, expected: int | None = None) ->
         if table == "photos":
             textindex.write_indexed(spark, _in_order(df, table), f"{root}/{name}/{table}")
             manifest[table]["grams"] = f"{name}/{table}.grams"
+        elif table == "clip_embeddings":
+            if vectorindex.write_cells(spark, df, f"{root}/{name}/{table}"):
+                manifest[table]["cells"] = True
         else:
             df.write.parquet(f"{root}/{name}/{table}")
     _write_text(spark, f"{root}/{name}/{MANIFEST}", json.dumps(manifest))
@@ -177,6 +181,8 @@ def read_snapshot(spark: SparkSession, root: str, name: str | None = None) -> Li
         index = None
         if "grams" in entry:
             index = spark.read.schema("gram int, chunk long").parquet(f"{root}/{entry['grams']}"), textindex.chunked(spark, f"{root}/{entry['base']}")
+        if entry.get("cells"):
+            index = vectorindex.with_cells(spark, f"{root}/{entry['base']}")
         parts[table] = Part(base, changes, len(changes), whole=False, index=index)
     return Library(parts, source)
 
