@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import struct
 import tempfile
-import zlib
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions.scalars import clamp_box, dms_to_degrees, parse_exif_datetime
+from .jpeg import jpeg
 
 
 def image_files(spark: SparkSession, root: str, config: EngineConfig = EngineConfig(), content: bool = True) -> DataFrame:
@@ -212,18 +212,6 @@ def shrunk(px: np.ndarray, size: int) -> np.ndarray:
     return np.clip(np.rint(np.einsum("lk,ikc->ilc", cols, out)), 0, 255).astype(np.uint8)
 
 
-def png(px: np.ndarray) -> bytes:
-    """An RGB image as a PNG file."""
-    h, w, _ = px.shape
-    lines = np.concatenate([np.zeros((h, 1), np.uint8), np.ascontiguousarray(px).reshape(h, 3 * w)], axis=1)
-
-    def chunk(kind: bytes, data: bytes) -> bytes:
-        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-
-    header = struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", header) + chunk(b"IDAT", zlib.compress(lines.tobytes(), 6)) + chunk(b"IEND", b"")
-
-
 def _rgb(h: int, w: int, c: int, data: bytes) -> np.ndarray | None:
     if h <= 0 or w <= 0:
         return None
@@ -242,7 +230,7 @@ def _plain(path):
 
 
 def thumbnails(photos: DataFrame, root: str, size: int = 320) -> DataFrame:
-    """(id, image) for photos (id, file_path, orientation) below a folder: upright PNG images of at most `size` pixels a side.
+    """(id, image) for photos (id, file_path, orientation) below a folder: upright JPEG images of at most `size` pixels a side.
 
     image is null where a photo can't be decoded.
     """
@@ -252,7 +240,7 @@ def thumbnails(photos: DataFrame, root: str, size: int = 320) -> DataFrame:
             out = []
             for r in pdf.itertuples():
                 px = _rgb(r.height, r.width, r.nChannels, r.data)
-                out.append(None if px is None else png(shrunk(oriented(px, r.orientation), size)))
+                out.append(None if px is None else jpeg(shrunk(oriented(px, r.orientation), size)))
             yield pd.DataFrame({"id": pdf["id"], "image": out})
 
     rows = photos.select("id", _plain(F.col("file_path")).alias("file_path"), F.coalesce("orientation", F.lit(1)).cast("int").alias("orientation"))
@@ -260,7 +248,7 @@ def thumbnails(photos: DataFrame, root: str, size: int = 320) -> DataFrame:
 
 
 def face_crops(faces: DataFrame, root: str) -> DataFrame:
-    """(crop_path, image) for faces (crop_path, file_path, boxes) below a folder: the box cut out, as a PNG image."""
+    """(crop_path, image) for faces (crop_path, file_path, boxes) below a folder: the box cut out, as a JPEG image."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -268,7 +256,7 @@ def face_crops(faces: DataFrame, root: str) -> DataFrame:
             for r in pdf.itertuples():
                 px = _rgb(r.height, r.width, r.nChannels, r.data)
                 cut = None if px is None else px[r.bbox_y : r.bbox_y + r.bbox_h, r.bbox_x : r.bbox_x + r.bbox_w]
-                out.append(None if cut is None or not cut.size else png(cut))
+                out.append(None if cut is None or not cut.size else jpeg(cut))
             yield pd.DataFrame({"crop_path": pdf["crop_path"], "image": out})
 
     rows = faces.select("crop_path", _plain(F.col("file_path")).alias("file_path"), "bbox_x", "bbox_y", "bbox_w", "bbox_h")
@@ -289,7 +277,7 @@ def write_images(images: DataFrame, folder: str, name: str) -> DataFrame:
                 if image is None:
                     paths.append(None)
                     continue
-                path = os.path.join(folder, f"{os.path.splitext(str(key))[0]}.png")
+                path = os.path.join(folder, f"{os.path.splitext(str(key))[0]}.jpg")
                 with tempfile.NamedTemporaryFile(dir=folder, delete=False) as f:
                     f.write(image)
                 os.replace(f.name, path)

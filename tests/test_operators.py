@@ -364,6 +364,7 @@ def test_thumbnails_and_crops(spark, tree, tmp_path):
     assert paths["broken.jpg"] is None
     sizes = {n: (f["width"], f["height"]) for n, p in paths.items() if p for f in [images.read_facts(open(p, "rb").read())]}
     assert sizes["a.PNG"] == (50, 33)
+    assert all(p.endswith(".jpg") and open(p, "rb").read(2) == b"\xff\xd8" for p in paths.values() if p)
     turned = images.thumbnails(lib.photos.filter("file_path like '%a.PNG'").select("id", "file_path", F.lit(6).alias("orientation")), tree, 60).first()
     assert [images.read_facts(bytes(turned.image))[x] for x in ("width", "height")] == [40, 60]
     faces = out.photos.filter("file_path like '%a.PNG'").select(
