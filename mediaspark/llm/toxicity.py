@@ -1,18 +1,20 @@
 """Toxicity scores by weak supervision.
 
 Voters (lexicons and patterns) fire or keep silent on each text.  A generative label model estimates from
-all votes of the corpus how often each voter fires under either class and how far voters depend on each
-other given the class, and turns votes into posterior labels.  A linear classifier on words and word
-beginnings, trained on the posterior labels of all documents, gives the score.  Given labels do two things: lexicons are mined
+all votes of the corpus how often each voter fires under either class and how voters depend on each other given the
+class (a tree of pair factors), and turns votes into posterior labels.  A linear classifier, trained on the posterior labels of all
+documents, gives the score; its features are the voters' words and beginnings and all words that the corpus shows in texts of
+the toxic posterior beyond chance, so it scores words that no voter knows.  Given labels do two things: lexicons are mined
 from them, and they tell the label model which of its two classes is the toxic one.
 
-Voters 0 to 6 stem from a fixed English lexicon, 7 and 8 are patterns, 9 to 15 are lexicons mined from labelled
+Voters 0 to 6 stem from a fixed English lexicon, 7 and 8 are patterns, 9 to 15 count words and beginnings mined from labelled
 texts, so languages that the fixed lexicon lacks have voters too.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -57,16 +59,25 @@ def lookup(index: dict[str, int]) -> Memo:
     return Memo(lambda w: tuple(index[f] for f in features_of(w) if f in index))
 
 
-def found(text: bytes, memory: Memo) -> set[int]:
-    """The indexed features that a text holds."""
+#: Occurrences of a feature in a text that count; more add nothing.
+OFTEN = 8
+
+
+def found(text: bytes, memory: Memo) -> Counter[int]:
+    """The indexed features that a text holds, and how often."""
     memory.trim()
-    out: set[int] = set()
-    for ids in map(memory.__getitem__, set(text.lower().split())):
-        if ids:
-            out.update(ids)
+    out: Counter[int] = Counter()
+    for w, n in Counter(text.lower().split()).items():
+        for i in memory[w]:
+            out[i] += n
     return out
 
 
+def repeated(counts: Counter[int]) -> list[int]:
+    """Feature ids in order, each as often as it counts."""
+    return [i for i in sorted(counts) for _ in range(min(OFTEN, counts[i]))]
+
+
 class Votes:
     """Vote bits of a text, given the mined features."""
 
@@ -79,21 +90,20 @@ class Votes:
                 self.kind.append(("fixed", group))
         for k, f in enumerate(f for f in mined if f not in self.index):
             self.index[f] = len(self.kind)
-            self.kind.append((f[0], k % 3))
+            self.kind.append((f[0], 0))
         self.memory = lookup(self.index)
 
-    def __call__(self, text: bytes) -> tuple[int, list[int]]:
-        """The vote bits and the indexed features."""
-        ids = found(text, self.memory)
-        bits = fixed = mined = 0
-        for i in ids:
+    def __call__(self, text: bytes) -> int:
+        """The vote bits."""
+        bits = fixed = 0
+        mined = {"w": 0, "p": 0}
+        for i, n in found(text, self.memory).items():
             kind, group = self.kind[i]
             if kind == "fixed":
                 fixed += 1
                 bits |= 1 << group
             else:
-                mined += 1
-                bits |= 1 << ((9 if kind == "w" else 12) + group)
+                mined[kind] += n
         if fixed >= 2:
             bits |= 1 << 5
         if fixed >= 3:
@@ -102,24 +112,29 @@ class Votes:
             bits |= 1 << 7
         if _MASKED.search(text):
             bits |= 1 << 8
-        if mined >= 2:
-            bits |= 1 << 15
-        return bits, sorted(ids)
+        for kind, first, least in (("w", 9, (1, 2, 4)), ("p", 12, (1, 3, 6, 12))):
+            for k, n in enumerate(least):
+                if mined[kind] >= n:
+                    bits |= 1 << (first + k)
+        return bits
 
 
 @dataclass
 class LabelModel:
-    """Firing rate of each voter by class, dependence between voters given the class, and the class prior."""
+    """The class prior and, by class, each voter's firing rate given its parent's vote in a tree of dependences."""
 
     prior: float
-    rates: np.ndarray  # 2 x VOTERS
-    correlations: np.ndarray  # VOTERS x VOTERS
-    weights: np.ndarray  # VOTERS
+    rates: np.ndarray  # 2 x VOTERS: how often each fires
+    correlations: np.ndarray  # VOTERS x VOTERS, given the class
+    parents: np.ndarray  # VOTERS, the root's is itself
+    given: np.ndarray  # 2 x 2 x VOTERS: class, the parent's vote
 
     def log_odds(self, x: np.ndarray) -> np.ndarray:
-        fire = np.log(self.rates[1] / self.rates[0])
-        silent = np.log((1 - self.rates[1]) / (1 - self.rates[0]))
-        return np.log(self.prior / (1 - self.prior)) + (x * fire + (1 - x) * silent) @ self.weights
+        parent = x[:, self.parents].astype(int)
+        at = np.arange(VOTERS)
+        fire = [self.given[k][parent, at] for k in (0, 1)]
+        seen = [np.where(x > 0, f, 1 - f) for f in fire]
+        return np.log(self.prior / (1 - self.prior)) + (np.log(seen[1]) - np.log(seen[0])).sum(1)
 
     def posterior(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.log_odds(x), -30, 30)))
@@ -129,42 +144,75 @@ def unpack(bits: np.ndarray) -> np.ndarray:
     return (bits[:, None] >> np.arange(VOTERS) & 1).astype(float)
 
 
+def _information(both: np.ndarray, total: float) -> np.ndarray:
+    """Mutual information of each two voters, in nats, from how often both fire."""
+    n = np.diag(both)
+    out = np.zeros_like(both)
+    cells = ((both, n, n), (n[:, None] - both, n, total - n), (n[None, :] - both, total - n, n),
+             (total - n[:, None] - n[None, :] + both, total - n, total - n))
+    for cell, a, b in cells:
+        expected = np.outer(a, b) / total
+        some = (cell > 1e-9) & (expected > 1e-9)
+        out[some] += cell[some] / total * np.log(cell[some] / expected[some])
+    return out
+
+
+def _tree(information: np.ndarray) -> np.ndarray:
+    """The parents of voters in the tree of greatest information, with voter 0 as its root."""
+    parents = np.zeros(VOTERS, int)
+    best, waiting = information[0].copy(), set(range(1, VOTERS))
+    while waiting:
+        i = max(waiting, key=lambda j: (best[j], -j))
+        waiting.remove(i)
+        for j in waiting:
+            if information[i, j] > best[j]:
+                best[j], parents[j] = information[i, j], i
+    return parents
+
+
 def fit_label_model(
     patterns: np.ndarray, counts: np.ndarray, gold: np.ndarray, gold_pos: np.ndarray, gold_neg: np.ndarray, rounds: int = 20
 ) -> LabelModel:
     """EM over vote patterns.
 
-    patterns, counts: distinct vote bits of the corpus and their number of documents (at most 2 ** VOTERS rows).
-    gold, gold_pos, gold_neg: the same for labelled training rows, by label; they anchor the classes.  Correlated
-    voters share their weight: a voter's is 1 / (1 + the sum of its correlations given the class).
+    patterns, counts: distinct vote bits of the corpus and their number of documents (at most 2 ** VOTERS rows), all at full weight.
+    gold, gold_pos, gold_neg: the same for labelled training rows, by label; they give the first estimate and anchor the
+    classes.  Given the class, votes follow a tree: each voter depends on one other, and of all trees that of the greatest conditional
+    mutual information is taken in each round.  So voters that repeat each other count once.
     """
     x, g = unpack(patterns), unpack(gold)
     n1, n0 = gold_pos.sum(), gold_neg.sum()
-    prior = float(np.clip((n1 + 1) / (n1 + n0 + 2), 1e-3, 0.999))
-    # Unlabelled rows weigh as much as labelled ones at most.
-    scale = min(1.0, (n1 + n0) / max(1.0, counts.sum()))
-    c = counts * scale
-    model = LabelModel(prior, np.empty((2, VOTERS)), np.eye(VOTERS), np.ones(VOTERS))
+    at = np.arange(VOTERS)
 
-    def set_rates(r: np.ndarray, c: np.ndarray) -> None:
+    def estimate(r: np.ndarray, c: np.ndarray) -> LabelModel:
+        rates, given, information = np.empty((2, VOTERS)), np.empty((2, 2, VOTERS)), np.zeros((VOTERS, VOTERS))
+        tables, covariance = [], np.zeros((VOTERS, VOTERS))
         for k, (own, gw) in enumerate((((1 - r) * c, gold_neg), (r * c, gold_pos))):
-            fired = own @ x + gw @ g + 0.5 * prior
-            model.rates[k] = np.clip(fired / (own.sum() + gw.sum() + 1), 1e-4, 1 - 1e-4)
+            both = (x * own[:, None]).T @ x + (g * gw[:, None]).T @ g
+            total = own.sum() + gw.sum()
+            tables.append((both, total))
+            rates[k] = np.clip((np.diag(both) + 0.05) / (total + 1), 1e-4, 1 - 1e-4)
+            if total > 0:
+                information += _information(both, total) * total
+                covariance += both - np.outer(np.diag(both), np.diag(both)) / total
+        parents = _tree(information)
+        for k, (both, total) in enumerate(tables):
+            fired = np.diag(both)
+            with_parent = both[at, parents]
+            # One text's weight of the voter's own rate where the parent's vote says nothing.
+            given[k, 1] = (with_parent + rates[k]) / (fired[parents] + 1)
+            given[k, 0] = (fired - with_parent + rates[k]) / (total - fired[parents] + 1)
+            given[k, :, 0] = rates[k, 0]
+        sd = np.sqrt(np.maximum(np.diag(covariance), 1e-12))
+        prior = (r @ c + n1 + 1) / (c.sum() + n1 + n0 + 2)
+        return LabelModel(
+            float(np.clip(prior, 1e-3, 0.999)), rates, covariance / np.outer(sd, sd), parents, np.clip(given, 1e-4, 1 - 1e-4)
+        )
 
-    set_rates(c * 0, c * 0)  # of the labelled rows alone
+    c = counts.astype(float)
+    model = estimate(c * 0, c * 0)  # of the labelled rows alone
     for _ in range(rounds):
-        r = model.posterior(x)
-        set_rates(r, c)
-        model.prior = float(np.clip((r @ c + n1 + 1) / (c.sum() + n1 + n0 + 2), 1e-3, 0.999))
-        cov = np.zeros((VOTERS, VOTERS))
-        for k, (own, gw) in enumerate((((1 - r) * c, gold_neg), (r * c, gold_pos))):
-            dx, dg = x - model.rates[k], g - model.rates[k]
-            cov += (dx * own[:, None]).T @ dx + (dg * gw[:, None]).T @ dg
-        sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
-        model.correlations = cov / np.outer(sd, sd)
-        off = np.clip(model.correlations, 0, 1)
-        np.fill_diagonal(off, 0)
-        model.weights = 1 / (1 + off.sum(1))
+        model = estimate(model.posterior(x), c)
     return model
 
 
@@ -181,7 +229,7 @@ class ToxicityModel:
 def loss_sums(offsets, ids, counts, target, weight, w: np.ndarray) -> np.ndarray:
     """Sums over rows of feature lists: the logistic loss against soft targets, and its gradient for (weights, bias).
 
-    Row i holds the features ids[offsets[i]:offsets[i + 1]] and stands for counts[i] texts.
+    Row i holds the features ids[offsets[i]:offsets[i + 1]], repeats included, and stands for counts[i] texts.
     """
     n = len(counts)
     rows = np.repeat(np.arange(n), np.diff(offsets))
@@ -192,7 +240,7 @@ def loss_sums(offsets, ids, counts, target, weight, w: np.ndarray) -> np.ndarray
     return np.concatenate([[loss], np.bincount(ids, d[rows], minlength=len(w) - 1), [d.sum()]])
 
 
-def train_linear(sums, size: int, total: float, decay: float = 3e-4) -> tuple[np.ndarray, float]:
+def train_linear(sums, size: int, total: float, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Logistic regression on soft targets: sums(w) gives loss_sums() of all texts, `total` in number."""
 
     def f(w):
@@ -210,15 +258,16 @@ def class_weights(share: float) -> tuple[float, float]:
     return (0.5 / (1 - share)) ** 0.5, (0.5 / share) ** 0.5
 
 
-#: Least number of toxic labelled texts that a mined feature stands in, the least share of toxic ones among its texts, and by how
-#: many standard deviations the toxic ones outnumber what chance gives.
-MINED_TEXTS, MINED_SHARE, MINED_SIGMA = 4, 0.6, 5.0
+#: What is beyond chance.  A feature stands in this many toxic texts, has this share of toxic ones among its texts, and these outnumber
+#: what chance gives by as many standard deviations.  Mined features answer to labels, the classifier's words to posteriors of all texts.
+MINED_TEXTS, MINED_SHARE, MINED_SIGMA = 4, 0.3, 5.0
 
 
 def fit(
     docs: DataFrame,
     labels: DataFrame,
     max_labelled: int = 20_000,
+    max_words: int = 100_000,
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
@@ -226,9 +275,10 @@ def fit(
     """Learn from the rows of `labels` (give training rows only) and the unlabelled votes of all of `docs`.
 
     `max_labelled` bounds the labelled ids used, those least by a hash; lexicons are all the features that their texts
-    show to be toxic ones beyond chance.  Vote statistics and classifier cover all documents: their votes and lexicon
-    features are written once as a table of distinct rows with counts, and each step of the training is a pass over it, whose
-    sums alone reach the driver, however many rows an id has.
+    show to be toxic ones beyond chance.  Vote statistics and classifier cover all documents: votes are counted, words of all
+    texts are counted by posterior, and votes and features are written once as a table of distinct rows with counts.  Each step
+    of the training is a pass over it, whose sums alone reach the driver, however many rows an id has.  `max_words` bounds the
+    words that the classifier takes from all texts beside the lexicons, the strongest first.
 
     Labels that are null, or of a null id, are left out, a null text is empty, repeated ids count once for the labels and
     each row of `docs` is a text.  Without labelled texts of both classes only the fixed lexicon votes, each of its words with one
@@ -248,21 +298,20 @@ def fit(
     n = {r["_y"]: r["n"] for r in sample.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
     mined = _mine(sample, n.get(1, 0), n.get(0, 0)) if n.get(1) and n.get(0) else []
     index = Votes(mined).index
+    if not (n.get(1) and n.get(0)):
+        discard(sample)
+        return ToxicityModel(list(index), np.full(len(index), 4.0), -4.0, None)
     sent = spark.sparkContext.broadcast(mined)
 
     def make_votes():
         votes = Votes(sent.value)
-        return lambda row: (row[0], *votes(row[1]))
+        return lambda row: (row[0], votes(row[1]))
 
-    if not (n.get(1) and n.get(0)):
-        discard(sample)
-        return ToxicityModel(list(index), np.full(len(index), 4.0), -4.0, None)
-    ddl = "y int, bits int, x array<int>"
-    everything = map_rows(texts.select(F.lit(0).alias("y"), "_t"), make_votes, ddl)
-    # Most texts hold few lexicon features or none, so the distinct rows are few.
-    table_ = staged(everything.groupBy("bits", "x").agg(F.count(F.lit(1)).alias("n")), "votes")
+    ddl = "y int, bits int"
     # At most 2 ** VOTERS rows reach the driver, of all texts and of the labelled ones.
-    patterns = table_.groupBy("bits").agg(F.sum("n").alias("n")).toPandas()
+    patterns = (
+        map_rows(texts.select(F.lit(0).alias("y"), "_t"), make_votes, ddl).groupBy("bits").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    )
     known = (
         map_rows(sample, make_votes, ddl)
         .groupBy("bits")
@@ -279,6 +328,22 @@ def fit(
     clean, toxic = class_weights(float(counts @ posterior[bits] / counts.sum()))
     sent_posterior = spark.sparkContext.broadcast(posterior)
 
+    def by_posterior():
+        votes = Votes(sent.value)
+        return lambda text: sent_posterior.value[votes(text)] >= 0.5
+
+    likely = float(counts @ (posterior[bits] >= 0.5))
+    words = _mine(texts.select("_t"), likely, float(counts.sum()) - likely, by_posterior, max_words) if likely else []
+    features = [*index, *(f for f in words if f not in index)]
+    sent_features = spark.sparkContext.broadcast(features)
+
+    def make_rows():
+        votes, memory = Votes(sent.value), lookup({f: i for i, f in enumerate(sent_features.value)})
+        return lambda row: (votes(row[0]), repeated(found(row[0], memory)))
+
+    # Most texts hold few of the features or none, so the distinct rows are few.
+    table_ = staged(map_rows(texts.select("_t"), make_rows, "bits int, x array<int>").groupBy("bits", "x").agg(F.count(F.lit(1)).alias("n")), "votes")
+
     def sums(w):
         def of(batch):
             x = batch.column(1)
@@ -289,57 +354,81 @@ def fit(
 
         return summed(table_, of)
 
-    w, b = train_linear(sums, len(index), float(counts.sum()))
+    w, b = train_linear(sums, len(features), float(counts.sum()))
+    b -= float(np.log(toxic / clean))  # what the class weights added to the odds
     discard(sample, table_)
-    return ToxicityModel(list(index), w, b, label_model)
+    return ToxicityModel(features, w, b, label_model)
 
 
-def _mine(sample: DataFrame, n_pos: int, n_neg: int) -> list[str]:
-    """Features that toxic texts of `sample` (_y, _t) hold more often than chance gives, strongest first."""
+def _mine(texts: DataFrame, n_pos: float, n_neg: float, make=None, most: int | None = None) -> list[str]:
+    """Features that toxic texts hold more often than chance gives, strongest first.
+
+    Labelled texts are (_y, _t), and their words and beginnings count.  With `make`, whose function tells whether a text is toxic, texts
+    are (_t) and words alone count.
+    """
     counts = (
-        sample.transform(in_arrow, _class_counts, "f string, p long, n long")
+        texts.transform(in_arrow, _class_counts(make), "f string, p long, n long")
         .groupBy("f")
         .agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     )
     share = n_pos / (n_pos + n_neg)
     p, n = F.col("p"), F.col("n")
     told = counts.filter(
-        (p >= max(MINED_TEXTS, round(0.004 * n_pos)))
+        (p >= max(MINED_TEXTS, round(0.004 * n_pos)) if make is None else p >= MINED_TEXTS)
         & (p >= MINED_SHARE * n)
         & (p - share * n >= MINED_SIGMA * F.sqrt(n * share * (1 - share)))
     )
+    strength = -(p * p) / (p + 3 * (n - p))
+    if most is not None:
+        return [r["f"] for r in told.orderBy(strength, "f").limit(most).collect()]
     # Each stands in a part of the labelled toxic texts, of which there are max_labelled at most.
-    return [r["f"] for r in sorted(told.collect(), key=lambda r: (-(r["p"] ** 2) / (r["p"] + 3 * (r["n"] - r["p"])), r["f"]))]
+    return [r["f"] for r in told.orderBy(strength, "f").collect()]
 
 
-def _class_counts(batches):
+def _class_counts(make):
     """Toxic texts and all texts that hold each feature; a task sums its own first."""
-    import pyarrow as pa
-
-    counts: dict[str, list[int]] = {}
-    used = 0
-
-    def out():
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(counts), pa.string()), *[pa.array([c[i] for c in counts.values()], pa.int64()) for i in (0, 1)]],
-            names=["f", "p", "n"],
-        )
 
-    for batch in parts_of(batches):
-        y, t = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_y", "_t"))
-        for label, text in zip(y, t):
-            for f in {f for w in set(text.lower().split()) for f in features_of(w)}:
-                c = counts.get(f)
-                if c is None:
-                    c = counts[f] = [0, 0]
-                    used += 150 + len(f)
-                c[0] += label
-                c[1] += 1
-            if used > COUNTED:
-                yield out()
-                counts, used = {}, 0
-    if counts:
-        yield out()
+    def run(batches):
+        import pyarrow as pa
+
+        held: Counter[str] = Counter()
+        toxic: Counter[str] = Counter()
+        is_toxic = make() if make else None
+        memory = Memo(lambda w: tuple(_words(w) if make else features_of(w)))
+        used = 0
+
+        def out():
+            return pa.RecordBatch.from_arrays(
+                [pa.array(list(held), pa.string()), pa.array([toxic[f] for f in held], pa.int64()), pa.array(list(held.values()), pa.int64())],
+                names=["f", "p", "n"],
+            )
+
+        for batch in parts_of(batches):
+            texts = batch.column(batch.schema.get_field_index("_t")).to_pylist()
+            labels = None if make else batch.column(batch.schema.get_field_index("_y")).to_pylist()
+            for i, text in enumerate(texts):
+                memory.trim()
+                own = {f for w in set(text.lower().split()) for f in memory[w]}
+                before = len(held)
+                held.update(own)
+                if is_toxic(text) if labels is None else labels[i]:
+                    toxic.update(own)
+                # Long features are long words: what a text adds is its size at most.
+                used += 200 * (len(held) - before) + (len(text) if len(held) > before else 0)
+                if used > COUNTED:
+                    yield out()
+                    held.clear()
+                    toxic.clear()
+                    used = 0
+        if held:
+            yield out()
+
+    return run
+
+
+def _words(word: bytes) -> list[str]:
+    """The features of a lower-cased word that are whole words."""
+    return [f for f in features_of(word) if f[0] == "w"]
 
 
 def score(
@@ -359,7 +448,7 @@ def score(
         memory = lookup({f: i for i, f in enumerate(features)})
 
         def row(values):
-            ids = sorted(found(values[-1], memory))
+            ids = repeated(found(values[-1], memory))
             z = bias + float(weights[ids].sum()) if ids else bias
             return (*values[:-1], 1 / (1 + float(np.exp(-min(30.0, max(-30.0, z))))))
 

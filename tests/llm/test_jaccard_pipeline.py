@@ -141,7 +141,7 @@ def plain_pipeline(spark, folder):
     memory = toxicity.lookup({f: i for i, f in enumerate(model.features)})
 
     def toxic(text):
-        found = sorted(toxicity.found(text.encode(), memory))
+        found = toxicity.repeated(toxicity.found(text.encode(), memory))
         return 1 / (1 + 2.718281828459045 ** -(model.bias + sum(model.weights[i] for i in found)))
 
     docs = [d for d in docs if toxic(d[1]) < toxicity.THRESHOLD]

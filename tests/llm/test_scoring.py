@@ -135,9 +135,11 @@ def test_toxicity_held_out(spark):
     folder = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{folder}/labels.parquet")
     rows = toxicity.op3_toxicity(spark, folder).join(labels, "doc_id").collect()
-    assert accuracy(rows, "toxic", True) > 0.96
+    assert accuracy(rows, "toxic", True) > 0.98
     good = [r for r in rows if r.held_out and r.predicted == 1]
     assert sum(r.toxic for r in good) / len(good) > 0.95
+    bad = [r for r in rows if r.held_out and r.toxic == 1]
+    assert sum(r.predicted for r in bad) / len(bad) > 0.88
 
 
 def test_toxic_words_in_long_tokens_are_found():
@@ -149,43 +151,53 @@ def test_toxic_words_in_long_tokens_are_found():
 
 
 def plain_label_model(votes, pos, neg, rounds=20):
-    """EM text by text: rates from labelled texts first, then from posteriors of all and the labels."""
-    x, g, y = votes, np.concatenate([pos, neg]), np.concatenate([np.ones(len(pos)), np.zeros(len(neg))])
-    prior = (len(pos) + 1) / (len(g) + 2)
-    scale = min(1.0, len(g) / len(x))
-    start = prior
-
-    def rates(r, c):
-        out = np.zeros((2, x.shape[1]))
+    """EM text by text over class and tree: from labelled texts first, then from posteriors of all and the labels."""
+    n = votes.shape[1]
+
+    def estimate(r, c):
+        rows = [(v, k, c * (p if k else 1 - p)) for v, p in zip(votes, r) for k in (0, 1)]
+        rows += [(v, 1, 1.0) for v in pos] + [(v, 0, 1.0) for v in neg]
+        total, fired, both = np.zeros(2), np.zeros((2, n)), np.zeros((2, n, n, 2, 2))
+        for v, k, w in rows:
+            total[k] += w
+            fired[k] += w * v
+            v = v.astype(int)
+            both[k][np.arange(n)[:, None], np.arange(n)[None, :], v[:, None], v[None, :]] += w
+        rate = np.clip((fired + 0.05) / (total[:, None] + 1), 1e-4, 1 - 1e-4)
+        info = np.zeros((n, n))
         for k in (0, 1):
-            for v in range(x.shape[1]):
-                own = sum(c * (r[i] if k else 1 - r[i]) * x[i, v] for i in range(len(x)))
-                labelled = sum(g[i, v] for i in range(len(g)) if y[i] == k)
-                whole = sum(c * (r[i] if k else 1 - r[i]) for i in range(len(x))) + (y == k).sum()
-                out[k, v] = min(max((own + labelled + 0.5 * start) / (whole + 1), 1e-4), 1 - 1e-4)
-        return out
-
-    theta, weights = rates(np.zeros(len(x)), 0.0), np.ones(x.shape[1])
+            for i in range(n):
+                for j in range(n):
+                    t = both[k, i, j]
+                    for p in (0, 1):
+                        for q in (0, 1):
+                            if t[p, q] > 1e-9:
+                                info[i, j] += t[p, q] * np.log(t[p, q] * t.sum() / (t[p].sum() * t[:, q].sum()))
+        parents, inside = [0] * n, {0}
+        while len(inside) < n:
+            w, j, i = max(((info[i, j], -j, -i) for i in inside for j in range(n) if j not in inside), key=lambda t: t[0])
+            parents[-j] = -i
+            inside.add(-j)
+        given = np.zeros((2, 2, n))
+        for k in (0, 1):
+            for i in range(n):
+                for p in (0, 1):
+                    t = both[k, parents[i], i, p]
+                    given[k, p, i] = rate[k, i] if i == 0 else min(max((t[1] + rate[k, i]) / (t.sum() + 1), 1e-4), 1 - 1e-4)
+        prior = (c * r.sum() + len(pos) + 1) / (c * len(votes) + len(pos) + len(neg) + 2)
+        return rate, prior, parents, given
+
+    rate, prior, parents, given = estimate(np.zeros(len(votes)), 0.0)
     for _ in range(rounds):
         r = []
-        for row in x:
+        for row in votes.astype(int):
             odds = np.log(prior / (1 - prior))
-            for v, bit in enumerate(row):
-                odds += weights[v] * np.log((theta[1, v] if bit else 1 - theta[1, v]) / (theta[0, v] if bit else 1 - theta[0, v]))
+            for i, bit in enumerate(row):
+                f0, f1 = given[0, row[parents[i]], i], given[1, row[parents[i]], i]
+                odds += np.log((f1 if bit else 1 - f1) / (f0 if bit else 1 - f0))
             r.append(1 / (1 + np.exp(-min(30, max(-30, odds)))))
-        r = np.array(r)
-        theta = rates(r, scale)
-        prior = min(max((scale * r.sum() + len(pos) + 1) / (scale * len(x) + len(g) + 2), 1e-3), 0.999)
-        cov = np.zeros((x.shape[1],) * 2)
-        for row, p in zip(x, r):
-            cov += scale * (p * np.outer(row - theta[1], row - theta[1]) + (1 - p) * np.outer(row - theta[0], row - theta[0]))
-        for row, k in zip(g, y):
-            cov += np.outer(row - theta[int(k)], row - theta[int(k)])
-        sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
-        off = np.clip(cov / np.outer(sd, sd), 0, 1)
-        np.fill_diagonal(off, 0)
-        weights = 1 / (1 + off.sum(1))
-    return theta, prior, weights
+        rate, prior, parents, given = estimate(np.array(r), 1.0)
+    return rate, prior, given, np.array(r)
 
 
 def test_label_model_equals_plain_em():
@@ -199,8 +211,8 @@ def test_label_model_equals_plain_em():
     m = toxicity.fit_label_model(
         patterns, counts.astype(float), gold, np.bincount(at, y[:60]).astype(float), np.bincount(at, ~y[:60]).astype(float)
     )
-    theta, prior, weights = plain_label_model(x, x[:60][y[:60]], x[:60][~y[:60]])
-    assert np.allclose(m.rates, theta, atol=1e-6) and abs(m.prior - prior) < 1e-6 and np.allclose(m.weights, weights, atol=1e-6)
+    rate, prior, given, _ = plain_label_model(x, x[:60][y[:60]], x[:60][~y[:60]])
+    assert np.allclose(m.rates, rate, atol=1e-6) and abs(m.prior - prior) < 1e-6 and np.allclose(m.given, given, atol=1e-6)
 
 
 def test_toxicity_equals_a_plain_version(spark, prose):
@@ -224,37 +236,51 @@ def test_toxicity_equals_a_plain_version(spark, prose):
     share = n_pos / 250
     mined = {
         f for f in held
-        if held_bad[f] >= 4 and held_bad[f] >= 0.6 * held[f] and held_bad[f] - share * held[f] >= 5 * (held[f] * share * (1 - share)) ** 0.5
+        if held_bad[f] >= 4 and held_bad[f] >= 0.3 * held[f] and held_bad[f] - share * held[f] >= 5 * (held[f] * share * (1 - share)) ** 0.5
     }
     fixed = {"w" + w for g in toxicity.LEXICON for w in g}
-    assert set(m.features) == mined | fixed and {"wzorgish", "pzorg", "wblarfen"} <= mined
-    votes = toxicity.Votes([f for f in m.features if f not in fixed])
+    assert {"wzorgish", "pzorg", "wblarfen"} <= mined
+    votes = toxicity.Votes(sorted(mined))
+    assert set(votes.index) == mined | fixed
     at = {f: i for i, f in enumerate(m.features)}
-    assert votes.index == at
-    bits, x = zip(*[votes(t.encode()) for _, t, _ in rows])
+    bits = [votes(t.encode()) for _, t, _ in rows]
     gold, place = np.unique(bits[:250], return_inverse=True)
     y = np.array([r[2] for r in rows[:250]], float)
     patterns, counts = np.unique(bits, return_counts=True)
     label_model = toxicity.fit_label_model(patterns, counts.astype(float), gold, np.bincount(place, y), np.bincount(place, 1 - y))
     r = label_model.posterior(toxicity.unpack(np.array(bits)))
+    # The classifier adds the words of all texts that stand in likely toxic ones beyond chance.
+    held, held_bad, likely = Counter(), Counter(), sum(r >= 0.5)
     dense = np.zeros((len(rows), len(at) + 1))
-    for i, ids in enumerate(x):
-        dense[i, ids] = 1
+    for i, (_, t, _) in enumerate(rows):
+        words = [f for w in t.lower().encode().split() for f in toxicity.features_of(w)]
+        for f in {f for f in words if f[0] == "w"}:
+            held[f] += 1
+            held_bad[f] += r[i] >= 0.5
+        for f, k in Counter(words).items():
+            if f in at:
+                dense[i, at[f]] = min(k, toxicity.OFTEN)
+    share = likely / len(rows)
+    told = {
+        f for f in held
+        if held_bad[f] >= 4 and held_bad[f] >= 0.3 * held[f] and held_bad[f] - share * held[f] >= 5 * (held[f] * share * (1 - share)) ** 0.5
+    }
+    assert set(m.features) == mined | fixed | told
     dense[:, -1] = 1
     clean, toxic = toxicity.class_weights(r.mean())
     weight = r * toxic + (1 - r) * clean
-    w = np.append(m.weights, m.bias)
+    w = np.append(m.weights, m.bias + np.log(toxic / clean))
     s = 1 / (1 + np.exp(-(dense @ w)))
-    gradient = dense.T @ (weight * (s - r)) / len(rows) + 3e-4 * np.append(w[:-1], 0)
+    gradient = dense.T @ (weight * (s - r)) / len(rows) + 1e-4 * np.append(w[:-1], 0)
     assert np.abs(gradient).max() < 2e-3  # at the minimum of the convex loss on all posteriors
-    loss = lambda w: (weight * (np.logaddexp(0, dense @ w) - r * (dense @ w))).mean() + 1.5e-4 * w[:-1] @ w[:-1]
+    loss = lambda w: (weight * (np.logaddexp(0, dense @ w) - r * (dense @ w))).mean() + 5e-5 * w[:-1] @ w[:-1]
     best = w.copy()
     for _ in range(4000):
         s = 1 / (1 + np.exp(-(dense @ best)))
-        best -= 0.5 * (dense.T @ (weight * (s - r)) / len(rows) + 3e-4 * np.append(best[:-1], 0))
+        best -= 0.1 * (dense.T @ (weight * (s - r)) / len(rows) + 1e-4 * np.append(best[:-1], 0))
     assert loss(w) <= loss(best) + 1e-4
     got = {q.doc_id: q.score for q in toxicity.score(docs, m).collect()}
-    assert all(abs(got[i] - 1 / (1 + np.exp(-dense[i] @ w))) < 1e-9 for i in range(len(rows)))
+    assert all(abs(got[i] - 1 / (1 + np.exp(-dense[i, :-1] @ m.weights - m.bias))) < 1e-9 for i in range(len(rows)))
     unlabelled = [got[i] > 0.7 for i in range(250, 900)]
     assert np.mean([a == (rows[i + 250][2] == 1) for i, a in enumerate(unlabelled)]) > 0.97
 
@@ -271,7 +297,28 @@ def test_label_model_finds_accuracies():
     pos, neg = np.bincount(at, y[:500]), np.bincount(at, ~y[:500])
     m = toxicity.fit_label_model(patterns, counts.astype(float), gold, pos, neg)
     assert np.abs(m.rates[1][2:] - rate1[2:]).max() < 0.1 and np.abs(m.rates[0][2:] - rate0[2:]).max() < 0.05
-    assert m.correlations[0, 1] > 0.9 and m.weights[0] < 0.65 < m.weights[5]
+    # The copy depends on its original and adds next to nothing to what that one says.
+    assert m.correlations[0, 1] > 0.9 and m.parents[1] == 0 and m.given[0, 1, 1] > 0.99 and m.given[1, 0, 1] < 0.01
+    one = np.zeros((2, toxicity.VOTERS))
+    one[1, :2] = 1
+    own = np.log(rate1[0] / rate0[0]) - np.log((1 - rate1[0]) / (1 - rate0[0]))
+    assert abs(np.diff(m.log_odds(one))[0] - own) < 0.3
+
+
+def test_words_that_no_voter_knows_raise_the_score(spark, prose):
+    """A word that stands beside toxic ones in unlabelled texts alone is learnt from all texts."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i, t in enumerate(prose(800, 4, 10, 40)):
+        bad = rng.random() < 0.25
+        rows.append((i, t + (" idiot moron !!" if bad else "") + (" quibblex" if bad and i >= 300 and i % 2 else ""), int(bad)))
+    docs = documents(spark, [(i, t, "a") for i, t, _ in rows]).repartition(3)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows[:300]], "doc_id long, toxic int")
+    m = toxicity.fit(docs, labels)
+    assert dict(zip(m.features, m.weights))["wquibblex"] > 0.2
+    two = documents(spark, [(1, "some plain words", "a"), (2, "some plain quibblex words", "a")])
+    got = {r.doc_id: r.score for r in toxicity.score(two, m).collect()}
+    assert got[2] > got[1]
 
 
 def test_scores_bear_edges(spark, edge, empty):
