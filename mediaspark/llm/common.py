@@ -13,6 +13,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -273,24 +274,48 @@ def _record_batch(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, arrow)], schema=arrow)
 
 
-def summed(df: DataFrame, f: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray | None:
-    """The sum over all batches of what f gives, None without rows.  A task hands one vector to the driver, whatever its rows.
+#: Vectors that summed() hands to the driver, at most.
+SUMS = 64
 
-    The parts are added exactly, so their order doesn't matter.
+
+def summed(df: DataFrame, f: Callable[[pa.RecordBatch], np.ndarray], most: int = SUMS) -> np.ndarray | None:
+    """The sum over all batches of what f gives, None without rows.
+
+    A task makes one vector, whatever its rows.  Where there are more than `most` tasks, their vectors are added in that many
+    groups first, so the driver gets `most` vectors whatever the number of tasks.  df is a table that is read, without shuffles.
+    Vectors are added exactly and groups are those of the tasks' numbers, so the order of arrival doesn't matter.
     """
-    ddl = "s array<double>"
+    ddl = "part int, s array<double>"
     schema = arrow_schema(ddl)
 
+    def one(part: int, total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([part % most], pa.int32()), pa.array([total], schema.field(1).type)], schema=schema)
+
     def run(batches):
         total = None
         for batch in parts_of(batches):
             part = f(batch)
             total = part if total is None else total + part
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total], schema.field(0).type)], schema=schema)
+            yield one(TaskContext.get().partitionId(), total)
+
+    def add(batches):
+        rows: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for part, s in zip(batch.column(0).to_pylist(), batch.column(1)):
+                rows.setdefault(part, []).append(s.values.to_numpy())
+        for part, vectors in rows.items():
+            yield one(part, _exact(vectors))
+
+    sums = in_arrow(df, run, ddl)
+    if df.rdd.getNumPartitions() > most:
+        sums = in_arrow(sums.repartition(most, "part"), add, ddl)
+    rows = sums.collect()
+    return _exact([r["s"] for r in rows]) if rows else None
+
 
-    rows = in_arrow(df, run, ddl).collect()
-    return np.array([math.fsum(c) for c in zip(*[r["s"] for r in rows])]) if rows else None
+def _exact(vectors: list) -> np.ndarray:
+    return np.array([math.fsum(c) for c in zip(*vectors)])
 
 
 def minimise(f: Callable, w: np.ndarray, rounds: int = 40, tolerance: float = 1e-6) -> np.ndarray:

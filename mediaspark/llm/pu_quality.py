@@ -112,19 +112,19 @@ def risk_sums(x: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def descend(f: Callable, w: np.ndarray, rounds: int = 20, tolerance: float = 1e-8) -> np.ndarray:
-    """The minimum of a convex function by Newton's steps: f(w) gives (value, gradient, curvature, whether w is allowed).
+    """The minimum of a convex function by Newton's steps: f(w) gives (value, gradient, curvature).
 
-    A step that does not lower the value enough, or leads to where it isn't allowed, is halved.
+    A step that does not lower the value enough is halved.
     """
-    value, g, h, _ = f(w)
+    value, g, h = f(w)
     for _ in range(rounds):
         d = -np.linalg.solve(h + 1e-9 * np.eye(len(w)), g)
         slope, step = float(g @ d), 1.0
         if -slope <= tolerance:
             break
         for _ in range(10):
-            then, *more, allowed = f(w + step * d)
-            if allowed and then <= value + 1e-4 * step * slope:
+            then, *more = f(w + step * d)
+            if then <= value + 1e-4 * step * slope:
                 break
             step /= 2
         else:
@@ -133,6 +133,9 @@ def descend(f: Callable, w: np.ndarray, rounds: int = 20, tolerance: float = 1e-
     return w
 
 
+#: How near the risk comes to its lower bound, as a share of it, and mixtures tried at most.
+GAP, ROUNDS = 1e-3, 40
+
 #: sums(mean, scale, w) gives risk_sums() of all texts, of the positives and of each of two halves of the positives.
 Sums = Callable[[np.ndarray, np.ndarray, np.ndarray], list[np.ndarray]]
 
@@ -173,7 +176,7 @@ def train_told_apart(sums: Sums, mean: np.ndarray, scale: np.ndarray, decay: flo
         (lu, _, gu, _, hu), (lp, zp, gp, xp, hp) = _parts(u, k), _parts(p, k)
         r, gr, hr = _ridge(w, decay)
         # The loss of calling a positive is that of calling it negative less z.
-        return lu + lp - zp + r, gu + gp - xp + gr, hu + hp + hr, True
+        return lu + lp - zp + r, gu + gp - xp + gr, hu + hp + hr
 
     return descend(f, np.zeros(len(mean) + 1))
 
@@ -181,19 +184,52 @@ def train_told_apart(sums: Sums, mean: np.ndarray, scale: np.ndarray, decay: flo
 def train_nnpu(sums: Sums, prior: float, mean: np.ndarray, scale: np.ndarray, decay: float = 1e-3) -> np.ndarray:
     """Weights and bias of least non-negative PU risk under the logistic loss.
 
-    For this loss the unbiased risk, prior * R+(positives) - prior * R-(positives) + R-(all texts), is convex.  Its
-    negative part R-(all texts) - prior * R-(positives) estimates a risk that can't be below 0: a step that would
-    take it there is shortened, so the descent stays where the non-negative risk and the unbiased one are equal.
+    The risk is prior * R+(positives) + max(0, R-(all texts) - prior * R-(positives)): the greater of the unbiased risk and its positive
+    part alone.  Both are convex under this loss, so it is.  Its minimum is that of the mixture of the two whose minimum leaves the
+    negative part at 0, if that of the unbiased risk alone has it below 0.  The share of the unbiased risk in the mixture is searched for
+    by secants, each step from the weights of the last one.  A mixture's minimum bounds the risk from below, and the search ends when the
+    risk found is within GAP of that bound.
     """
-
-    def f(w):
-        k = len(w)
-        u, p, *_ = sums(mean, scale, w)
-        (lu, _, gu, _, hu), (lp, zp, _, xp, _) = _parts(u, k), _parts(p, k)
-        r, gr, hr = _ridge(w, decay)
-        return lu - prior * zp + r, gu - prior * xp + gr, hu + hr, lu - prior * lp >= 0
-
-    return descend(f, np.zeros(len(mean) + 1))
+    seen: dict[str, float] = {}
+
+    def mixture(share: float) -> Callable:
+        def f(w):
+            k = len(w)
+            u, p, *_ = sums(mean, scale, w)
+            (lu, _, gu, _, hu), (lp, zp, gp, xp, hp) = _parts(u, k), _parts(p, k)
+            r, gr, hr = _ridge(w, decay)
+            unbiased, positive = lu - prior * zp, prior * (lp - zp)
+            value = share * unbiased + (1 - share) * positive + r
+            # Newton's steps end at one of the weights seen, that of least value.
+            if value <= seen.get("value", np.inf):
+                seen.update(value=value, negative=unbiased - positive, risk=max(unbiased, positive) + r)
+            return (
+                value,
+                share * (gu - prior * xp) + (1 - share) * prior * (gp - xp) + gr,
+                share * hu + (1 - share) * prior * hp + hr,
+            )
+
+        return f
+
+    w, share = np.zeros(len(mean) + 1), 1.0
+    low, at_low, high, at_high = 0.0, np.inf, 1.0, 0.0
+    best, least = w, np.inf
+    for _ in range(ROUNDS):
+        seen.clear()
+        w = descend(mixture(share), w)
+        if seen["risk"] < least:
+            best, least = w, seen["risk"]
+        negative = seen["negative"]
+        if (share == 1.0 and negative >= 0) or least - seen["value"] <= GAP * least:
+            break
+        # The negative part falls as the share of the unbiased risk grows.
+        if negative > 0:
+            low, at_low, at_high = share, negative, at_high / 2
+        else:
+            high, at_high, at_low = share, -negative, at_low / 2
+        by_secant = low + (high - low) * at_low / (at_low + at_high) if np.isfinite(at_low) and at_low + at_high > 0 else np.nan
+        share = by_secant if low < by_secant < high else (low + high) / 2
+    return best
 
 
 def fit(

@@ -374,6 +374,49 @@ def test_nnpu_equals_plain_steps_and_needs_no_negatives():
     assert (m.score(make(500, 1.5)) > 0.5).mean() > 0.95 and (m.score(make(500, -1.5)) < 0.5).mean() > 0.95
 
 
+def nn_risk(p, u, prior, w, decay=1e-3):
+    p, u = (np.column_stack([x, np.ones(len(x))]) for x in (p, u))
+    negative = np.logaddexp(0, u @ w).mean() - prior * np.logaddexp(0, p @ w).mean()
+    return prior * np.logaddexp(0, -(p @ w)).mean() + max(0.0, negative) + decay / 2 * w[:-1] @ w[:-1]
+
+
+@pytest.mark.parametrize("n, k, prior", [(40, 26, 0.3), (40, 26, 0.7), (100, 26, 0.5), (200, 26, 0.9), (60, 3, 0.95)])
+def test_nnpu_reaches_the_least_risk_where_the_bound_binds(n, k, prior):
+    """Subgradient steps on the same risk, with falling rates, find none that is lower by over a hundredth."""
+    rng = np.random.default_rng(n + k)
+    positive = rng.normal(0.4, 1.0, (n, k))
+    rows = np.concatenate([rng.normal(0.4, 1.0, (int(400 * prior), k)), rng.normal(-0.4, 1.0, (400 - int(400 * prior), k))])
+    mean, scale = rows.mean(0), rows.std(0)
+    w = pu_quality.train_nnpu(local_sums(positive, rows), prior, mean, scale)
+    p, u = pu_quality.standardised(positive, mean, scale), pu_quality.standardised(rows, mean, scale)
+    least, v = np.inf, np.zeros(k + 1)
+    s = lambda z: 1 / (1 + np.exp(-z))
+    p1, u1 = (np.column_stack([x, np.ones(len(x))]) for x in (p, u))
+    bound = False
+    for t in range(20_000):
+        negative = np.logaddexp(0, u1 @ v).mean() - prior * np.logaddexp(0, p1 @ v).mean()
+        bound |= negative < 0
+        g = prior * ((s(p1 @ v) - 1) @ p1) / len(p1) + 1e-3 * np.append(v[:-1], 0)
+        if negative >= 0:
+            g = g + s(u1 @ v) @ u1 / len(u1) - prior * (s(p1 @ v) @ p1) / len(p1)
+        v = v - 0.5 / (1 + t / 200) ** 0.75 * g
+        least = min(least, nn_risk(p, u, prior, v))
+    assert bound and nn_risk(p, u, prior, w) <= 1.01 * least
+
+
+def test_sums_reach_the_driver_in_few_vectors(spark):
+    from mediaspark.llm.common import summed
+
+    df = spark.range(0, 10_000, 1, 100).select(F.col("id").cast("double").alias("x"))
+    sent = []
+    collect = type(df).collect
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(type(df), "collect", lambda self: sent.append(len(r := collect(self))) or r)
+        got = summed(df, lambda batch: np.array([batch.num_rows, batch.column(0).to_numpy().sum()]), 7)
+    assert got.tolist() == [10_000, 49_995_000] and sent == [7]
+    assert summed(df.limit(0), lambda batch: np.zeros(1)) is None
+
+
 @pytest.mark.parametrize("share", [0.2, 0.5, 0.85])
 def test_prior_from_positives_and_unlabelled_alone(share):
     rng = np.random.default_rng(4)
