@@ -283,13 +283,13 @@ def summed(df: DataFrame, f: Callable[[pa.RecordBatch], np.ndarray], most: int =
 
     A task makes one vector, whatever its rows.  Where there are more than `most` tasks, their vectors are added in that many
     groups first, so the driver gets `most` vectors whatever the number of tasks.  df is a table that is read, without shuffles.
-    Vectors are added exactly and groups are those of the tasks' numbers, so the order of arrival doesn't matter.
+    Vectors are added in the order of the tasks' numbers, so the order of arrival doesn't matter.
     """
-    ddl = "part int, s array<double>"
+    ddl = "part int, s binary"
     schema = arrow_schema(ddl)
 
     def one(part: int, total: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([part % most], pa.int32()), pa.array([total], schema.field(1).type)], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total.astype(float).tobytes()], pa.binary())], schema=schema)
 
     def run(batches):
         total = None
@@ -300,22 +300,22 @@ def summed(df: DataFrame, f: Callable[[pa.RecordBatch], np.ndarray], most: int =
             yield one(TaskContext.get().partitionId(), total)
 
     def add(batches):
-        rows: dict[int, list[np.ndarray]] = {}
-        for batch in batches:
-            for part, s in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rows.setdefault(part, []).append(s.values.to_numpy())
-        for part, vectors in rows.items():
-            yield one(part, _exact(vectors))
+        rows = [r for batch in batches for r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        groups: dict[int, list[tuple[int, bytes]]] = {}
+        for part, vector in rows:
+            groups.setdefault(part % most, []).append((part, vector))
+        for group, vectors in groups.items():
+            yield one(group, _in_order(vectors))
 
     sums = in_arrow(df, run, ddl)
     if df.rdd.getNumPartitions() > most:
-        sums = in_arrow(sums.repartition(most, "part"), add, ddl)
+        sums = in_arrow(sums.repartition(most, F.col("part") % most), add, ddl)
     rows = sums.collect()
-    return _exact([r["s"] for r in rows]) if rows else None
+    return _in_order([(r["part"], bytes(r["s"])) for r in rows]) if rows else None
 
 
-def _exact(vectors: list) -> np.ndarray:
-    return np.array([math.fsum(c) for c in zip(*vectors)])
+def _in_order(vectors: list[tuple[int, bytes]]) -> np.ndarray:
+    return np.sum([np.frombuffer(v) for _, v in sorted(vectors)], axis=0)
 
 
 def minimise(f: Callable, w: np.ndarray, rounds: int = 40, tolerance: float = 1e-6) -> np.ndarray:
