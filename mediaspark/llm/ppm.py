@@ -155,6 +155,18 @@ def _emit(schema: pa.Schema, *cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, schema)], schema=schema)
 
 
+def count_words(text: bytes, counts: Counter) -> int:
+    """Add a text's lower-cased words and its end to `counts`; the bytes that words new there take, about.
+
+    set.difference() would walk all of a Counter for each text, so the text's own words are looked up.
+    """
+    words = text.lower().split()
+    new = sum(len(w) + 150 for w in set(words) if w not in counts)
+    counts.update(words)
+    counts[b""] += 1
+    return new
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
     """Count of each lower-cased word of column t, one end (the empty word) a text included: w binary, c long.
 
@@ -168,10 +180,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
         used = 0
         for batch in parts_of(batches):
             for text in batch.column(0).to_pylist():
-                words = text.lower().split()
-                used += sum(len(w) + 150 for w in set(words).difference(counts))
-                counts.update(words)
-                counts[b""] += 1
+                used += count_words(text, counts)
                 if used > COUNTED:
                     yield _emit(schema, list(counts), list(counts.values()))
                     counts, used = Counter(), 0

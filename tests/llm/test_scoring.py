@@ -66,6 +66,17 @@ def test_ppm_codes_all_contexts(spark, prose, max_contexts):
         assert rows[i] == pytest.approx(want[i], rel=1e-5, abs=1e-4)
 
 
+def test_ppm_counting_a_text_does_not_walk_all_words():
+    class Counts(Counter):
+        def __iter__(self):
+            raise AssertionError("walked")
+
+    counts = Counts()
+    assert ppm.count_words(b"One two  one", counts) == 6 + 2 * 150
+    assert ppm.count_words(b"two three", counts) == 5 + 150
+    assert dict(counts.items()) == {b"one": 2, b"two": 2, b"three": 1, b"": 2}
+
+
 def test_ppm_pruned_is_a_distribution():
     codes, counts = ppm.grams([b"abracadabra", b"banana bandana", b"", b"cabbage"])
 
