@@ -415,29 +415,62 @@ class Heavy:
         both = spread_join(spread_join(pairs, side("a"), ["a"], "b", self.salts), side("b"), ["b"], "a", self.salts)
         return both.withColumn("o", F.size(F.array_intersect("ta", "tb")).cast("long")).drop("ta", "tb")
 
+    def _with_hub(self, listed: DataFrame) -> DataFrame:
+        """listed with h, the number of frequent tokens that a group has in common with the head of the list.
+
+        Each token that two groups share is the head's too or one that neither has in common with it, so they share at most
+        the lesser h and the lesser f - h.
+        """
+        listed = staged(listed, "open")
+        asked = listed.filter("row <> hub").select(F.col("row").alias("a"), F.col("hub").alias("b")).distinct()
+        shared = self._shared_by(asked).select(F.col("a").alias("row"), F.col("b").alias("hub"), F.col("o").alias("h"))
+        # A row and a head stand in as many lists as the row has combinations, at most.
+        return staged(listed.join(shared, ["row", "hub"], "left").withColumn("h", F.coalesce("h", "f")), "listed-hub")
+
+    def _in_reach(self, asking: DataFrame, listed: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Those rows of both that may link with some row of the other side in their list, by the h of one and f - h of the other.
+
+        That bound less what a pair must share is a sum of one part from each side, so a list's greatest part of the other side decides.
+        """
+        p = self.percent
+        near = (100 + p) * F.col("h") - p * F.col("n")
+        off = (100 + p) * (F.col("f") - F.col("h")) - p * F.col("n")
+
+        def kept(rows, others, name):
+            best = others.groupBy("combo").agg(F.max(near).alias("near"), F.max(off).alias("off"))
+            met = spread_join(rows, best, ["combo"], "row", self.salts)
+            return staged(met.filter((near + F.col("off") >= 0) & (off + F.col("near") >= 0)).drop("near", "off"), name)
+
+        asking = kept(asking, listed, "asking")
+        return asking, kept(listed, asking, "in-reach")
+
     def late_links(self, named: DataFrame) -> DataFrame | None:
         """Links that join what the components (v, component) of the links so far leave apart.
 
         Groups of one list and of different components are compared: each list's largest component with the others, and
-        these among themselves; so are sets too large for their group's least one, with all groups of a list.  None if there
-        are none such.
+        these among themselves; so are sets too large for their group's least one, with all groups of a list.  What two groups share
+        with the list's head bounds what they share, so those that strayed from a family's head are not paired with its
+        other members.  None if there are none such.
         """
         if self.empty:
             return None
         p = self.percent
-        listed = self.indexed.drop("hub").join(named.withColumnRenamed("v", "row"), "row", "left")
+        listed = self.indexed.join(named.withColumnRenamed("v", "row"), "row", "left")
         listed = listed.withColumn("c", F.coalesce("component", "row")).drop("component")
         # A set links with a larger one of n tokens if n <= 100 f / p + f - its own; that of poor ones is under their own size.
         listed = staged(listed.withColumn("rich", (100 + p) * F.col("f") >= 2 * p * F.col("n")), "listed")
-        parts = listed.groupBy("combo", "c").agg(F.count(F.lit(1)).alias("k"))
-        main = parts.groupBy("combo").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count(F.lit(1)).alias("parts"))
-        strays = spread_join(listed, main.filter("parts > 1").drop("parts"), ["combo"], "row", self.salts).filter("c <> main")
+        parts = listed.groupBy("combo", "c").agg(F.count(F.lit(1)).alias("k"), F.max(F.col("far").isNotNull()).alias("any_far"))
+        main = parts.groupBy("combo").agg(
+            F.max_by("c", F.struct("k", "c")).alias("main"), F.count(F.lit(1)).alias("parts"), F.max("any_far").alias("any_far")
+        )
+        main = main.filter("parts > 1 or any_far").drop("parts", "any_far")
+        listed = self._with_hub(spread_join(listed, main, ["combo"], "row", self.salts))
         wants = F.explode(F.when(F.col("rich"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True))))
         # Sets too large for their own group are poor.
-        asking = strays.select("combo", wants.alias("rich"), "row", "n", "f", "c", F.lit(False).alias("far")).union(
-            listed.filter("far is not null").select("combo", F.lit(True), "row", "far", "f", F.lit(None).cast("long"), F.lit(True))
+        asking = listed.filter("c <> main").select("combo", wants.alias("rich"), "row", "n", "f", "h", "c", F.lit(False).alias("far")).union(
+            listed.filter("far is not null").select("combo", F.lit(True), "row", "far", "f", "h", F.lit(None).cast("long"), F.lit(True))
         )
-        asking = staged(asking, "asking")
+        asking, listed = self._in_reach(asking, listed)
         if asking.isEmpty():
             return None
         keys = ["combo", "rich"]
@@ -453,18 +486,18 @@ class Heavy:
         left = (
             spread_join(asking, sizes, keys, "row", self.salts)
             .withColumn("i", F.pmod(F.xxhash64("row"), F.col("x")))
-            .select(*keys, "i", every("y").alias("j"), *[F.col(k).alias(f"s_{k}") for k in ("row", "n", "f", "c", "far")])
+            .select(*keys, "i", every("y").alias("j"), *[F.col(k).alias(f"s_{k}") for k in ("row", "n", "f", "h", "c", "far")])
         )
         right = (
             spread_join(listed, sizes, keys, "row", self.salts)
             .withColumn("j", F.pmod(F.xxhash64("row"), F.col("y")))
-            .select(*keys, every("x").alias("i"), "j", "row", "n", "f", "c")
+            .select(*keys, every("x").alias("i"), "j", "row", "n", "f", "h", "c")
         )
         pairs = (
             left.join(right, [*keys, "i", "j"])
             .filter(F.col("row") != F.col("s_row"))
             .filter(F.col("s_far") | (F.col("c") != F.col("s_c")))
-            .filter(self._may(F.least("f", "s_f"), F.col("n") + F.col("s_n")))
+            .filter(self._may(F.least("h", "s_h") + F.least(F.col("f") - F.col("h"), F.col("s_f") - F.col("s_h")), F.col("n") + F.col("s_n")))
             .select(F.col("s_row").alias("a"), F.col("row").alias("b"), F.col("s_far").alias("far"))
             .distinct()
         )

@@ -200,3 +200,40 @@ def test_pages_of_a_template(spark, extra, kinds):
     want = {d: (n, c) for d, n, c, _ in brute_components(rows, 90, 3)}
     got = jaccard.jaccard_components(docs, rare=4).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
+def test_strays_of_a_family_are_not_paired_with_all_its_members(spark, monkeypatch):
+    """Sets of frequent tokens alone that share too few with the head of their lists, beside the head's family."""
+    rng = random.Random(5)
+    base, other = [f"b{i}" for i in range(200)], [f"o{i}" for i in range(60)]
+    texts = [" ".join(base)]
+    for i in range(40):
+        gone = set(rng.sample(range(200), 3))
+        texts.append(" ".join(w for k, w in enumerate(base) if k not in gone))
+    strays = len(texts)
+    for i in range(40):
+        gone, new = set(rng.sample(range(200), 30)), rng.sample(other, 30)
+        texts.append(" ".join([w for k, w in enumerate(base) if k not in gone] + new))
+    texts.append(" ".join(texts[-1].split()[:-1]))
+    docs = documents(spark, [(i, t, "a") for i, t in enumerate(texts)]).repartition(3)
+    pairs = []
+    staged = jaccard.staged
+
+    def watched(df, name, *rest):
+        out = staged(df, name, *rest)
+        if name == "late":
+            pairs.extend((r.a, r.b) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(jaccard, "staged", watched)
+    numbered = docs.withColumn("r", F.col("doc_id"))
+    rows = {r.doc_id: r.component_id for r in jaccard.jaccard_components(numbered, width=1, rare=3, row_col="r").collect()}
+    sets = [set(t.split()) for t in texts]
+    want = list(range(len(texts)))
+    for _ in texts:
+        for a in range(len(texts)):
+            for b in range(a):
+                if 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]):
+                    want[a] = want[b] = min(want[a], want[b])
+    assert [rows[i] for i in range(len(texts))] == want
+    assert not [x for x in pairs if min(x) < strays <= max(x)]
