@@ -10,9 +10,11 @@ independent of each other, so replaying a batch gives the ids that each text wou
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from heapq import heappop, heappush
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +24,8 @@ from .common import kept_names, map_chunks, texts_of
 #: Bytes of pieces and ids that a Python worker remembers; beyond it the memory starts anew.
 MEMORY = 96 << 20
 #: Distinct pieces in one replay, and their bytes, at most; a longer piece is replayed alone.
-BATCH, BATCH_BYTES = 20_000, 1 << 20
+BATCH, BATCH_BYTES = 2_000, 1 << 20
+_BYTES = [bytes([i]) for i in range(256)]
 
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
@@ -33,67 +36,70 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
 def replay(pieces: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
     """The ids of each piece: all merges over all pieces at once, in rank order, leftmost first.
 
-    Symbols lie in flat lists, `nxt` and `prv` link the live ones of a piece; a separator (None) ends a piece.
-    A list of the index may hold stale positions; a position counts only if the pair there still makes
-    this rank.  If a merge makes a pair of lower rank than its own, that one is replayed first.
+    Symbols lie in flat lists, `nxt` and `prv` link the live ones of a piece; a separator (None) ends a piece.  `made` holds
+    the rank that the symbol at a position makes with its next one, -1 for none.  A list of the index may hold stale positions; a
+    position counts only if it still makes this rank.  If a merge makes a pair of lower rank than its own, that one is replayed first.
     """
-    symbols: list[bytes | None] = []
-    heads: list[int] = []
+    if not pieces:
+        return []
     get = ranks.get
-    where: dict[int, list[int]] = {}
-    for piece in pieces:
-        heads.append(len(symbols))
-        symbols += [piece[i : i + 1] for i in range(len(piece))]
-        symbols.append(None)
-    size = len(symbols)
+    data = b"\0".join(pieces) + b"\0"
+    ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1) - 1
+    heads = [0, *(ends[:-1] + 1).tolist()]
+    size = len(data)
+    symbols: list[bytes | None] = list(map(_BYTES.__getitem__, data))
+    for end in ends.tolist():
+        symbols[end] = None
+    # The first pairs are of bytes: each kind is looked up once.
+    flat = np.frombuffer(data, np.uint8).astype(np.int64)
+    code = np.append(flat[:-1] << 8 | flat[1:], 0)
+    rank_of = np.full(1 << 16, -1, np.int64)
+    kinds = np.flatnonzero(np.bincount(code, minlength=1 << 16))
+    rank_of[kinds] = [get(k.to_bytes(2), -1) for k in kinds.tolist()]
+    first = rank_of[code]
+    first[ends] = -1
+    first[ends - 1] = -1
+    made = first.tolist()
+    at = np.flatnonzero(first >= 0)
+    at = at[np.argsort(first[at], kind="stable")]
+    heap, starts = np.unique(first[at], return_index=True)
+    heap = heap.tolist()
+    where: dict[int, list[int]] = {r: x.tolist() for r, x in zip(heap, np.split(at, starts[1:]))}
     nxt = list(range(1, size + 1))
     prv = list(range(-1, size - 1))
-    for i in range(size - 1):
-        a, b = symbols[i], symbols[i + 1]
-        if a is not None and b is not None:
-            rank = get(a + b)
-            if rank is not None:
-                if rank in where:
-                    where[rank].append(i)
-                else:
-                    where[rank] = [i]
-    heap = sorted(where)
     while heap:
         rank = heappop(heap)
         positions = where.pop(rank, None)
         if not positions:
             continue
         positions.sort()
+        merged = None
         for k, i in enumerate(positions):
-            a = symbols[i]
-            if a is None:
+            if made[i] != rank:
                 continue
             j = nxt[i]
-            b = symbols[j]
-            if b is None or get(a + b) != rank:
-                continue
-            merged = symbols[i] = a + b
+            if merged is None:
+                merged = symbols[i] + symbols[j]
+            symbols[i] = merged
             symbols[j] = None
+            made[j] = -1
             after = nxt[i] = nxt[j]
-            nxt[j] = -1
+            prv[after] = i
             lower = False
             c = symbols[after]
-            if c is not None:
-                prv[after] = i
-                r = get(merged + c)
-                if r is not None:
-                    if r in where:
-                        where[r].append(i)
-                    else:
-                        where[r] = [i]
-                        heappush(heap, r)
-                    lower = r < rank
-            else:
-                prv[after] = i
+            r = -1 if c is None else get(merged + c, -1)
+            made[i] = r
+            if r >= 0:
+                if r in where:
+                    where[r].append(i)
+                else:
+                    where[r] = [i]
+                    heappush(heap, r)
+                lower = r < rank
             before = prv[i]
             if before >= 0 and (c := symbols[before]) is not None:
-                r = get(c + merged)
-                if r is not None:
+                r = made[before] = get(c + merged, -1)
+                if r >= 0:
                     if r in where:
                         where[r].append(before)
                     else:
@@ -124,9 +130,22 @@ class Codec:
         self.memory: dict[str, bytes] = {}
         self.used = 0
         self.token = {str(r).encode(): t for t, r in ranks.items()}
+        self.decimal = {r: b"%d " % r for r in ranks.values()}
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """For each text its ids in decimal, with one space after each."""
+        """For each text its ids in decimal, with one space after each.
+
+        The many lists of a replay refer to nothing that refers back, so the collector, which would walk them over and over, waits.
+        """
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode_batch(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode_batch(self, texts: list[str]) -> list[bytes]:
         cut = [self.find(x) for x in texts]
         if self.used > MEMORY:
             self.memory.clear()
@@ -153,9 +172,9 @@ class Codec:
             else:
                 whole.append((p, rank))
         for p, rank in whole:
-            self.memory[p] = b"%d " % rank
+            self.memory[p] = self.decimal[rank]
         for (p, _), ids in zip(rest, replay([b for _, b in rest], self.ranks)):
-            self.memory[p] = b"".join([b"%d " % i for i in ids])
+            self.memory[p] = b"".join(map(self.decimal.__getitem__, ids))
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes of ids given in decimal, separated by spaces."""

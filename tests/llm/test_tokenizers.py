@@ -102,3 +102,23 @@ def test_count_tokens_bears_edges(spark, edge, empty):
     rows = token_counts.count_tokens(edge, vocabulary).collect()
     assert sorted((r.doc_id or -1, r.n_tokens) for r in rows) == sorted((i or -1, want(t) if t else 0) for i, t, _ in edge_rows())
     assert token_counts.count_tokens(empty, vocabulary).count() == 0
+
+
+def test_replay_looks_up_a_merge_twice_and_first_pairs_once(ranks):
+    """Once with each neighbour of a merged pair; neither each pair of bytes anew nor each position of the index."""
+
+    class Counting(dict):
+        asked = 0
+
+        def get(self, *a):
+            self.asked += 1
+            return super().get(*a)
+
+    pieces = [f" {a}{b}ing".encode() for a in ("walk", "talk", "run", "aaaa", "é漢") for b in ("", "er", "inter", "xyz")] + [b"", b"a"]
+    counting = Counting(ranks)
+    ids = bpe.replay(pieces, counting)
+    merges = sum(len(p) - len(i) for p, i in zip(pieces, ids))
+    first = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
+    assert merges > 50
+    # The pairs across a separator are looked up too, a kind once.
+    assert counting.asked <= 2 * merges + len(first) + 2 * len(pieces)
