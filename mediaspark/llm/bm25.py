@@ -54,7 +54,7 @@ TASKS = 10_000
 #: Words that a task counts, and bytes of text that it takes them from, before it hands its counts on.
 WORDS, COUNTED = 250_000, 32 << 20
 #: Bytes of a packed index in one row, and rows in a batch of them.
-PART, PART_ROWS = 256 << 10, 16
+PART, PART_ROWS = 64 << 10, 16
 #: Added to bounds, as a part of them, for their single precision.
 SLACK = 1e-4
 
@@ -386,7 +386,8 @@ def top_k(
     discard(stats)
     # A file a shard, of one row group, so that one task reads all of it.
     index = staged(_index(docs.select(F.col(id_col).cast("long").alias("id"), text), asked, k, mean, shards), "index", "shard", PART_ROWS)
-    at_home = index.filter("data is null").select(F.explode(F.arrays_zip("q", "d", "s")).alias("x")).select("x.q", F.col("x.d").alias("doc_id"), F.col("x.s").alias("score"))
+    # Told by its size: to ask whether data is null would read the packed index, here and whenever the result is evaluated.
+    at_home = index.filter("size = 0").select(F.explode(F.arrays_zip("q", "d", "s")).alias("x")).select("x.q", F.col("x.d").alias("doc_id"), F.col("x.s").alias("score"))
     found = [at_home]
     if shards > 1:
         floors = at_home.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("floor")).filter(F.col("n") == k)
@@ -419,8 +420,8 @@ def top_k(
 
 
 def _index(docs: DataFrame, asked: DataFrame, k: int, mean: float, shards: int) -> DataFrame:
-    """For each shard rows with the parts of its packed index (data, which begins at byte `place`), and one with q, d, s: what its
-    home queries find there."""
+    """For each shard rows with the parts of its packed index (data, which begins at byte `place` of `size`), and one of size 0 with
+    q, d, s: what its home queries find there."""
     indexed = docs.select(
         F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int").alias("shard"),
         F.lit(0).alias("kind"), "id", "t", F.lit(None).cast("binary").alias("weights"),
@@ -496,7 +497,7 @@ def _search_block(index: DataFrame, sent, k: int) -> DataFrame:
         if whole is not None:
             raise RuntimeError("a shard was read in part")
 
-    return index.filter("data is not null").select("shard", "size", "place", "data").transform(in_arrow, run, ddl)
+    return index.filter("size > 0").select("shard", "size", "place", "data").transform(in_arrow, run, ddl)
 
 
 def _query_words(batches):

@@ -428,3 +428,11 @@ def test_many_rows_of_one_id_do_not_reach_the_driver(spark):
     assert sent and max(sent) <= 64 and 0 < m.prior < 1
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "777"
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("postings", [bm25.SHARD_POSTINGS, 100])
+def test_results_of_home_shards_are_read_without_the_index(spark, prose, postings):
+    docs = documents(spark, [(i, t, "a") for i, t in enumerate(prose(40, 8))]).repartition(2)
+    found = bm25.top_k(docs, F.col("doc_id") % 10 == 0, k=3, shard_postings=postings)
+    assert "data:binary" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 12
