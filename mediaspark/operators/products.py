@@ -1,4 +1,4 @@
-"""Products of vectors near each other: blocks gathered around pivots, multiplied in tiles where the angles allow a hit."""
+"""Products of vectors near each other: blocks gathered around pivots, alone or multiplied in tiles where the angles allow a hit."""
 
 from __future__ import annotations
 
@@ -15,6 +15,8 @@ from .graph import cut
 
 #: Vectors in a block, and pivots that blocks gather around, at most.
 BLOCK, PIVOTS = 2_048, 256
+#: Vectors that drawn() sends to all tasks, at most.
+DRAWN = 4_096
 #: Bytes of blocks that a task holds while it streams the other side of its tile.
 HELD = 256 << 20
 
@@ -37,13 +39,20 @@ def near_products(left: DataFrame, right: DataFrame | None, least: float, produc
     Blocks meet in tiles of a grid.  In order of pivot and angle, the blocks of each side are cut into as many tile rows (or columns)
     as the root of their number, or more where a task couldn't hold a row.  A block goes once to each tile of its row that
     holds a block in reach, and a task keeps the row's blocks and streams the column's.  So n vectors are shuffled as n to the
-    power of 1.5 at most, and by pruning less, until rows are limited by memory.
+    power of 1.5 at most, and by pruning less, until rows are limited by memory.  Up to BLOCK vectors on the left go to all tasks
+    instead, and those on the right stay where they are.
     """
     alone = right is None
-    size = max(left.count(), 0 if right is None else right.count())
+    lefts = left.count()
+    rights = lefts if alone or not lefts else right.count()
+    if not lefts or not rights:
+        return left.sparkSession.createDataFrame([], schema)
+    size = max(lefts, rights)
     limit = float(np.arccos(np.clip(least, -1.0, 1.0))) + 1e-9
-    if size < 2 * BLOCK:
+    if is_few(size):
         return _few(left, right, product, schema)
+    if not alone and lefts <= BLOCK:
+        return _beside(left, right, product, schema)
     pivots = _pivots(left if right is None else right, min(PIVOTS, size // BLOCK))
     a = _Side(_blocks(left, pivots))
     b = a if right is None else _Side(_blocks(right, pivots))
@@ -77,6 +86,50 @@ def near_products(left: DataFrame, right: DataFrame | None, least: float, produc
     return run_on.mapInArrow(lambda batches: (pa.RecordBatch.from_pandas(out[kind], arrow, preserve_index=False) for out in run(batches)), schema)
 
 
+def is_few(size: int) -> bool:
+    """Whether so many vectors are one task's work."""
+    return size < 2 * BLOCK
+
+
+def each_block(rows: DataFrame, size: int, product: Callable[..., pd.DataFrame], schema: str) -> DataFrame:
+    """What product(ids, labels, vectors) gives for each block of rows, of which there are `size`: as much work as rows."""
+    blocks = _blocks(rows, _pivots(rows, min(PIVOTS, size // BLOCK))).withColumn("side", F.lit(0))
+    kind = [f.split()[0] for f in schema.split(", ")]
+    arrow = _arrow(schema)
+    zero = F.lit(0).cast("long")
+
+    def run(batches):
+        for *_, x in _read(batches):
+            yield pa.RecordBatch.from_pandas(product(*x)[kind], arrow, preserve_index=False)
+
+    return blocks.select("side", zero.alias("_to"), zero.alias("n"), "pivot", "angle", "ids", "labels", "flat").mapInArrow(run, schema)
+
+
+def drawn(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """ids and vectors of at most DRAWN rows that a hash of the id draws."""
+    few = rows.select("id", "vector").orderBy(F.xxhash64("id"), "id").limit(DRAWN).collect()
+    return np.array([r["id"] for r in few], dtype=np.int64), np.array([r["vector"] for r in few], dtype=np.float64)
+
+
+def _beside(left: DataFrame, right: DataFrame, product: Product, schema: str) -> DataFrame:
+    """The products of at most BLOCK vectors, which all tasks get, with all others."""
+    few = left.select("id", "label", "vector").collect()
+    ids, labels = (np.array([r[c] for r in few], dtype=np.int64) for c in ("id", "label"))
+    vectors = np.array([r["vector"] for r in few], dtype=np.float64)
+    kind = [f.split()[0] for f in schema.split(", ")]
+    arrow = _arrow(schema)
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, BLOCK):
+                i, label, v = (c.to_numpy(zero_copy_only=False) if k < 2 else c for k, c in enumerate(batch.slice(lo, BLOCK).columns))
+                out = product(ids, labels, vectors, i, label, v.flatten().to_numpy(zero_copy_only=False).reshape(len(i), -1), False)
+                if out is not None and len(out):
+                    yield pa.RecordBatch.from_pandas(out[kind], arrow, preserve_index=False)
+
+    return right.select("id", "label", "vector").mapInArrow(run, schema)
+
+
 def _few(left: DataFrame, right: DataFrame | None, product: Product, schema: str) -> DataFrame:
     """The products of so few vectors that one task multiplies all."""
     one, alone = np.zeros((1, 1)), right is None

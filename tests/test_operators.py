@@ -458,6 +458,56 @@ def test_products_around_pivots_lose_no_hit(spark, monkeypatch, block):
     assert found == dict(enumerate(cluster.tolist())) and len(set(cluster.tolist())) > 5
 
 
+def chained_vectors(n, seed):
+    """Tight clusters, an arc of neighbours that runs through many blocks, scattered vectors and two without length."""
+    rng = np.random.default_rng(seed)
+    turn = np.linspace(0, 2.5, n // 3)
+    arc = np.zeros((n // 3, 6))
+    arc[:, 0], arc[:, 1] = np.cos(turn), np.sin(turn)
+    tight = np.repeat(rng.normal(size=(9, 6)), n // 27, axis=0) + rng.normal(scale=0.05, size=(n // 27 * 9, 6))
+    v = np.concatenate([arc, tight, rng.normal(size=(n - len(arc) - len(tight) - 2, 6)), np.zeros((2, 6))])
+    v = rng.permutation(v)
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+
+
+@pytest.mark.parametrize("draw, eps, least", [(1, 0.002, 3), (40, 0.02, 12)])
+def test_dbscan_is_exact_whatever_the_first_look_finds(spark, monkeypatch, draw, eps, least):
+    monkeypatch.setattr(products, "BLOCK", 50)
+    monkeypatch.setattr(products, "DRAWN", draw)
+    v = chained_vectors(700, draw)
+    df = spark.createDataFrame([(3 * i, x.tolist()) for i, x in enumerate(v)], "id long, embedding array<double>").repartition(3)
+    near = v @ v.T >= 1 - eps - 1e-12
+    np.fill_diagonal(near, True)
+    core = near.sum(1) >= least
+    label = np.where(core, 3 * np.arange(len(v)), 10**6)
+    while True:
+        new = np.where(core, np.where(near & core[None, :], label[None, :], 10**6).min(1), label)
+        if (new == label).all():
+            break
+        label = new
+    reach = np.where(near & core[None, :], label[None, :], 10**6).min(1)
+    want = np.where(core, label, np.where(reach < 10**6, reach, -1)).tolist()
+    got = {r.id: r.cluster for r in clustering.dbscan(df, eps, least).collect()}
+    assert got == {3 * i: c for i, c in enumerate(want)}
+
+
+def test_dbscan_of_dense_vectors_multiplies_few_pairs(spark, monkeypatch):
+    """What the first look has settled is not multiplied again, so the work is not the square of the vectors."""
+    monkeypatch.setattr(products, "BLOCK", 50)
+    monkeypatch.setattr(products, "DRAWN", 100, raising=False)
+    pairs = []
+
+    def counted(left, right, *more):
+        pairs.append(left.count() * (left if right is None else right).count())
+        return products.near_products(left, right, *more)
+
+    monkeypatch.setattr(clustering, "near_products", counted)
+    v = np.random.default_rng(4).normal(size=(1500, 5))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, embedding array<double>")
+    assert {r.cluster for r in clustering.dbscan(df, 0.3, 3).collect()} == {0}
+    assert sum(pairs) < 0.02 * len(v) ** 2
+
+
 def test_blocks_out_of_reach_do_not_meet(spark, monkeypatch):
     """Twelve tight clusters: far fewer rows of block pairs than all."""
     monkeypatch.setattr(products, "BLOCK", 50)
