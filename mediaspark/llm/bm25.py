@@ -1,21 +1,21 @@
-"""Exact top-k search by BM25 over inverted-index shards with block-max pruning.
+"""Exact top-k search by BM25 over inverted-index shards, many queries at once.
 
 Documents are dealt into shards of about equal numbers of postings, and each shard's inverted index is written once: for
 each term its postings in document order, for each document its terms.  Documents of a shard are ordered by their
-most telling frequent word and by length, so that a block of neighbours has much alike and its maxima are tight.
+most telling frequent word and by length, so that neighbours have much alike.
 Weights of query terms come from global statistics, so the scores of all shards compare, and the best k of a
 query are the best of the shards' best k.
 
-A query first meets its home shard, as that is built; its k-th best score there is a threshold for all others.  Then
+A query first meets its home shards, as those are built; its k-th best score there is a threshold for all others.  Then
 blocks of queries of bounded size are sent to the tasks that read the shards: work is dealt in cells of one shard and one
-block, whose size does not grow with the corpus, and the index is read but never shuffled.
+block, whose size does not grow with the corpus, and the index is read but never shuffled.  A task raises its thresholds from
+shard to shard.
 
-Within a shard a query is pruned as block-max WAND does, in whole vectors.  Terms in very many documents are added first,
-for many queries in one product.  Of the others, those with the highest bound per posting give a first threshold: the k-th best
-exact score among the documents that they rank highest.  Postings are added up term by term in this order; a
-document is a candidate while its sum plus the block maxima of the terms left reaches the threshold, which rises with
-the sums.  Once the candidates are few, the postings left are skipped and only the candidates are scored in full, in double
-precision.  The bounds err on the high side, so the result is that of scoring every document.
+Within a shard the scores of all documents are added up in single precision, for many queries at once.  Alike documents stand
+side by side, in regions, and so do alike queries: a term that many of the queries and many documents of a region have goes into
+a product of matrices, where a posting costs a hundredth of what it costs alone.  The other postings are added one by one.
+Documents whose sums reach the threshold, which errs on the low side, are scored in full, in double precision, so the result is
+that of scoring every document.
 
 Words are told apart by 64-bit fingerprints.
 """
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import pickle
 from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,26 +38,35 @@ from .common import arrow_schema, discard, in_arrow, parts_of, staged, texts_of,
 K1, B = 1.2, 0.75
 #: Postings in a shard, about.
 SHARD_POSTINGS = 2_000_000
-#: A term in at least one of so many documents stands as a full row, the most frequent MOST_DENSE at most.
-DENSE, MOST_DENSE = 8, 256
-#: Frequent words of a shard by which its documents are ordered.
+#: Shards that a query meets as they are built.
+HOMES = 4
+#: Frequent words of a shard, or of a block of queries, by which its documents or queries are ordered.
 TELLING = 64
 #: Postings that are worked on at once; arrays of all of a shard's are few.
 STEP = 1 << 19
-#: Documents in a block of the index.
-BLOCK = 128
-#: Queries in one product.
-QUERIES = 64
-#: Queries, and words of theirs, that are sent to the tasks at once, about: 16 bytes a word.
-QUERY_BLOCK, QUERY_WORDS = 2_048, 1_000_000
+#: Postings in a region of a shard, about, and documents at most.
+REGION_POSTINGS, REGION_DOCS = 500_000, 8_192
+#: A term in at least one of so many documents of a region, and in MIN_DENSE, stands as a full row there.
+DENSE, MIN_DENSE = 32, 4
+#: Queries whose scores are added up at once, and whose postings are (a part of these); scores in a region's full rows, at most.
+QUERIES, GROUP, CELLS = 128, 32, 1 << 20
+#: Additions in a product of matrices that take as long as that of one posting, about.
+PRODUCT = 192
+#: Postings that are added one by one at once, about.
+PRODUCTS = 1 << 19
+NUMBERS = np.arange(2 * PRODUCTS)
+#: Pairs of a query and a document that are scored in full at once, about.
+PAIRS = 1 << 18
+#: Queries, and words of theirs, that are sent to the tasks at once, about: 20 bytes a word.
+QUERY_BLOCK, QUERY_WORDS = 8_192, 2_000_000
 #: Tasks that build the index, at most; each builds its shards one after another.
 TASKS = 10_000
 #: Words that a task counts, and bytes of text that it takes them from, before it hands its counts on.
 WORDS, COUNTED = 250_000, 32 << 20
 #: Bytes of a packed index in one row, and rows in a batch of them.
 PART, PART_ROWS = 64 << 10, 16
-#: Added to bounds, as a part of them, for their single precision.
-SLACK = 1e-4
+#: What sums in single precision may be off, as a part of them, and the least of them that counts.
+SLACK, TINY = 1e-4, 1e-30
 
 
 #: The fingerprint of a word.
@@ -73,7 +83,7 @@ def counted(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: What pack() keeps of an index.
-ARRAYS = ("vocabulary", "doc_freq", "doc_term", "doc_start", "lengths", "post_doc", "post_freq")
+ARRAYS = ("vocabulary", "doc_freq", "doc_term", "doc_start", "lengths", "edge", "post_doc", "post_freq")
 
 
 class Shard:
@@ -130,10 +140,16 @@ class Shard:
         del at, term, freq
         self.ids = [self.ids[i] for i in order]
         self.lengths = lengths[order]
-        by_term = np.argsort(self.doc_term, kind="stable")
-        self.post_doc = np.repeat(np.arange(n, dtype=np.int32), sizes)[by_term]
-        self.post_freq = self.doc_freq[by_term]
-        del by_term
+        # Regions of about as many postings each; their postings stand together, by term and document.
+        regions = max(1, -(-len(self.doc_term) // REGION_POSTINGS))
+        self.edge = np.unique(np.searchsorted(self.doc_start, np.linspace(0, self.doc_start[-1], regions + 1)[1:-1]))
+        self.edge = np.unique(np.concatenate([[0], self.edge, np.arange(0, n, REGION_DOCS), [n]]))
+        self.post_doc, self.post_freq = np.empty(len(self.doc_term), np.int32), np.empty_like(self.doc_freq)
+        for lo, hi in zip(self.edge[:-1].tolist(), self.edge[1:].tolist()):
+            a, b = self.doc_start[lo], self.doc_start[hi]
+            by_term = np.argsort(self.doc_term[a:b], kind="stable")
+            self.post_doc[a:b] = np.repeat(np.arange(hi - lo, dtype=np.int32), sizes[lo:hi])[by_term]
+            self.post_freq[a:b] = self.doc_freq[a:b][by_term]
         return self._prepare()
 
     def pack(self) -> bytes:
@@ -159,141 +175,239 @@ class Shard:
         return shard._prepare()
 
     def _prepare(self) -> Shard:
-        """What search() needs beside the packed index: bounds of terms and blocks, and rows of the frequent terms."""
-        n, v = len(self.ids), len(self.vocabulary)
         self.norm = K1 * (1 - B + B * self.lengths / self.mean)
-        self.doc_size = np.diff(self.doc_start)
-        self.df = np.zeros(v, np.int64)
-        self.post_part = np.empty(len(self.post_freq), np.float32)
-        for lo in range(0, len(self.post_freq), STEP):
-            self.df += np.bincount(self.doc_term[lo : lo + STEP], minlength=v)
-            freq = self.post_freq[lo : lo + STEP]
-            self.post_part[lo : lo + STEP] = freq / (freq + self.norm[self.post_doc[lo : lo + STEP]])
-        self.start = np.concatenate([[0], np.cumsum(self.df)])
-        self.top = np.maximum.reduceat(self.post_part, self.start[:-1]) if v else np.zeros(0, np.float32)
-        # Block maxima of terms long enough that blocks tell more than the whole list does.
-        self.blocks = -(-n // BLOCK) if n else 0
-        self.block_row = np.full(v, -1, np.int64)
-        long = np.flatnonzero(self.df >= max(4 * self.blocks, 1))
-        self.block_row[long] = np.arange(len(long))
-        self.block_top = np.zeros((len(long), self.blocks), np.float32)
-        for r, t in enumerate(long.tolist()):
-            lo, hi = self.start[t], self.start[t + 1]
-            block = self.post_doc[lo:hi] // BLOCK
-            first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-            self.block_top[r, block[first]] = np.maximum.reduceat(self.post_part[lo:hi], first)
-        # Terms in many documents also stand as a full row.
-        frequent = np.flatnonzero(self.df * DENSE >= n) if n else np.zeros(0, np.int64)
-        frequent = frequent[np.argsort(-self.df[frequent], kind="stable")[:MOST_DENSE]]
-        self.dense_row = np.full(v, -1, np.int64)
-        self.dense_row[frequent] = np.arange(len(frequent))
-        self.dense = np.zeros((len(frequent), n), np.float32)
-        for r, t in enumerate(frequent.tolist()):
-            lo, hi = self.start[t], self.start[t + 1]
-            self.dense[r, self.post_doc[lo:hi]] = self.post_part[lo:hi]
-        self.weight = np.zeros(v)
+        self.part = np.zeros(len(self.vocabulary) + 1)
         return self
 
-    def _sums(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """For every document the weighted sum over the postings of some terms."""
-        n, size, first = len(self.ids), self.df[terms], self.start[terms]
-        ends = np.cumsum(size)
-        if not len(terms):
-            return np.zeros(n)
-        if ends[-1] > STEP and len(terms) > 1:
-            half = len(terms) // 2
-            return self._sums(terms[:half], weights[:half]) + self._sums(terms[half:], weights[half:])
-        at = np.arange(ends[-1])
-        at += (first - ends + size).repeat(size)
-        gain = weights.repeat(size)
-        gain *= self.post_part.take(at)
-        return np.bincount(self.post_doc.take(at), gain, minlength=n)
-
-    def _exact(self, docs: np.ndarray) -> np.ndarray:
-        """Full scores of some documents under the weights set for the query."""
-        out = np.zeros(len(docs))
-        sizes = self.doc_start[docs + 1] - self.doc_start[docs]
-        for lo in range(0, len(docs), 4096):
-            size, first = sizes[lo : lo + 4096], self.doc_start[docs[lo : lo + 4096]]
-            total = int(size.sum())
-            at = np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(total)
-            freq = self.doc_freq[at]
-            part = self.weight[self.doc_term[at]] * (freq / (freq + np.repeat(self.norm[docs[lo : lo + 4096]], size)))
-            full = size > 0
-            if total:
-                ends = np.cumsum(size)
-                out[lo : lo + 4096][full] = np.add.reduceat(part, (ends - size)[full])
-        return out
-
-    def search(self, queries: list[tuple[np.ndarray, np.ndarray, float]], k: int) -> list[list[tuple]]:
-        """For each query (words, weights, floor) the best k (doc id, score) with a score over 0 and not under the floor.
+    def search(self, block: Block, floors: np.ndarray, k: int, chosen: np.ndarray | None = None) -> Iterator[tuple[int, list[tuple]]]:
+        """For queries of a block (the chosen ones, if given) their numbers and the best k (doc id, score) with a score over 0, unless
+        it is under the query's floor: such may be left out.  A query may come more than once, or not at all if it finds nothing.
 
-        Equal scores rank by the lesser id.  Terms with a full row are added for all queries of QUERIES in one product.
+        Equal scores rank by the lesser id.
         """
-        if len(queries) > QUERIES:
-            return [x for lo in range(0, len(queries), QUERIES) for x in self.search(queries[lo : lo + QUERIES], k)]
         if not len(self.vocabulary) or k < 1:
-            return [[] for _ in queries]
-        asked, full = [], np.zeros((len(queries), len(self.dense)), np.float32)
-        for i, (words, weights, _) in enumerate(queries):
-            terms = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
-            known = (self.vocabulary[terms] == words) & (weights > 0)
-            terms, weights = terms[known], weights[known]
-            rows = self.dense_row[terms]
-            full[i, rows[rows >= 0]] = weights[rows >= 0]
-            asked.append((terms, weights, rows < 0))
-        base = full @ self.dense
-        out = []
-        for i, (terms, weights, sparse) in enumerate(asked):
-            self.weight[terms] = weights
-            out.append(self._search(terms[sparse], weights[sparse], base[i].astype(np.float64), k, queries[i][2]) if len(terms) else [])
-            self.weight[terms] = 0
+            return
+        # The words of all queries are looked up once, in order; those that the shard lacks get the number after the last.
+        place = np.minimum(np.searchsorted(self.vocabulary, block.vocabulary), len(self.vocabulary) - 1).astype(np.int32)
+        place[self.vocabulary[place] != block.vocabulary] = len(self.vocabulary)
+        term = place.take(block.word)
+        word, weight, query, first = block.by_word()
+        terms = place.take(word)
+        # A sum under this is none of the best k: under the floor, or under the k-th best sum of a region.
+        least = np.maximum(floors * (1 - SLACK), TINY).astype(np.float32)
+        hits, pairs = [], 0
+        for lo, hi in zip(self.edge[:-1].tolist(), self.edge[1:].tolist()):
+            region = Region(self, lo, hi)
+            for q, a, b in zip(range(0, len(block.q), QUERIES), first[:-1].tolist(), first[1:].tolist()):
+                n = min(QUERIES, len(block.q) - q)
+                size = region.size.take(terms[a:b])
+                if chosen is not None and not chosen[q : q + n].all():
+                    size *= chosen[q : q + n].take(query[a:b])
+                known = np.flatnonzero(size)
+                if not len(known):
+                    continue
+                size = size.take(known)
+                known += a
+                sums = region.sums(terms.take(known), size, weight.take(known), query.take(known), n)
+                low = least[q : q + n]
+                over = sums >= low[:, None]
+                found = np.count_nonzero(over, axis=1)
+                for i in np.flatnonzero(found > k).tolist():
+                    low[i] = max(low[i], np.partition(sums[i], hi - lo - k)[hi - lo - k] * (1 - 2 * SLACK))
+                    over[i] = sums[i] >= low[i]
+                at = np.flatnonzero(over)
+                found, docs = np.divmod(at, hi - lo)
+                hits.append((found + q, docs + lo, sums.reshape(-1).take(at)))
+                pairs += len(at)
+                if pairs > PAIRS:
+                    yield from self._best(hits, block, term, least, k)
+                    hits, pairs = [], 0
+        if hits:
+            yield from self._best(hits, block, term, least, k)
+
+    def _exact(self, query: np.ndarray, doc: np.ndarray, block: Block, term: np.ndarray) -> np.ndarray:
+        """Full scores of pairs of a query and a document; terms are added in the order of their fingerprints.
+
+        A document that many queries find is read once.
+        """
+        out = np.zeros(len(doc))
+        order = np.argsort(doc, kind="stable")
+        found, first = np.unique(doc[order], return_index=True)
+        for d, pairs in zip(found.tolist(), np.split(order, first[1:])):
+            lo, hi = self.doc_start[d], self.doc_start[d + 1]
+            terms, freq = self.doc_term[lo:hi], self.doc_freq[lo:hi]
+            self.part[terms] = freq / (freq + self.norm[d])
+            for at in range(0, len(pairs), 256):
+                some = pairs[at : at + 256]
+                start = block.first[query[some]]
+                size = block.first[query[some] + 1] - start
+                words = runs(start, size)
+                gain = self.part.take(term.take(words), mode="clip")  # the last, always 0, for words that the shard lacks
+                gain *= block.weight.take(words, mode="clip")
+                out[some] = np.bincount(np.arange(len(some)).repeat(size), gain, minlength=len(some))
+            self.part[terms] = 0
         return out
 
-    def _search(self, terms, weight, sums, k, floor) -> list[tuple]:
-        n = len(self.ids)
-        bound = weight * self.top[terms] * (1 + SLACK)
-        df = self.df[terms]
-        order = np.argsort(-bound / df, kind="stable")
-        terms, weight, bound, df = terms[order], weight[order], bound[order], df[order]
-        taken = np.concatenate([[0], np.cumsum(df)])
-        done = min(len(terms), int(np.searchsorted(taken, n // 8)))
-        sums = sums + self._sums(terms[:done], weight[:done])
-        threshold = floor * (1 - SLACK)
-        if not threshold and np.count_nonzero(sums) >= k:
-            best = np.argpartition(-sums, k - 1)[:k]
-            threshold = max(threshold, float(self._exact(best).min()) * (1 - SLACK))
-        rows = self.block_row[terms]
-        while True:
-            # What the terms not added yet can still give, by block of documents where their maxima are kept so.
-            has = rows[done:] >= 0
-            rest = float(bound[done:][~has].sum())
-            reach = sums * (1 + SLACK) + rest
-            if has.any():
-                reach += np.repeat((weight[done:][has] * (1 + SLACK)) @ self.block_top[rows[done:][has]], BLOCK)[:n]
-            candidates = np.flatnonzero(reach >= threshold) if threshold > 0 else np.flatnonzero(reach > 0)
-            left = int(taken[-1] - taken[done])
-            # Scoring the candidates now reads their terms; else most of the postings left are added.
-            if not left or 2 * int(self.doc_size[candidates].sum()) <= left:
-                break
-            more = max(done + 1, min(len(terms), int(np.searchsorted(taken, taken[done] + max(3 * left // 4, 2 * n)))))
-            sums = sums + self._sums(terms[done:more], weight[done:more])
-            done = more
-            if np.count_nonzero(sums) >= k:
-                threshold = max(threshold, float(np.partition(sums, n - k)[n - k]) * (1 - SLACK))
-        scores = self._exact(candidates)
-        good = (scores > 0) & (scores >= floor - 1e-5)
-        candidates, scores = candidates[good], scores[good]
-        if len(scores) > k:
-            least = np.partition(scores, len(scores) - k)[len(scores) - k]
-            some = scores >= least - 1e-5
-            candidates, scores = candidates[some], scores[some]
-        ranked = sorted(zip([round(x, 6) for x in scores.tolist()], candidates.tolist()), key=lambda x: (-x[0], self._id(x[1])))
-        return [(self.ids[d], x) for x, d in ranked[:k]]
-
-    def _id(self, d: int):
-        i = self.ids[d]
-        return (i is None, i)
+    def _best(self, hits: list[tuple], block: Block, term: np.ndarray, least: np.ndarray, k: int) -> Iterator[tuple[int, list[tuple]]]:
+        """The best k of each query among pairs (queries, documents, sums), scored in full; `least` rises to what its sums show."""
+        query, doc, sums = (np.concatenate(x) for x in zip(*hits))
+        order = np.lexsort((-sums, query))
+        query, doc, sums = query[order], doc[order], sums[order]
+        found, first = np.unique(query, return_index=True)
+        last = np.append(first[1:], len(query))
+        full = last - first >= k
+        least[found[full]] = np.maximum(least[found[full]], sums[first[full] + k - 1] * np.float32(1 - 2 * SLACK))
+        good = sums >= least[query]
+        query, doc = query[good], doc[good]
+        scores = self._exact(query, doc, block, term)
+        found, first = np.unique(query, return_index=True)
+        for i, d, s in zip(found.tolist(), np.split(doc, first[1:]), np.split(scores, first[1:])):
+            rows = best_of([(self.ids[x], round(y, 6)) for x, y in zip(d.tolist(), s.tolist()) if y > 0], k)
+            if rows:
+                yield i, rows
+
+
+def pieces(data: bytes) -> Iterator[tuple[int, bytes]]:
+    """Where each PART bytes begin, and a copy of them: pyarrow never lets go of a memoryview, nor so of all that it is a view of."""
+    for lo in range(0, len(data), PART):
+        yield lo, data[lo : lo + PART]
+
+
+class Region:
+    """Neighbours among a shard's documents, from `lo` to before `hi`: their postings, and terms in many of them as full rows."""
+
+    def __init__(self, shard: Shard, lo: int, hi: int):
+        a, b = shard.doc_start[lo], shard.doc_start[hi]
+        self.n, v = hi - lo, len(shard.vocabulary)
+        self.size = np.bincount(shard.doc_term[a:b], minlength=v + 1).astype(np.int32)  # the last is 0
+        self.start = np.cumsum(self.size, dtype=np.int32) - self.size
+        # A posting's document and its part of a score stand in one number, so that one reading gets both.
+        self.postings = np.empty(b - a, np.int64)
+        doc, part = self._halves(self.postings)
+        doc[:] = shard.post_doc[a:b]
+        freq = shard.post_freq[a:b]
+        part[:] = freq / (freq + shard.norm[lo:hi].take(shard.post_doc[a:b]))
+        often = np.flatnonzero(self.size * DENSE >= max(self.n, DENSE * MIN_DENSE))
+        often = often[np.argsort(-self.size[often], kind="stable")[: CELLS // self.n + 1]]
+        self.row = np.full(v + 1, -1, np.int32)
+        self.row[often] = np.arange(len(often))
+        self.row_size = self.size[often].astype(np.int64)
+        self.dense = np.zeros((len(often), self.n), np.float32)
+        at = runs(self.start[often].astype(np.int64), self.row_size)
+        doc, part = self._halves(self.postings.take(at))
+        self.dense.reshape(-1)[doc + (np.arange(len(often)) * self.n).repeat(self.row_size)] = part
+
+    @staticmethod
+    def _halves(postings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return postings.view(np.int32)[::2], postings.view(np.float32)[1::2]
+
+    def sums(self, term: np.ndarray, size: np.ndarray, weight: np.ndarray, query: np.ndarray, n_queries: int) -> np.ndarray:
+        """For each query and document the sum over the queries' terms, in single precision; each GROUP queries' terms are in order.
+
+        Terms that many of the queries and many documents have go into a product of matrices; postings of others are added one by one.
+        """
+        row = self.row.take(term)
+        asked = np.bincount(row + 1, minlength=len(self.dense) + 1)[1:]
+        rows = np.flatnonzero(asked * self.row_size * PRODUCT > n_queries * self.n)
+        if len(rows):
+            place = np.full(len(self.dense) + 1, -1)  # the last for terms without a row
+            place[rows] = np.arange(len(rows))
+            place = place.take(row, mode="wrap")
+            full = np.flatnonzero(place >= 0)
+            matrix = np.zeros((n_queries, len(rows)), np.float32)
+            matrix[query[full], place[full]] = weight[full]
+            sums = matrix @ self.dense[rows]
+            rest = np.flatnonzero(place < 0)
+            term, size, weight, query = (x.take(rest) for x in (term, size, weight, query))
+        else:
+            sums = np.zeros((n_queries, self.n), np.float32)
+        start, first = self.start.take(term), np.searchsorted(query // GROUP, np.arange(-(-n_queries // GROUP) + 1))
+        for g, lo, end in zip(range(0, n_queries, GROUP), first[:-1].tolist(), first[1:].tolist()):
+            some = sums[g : g + GROUP]
+            taken = np.cumsum(size[lo:end], dtype=np.int64)
+            while lo < end:
+                hi = end if taken[-1] <= PRODUCTS else lo + max(1, int(np.searchsorted(taken, PRODUCTS, "right")))
+                s = size[lo:hi]
+                doc, part = self._halves(self.postings.take(runs(start[lo:hi], s), mode="clip"))  # clip: without a test of each
+                cell = ((query[lo:hi] - np.int64(g)) * self.n).repeat(s)
+                cell += doc
+                gain = weight[lo:hi].repeat(s)
+                gain *= part
+                some += np.bincount(cell, gain, minlength=some.size).reshape(some.shape)
+                taken = taken[hi - lo :] - taken[hi - lo - 1]
+                lo = hi
+        return sums
+
+
+def best_of(rows: list[tuple], k: int) -> list[tuple]:
+    """The best k of (doc id, score); equal scores rank by the lesser id, null last."""
+    return sorted(rows, key=lambda x: (-x[1], x[0] is None, x[0]))[:k]
+
+
+def gather(found: Iterable[tuple[int, list[tuple]]], best: dict[int, list[tuple]], floors: np.ndarray, k: int) -> None:
+    """Keep the best k that each query has found so far, and raise its floor to the last of them."""
+    for i, rows in found:
+        best[i] = best_of(best[i] + rows, k) if i in best else rows
+        if len(best[i]) == k:
+            floors[i] = max(floors[i], best[i][-1][1])
+
+
+def runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its size, one run after the other."""
+    ends = np.cumsum(size, dtype=np.int64)
+    at = (start - ends + size).repeat(size)
+    at += NUMBERS[: len(at)] if len(at) <= len(NUMBERS) else np.arange(len(at))
+    return at
+
+
+class Block:
+    """Queries that are searched together: of (number, home, words, weights, floor), alike ones side by side.
+
+    q, home and floor by query; first: where its words begin.  vocabulary: the fingerprints of all their words in order; word and
+    weight: for each word of a query its place there and its weight.
+    """
+
+    def __init__(self, queries: Iterable[tuple]):
+        rows = list(queries)
+        words = [np.frombuffer(x[2], np.uint64) for x in rows]
+        size = np.fromiter(map(len, words), np.int64, len(rows))
+        words = np.concatenate([*words, np.empty(0, np.uint64)])
+        self.vocabulary, word = np.unique(words, return_inverse=True)
+        del words
+        word, weight = word.astype(np.int32), np.concatenate([np.frombuffer(x[3], np.float64) for x in rows] or [np.empty(0)])
+        # The frequent word of which a query has most for the word's frequency tells what it is like.
+        df = np.bincount(word, minlength=len(self.vocabulary))
+        telling = np.full(len(df), -1)
+        best = np.argsort(-df, kind="stable")[:TELLING]
+        telling[best] = np.arange(len(best))
+        kind, first = np.full(len(rows), -1), np.concatenate([[0], np.cumsum(size)])
+        for i in range(len(rows)):
+            t, w = word[first[i] : first[i + 1]], weight[first[i] : first[i + 1]]
+            own = telling[t] >= 0
+            if own.any():
+                kind[i] = telling[t[own]][np.argmax(w[own] / df[t[own]])]
+        order = np.lexsort((size, kind))
+        at = runs(first[order], size[order])
+        self.word, self.weight = word[at], weight[at]
+        self.first = np.concatenate([[0], np.cumsum(size[order])])
+        self.q = np.array([rows[i][0] for i in order], np.int64)
+        self.home = np.array([rows[i][1] for i in order], np.int64)
+        self.floor = np.array([rows[i][4] for i in order], np.float64)
+        self._by_word: tuple | None = None
+
+    def by_word(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The words of each GROUP queries in order, their weights and queries (from 0 in each QUERIES), and where each QUERIES begin:
+        made where it is asked for, as it need not be sent."""
+        if self._by_word is None:
+            word, weight = np.empty_like(self.word), np.empty(len(self.word), np.float32)
+            query, first = np.empty(len(self.word), np.uint8), np.append(self.first[:-1:QUERIES], self.first[-1])
+            for q, lo, hi in zip(range(0, len(self.q), QUERIES), first[:-1].tolist(), first[1:].tolist()):
+                size = np.diff(self.first[q : q + QUERIES + 1])
+                of = np.arange(len(size), dtype=np.uint8).repeat(size)
+                order = np.lexsort((self.word[lo:hi], of // GROUP))
+                word[lo:hi], weight[lo:hi], query[lo:hi] = self.word[lo:hi].take(order), self.weight[lo:hi].take(order), of.take(order)
+            self._by_word = word, weight, query, first
+        return self._by_word
 
 
 def document_frequencies(texts: DataFrame) -> DataFrame:
@@ -389,12 +503,13 @@ def top_k(
     # Told by its size: to ask whether data is null would read the packed index, here and whenever the result is evaluated.
     at_home = index.filter("size = 0").select(F.explode(F.arrays_zip("q", "d", "s")).alias("x")).select("x.q", F.col("x.d").alias("doc_id"), F.col("x.s").alias("score"))
     found = [at_home]
-    if shards > 1:
-        floors = at_home.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("floor")).filter(F.col("n") == k)
+    if shards > HOMES:
+        scores = F.sort_array(F.collect_list("score"), asc=False)  # k of each home at most
+        floors = at_home.groupBy("q").agg(F.get(scores, F.lit(k - 1)).alias("floor"))
         size = asked.agg(F.count(F.lit(1)).alias("q"), F.sum("n_words").alias("w")).first()
         blocks = max(-(-size["q"] // query_block), -(-(size["w"] or 0) // QUERY_WORDS))
         dealt = staged(
-            asked.join(floors.select("q", "floor"), "q", "left")
+            asked.join(floors, "q", "left")
             .withColumn("floor", F.coalesce("floor", F.lit(0.0)))
             .withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int"))
             .repartition("block"),
@@ -402,13 +517,8 @@ def top_k(
         )
         for b in range(blocks):
             block = dealt.filter(F.col("block") == b).select("q", "home", "words", "weights", "floor").toArrow()
-            sent = spark.sparkContext.broadcast(
-                [
-                    (q, home, np.frombuffer(w, np.uint64), np.frombuffer(x, np.float64), floor)
-                    for q, home, w, x, floor in zip(*[c.to_pylist() for c in block.columns])
-                ]
-            )
-            found.append(staged(_search_block(index, sent, k), "found", rows=PART_ROWS))
+            sent = spark.sparkContext.broadcast(Block(zip(*[c.to_pylist() for c in block.columns])))
+            found.append(staged(_search_block(index, sent, k, shards), "found", rows=PART_ROWS))
             sent.destroy()
         discard(dealt)
     out = found[0]
@@ -426,7 +536,11 @@ def _index(docs: DataFrame, asked: DataFrame, k: int, mean: float, shards: int)
         F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int").alias("shard"),
         F.lit(0).alias("kind"), "id", "t", F.lit(None).cast("binary").alias("weights"),
     )
-    at_home = asked.select(F.col("home").alias("shard"), F.lit(1).alias("kind"), F.col("q").alias("id"), F.col("words").alias("t"), "weights")
+    homes = F.explode(F.sequence(F.lit(0), F.lit(min(HOMES, shards) - 1)))
+    at_home = asked.select("*", homes.alias("more")).select(
+        F.pmod(F.col("home") + F.col("more"), F.lit(shards)).cast("int").alias("shard"),
+        F.lit(1).alias("kind"), F.col("q").alias("id"), F.col("words").alias("t"), "weights",
+    )
     ddl = "shard int, size long, place long, data binary, q array<long>, d array<long>, s array<double>"
     schema = arrow_schema(ddl)
 
@@ -438,13 +552,15 @@ def _index(docs: DataFrame, asked: DataFrame, k: int, mean: float, shards: int)
 
         def out():
             shard.seal()
-            found = shard.search([x[1:] for x in queries], k)
-            flat = [(q[0], d, s) for q, rows in zip(queries, found) for d, s in rows]
+            block = Block(queries)
+            best: dict[int, list[tuple]] = {}
+            gather(shard.search(block, block.floor, k), best, block.floor, k)
+            flat = [(int(block.q[i]), d, s) for i, rows in best.items() for d, s in rows]
             yield row(number, 0, 0, None, *[[x[i] for x in flat] for i in range(3)])
-            data = memoryview(shard.pack())
+            data = shard.pack()
             shard.__dict__.clear()  # the packed index alone is needed from here
-            for lo in range(0, len(data), PART):
-                yield row(number, len(data), lo, data[lo : lo + PART], None, None, None)
+            for place, part in pieces(data):
+                yield row(number, len(data), place, part, None, None, None)
 
         for batch in parts_of(batches):
             for s, what, i, t, weights in zip(*[c.to_pylist() for c in batch.columns]):
@@ -455,7 +571,7 @@ def _index(docs: DataFrame, asked: DataFrame, k: int, mean: float, shards: int)
                 if what == 0:
                     shard.add(i, *counted(t))
                 else:
-                    queries.append((i, np.frombuffer(t, np.uint64), np.frombuffer(weights, np.float64), 0.0))
+                    queries.append((i, s, t, weights, 0.0))
         if shard is not None:
             yield from out()
 
@@ -468,13 +584,15 @@ def _index(docs: DataFrame, asked: DataFrame, k: int, mean: float, shards: int)
     )
 
 
-def _search_block(index: DataFrame, sent, k: int) -> DataFrame:
-    """q, doc_id, score: what a block of queries finds in all shards but their home, not under their floors."""
+def _search_block(index: DataFrame, sent, k: int, shards: int) -> DataFrame:
+    """q, doc_id, score: what a block of queries finds in all shards but their homes, not under their floors; the best k of a task."""
     ddl = "q long, doc_id long, score double"
     schema = arrow_schema(ddl)
 
     def run(batches):
         whole, read, own = None, 0, None
+        block, best = sent.value, {}
+        floors = block.floor.copy()
         for batch in batches:
             for number, size, place, data in zip(*[batch.column(i).to_pylist() for i in range(3)], batch.column(3)):
                 if whole is None:
@@ -488,14 +606,13 @@ def _search_block(index: DataFrame, sent, k: int) -> DataFrame:
                     continue
                 shard = Shard.load(whole)
                 whole = None
-                queries = [x for x in sent.value if x[1] != number]
-                found = shard.search([x[2:] for x in queries], k)
-                flat = [(x[0], d, s) for x, rows in zip(queries, found) for d, s in rows]
-                if flat:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*flat), schema)], schema=schema)
+                gather(shard.search(block, floors, k, (number - block.home) % shards >= HOMES), best, floors, k)
                 del shard
         if whole is not None:
             raise RuntimeError("a shard was read in part")
+        if best:
+            flat = [(int(block.q[i]), d, s) for i, rows in best.items() for d, s in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*flat), schema)], schema=schema)
 
     return index.filter("size > 0").select("shard", "size", "place", "data").transform(in_arrow, run, ddl)
 

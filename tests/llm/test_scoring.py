@@ -1,7 +1,9 @@
 import math
+import sys
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_cases import documents, edge_rows
 from pyspark.sql import functions as F
@@ -436,3 +438,67 @@ def test_results_of_home_shards_are_read_without_the_index(spark, prose, posting
     found = bm25.top_k(docs, F.col("doc_id") % 10 == 0, k=3, shard_postings=postings)
     assert "data:binary" not in found._jdf.queryExecution().executedPlan().toString()
     assert found.count() == 12
+
+
+def asked_of(counts, queries, n, df):
+    """Rows of a bm25.Block: words and weights of texts (Counters) of these numbers."""
+    rows = []
+    for q in queries:
+        words = sorted((bm25.FINGERPRINT(w), f * math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5))) for w, f in counts[q].items())
+        h, x = zip(*words) if words else ((), ())
+        rows.append((q, 0, np.array(h, np.uint64).tobytes(), np.array(x, float).tobytes(), 0.0))
+    return rows
+
+
+@pytest.mark.parametrize("product", [0, 2, bm25.PRODUCT, 10**9])
+def test_bm25_shards_equal_brute_force_whatever_goes_into_products(monkeypatch, prose, product):
+    for name, value in {"PRODUCT": product, "REGION_POSTINGS": 4000, "REGION_DOCS": 150, "QUERIES": 24, "GROUP": 7, "PRODUCTS": 900, "PAIRS": 50}.items():
+        monkeypatch.setattr(bm25, name, value)
+    texts = [*prose(500, 12), *prose(100, 13, 200, 900), "", "of their own", "of their own"]
+    texts[30:60] = [texts[7]] * 30
+    counts = [Counter(t.encode().lower().split()) for t in texts]
+    df = Counter(w for c in counts for w in c)
+    shard = bm25.Shard(sum(c.total() for c in counts) / len(counts))
+    for i, t in enumerate(texts):
+        shard.add(i, *bm25.counted(t.encode()))
+    shard = bm25.Shard.load(bytearray(shard.seal().pack()))
+    assert len(shard.edge) > 5
+    queries = range(0, len(texts), 4)
+    block = bm25.Block(asked_of(counts, queries, len(texts), df))
+    want = {q: [(d, -s) for s, d in rows] for q, rows in brute_bm25(texts, queries, 5).items()}
+    # Without floors, and with floors that the last of the best just reaches.
+    for floors in (block.floor.copy(), np.array([want[q][-1][1] if len(want[q]) == 5 else 0.0 for q in block.q.tolist()])):
+        best = {}
+        bm25.gather(shard.search(block, floors, 5), best, floors, 5)
+        got = {int(block.q[i]): rows for i, rows in best.items()}
+        for q in queries:
+            assert [d for d, _ in got.get(q, [])] == [d for d, _ in want[q]]
+            assert np.allclose([s for _, s in got.get(q, [])], [s for _, s in want[q]], atol=2e-6)
+    chosen = block.q % 8 == 0
+    assert {int(block.q[i]) for i, _ in shard.search(block, block.floor, 5, chosen)} <= {q for q in queries if q % 8 == 0}
+
+
+def test_a_packed_index_is_let_go():
+    data = bytes(3 * bm25.PART + 5)
+    held = sys.getrefcount(data)
+    got = [pa.array([part], pa.binary())[0].as_py() for _, part in bm25.pieces(data)]
+    assert b"".join(got) == data and sys.getrefcount(data) == held
+
+
+def test_a_task_hands_on_the_best_of_all_its_shards(spark, prose, monkeypatch):
+    staged, found = bm25.staged, []
+
+    def counting(df, name, *args, **kwargs):
+        out = staged(df, name, *args, **kwargs)
+        if name == "found":
+            found.append((out.count(), df.rdd.getNumPartitions()))
+        return out
+
+    monkeypatch.setattr(bm25, "staged", counting)
+    texts = prose(600, 14)
+    docs = documents(spark, [(i, t, "a") for i, t in enumerate(texts)]).repartition(4)
+    got = defaultdict(list)
+    for r in bm25.top_k(docs, F.col("doc_id") % 20 == 0, k=7, shard_postings=600, query_block=16).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.doc_id)
+    assert got == {q: [d for _, d in rows] for q, rows in brute_bm25(texts, range(0, 600, 20), 7).items()}
+    assert len(found) == 2 and sum(rows for rows, _ in found) <= 30 * 7 * max(tasks for _, tasks in found)
